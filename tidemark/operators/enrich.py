@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.hashing import fingerprint
 from tidemark.functions.rules import (Pack, all_labels, any_hit, best_label, contains_any, contains_word, first_label, flag_columns,
-                                      matches, runner_up_labels, sum_hits, terms_of)
+                                      matches, rule_hit, runner_up_labels, sum_hits, terms_of)
 from tidemark.functions.text import fix_layout, nfkc, non_empty, short_title
 
 Packs = dict[str, Pack]
@@ -93,11 +93,13 @@ def mentions(lo: Column, p: Packs) -> dict[str, Column]:
 def topic_focus(lo: Column, p: Packs) -> Column:
     """Sorted topic tags; guarded tags only fire when the guard tag did not."""
     tags = all_labels(lo, p["topic_focus"])
+    base = {r.label: r for r in p["topic_focus"].rules}
+    guarded = []
     for rule in p["topic_focus_guarded"].rules:
-        blocker = dict(rule.attrs)["unless"]
-        hit = contains_any(lo, rule.substr) & ~F.array_contains(tags, blocker)
-        tags = F.when(hit, F.array_append(tags, rule.label)).otherwise(tags)
-    return F.array_sort(F.array_distinct(tags))
+        blocker = base.get(dict(rule.attrs)["unless"])
+        hit = contains_any(lo, rule.substr)
+        guarded.append((hit & ~rule_hit(lo, blocker) if blocker else hit, rule.label))
+    return F.array_sort(add_tags(tags, guarded))
 
 
 def heuristic_score(lo: Column, p: Packs) -> Column:
@@ -343,8 +345,10 @@ def effort_of(ideas: Column, p: Packs) -> Column:
 
 # --- promotion of flags -------------------------------------------------------------------------------
 
-def add_tag(tags: Column, cond: Column, tag: str) -> Column:
-    return F.when(cond & ~F.array_contains(tags, tag), F.array_append(tags, tag)).otherwise(tags)
+def add_tags(tags: Column, pairs: list[tuple[Column, str]]) -> Column:
+    """Tags whose condition holds, appended once.  One union: nesting a conditional append per tag would
+    repeat the whole expression at every level."""
+    return F.array_union(tags, F.array_compact(F.array(*[F.when(cond, F.lit(tag)) for cond, tag in pairs])))
 
 
 def promote_flags(df: DataFrame) -> DataFrame:
@@ -354,16 +358,12 @@ def promote_flags(df: DataFrame) -> DataFrame:
     subtags, opportunity_tag, persona and brand_sentiment.
     """
     c, has = F.col, lambda v: F.array_contains("payment_issue_types", v)
-    topics = add_tag(add_tag(c("topic_focus"), c("has_payment"), "Payments"), c("has_unpaid"), "UPI")
-    topics = add_tag(topics, c("has_liquidity"), "Instant Offers / Liquidity")
-    subs = c("subtags")
-    for kind, tag in (("payment_declined", "Payment Declined"), ("insufficient_funds", "Insufficient Funds"),
-                      ("wire_or_bank_transfer", "Wire/Bank Transfer"), ("payment_hold", "Payment Hold")):
-        subs = add_tag(subs, has(kind), tag)
-    subs = add_tag(subs, c("has_unpaid"), "UPI")
     liq = lambda v: F.array_contains("liquidity_signal_types", v)
-    for kind, tag in (("instant_offer", "Instant Offers"), ("liquidity_behavior", "Liquidity"), ("liquidity_platform", "Liquidity Platform")):
-        subs = add_tag(subs, liq(kind), tag)
+    topics = add_tags(c("topic_focus"), [(c("has_payment"), "Payments"), (c("has_unpaid"), "UPI"), (c("has_liquidity"), "Instant Offers / Liquidity")])
+    subs = add_tags(c("subtags"), [
+        (has("payment_declined"), "Payment Declined"), (has("insufficient_funds"), "Insufficient Funds"),
+        (has("wire_or_bank_transfer"), "Wire/Bank Transfer"), (has("payment_hold"), "Payment Hold"), (c("has_unpaid"), "UPI"),
+        (liq("instant_offer"), "Instant Offers"), (liq("liquidity_behavior"), "Liquidity"), (liq("liquidity_platform"), "Liquidity Platform")])
     blocked = has("payment_declined") | has("wire_or_bank_transfer") | has("insufficient_funds") | has("payment_hold")
     empty = lambda t: t.isNull() | (t == "")
     opp = F.when(blocked & empty(c("opportunity_tag")), "Conversion Blocker").otherwise(c("opportunity_tag"))
@@ -436,8 +436,8 @@ def light_enrich(df: DataFrame, p: Packs, sentiment: str = "model_sentiment", co
         "severity_score": F.col("_sev.score"), "severity_reason": F.col("_sev.reason"), "persona": first_label(lo, p["light_personas"], "General"),
         "action_type": first_label(lo, p["action_types"], "Unclear"), "clarity": clarity_flag(F.col("text")),
         "opportunity_tag": first_label(lo, p["opportunities"], "General Insight"),
-        "topic_focus": add_tag(add_tag(add_tag(F.col("topic_focus"), F.col("has_payment"), "Payments"), F.col("has_unpaid"), "UPI"),
-                               F.col("has_liquidity"), "Instant Offers / Liquidity"),
+        "topic_focus": add_tags(F.col("topic_focus"), [(F.col("has_payment"), "Payments"), (F.col("has_unpaid"), "UPI"),
+                                                       (F.col("has_liquidity"), "Instant Offers / Liquidity")]),
     })
     staged = staged.withColumns({
         "score": light_score(F.col("heuristic_score"), F.col("frustration"), F.col("impact"), F.coalesce(confidence, F.lit(0.0))),
