@@ -184,7 +184,11 @@ def brand_sentiment_rules(lo: Column, brand: Column, p: Packs) -> Column:
 # --- cascades that are packs --------------------------------------------------------------------
 
 def workstream_of(df: DataFrame, p: Packs, text: str = "text", title: str = "title", topics: str = "topic_focus", out: str = "workstream") -> DataFrame:
-    """Named workstream of a row: boolean flags first, then the ordered cascade over them."""
+    """Named workstream of a row: boolean flags first, then the ordered cascade over them.
+
+    Write the result before filtering on it repeatedly: Catalyst pushes such filters through
+    the projections and copies the whole cascade into each of them.
+    """
     tp = F.transform(F.coalesce(F.col(topics), F.array().cast("array<string>")), lambda t: F.lower(t))
     base = df.withColumn("_lo", lower_both(F.col(title), F.col(text))).withColumn("_tp", tp)
     flags = flag_columns(F.col("_lo"), p["workstream_flags"], F.col("_tp"))
