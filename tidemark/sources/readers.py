@@ -55,10 +55,10 @@ def infer_source(path: Column, custom: dict[str, str] | None = None) -> Column:
     return out.when(p.contains("community") | p.contains("forum"), "Forums").when(p.contains("all_scraped"), "Multi-Source").otherwise("Unknown")
 
 
-def read_posts_envelope(spark: SparkSession, paths: list[str], today: Column) -> DataFrame:
-    """Arrays of posts or ``{"items": [...]}``; text falls back to raw_text."""
+def read_posts_envelope(spark: SparkSession, paths: list[str], today: Column, multi_line: bool = True) -> DataFrame:
+    """Arrays of posts or ``{"items": [...]}`` (one per file, or one per line); text falls back to raw_text."""
     schema = T.StructType([*RAW_POST.fields, T.StructField("items", T.ArrayType(T.StructType(RAW_POST.fields[:-1])))])
-    df = (spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(_existing(spark, paths))
+    df = (spark.read.schema(schema).option("multiLine", multi_line).option("columnNameOfCorruptRecord", "_corrupt_record").json(_existing(spark, paths))
           .withColumn("source_file", F.col("_metadata.file_path")))
     names = [f.name for f in RAW_POST.fields[:-1]]
     self_row = F.array(F.struct(*[F.col(n) for n in names]))
