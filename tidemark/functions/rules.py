@@ -19,6 +19,8 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.functions.text import compact
+
 PACK_DIR = Path(__file__).resolve().parent.parent / "packs"
 
 
@@ -171,6 +173,21 @@ def terms_of(pack: Pack) -> list[str]:
     return [t for r in pack.rules for t in r.substr]
 
 
+def fence(c: Column) -> Column:
+    """The same value behind an always-true test on a random number.
+
+    Catalyst derives constraints from every deterministic alias and pushes filters on a label
+    through the projection that computes it.  For long cascades over many flags both copy
+    the expressions again and again and planning takes minutes.  A non-deterministic column
+    takes part in neither.  Filters on plain columns stop here too, so apply those first.
+    """
+    return F.when(F.rand(0) >= 0, c)
+
+
+def fenced(cols: dict[str, Column]) -> dict[str, Column]:
+    return {k: fence(c) for k, c in cols.items()}
+
+
 def flag_columns(text: Column, pack: Pack, topics: Column | None = None) -> dict[str, Column]:
     """One boolean column per label; rules with the same label are alternatives."""
     grouped: dict[str, list[Rule]] = {}
@@ -218,7 +235,7 @@ def all_labels(text: Column, pack: Pack, sort: bool = False, default: str | None
     for r in pack.rules:
         grouped.setdefault(r.label, []).append(r)
     flags = [F.when(any_of([rule_hit(text, r) for r in rs]), F.lit(label)) for label, rs in grouped.items()]
-    arr = F.array_compact(F.array(*flags)) if flags else F.array().cast("array<string>")
+    arr = compact(F.array(*flags)) if flags else F.array().cast("array<string>")
     if sort:
         arr = F.array_sort(arr)
     if default is not None:
@@ -269,7 +286,7 @@ def explode_hits(df: DataFrame, text_col: str, lexicon: "DataFrame | Sequence[st
             return _explode_hits_join(df, text, lexicon, term_col)
         lexicon = head
     terms = sorted(dict.fromkeys(t for t in lexicon if t))
-    hits = F.array_compact(F.array(*[F.when(text.contains(t), F.lit(t)) for t in terms]))
+    hits = compact(F.array(*[F.when(text.contains(t), F.lit(t)) for t in terms]))
     return df.withColumn(term_col, F.explode(hits))
 
 

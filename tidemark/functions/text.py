@@ -31,6 +31,12 @@ STOP_QUALITY = (
 ).split()
 
 
+def compact(arr: Column) -> Column:
+    """Array without nulls.  The built-in of that name plans an extra projection with the array as an alias
+    of its own, whose constraints slow planning down for long label lists."""
+    return F.filter(arr, lambda x: x.isNotNull())
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 

@@ -11,9 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.hashing import fingerprint
-from tidemark.functions.rules import (Pack, all_labels, any_hit, best_label, contains_any, contains_word, first_label, flag_columns,
+from tidemark.functions.rules import (Pack, all_labels, any_hit, best_label, contains_any, contains_word, fence, fenced, first_label, flag_columns,
                                       matches, rule_hit, runner_up_labels, sum_hits, terms_of)
-from tidemark.functions.text import fix_layout, nfkc, non_empty, short_title
+from tidemark.functions.text import compact, fix_layout, nfkc, non_empty, short_title
 
 Packs = dict[str, Pack]
 
@@ -186,14 +186,20 @@ def brand_sentiment_rules(lo: Column, brand: Column, p: Packs) -> Column:
 def workstream_of(df: DataFrame, p: Packs, text: str = "text", title: str = "title", topics: str = "topic_focus", out: str = "workstream") -> DataFrame:
     """Named workstream of a row: boolean flags first, then the ordered cascade over them.
 
-    Write the result before filtering on it repeatedly: Catalyst pushes such filters through
-    the projections and copies the whole cascade into each of them.
+    The label stands behind a fence, so filters on it do not copy the cascade; apply filters
+    on plain columns before this step.
     """
     tp = F.transform(F.coalesce(F.col(topics), F.array().cast("array<string>")), lambda t: F.lower(t))
+    if "topic" in df.columns:
+        # The primary topic joins the tags under its own prefix.
+        tp = F.concat(tp, F.array(F.concat(F.lit("subtag:"), F.lower(F.coalesce("topic", F.lit(""))))))
     base = df.withColumn("_lo", lower_both(F.col(title), F.col(text))).withColumn("_tp", tp)
-    flags = flag_columns(F.col("_lo"), p["workstream_flags"], F.col("_tp"))
+    flags = fenced(flag_columns(F.col("_lo"), p["workstream_flags"], F.col("_tp")))
     staged = base.withColumns(flags)
-    return staged.withColumn(out, first_label(F.col("_lo"), p["workstreams"], "General Platform Feedback", F.col("_tp"))).drop("_lo", "_tp", *flags)
+    label = first_label(F.col("_lo"), p["workstreams"], None, F.col("_tp"))
+    # Rows no text rule claims go by their topic, then by their source.
+    later = [first_label(F.lower(F.col(c)), p[k]) for c, k in (("topic", "workstream_topics"), ("source", "workstream_sources")) if c in df.columns and k in p]
+    return staged.withColumn(out, fence(F.coalesce(label, *later, F.lit("General Platform Feedback")))).drop("_lo", "_tp", *flags)
 
 
 def topical_for(df: DataFrame, p: Packs, workstream: str = "workstream", text: str = "text", title: str = "title",
@@ -215,7 +221,7 @@ def topical_for(df: DataFrame, p: Packs, workstream: str = "workstream", text: s
         here = F.col(workstream) == r.label
         full = F.when(here, F.when(kw, ctx).otherwise(other)).otherwise(full)
         kw_only = F.when(here, kw).otherwise(kw_only)
-    return base.withColumn(out, full).withColumn(keyword_out, kw_only).drop("_lo", "_tp")
+    return base.withColumns({out: fence(full), keyword_out: fence(kw_only)}).drop("_lo", "_tp")
 
 
 def entity_of(lo: Column, topic: Column, p: Packs) -> Column:
@@ -287,7 +293,7 @@ def context_reason(lo: Column, sentiment: Column, topic: Column, p: Packs) -> Co
 
 def signal_badges(flags: dict[str, str]) -> Column:
     """Labels of the active flag columns, in the given order."""
-    return F.array_compact(F.array(*[F.when(F.col(c), F.lit(label)) for label, c in flags.items()]))
+    return compact(F.array(*[F.when(F.col(c), F.lit(label)) for label, c in flags.items()]))
 
 
 def flag_category(flags: dict[str, str], default: str = "General") -> Column:
@@ -323,12 +329,12 @@ def feedback_patterns(liked: DataFrame, disliked: DataFrame, p: Packs, pos: str
     """(kind, note, rank): structure notes of the newest liked answers, weaknesses of the newest disliked ones."""
     lk = liked.orderBy(F.desc(pos)).limit(liked_n).select(pos, F.substring("response", 1, 1200).alias("r"))
     cites = count_of(F.col("r"), "[S")
-    notes = F.array_compact(F.concat(
+    notes = compact(F.concat(
         F.array(*[F.when(contains_any(F.col("r"), r.substr), F.lit(r.label)) for r in p["style_notes"].rules]),
         F.array(F.when(cites >= 8, F.format_string("Use dense citations (%d+ sources)", cites)))))
     dk = disliked.orderBy(F.desc(pos)).limit(disliked_n).select(pos, F.col("response").alias("r"))
     few = count_of(F.col("r"), "[S") < 3
-    anti = F.array_compact(F.array(
+    anti = compact(F.array(
         F.when(F.length("r") < 200, F.lit("Avoid extremely short responses (<200 chars)")),
         F.when(few, F.lit("Avoid responses with few or no citations")),
         F.when(~any_hit(F.col("r"), p["structure_words"]), F.lit("Always use structured format")),
@@ -352,7 +358,7 @@ def effort_of(ideas: Column, p: Packs) -> Column:
 def add_tags(tags: Column, pairs: list[tuple[Column, str]]) -> Column:
     """Tags whose condition holds, appended once.  One union: nesting a conditional append per tag would
     repeat the whole expression at every level."""
-    return F.array_union(tags, F.array_compact(F.array(*[F.when(cond, F.lit(tag)) for cond, tag in pairs])))
+    return F.array_union(tags, compact(F.array(*[F.when(cond, F.lit(tag)) for cond, tag in pairs])))
 
 
 def promote_flags(df: DataFrame) -> DataFrame:
@@ -387,25 +393,26 @@ def enrich_posts(df: DataFrame, p: Packs, as_of: Column, normalize: bool = True)
     """Raw posts to insights: flags, topics, type, sentiment, persona, clarity, strength.
 
     Texts shorter than 30 characters (title included) leave.  With ``normalize`` the text
-    passes the NFKC function first; keep row filters ahead of this step.
+    passes the NFKC function first.  The labels are fenced, so row filters belong ahead of
+    this step; later steps read the written insight table.
     """
     clean = (lambda c: fix_layout(nfkc(c))) if normalize else (lambda c: F.coalesce(c, F.lit("")))
-    base = df.withColumns({"text": clean(F.col("text")), "title": clean(F.col("title"))})
+    base = df.withColumns(fenced({"text": clean(F.col("text")), "title": clean(F.col("title"))}))
     base = base.withColumn("_lo", lower_both(F.col("title"), F.col("text"))).where(F.length("_lo") >= 30)
     lo = F.col("_lo")
     flags = flag_columns(lo, p["signal_flags"])
-    staged = base.withColumns({**flags, "_pain": any_hit(lo, p["pain"]), "is_urgent": is_urgent(lo, p)})
+    staged = base.withColumns(fenced({**flags, "_pain": any_hit(lo, p["pain"]), "is_urgent": is_urgent(lo, p)}))
     churn, praise = F.col("is_churn_signal"), F.col("is_praise_signal")
-    staged = staged.withColumns({
+    staged = staged.withColumns(fenced({
         "topic": first_label(lo, p["subtags"], "General"),
         "topic_focus": F.transform(
-            F.concat(all_labels(lo, p["flag_topics"], default="General"), F.array_compact(F.array(F.when(churn, F.lit("Competitive Churn"))))), lambda t: t),
+            F.concat(all_labels(lo, p["flag_topics"], default="General"), compact(F.array(F.when(churn, F.lit("Competitive Churn"))))), lambda t: t),
         "type_tag": insight_type(lo, p, churn, praise),
         "brand_sentiment": lexicon_sentiment(lo, p, churn),
         "persona": first_label(lo, p["personas"], "General"),
         "clarity": clarity(F.col("text"), lo, p),
-    })
-    out = staged.withColumns({
+    }))
+    out = staged.withColumns(fenced({
         "signal_strength": signal_strength(F.col("score"), F.col("text"), F.col("_pain"), churn, F.col("topic") != "General"),
         "taxonomy": F.struct(F.col("type_tag").alias("type"), F.col("topic").alias("topic"), F.col("topic").alias("theme")),
         "is_subsidiary_signal": F.col("topic").isin(*terms_of(p["subsidiary_topics"])),
@@ -415,7 +422,7 @@ def enrich_posts(df: DataFrame, p: Packs, as_of: Column, normalize: bool = True)
         "logged_at": as_of.cast("timestamp"),
         "post_date": F.coalesce("post_date", as_of),
         "text": F.substring("text", 1, 2000),
-    })
+    }))
     return out.drop("_lo", "_pain")
 
 
@@ -430,10 +437,10 @@ def light_enrich(df: DataFrame, p: Packs, sentiment: str = "model_sentiment", co
     kept = kept.withColumn("_lt", F.lower(F.concat_ws(" ", "text", F.coalesce("title", F.lit("")))))
     kept = kept.where(domain_relevant(F.col("_lt"), F.col("source"), p)).drop("_lt")
     friction = any_hit(lo, p["friction_phrases"])
-    staged = kept.withColumns({"_friction": friction, **payment_types(F.col("text"), lo, p), **liquidity_types(lo, p), **mentions(lo, p),
-                               "_sev": severity(lo, p), "heuristic_score": heuristic_score(lo, p), "topic_focus": topic_focus(lo, p)})
+    staged = kept.withColumns(fenced({"_friction": friction, **payment_types(F.col("text"), lo, p), **liquidity_types(lo, p), **mentions(lo, p),
+                               "_sev": severity(lo, p), "heuristic_score": heuristic_score(lo, p), "topic_focus": topic_focus(lo, p)}))
     fr = F.col("_friction")
-    staged = staged.withColumns({
+    staged = staged.withColumns(fenced({
         "brand_sentiment": F.when(fr, "Complaint").otherwise(F.col(sentiment)), "sentiment_override": fr & (F.col(sentiment) != "Complaint"),
         "target_brand": recognize_brand(lo, p), "subtags": subtags_light(lo, fr, p),
         "frustration": F.when((F.col(sentiment) == "Complaint") | fr, 3).otherwise(1), "impact": F.lit(2),
@@ -442,20 +449,20 @@ def light_enrich(df: DataFrame, p: Packs, sentiment: str = "model_sentiment", co
         "opportunity_tag": first_label(lo, p["opportunities"], "General Insight"),
         "topic_focus": add_tags(F.col("topic_focus"), [(F.col("has_payment"), "Payments"), (F.col("has_unpaid"), "UPI"),
                                                        (F.col("has_liquidity"), "Instant Offers / Liquidity")]),
-    })
-    staged = staged.withColumns({
+    }))
+    staged = staged.withColumns(fenced({
         "score": light_score(F.col("heuristic_score"), F.col("frustration"), F.col("impact"), F.coalesce(confidence, F.lit(0.0))),
         "type_tag": (F.when(fr, "Complaint").when(any_hit(lo, p["light_churn"]), "Churn Signal").when(any_hit(lo, p["light_requests"]), "Feature Request")
                      .when(F.col(sentiment) == "Complaint", "Complaint").otherwise("Discussion")),
         "frustration_flag": F.col("severity_score") >= 85, "shovel_ready": (F.col("frustration") >= 4) & (F.col("impact") >= 3),
         "topic": F.when(F.col("subtags")[0] != "General", F.col("subtags")[0]).otherwise(F.coalesce(F.get("topic_focus", F.lit(0)), F.lit("General"))),
         "title": short_title(F.col("text")), "fingerprint": fingerprint(F.col("text")), "journey_stage": F.lit("Discovery"),
-    })
-    out = staged.withColumns({
+    }))
+    out = staged.withColumns(fenced({
         "pm_priority_score": pm_priority(F.col("score"), F.col("severity_score"), F.lit(None).cast("double"), F.col(confidence)),
         "cluster_ready_score": cluster_ready(F.col("score"), F.col("frustration"), F.col("impact")),
         "taxonomy": F.struct(F.col("type_tag").alias("type"), F.col("topic").alias("topic"), F.col("topic").alias("theme")),
-    })
+    }))
     return out.where(F.col("score") >= 3).drop("_lo", "_sev", "_friction")
 
 
@@ -464,8 +471,8 @@ def query_enrich(df: DataFrame, query: str, p: Packs, as_of: Column) -> DataFram
     # Text first, title second here.
     base = df.withColumn("_lo", F.lower(F.concat_ws(" ", F.coalesce("text", F.lit("")), F.coalesce("title", F.lit(""))))).withColumn("_tl", F.lower(F.coalesce("title", F.lit(""))))
     lo = F.col("_lo")
-    base = base.withColumns({"_churn": sum_hits(lo, p["adhoc_churn"]), "_pos": sum_hits(lo, p["adhoc_positive"]), "_feat": sum_hits(lo, p["adhoc_feature"]),
-                             "_bug": sum_hits(lo, p["adhoc_bug"]), "_spec": sum_hits(lo, p["adhoc_specific"]), "_neg0": sum_hits(lo, p["adhoc_negative"])})
+    base = base.withColumns(fenced({"_churn": sum_hits(lo, p["adhoc_churn"]), "_pos": sum_hits(lo, p["adhoc_positive"]), "_feat": sum_hits(lo, p["adhoc_feature"]),
+                             "_bug": sum_hits(lo, p["adhoc_bug"]), "_spec": sum_hits(lo, p["adhoc_specific"]), "_neg0": sum_hits(lo, p["adhoc_negative"])}))
     neg, pos, churn = F.col("_neg0") + F.col("_churn"), F.col("_pos"), F.col("_churn")
     eng = sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("score", "num_comments", "like_count"))
     n = F.length(lo)
@@ -479,14 +486,14 @@ def query_enrich(df: DataFrame, query: str, p: Packs, as_of: Column) -> DataFram
     kind = (F.when((F.col("_feat") >= 2) | ((F.col("_feat") == 1) & (neg == 0)), "Feature Request").when(F.col("_bug") >= 2, "Bug Report")
             .when(churn >= 1, "Churn Signal").when(neg >= 2, "Complaint").when(pos >= 2, "Praise").when(any_hit(lo, p["adhoc_news"]), "Industry News")
             .when(F.col("text").contains("?") & (n < 300), "Question").otherwise("Discussion"))
-    out = base.withColumns({
+    out = base.withColumns(fenced({
         "brand_sentiment": (F.when(neg > pos + 1, "Negative").when(pos > neg + 1, "Positive").when(neg > pos, "Mixed-Negative")
                             .when(pos > neg, "Mixed-Positive").otherwise("Neutral")),
         "type_tag": kind, "topic": best_label(lo, p["adhoc_topics"], "General"), "secondary_topics": runner_up_labels(lo, p["adhoc_topics"]),
         "persona": best_label(lo, p["adhoc_personas"], "Unknown"), "journey_stage": best_label(lo, p["adhoc_journey"], "Unknown"),
         "signal_strength": F.greatest(F.lit(10), F.least(F.lit(100), strength)).cast("int"), "relevance_score": F.bround(relevance).cast("int"),
         "clarity": F.when(n > 200, "High").when(n > 80, "Medium").otherwise("Low"),
-    })
+    }))
     return out.drop("_lo", "_tl", "_churn", "_pos", "_feat", "_bug", "_spec", "_neg0")
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.rules import Pack, contains_any, contains_word
-from tidemark.functions.text import tokens_retrieval
+from tidemark.functions.text import compact, tokens_retrieval
 from tidemark.functions.vectors import mean_vector, zero_vector
 from tidemark.operators.blocks import assign_blocks
 from tidemark.operators.ordering import rank_bounded, source_diversity_cap, top_n_per_group
@@ -72,7 +72,8 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str, text: Column,
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, id_col: str, text: Column, k: int = POOL) -> DataFrame:
-    return rank_list(bm25_scores(docs, queries, id_col, text), "bm25", k)
+    """Scores are compared at nine decimals: equal documents may differ in the last bits by summation order."""
+    return rank_list(bm25_scores(docs, queries, id_col, text).withColumn("bm25", F.round("bm25", 9)), "bm25", k)
 
 
 def rank_list(scored: DataFrame, score: str, k: int = POOL) -> DataFrame:
@@ -236,7 +237,7 @@ def expand_query(queries: DataFrame, expansions: Pack, limit: int = 2) -> DataFr
         hit = contains_any(lo, rule.substr or (rule.label,))
         text = F.when(hit, F.lit(extra)) if text is None else text.when(hit, F.lit(extra))
     extra = text if text is not None else F.lit(None).cast("string")
-    variants = F.array_compact(F.array(
+    variants = compact(F.array(
         F.col("query"), F.when(extra.isNotNull(), F.concat_ws(" ", F.col("query"), extra))))
     return queries.select("query_id", F.posexplode(F.slice(variants, 1, limit)).alias("variant", "query"))
 
@@ -261,7 +262,7 @@ def topic_variants(queries: DataFrame, expansions: Pack, context_words: list[str
     suffix = (F.when(~has_ctx & ~has_dom, F.array(*[F.concat_ws(" ", q, F.lit(s)) for s in both]))
               .when(~has_ctx, F.array(*[F.concat_ws(" ", q, F.lit(s)) for s in domain_only]))
               .otherwise(F.array().cast("array<string>")))
-    every = F.array_compact(F.concat(F.array(q, quoted), phrases, suffix))
+    every = compact(F.concat(F.array(q, quoted), phrases, suffix))
     keyed = F.transform(every, lambda s, i: F.struct(F.lower(F.trim(s)).alias("k"), i.alias("i"), s.alias("s")))
     # First occurrence per folded text, at most a dozen entries per row.
     firsts = F.filter(keyed, lambda e: ~F.exists(keyed, lambda o: (o["k"] == e["k"]) & (o["i"] < e["i"])))
@@ -329,7 +330,7 @@ def hybrid_search(docs: DataFrame, queries: DataFrame, vectors: DataFrame | None
     lo_text = F.lower(F.concat_ws(" ", F.coalesce("text", F.lit("")), F.coalesce("title", F.lit(""))))
     boost = signal_boosts(F.col("_q"), as_of, packs, lo_text, F.col("source"), F.col("signal_strength"),
                           F.col("score"), F.col("post_date"), F.col("mentions_competitor"))
-    scored = cand.withColumn("retrieval_score", F.col("rrf") + boost).drop("_q")
+    scored = cand.withColumn("retrieval_score", F.round(F.col("rrf") + boost, 9)).drop("_q")
     return source_diversity_cap(scored, ["query_id"], "source", [F.desc("retrieval_score"), F.asc("doc_id")],
                                 max_per_source, k)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.functions.rules import Pack, Rule, load_packs
+from tidemark.functions.rules import Pack, Rule, fenced, load_packs
 from tidemark.operators import enrich
 from tidemark.session import spread
 
@@ -72,8 +72,8 @@ def insights(spark: SparkSession, sf: str) -> DataFrame:
     df = enrich.enrich_posts(posts(spark, sf), P, as_of(), normalize=False)
     df = df.withColumn("_lo", F.lower("text"))
     lo = F.col("_lo")
-    df = df.withColumns({"target_brand": enrich.brand_of(lo, P), "journey_stage": enrich.best_label(lo, P["adhoc_journey"], "Unknown"),
-                         "_sev": enrich.severity(lo, P)["score"]})
+    df = df.withColumns(fenced({"target_brand": enrich.brand_of(lo, P), "journey_stage": enrich.best_label(lo, P["adhoc_journey"], "Unknown"),
+                         "_sev": enrich.severity(lo, P)["score"]}))
     return df.withColumn("pm_priority_score", enrich.pm_priority(F.col("score"), F.col("_sev"), F.lit(None).cast("double"), F.lit(None).cast("double"))).drop("_lo", "_sev")
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import rules
 from tidemark.operators import aggregates, enrich, retrieval
 from tidemark.queries.base import (AS_OF, INSIGHTS, LOW, P, POSTS, as_of, insights, lowered, posts, q, query, sql_any, sql_best, sql_first, sql_flags,
-                                   sql_labels, sql_pack, sql_rule, sql_sum, table)
+                                   sql_labels, sql_pack, sql_sum, table)
+from tidemark.session import cut_lineage
 
 FLAGS = list(dict.fromkeys(r.label for r in P["signal_flags"].rules))
 
@@ -205,16 +206,20 @@ def _query_enrich(spark, sf):
 
 
 WORKSTREAM = f"""ws0 AS (SELECT *, list_transform(CASE WHEN len(t0) = 0 THEN ['General'] ELSE t0 END || CASE WHEN is_churn_signal THEN ['Competitive Churn'] ELSE [] END, lambda x: lower(x)) AS tp, lower(title || ' ' || substr(text, 1, 2000)) AS wl
-FROM (SELECT *, {sql_labels('flag_topics')} AS t0 FROM insights)), ws1 AS (SELECT *, {sql_flags('workstream_flags', 'wl')} FROM ws0), ws AS (SELECT *, {sql_first('workstreams', 'General Platform Feedback', 'wl')} AS workstream FROM ws1)"""
+FROM (SELECT *, {sql_labels('flag_topics')} AS t0 FROM insights)), ws1 AS (SELECT *, {sql_flags('workstream_flags', 'wl')} FROM ws0), ws AS (SELECT *, coalesce({sql_first('workstreams', None, 'wl')}, {sql_first('workstream_topics', None, 'lower(topic)')}, 'General Platform Feedback') AS workstream FROM ws1)"""
 
 
 def with_workstream(spark, sf):
-    return enrich.workstream_of(insights(spark, sf), P)
+    """The labelled insight table as the weekly run keeps it: written once, read by every card step.
+
+    Planning the card steps on top of the whole labelling plan takes far longer than reading the table.
+    """
+    return cut_lineage(enrich.workstream_of(insights(spark, sf), P).drop("taxonomy", "title_", "url", "username", "logged_at"))
 
 
 @query("workstream_of", f"WITH {INSIGHTS}, {WORKSTREAM} SELECT post_id, workstream FROM ws")
 def _workstream(spark, sf):
-    return with_workstream(spark, sf).select("post_id", "workstream")
+    return enrich.workstream_of(insights(spark, sf), P).select("post_id", "workstream")
 
 
 def _topical_sql() -> str:

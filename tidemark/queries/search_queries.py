@@ -30,11 +30,6 @@ def _docs(spark, sf):
     return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
 
-def _rounded(scores):
-    """Equal scores may differ in their last bits by summation order; rank them as equal."""
-    return scores.withColumn("bm25", F.round("bm25", 9))
-
-
 @query("bm25_scores", f"WITH {BM25} SELECT query_id, count(*) AS n, round(sum(bm25), 5) AS total FROM bm GROUP BY 1")
 def _bm25(spark, sf):
     s = rt.bm25_scores(_docs(spark, sf), questions(spark, sf), "doc_id", F.col("text"))
@@ -43,8 +38,7 @@ def _bm25(spark, sf):
 
 @query("bm25_topk", f"WITH {BM25}, {_RANKED} SELECT query_id, doc_id, rank FROM bk")
 def _topk(spark, sf):
-    s = _rounded(rt.bm25_scores(_docs(spark, sf), questions(spark, sf), "doc_id", F.col("text")))
-    return rt.rank_list(s, "bm25", 50).select("query_id", "doc_id", "rank")
+    return rt.bm25_topk(_docs(spark, sf), questions(spark, sf), "doc_id", F.col("text")).select("query_id", "doc_id", "rank")
 
 
 @query("bm25_index", f"WITH {BM25} SELECT (SELECT count(*) FROM pt) AS postings, (SELECT count(*) FROM dfs) AS terms, (SELECT CAST(sum(len(t)) AS BIGINT) FROM dt) AS tokens, (SELECT max(df) FROM dfs) AS max_df")
@@ -81,7 +75,7 @@ def _dense_grid(spark, sf):
 @query("proxy_query_vector", f"""WITH {BM25}, {_RANKED}, v AS (SELECT query_id, i, avg(x::DOUBLE) AS m FROM (SELECT query_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM bk JOIN embeddings e ON e.vec_id = bk.doc_id WHERE rank < 5) GROUP BY 1, 2),
 w AS (SELECT query_id, i, m / sqrt(sum(m * m) OVER (PARTITION BY query_id)) AS m FROM v) SELECT query_id, round(max(m), 5) AS hi, round(min(m), 5) AS lo FROM w GROUP BY 1""")
 def _proxy(spark, sf):
-    ranked = rt.rank_list(_rounded(rt.bm25_scores(_docs(spark, sf), questions(spark, sf), "doc_id", F.col("text"))), "bm25", 50)
+    ranked = rt.bm25_topk(_docs(spark, sf), questions(spark, sf), "doc_id", F.col("text"))
     p = rt.proxy_query_vector(ranked, _vectors(spark, sf))
     return p.select("query_id", F.round(F.array_max("vec"), 5).alias("hi"), F.round(F.array_min("vec"), 5).alias("lo"))
 
@@ -158,8 +152,8 @@ qv AS (SELECT query_id, 0 AS variant, query FROM qs UNION ALL SELECT query_id, 1
 qt AS (SELECT query_id, variant, term, count(*) AS qtf FROM (SELECT query_id, variant, unnest({_TOKQ}) AS term FROM qv) GROUP BY 1, 2, 3), dt AS (SELECT post_id AS doc_id, {TOK_BM25.replace('lower(text)', 'lower(full_text)')} AS t FROM dx),
 st AS (SELECT count(*)::DOUBLE AS n, greatest(avg(len(t)), 1) AS avgdl FROM dt), pt AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM dt) GROUP BY 1, 2, 3), dfs AS (SELECT term, count(*) AS df FROM pt GROUP BY 1),
 bm AS (SELECT query_id, variant, doc_id, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS bm25 FROM qt JOIN pt USING (term) JOIN dfs USING (term), st GROUP BY 1, 2, 3),
-bk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY bm25 DESC, doc_id) - 1 AS r FROM bm) WHERE r < 50), fi AS (SELECT query_id, doc_id, min(variant * 1000 + r) AS o FROM bk GROUP BY 1, 2),
-mg AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY o) - 1 AS rank FROM fi), sc AS (SELECT query_id, doc_id, source, 1.0::DOUBLE / (61 + rank) + {_boost_sql()} AS s FROM mg JOIN bi ON bi.post_id = mg.doc_id JOIN qs USING (query_id) WHERE rank < 100),
+bk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY round(bm25, 9) DESC, doc_id) - 1 AS r FROM bm) WHERE r < 50), fi AS (SELECT query_id, doc_id, min(variant * 1000 + r) AS o FROM bk GROUP BY 1, 2),
+mg AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY o) - 1 AS rank FROM fi), sc AS (SELECT query_id, doc_id, source, round(1.0::DOUBLE / (61 + rank) + {_boost_sql()}, 9) AS s FROM mg JOIN bi ON bi.post_id = mg.doc_id JOIN qs USING (query_id) WHERE rank < 100),
 cp AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY s DESC, doc_id) AS rs FROM sc), fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM cp WHERE rs <= 3)
 SELECT query_id, doc_id, rank, round(s, 6) AS retrieval_score FROM fr WHERE rank <= 25""")
 def _hybrid_lexical(spark, sf):

@@ -569,11 +569,8 @@ SELECT workstream, rank, post_id FROM (SELECT *, row_number() OVER (PARTITION BY
 
 
 def members(spark, sf):
-    """Labelled members as the weekly run keeps them: written once, then read by the card steps.
-
-    Filters on computed labels would otherwise be pushed through every projection, copying the cascades.
-    """
-    d = enrich.topical_for(cut_lineage(with_workstream(spark, sf)), P)
+    """Members with their topical marks; read twice below, so written once."""
+    d = enrich.topical_for(with_workstream(spark, sf), P)
     return cut_lineage(d.select("workstream", "post_id", "pos", "score", "text", "brand_sentiment", "type_tag", "fingerprint", "is_topical", "is_keyword_topical"))
 
 
