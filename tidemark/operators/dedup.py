@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.hashing import bit_slice, hamming64, simhash64, simhash_bands
 from tidemark.operators.ordering import keep_best_by_key, keep_first_by_key, top_n_per_group
+from tidemark.session import cut_lineage
 
 # Thresholds and key lengths of the duplicate rules.
 NEAR_THRESHOLD = 5
@@ -139,21 +140,23 @@ def near_dup_simhash(df: DataFrame, threshold: int = NEAR_THRESHOLD, bands: int
                      score: str = "score", pos: str = "pos", hot_bucket: int = 5_000) -> DataFrame:
     """Drop every row that a better candidate (score desc, position asc) resembles.
 
-    Rows with the same hash collapse to their best one first (top-1 per key).  The
-    survivors are anti-joined on the band keys: a row stops at its first better
-    neighbour, no pair list is produced.
+    The hashes are computed in one map-only pass and written as a slim table (position,
+    score, hash) in the shared folder; all comparisons run on it.  Rows with the same hash
+    collapse to their best one first (top-1 per key).  The survivors are semi-joined on the
+    band keys: a row stops at its first better neighbour, no pair list is produced.  The
+    full rows move once, in the final join on the position, which must be unique.
     """
-    hashed = with_simhash(df, text)
-    best = top_n_per_group(hashed, "simhash", [F.desc(score), F.asc(pos)], 1)
-    best = best.withColumn("_s", F.coalesce(F.col(score).cast("double"), F.lit(0.0)))
-    slim = best.select(F.col("simhash"), F.col("_s"), F.col(pos).alias("_p"))
-    keys = band_keys(slim, "simhash", bands, threshold, hot_bucket)
+    slim = cut_lineage(df.select(F.col(pos).alias("_p"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("_s"),
+                                 simhash64(F.col(text)).alias("simhash")))
+    best = top_n_per_group(slim, "simhash", [F.desc("_s"), F.asc("_p")], 1)
+    keys = band_keys(best, "simhash", bands, threshold, hot_bucket)
     a, b = keys.alias("a"), keys.alias("b")
     on = reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("band", "value", "sub")])
     better = (F.col("b._s") > F.col("a._s")) | ((F.col("b._s") == F.col("a._s")) & (F.col("b._p") < F.col("a._p")))
     near = hamming64(F.col("a.simhash"), F.col("b.simhash")) <= threshold
-    losers = a.join(b, on & better & near, "left_semi").select(F.col("a._p").alias("_lost")).distinct()
-    return best.join(losers, F.col(pos) == F.col("_lost"), "left_anti").drop("_s", "simhash")
+    losers = a.join(b, on & better & near, "left_semi").select(F.col("a._p").alias("_p")).distinct()
+    kept = best.join(losers, "_p", "left_anti").select("_p")
+    return df.join(kept, F.col(pos) == F.col("_p"), "left_semi")
 
 
 def deduplicate(df: DataFrame, threshold: int = NEAR_THRESHOLD, prefix_chars: int = PREFIX, bands: int = BANDS,

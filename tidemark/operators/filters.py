@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.rules import Pack, any_hit, contains_any, contains_word, sum_hits, terms_of
+from tidemark.functions.rules import Pack, any_hit, contains_any, fence, sum_hits, terms_of
 from tidemark.functions.text import clean_text, split_multi_value
 from tidemark.operators.ordering import keep_first_by_key
 
@@ -72,7 +72,8 @@ def route_relevant(df: DataFrame, p: Packs, comment_source: str, text: str = "te
         .when(is_competitor_intel(F.col("_lo"), p), "competitor_intel")
         .when(is_relevant(F.col("_both"), F.col("_lo"), F.col(subreddit), p), "relevant")
     )
-    return base.withColumn("route", route).where(F.col("route").isNotNull()).drop("_both", "_lo", "_tl")
+    # Fenced: the route is computed once, not again inside the filter.
+    return base.withColumn("route", fence(route)).where(F.col("route").isNotNull()).drop("_both", "_lo", "_tl")
 
 
 def screen_reason(text: Column, p: Packs, min_len: int = 40) -> Column:

@@ -51,20 +51,21 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str, text: Column,
                 k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, bm25) for every document with a positive score.
 
-    Only words of the questions leave the scan: the word list of a document is
-    filtered by a semi join before any grouping, so the shuffle carries postings of
-    query words alone.  Collection size and mean length are scalar subqueries.
+    Only words of the questions leave the scan: a semi join filters the exploded words.
+    They are placed by document once; counting words, scoring and summing per question
+    all group below that placement, so nothing is shuffled again until the small top-k.
+    Collection size and mean length come as one scalar subquery.
     """
     terms = query_terms(queries)
     toks = docs.select(F.col(id_col).alias("doc_id"), tokens_retrieval(text).alias("_t")).withColumn("dl", F.size("_t"))
-    stats = toks.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
+    stats = toks.agg(F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl")).alias("s")).scalar()
     wanted = terms.select("term").distinct()
     postings = (toks.select("doc_id", "dl", F.explode("_t").alias("term"))
-                .join(wanted, "term", "left_semi")
+                .join(wanted, "term", "left_semi").repartition("doc_id")
                 .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
     df_n = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n, avgdl = stats.select("n").scalar(), F.greatest(stats.select("avgdl").scalar(), F.lit(1.0))
-    weighted = terms.join(df_n, "term").withColumn("idf", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
+    n, avgdl = stats["n"], F.greatest(stats["avgdl"], F.lit(1.0))
+    weighted = terms.join(df_n, "term").select("query_id", "term", "qtf", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     part = (F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1)
             / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl)))
     return (postings.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("bm25"))

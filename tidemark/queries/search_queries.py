@@ -304,7 +304,7 @@ _TOKI = "list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'),
 p AS (SELECT a.source, avg(len(list_intersect(list_intersect(a.tok, b.tok), [{', '.join(q(s) for s in _COMMON)}])) / greatest(1, len(a.tok) + len(b.tok) - len(list_intersect(a.tok, b.tok)))::DOUBLE) AS m FROM tk a JOIN tk b ON a.source = b.source AND a.doc_id < b.doc_id GROUP BY 1)
 SELECT source, round(CASE WHEN n < 2 OR least = 0 THEN 0 ELSE least(0.15, m * 0.6) END, 6)::DOUBLE AS penalty FROM n JOIN p USING (source)""")
 def _penalty(spark, sf):
-    return cl.overlap_penalty(_docs_src(spark, sf), ["source"], "doc_id", F.col("text"), block_rows=20, common=_COMMON).withColumn("penalty", R6(F.col("penalty")))
+    return cl.overlap_penalty(_docs_src(spark, sf), ["source"], "doc_id", F.col("text"), block_rows=300, common=_COMMON).withColumn("penalty", R6(F.col("penalty")))
 
 
 def _labelled(spark, sf):
