@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 import tomllib
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cache
 from pathlib import Path
 
@@ -188,11 +188,17 @@ def fenced(cols: dict[str, Column]) -> dict[str, Column]:
     return {k: fence(c) for k, c in cols.items()}
 
 
-def flag_columns(text: Column, pack: Pack, topics: Column | None = None) -> dict[str, Column]:
-    """One boolean column per label; rules with the same label are alternatives."""
+def flag_columns(text: Column, pack: Pack, topics: Column | None = None, absent: frozenset[str] = frozenset()) -> dict[str, Column]:
+    """One boolean column per label; rules with the same label are alternatives.
+
+    Flags in ``absent`` are columns the table lacks: they never hit.
+    """
     grouped: dict[str, list[Rule]] = {}
     for r in pack.rules:
-        grouped.setdefault(r.label, []).append(r)
+        kept = replace(r, flags=tuple(f for f in r.flags if f not in absent))
+        if r.flags and not (kept.flags or kept.substr or kept.word or kept.regex or kept.topics):
+            kept = replace(r, flags=(), regex=("(?!)",))  # nothing left that could hit
+        grouped.setdefault(r.label, []).append(kept)
     return {label: any_of([rule_hit(text, r, topics) for r in rs]) for label, rs in grouped.items()}
 
 

@@ -183,6 +183,14 @@ def brand_sentiment_rules(lo: Column, brand: Column, p: Packs) -> Column:
 
 # --- cascades that are packs --------------------------------------------------------------------
 
+def flag_columns_safe(df: DataFrame, p: Packs) -> dict[str, Column]:
+    """The workstream flags; row flags a table does not carry count as false."""
+    wanted = {f for k in ("workstream_flags", "workstreams") for r in p[k].rules for f in (*r.flags, *r.all_flags, *r.none_flags)}
+    made = {r.label for r in p["workstream_flags"].rules}
+    absent = {f: F.lit(False) for f in sorted(wanted - made - set(df.columns))}
+    return {**absent, **fenced(flag_columns(F.col("_lo"), p["workstream_flags"], F.col("_tp"), absent=frozenset(absent)))}
+
+
 def workstream_of(df: DataFrame, p: Packs, text: str = "text", title: str = "title", topics: str = "topic_focus", out: str = "workstream") -> DataFrame:
     """Named workstream of a row: boolean flags first, then the ordered cascade over them.
 
@@ -194,7 +202,9 @@ def workstream_of(df: DataFrame, p: Packs, text: str = "text", title: str = "tit
         # The primary topic joins the tags under its own prefix.
         tp = F.concat(tp, F.array(F.concat(F.lit("subtag:"), F.lower(F.coalesce("topic", F.lit(""))))))
     base = df.withColumn("_lo", lower_both(F.col(title), F.col(text))).withColumn("_tp", tp)
-    flags = fenced(flag_columns(F.col("_lo"), p["workstream_flags"], F.col("_tp")))
+    if "has_competitor" not in base.columns and "mentions_competitor" in base.columns:
+        base = base.withColumn("has_competitor", F.size("mentions_competitor") > 0)
+    flags = flag_columns_safe(base, p)
     staged = base.withColumns(flags)
     label = first_label(F.col("_lo"), p["workstreams"], None, F.col("_tp"))
     # Rows no text rule claims go by their topic, then by their source.
