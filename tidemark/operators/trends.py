@@ -21,7 +21,8 @@ def period_counts(df: DataFrame, topic: str, day: str, negative: Column, window_
     dated = df.where(F.col(day).isNotNull()).select(F.col(topic).alias("topic"), F.col(day).alias("_d"), negative.cast("int").alias("_neg"))
     first = dated.agg(F.min("_d")).scalar()
     idx = F.floor(F.datediff(F.col("_d"), first) / window_days).cast("int")
-    return dated.groupBy("topic", idx.alias("period_idx")).agg(F.count(F.lit(1)).alias("n"), F.sum("_neg").alias("neg"))
+    # In a projection of its own: a grouping key may not hold a subquery over fenced labels.
+    return dated.withColumn("period_idx", idx).groupBy("topic", "period_idx").agg(F.count(F.lit(1)).alias("n"), F.sum("_neg").alias("neg"))
 
 
 def bucket_periods(df: DataFrame, topic: str, day: str, negative: Column, window_days: int = 7) -> DataFrame:

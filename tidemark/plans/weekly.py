@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidemark.functions.rules import Pack
 from tidemark.operators import aggregates as agg, clustering, dedup, enrich, evaluation, filters, joins, retrieval, trends
 from tidemark.operators.dedup import dedup_prefix
+from tidemark.session import cut_lineage
 from tidemark.sources import sinks
 
 Packs = dict[str, Pack]
@@ -93,7 +94,8 @@ def full_run(posts: DataFrame, p: Packs, as_of: Column) -> tuple[DataFrame, Data
     """(insights, alerts, absences): near-duplicate removal ahead of the labels, then trend detection."""
     unique = dedup.deduplicate(posts)
     insights = enrich.light_enrich(with_lexicon_sentiment(unique, p), p)
-    periods = trends.period_counts(insights, "topic", "post_date", F.col("brand_sentiment").isin("Negative", "Complaint"))
+    # One row per topic and period: written once, every alert rule reads it.
+    periods = cut_lineage(trends.period_counts(insights, "topic", "post_date", F.col("brand_sentiment").isin("Negative", "Complaint")))
     return insights, trends.detect_trends(periods), trends.silent_topics(periods)
 
 
@@ -112,13 +114,13 @@ def ask(question: str, insights: DataFrame, p: Packs, as_of: Column, vectors: Da
     left to whatever model the caller uses.
     """
     lo = question.lower()
-    broad = next(r for r in p["question_intents"].rules if r.label == "broad")
-    if any(t in lo for t in broad.substr):
+    broad = [t for r in p["question_intents"].rules if r.label == "broad" for t in r.substr]
+    if any(t in lo for t in broad):
         sources = retrieval.stratified_topics(insights, personas=["Power Seller", "Collector", "Investor", "New Seller", "Casual Buyer"])
     else:
         q = insights.sparkSession.createDataFrame([(0, question)], "query_id long, query string")
         sources = retrieval.hybrid_search(insights, q, vectors, p, as_of)
-    periods = trends.period_counts(insights, "topic", "post_date", F.col("brand_sentiment").isin("Negative", "Complaint"))
+    periods = cut_lineage(trends.period_counts(insights, "topic", "post_date", F.col("brand_sentiment").isin("Negative", "Complaint")))
     words = lo.split()
     return AnswerContext(sources, agg.triangulation(sources), trends.relevant_alerts(trends.detect_trends(periods), words),
                          trends.relevant_absences(trends.silent_topics(periods), words))
