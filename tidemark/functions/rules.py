@@ -140,7 +140,7 @@ def _quote(term: str) -> str:
 
 
 def contains_word(text: Column, terms: Iterable[str]) -> Column:
-    return text.rlike(word_regex(terms))
+    return text.rlike("(?U)" + word_regex(terms))
 
 
 def matches(text: Column, pattern: str) -> Column:

@@ -100,11 +100,16 @@ def sql_regex(pattern: str, lo: str = "lo") -> str:
     return f"regexp_matches({lo}, {q('(?i)' + pattern)})"
 
 
+def sql_words(words, lo: str = "lo") -> str:
+    return f"regexp_matches({lo}, {q(_OPEN + '(?:' + '|'.join(words) + ')' + _CLOSE)})"
+
+
 def sql_rule(rule: Rule, lo: str = "lo", topics: str = "tp") -> str:
     pos = [f"coalesce({f}, FALSE)" for f in rule.flags]
     if rule.substr:
         pos.append(sql_any(lo, rule.substr))
-    pos += [f"regexp_matches({lo}, {q(chr(92) + 'b' + w + chr(92) + 'b')})" for w in rule.word]
+    if rule.word:
+        pos.append(sql_words(rule.word, lo))
     pos += [sql_regex(r, lo) for r in rule.regex]
     if rule.topics:
         pos.append(f"list_has_any({topics}, [{', '.join(q(t) for t in rule.topics)}])")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import rules
 from tidemark.operators import aggregates, enrich, retrieval
 from tidemark.queries.base import (AS_OF, INSIGHTS, LOW, P, POSTS, as_of, insights, lowered, posts, q, query, sql_any, sql_best, sql_first, sql_flags,
-                                   sql_labels, sql_pack, sql_sum, table)
+                                   sql_labels, sql_pack, sql_sum, sql_words, table)
 from tidemark.session import cut_lineage
 
 FLAGS = list(dict.fromkeys(r.label for r in P["signal_flags"].rules))
@@ -126,7 +126,7 @@ def _promote(spark, sf):
 
 
 _WORDS = P["subtag_words"].rules
-_WORD_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lo, '\\b({'|'.join(r.word)})\\b') THEN {q(r.label)} END" for r in _WORDS) + "], lambda x: x IS NOT NULL)"
+_WORD_SQL = "list_filter([" + ", ".join(f"CASE WHEN {sql_words(r.word)} THEN {q(r.label)} END" for r in _WORDS) + "], lambda x: x IS NOT NULL)"
 
 
 @query("subtag_labels", f"""WITH {LOW}, w AS (SELECT *, {_WORD_SQL} AS w FROM low), k AS (SELECT post_id, {sql_pack('friction_phrases')} AS fr, w, CASE WHEN {sql_pack('valuation_phrases')} THEN ['Valuation Question'] || list_filter(w, lambda x: x <> 'Grading Complaint') ELSE w END AS l FROM w)
@@ -225,7 +225,7 @@ def _workstream(spark, sf):
 def _topical_sql() -> str:
     full, kw = [], []
     for r in P["workstream_topical"].rules:
-        k = f"regexp_matches(wl, '\\b({'|'.join(r.word)})\\b')"
+        k = sql_words(r.word, "wl")
         ctx = sql_any("wl", r.all_of[0]) if r.all_of else "TRUE"
         other = " OR ".join([f for f in r.flags] + ([f"list_has_any(tp, [{', '.join(q(t) for t in r.topics)}])"] if r.topics else [])) or "FALSE"
         full.append(f"WHEN workstream = {q(r.label)} THEN CASE WHEN {k} THEN {ctx} ELSE ({other}) END")
