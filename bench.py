@@ -2,7 +2,7 @@
 
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 
-Each query runs once to warm up and three times for the median; results go to the no-op
+Each query runs once to warm up and twice for the median (``BENCH_RUNS``); results go to the no-op
 sink, so every row is computed and nothing is collected.
 """
 
@@ -30,7 +30,7 @@ HEADLINE = [
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     names = sys.argv[1:] or HEADLINE
     spark = build_session("bench", cpus)
     times: dict[str, float] = {}

@@ -191,7 +191,7 @@ def lead_sentence(c: Column, min_len: int = 15, max_len: int = 120) -> Column:
 
 
 def takeaway(c: Column, type_tag: Column, sentiment: Column) -> Column:
-    """Lead sentence behind a phrase chosen by type and sentiment."""
+    """Lead sentence behind a phrase chosen by type and sentiment.  Fixed values: the phrases."""
     core = F.concat(F.lit('*"'), lead_sentence(c), F.lit('"*'))
     dash = " — "
     return (

@@ -314,16 +314,24 @@ def overlap_penalty(members: DataFrame, cluster: list[str], id_col: str, text: C
             def encode(rows):
                 return [np.fromiter((vocab.setdefault(t, len(vocab)) for t in r), dtype=np.int64) for r in rows]
             lt, rt = encode(left["tok"]), encode(right["tok"])
-            def dense(rows):
-                m = np.zeros((len(rows), len(vocab)), dtype=np.float32)
+            mask = np.array([t in shared for t in vocab], dtype=np.float32)
+            inter = np.zeros((len(lt), len(rt)), dtype=np.float32)
+            both = np.zeros_like(inter)
+            # Word columns in slices, so memory does not follow the vocabulary.
+            width = 4096
+            def dense(rows, start):
+                m = np.zeros((len(rows), width), dtype=np.float32)
                 for i, r in enumerate(rows):
-                    m[i, r] = 1
+                    m[i, r[(r >= start) & (r < start + width)] - start] = 1
                 return m
-            lm, rm = dense(lt), dense(rt)
-            mask = np.array([t in shared for t in vocab], dtype=np.float32)
-            inter = lm @ rm.T
-            both = (lm * mask) @ rm.T
-            union = lm.sum(1)[:, None] + rm.sum(1)[None, :] - inter
+            for start in range(0, len(vocab), width):
+                lm, rm = dense(lt, start), dense(rt, start)
+                part = np.zeros(width, dtype=np.float32)
+                part[:len(mask[start:start + width])] = mask[start:start + width]
+                inter += lm @ rm.T
+                both += (lm * part) @ rm.T
+            sizes = lambda rows: np.array([len(r) for r in rows], dtype=np.float32)
+            union = sizes(lt)[:, None] + sizes(rt)[None, :] - inter
             jac = both / np.maximum(union, 1)
             total = float(np.triu(jac, 1).sum()) if same else float(jac.sum())
         out = pd.DataFrame({"_sum": [total]})
@@ -360,8 +368,8 @@ def split_incoherent(members: DataFrame, verdict: DataFrame, cluster: str, id_co
     tight = dbscan_cosine(loose, eps, 2, ["parent"])
     sizes = tight.groupBy("parent", "cluster").agg(F.count(F.lit(1)).alias("_n"))
     split = tight.join(sizes, ["parent", "cluster"]).select(
-        "id", F.col("parent").alias(cluster), F.when(F.col("_n") <= 2, F.col("id")).otherwise(F.col("cluster")).alias("sub"))
-    kept = members.join(bad, cluster, "left_anti").select(F.col(id_col).alias("id"), cluster, F.col(cluster).alias("sub"))
+        "id", F.col("parent").alias(cluster), F.when(F.col("_n") <= 2, F.col("id")).otherwise(F.col("cluster")).cast("string").alias("sub"))
+    kept = members.join(bad, cluster, "left_anti").select(F.col(id_col).alias("id"), cluster, F.col(cluster).cast("string").alias("sub"))
     return kept.unionByName(split)
 
 

@@ -292,7 +292,10 @@ def actionability(df_text: Column, lo: Column, p: Packs, urgent: Column, payment
 
 
 def context_reason(lo: Column, sentiment: Column, topic: Column, p: Packs) -> Column:
-    """First sentence that explains why a row matters; competitors come first and are named."""
+    """First sentence that explains why a row matters; competitors come first and are named.
+
+    Fixed values: the wording of the sentences.
+    """
     named = all_labels(lo, p["context_competitors"])
     dash = " — "
     comp = F.concat(F.lit("Mentions competitor ("), F.initcap(F.array_join(named, ", ")), F.lit(")" + dash + "potential competitive risk or win-back signal."))
@@ -374,6 +377,7 @@ def add_tags(tags: Column, pairs: list[tuple[Column, str]]) -> Column:
 def promote_flags(df: DataFrame) -> DataFrame:
     """Payment and liquidity flags add topics and sub-tags and fill opportunity, persona and sentiment.
 
+    Fixed values: the tag and label names.
     Expects the columns of ``payment_types`` and ``liquidity_types`` plus topic_focus,
     subtags, opportunity_tag, persona and brand_sentiment.
     """
