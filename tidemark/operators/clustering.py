@@ -310,28 +310,23 @@ def overlap_penalty(members: DataFrame, cluster: list[str], id_col: str, text: C
         right = pdf if same else pdf[pdf["_blk"] == pdf["_hi"]]
         total = 0.0
         if len(left) and len(right):
-            vocab: dict[str, int] = {}
-            def encode(rows):
-                return [np.fromiter((vocab.setdefault(t, len(vocab)) for t in r), dtype=np.int64) for r in rows]
-            lt, rt = encode(left["tok"]), encode(right["tok"])
-            mask = np.array([t in shared for t in vocab], dtype=np.float32)
-            inter = np.zeros((len(lt), len(rt)), dtype=np.float32)
-            both = np.zeros_like(inter)
-            # Word columns in slices, so memory does not follow the vocabulary.
-            width = 4096
-            def dense(rows, start):
-                m = np.zeros((len(rows), width), dtype=np.float32)
+            # Row lists per word; only words that occur on both sides add anything.
+            def rows_by_word(rows):
+                out: dict[str, list[int]] = {}
                 for i, r in enumerate(rows):
-                    m[i, r[(r >= start) & (r < start + width)] - start] = 1
-                return m
-            for start in range(0, len(vocab), width):
-                lm, rm = dense(lt, start), dense(rt, start)
-                part = np.zeros(width, dtype=np.float32)
-                part[:len(mask[start:start + width])] = mask[start:start + width]
-                inter += lm @ rm.T
-                both += (lm * part) @ rm.T
+                    for t in r:
+                        out.setdefault(t, []).append(i)
+                return out
+            lw, rw = rows_by_word(left["tok"]), rows_by_word(right["tok"])
+            inter = np.zeros((len(left), len(right)), dtype=np.float32)
+            both = np.zeros_like(inter)
+            for t in lw.keys() & rw.keys():
+                at = np.ix_(lw[t], rw[t])
+                inter[at] += 1
+                if t in shared:
+                    both[at] += 1
             sizes = lambda rows: np.array([len(r) for r in rows], dtype=np.float32)
-            union = sizes(lt)[:, None] + sizes(rt)[None, :] - inter
+            union = sizes(left["tok"])[:, None] + sizes(right["tok"])[None, :] - inter
             jac = both / np.maximum(union, 1)
             total = float(np.triu(jac, 1).sum()) if same else float(jac.sum())
         out = pd.DataFrame({"_sum": [total]})
