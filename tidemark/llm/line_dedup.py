@@ -157,7 +157,7 @@ def apply_changes(filter_rows: DataFrame, inserted: DataFrame, deleted: DataFram
     rebuild by ``filters``."""
     moves = inserted.select("key", F.lit(1).alias("way")).union(deleted.select("key", F.lit(-1).alias("way"))).select(_shard(F.col("key"), shards).alias("shard"), "key", "way")
 
-    def change(key, old: pd.DataFrame, move: pd.DataFrame) -> pd.DataFrame:
+    def change(key: tuple, old: pd.DataFrame, move: pd.DataFrame) -> pd.DataFrame:
         f = Cuckoo(int(old["buckets"].iloc[0]), np.frombuffer(old["cells"].iloc[0], np.uint16).reshape(-1, SLOTS).copy()) if len(old) else Cuckoo.sized(len(move))
         for h in _hash64(move["key"][move["way"] < 0]):
             f.delete(h)
