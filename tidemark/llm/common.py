@@ -113,3 +113,37 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "root")
         if new.where("root <> before").isEmpty():
             return labels
+
+
+# --- features of texts, labelled samples -------------------------------------------------------------------
+
+def with_numbers(docs: DataFrame, name: str, numbers_of, text_col: str = "text") -> DataFrame:
+    """``docs`` with an array of doubles per row: ``numbers_of()`` runs once per task and gives the function text -> list.
+    All other columns pass through as they are, whatever their types."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    at = docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
+
+    def add(batches):
+        f = numbers_of()
+        for batch in batches:
+            texts = batch.column(at)
+            made = pa.array([f(t.as_py() or "") for t in texts], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(add, schema)
+
+
+def held_out(doc_id: Column) -> Column:
+    """The fold that no model may learn from. A null id is not held out, and not learnt from either."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def labelled_sample(labels: DataFrame, mark: str, rows: int) -> DataFrame:
+    """(doc_id, mark) of at most ``rows`` labelled documents outside the held-out fold, in the order of a hash. Of labels
+    that disagree the largest holds; null labels and ids are left out. The result is small by its bound."""
+    own = labels.where(F.col("doc_id").isNotNull() & F.col(mark).isNotNull() & ~held_out(F.col("doc_id")))
+    own = own.groupBy("doc_id").agg(F.max(mark).cast("int").alias(mark))
+    return own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
