@@ -1,6 +1,6 @@
 """Toxicity: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-The lexicon is learnt from a bounded sample of labelled rows: for each word and each word beginning of 4 to 6 characters the
+The lexicon is learnt from a bounded sample of labelled rows: for each word and each word beginning of 4 to 8 characters the
 toxic and clean documents that hold it are counted in one aggregation, and its strength is the lower Wilson bound of the
 toxic share. The features of a sample row use the lexicon of the other half of the sample, so the trees see strengths as they
 come out on new texts. Three quarters of the sample grow the trees, one quarter fits the calibration.
@@ -24,12 +24,12 @@ from tidemark.llm.common import held_out, labelled_sample, table, with_numbers,
 
 #: Most labelled rows to learn from; most lexicon entries (the strongest); documents that an entry needs.
 SAMPLE_ROWS, LEXICON, MIN_DOCS = 20_000, 5_000, 3
-BEGINNINGS, NEAR, Z = (4, 5, 6), 5, 1.64
+BEGINNINGS, NEAR, Z = (4, 5, 6, 7, 8), 5, 1.64
 THRESHOLD = 0.7
 #: Second persons of four languages, and the signs that stand for letters.
 SECOND = frozenset("you your yours yourself u ur tu toi te ton ta tes vous votre vos du dich dir dein deine ihr euch euer usted ustedes ti tus vosotros".split())
 SIGNS = str.maketrans("013457@$!|", "oieastasil")
-NAMES = ["log_words", "strongest", "hit_rate", "strong_words", "second_rate", "second_near_hit", "capitals", "exclamations", "punctuation", "repeated_marks", "obfuscated", "decoded_hits", "elongated"]
+NAMES = ["log_words", "strongest", "hit_rate", "strong_words", "hit_words", "hit_mass", "second_rate", "second_near_hit", "capitals", "exclamations", "punctuation", "repeated_marks", "obfuscated", "decoded_hits", "elongated"]
 _WORD = re.compile(r"[^\W_]+")
 _MIXED = re.compile(r"[^\W\d_]+[0-9@$!|*._-]+[^\W\d_][\w@$!|*.-]*")
 _SPACED = re.compile(r"\b(?:[^\W\d_][ .-]){3,}[^\W\d_]\b")
@@ -80,7 +80,7 @@ def features_of(lexicon: dict[str, float]):
             decoded = [re.sub(r"[\W\d_]", "", m.translate(SIGNS)) for m in mixed] + [re.sub(r"\W", "", m.group()) for m in _SPACED.finditer(low)]
             found = max((hit(w) for w in decoded if w), default=0.0)
             caps = sum(map(str.isupper, text)) / max(1, len(text))
-            return [math.log1p(len(words)), best, len(at) / n, float(len({words[k] for k in at if hits[k] >= 0.8})), len(second) / n, float(near), caps,
+            return [math.log1p(len(words)), best, len(at) / n, float(len({words[k] for k in at if hits[k] >= 0.8})), float(len({words[k] for k in at})), sum(hits[k] for k in at) / math.sqrt(n), len(second) / n, float(near), caps,
                     text.count("!") / n, len(_PUNCT.findall(text)) / n, len(_MARKS.findall(text)) / n, len(mixed) / n, found, sum(1 for _ in _LONG.finditer(low)) / n]
 
         return features
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
     grow = x.where("not calibrate")
     if grow.select("mark").distinct().count() < 2:
         grow = x
-    trees = GBTClassifier(featuresCol="v", labelCol="mark", maxIter=20, maxDepth=3, stepSize=0.3, seed=7).fit(grow)
+    trees = GBTClassifier(featuresCol="v", labelCol="mark", maxIter=20, maxDepth=4, stepSize=0.3, seed=7).fit(grow)
     held = x.where("calibrate") if not x.where("calibrate and mark = 1").isEmpty() else x
     raw = trees.transform(held).select("mark", vector_to_array("probability")[1].alias("p"))
     return both, trees, IsotonicRegression(featuresCol="p", labelCol="mark", predictionCol="score").fit(raw)
