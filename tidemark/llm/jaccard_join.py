@@ -131,7 +131,13 @@ def link_table(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD
     nodes = members.where(F.col("keys").isNotNull())
     leaf = nodes.select("node", F.posexplode("keys").alias("tree", "key"))
     branch = leaf.groupBy("tree", "key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
-    edges = leaf.join(branch.select("tree", "key", "first"), ["tree", "key"]).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    shared = written(leaf.join(branch.select("tree", "key", "first"), ["tree", "key"]))
+    # one edge per node, to its smallest branch head; then only the heads that share a branch need edges among themselves
+    own = written(shared.groupBy("node").agg(F.min("first").alias("head")))
+    headed = shared.join(own, "node").groupBy("tree", "key", "head").agg(F.count(F.lit(1)).alias("n"))
+    heads = headed.groupBy("tree", "key").agg(F.min("head").alias("low"), F.max("head").alias("high")).where("low < high")
+    between = headed.join(heads, ["tree", "key"]).select(F.col("head").alias("a"), F.col("low").alias("b")).distinct()
+    edges = own.select(F.col("node").alias("a"), F.col("head").alias("b")).union(between).where("a <> b")
     group = written(components(edges))
     of = written(group.groupBy(F.col("root")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_blocks")))
     block = F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")
