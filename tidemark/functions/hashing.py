@@ -16,8 +16,9 @@ def fingerprint(text: Column) -> Column:
     return F.md5(F.lower(F.coalesce(text, F.lit(""))))
 
 
-def cache_key(text: Column, n: int = 500) -> Column:
-    return F.md5(F.substring(F.coalesce(text, F.lit("")), 1, n))
+def cache_key(text: Column) -> Column:
+    """Labels are shared by equal texts only: the whole text counts."""
+    return F.md5(F.coalesce(text, F.lit("")))
 
 
 def trimmed_md5(text: Column) -> Column:

@@ -274,6 +274,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, group: list[str] |
         if mark == last:
             break
         last = mark
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds: raise max_rounds")
     labels = cur.groupBy(*g, F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return nodes.join(labels, [*g, "node"], "left").withColumn("component", F.coalesce("component", "node"))
 

@@ -14,17 +14,20 @@ from tidemark.session import cut_lineage
 # Thresholds and key lengths of the duplicate rules.
 NEAR_THRESHOLD = 5
 BANDS = 4
-PREFIX = 150
 
 
-def prefix_key(text: Column, n: int = PREFIX, fold: bool = True) -> Column:
+def prefix_key(text: Column, n: int | None = None, fold: bool = True) -> Column:
+    """The digest of the whole text, or its first ``n`` characters where the caller asks for a prefix."""
     t = F.coalesce(text, F.lit(""))
-    return F.trim(F.lower(F.substring(F.trim(t), 1, n))) if fold else F.substring(t, 1, n)
+    t = F.trim(t) if fold else t
+    t = t if n is None else F.substring(t, 1, n)
+    t = F.trim(F.lower(t)) if fold else t
+    return F.md5(t) if n is None else t
 
 
-def dedup_prefix(df: DataFrame, n: int = PREFIX, fold: bool = True, keep: str = "best",
+def dedup_prefix(df: DataFrame, n: int | None = None, fold: bool = True, keep: str = "best",
                  text: str = "text", score: str = "score", pos: str = "pos") -> DataFrame:
-    """One row per text prefix: the best scored or the first.  Empty texts are dropped when folding."""
+    """One row per text (or text prefix of ``n`` characters): the best scored or the first.  Empty texts are dropped when folding."""
     key = prefix_key(F.col(text), n, fold)
     if fold:
         df = df.where(F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0)
@@ -45,7 +48,7 @@ def dedup_by_key(df: DataFrame, key: Column, pos: str = "pos", keep_empty: bool
 
 def dedup_text_or_url(df: DataFrame, text: str = "text", url: str = "url", pos: str = "pos") -> DataFrame:
     """Two passes, first by text key then by url; rows without a key pass that stage."""
-    once = dedup_by_key(df, F.trim(F.lower(F.substring(F.coalesce(F.col(text), F.lit("")), 1, 150))), pos, keep_empty=True)
+    once = dedup_by_key(df, F.trim(F.lower(F.coalesce(F.col(text), F.lit("")))), pos, keep_empty=True)
     return dedup_by_key(once, F.col(url), pos, keep_empty=True)
 
 
@@ -159,9 +162,9 @@ def near_dup_simhash(df: DataFrame, threshold: int = NEAR_THRESHOLD, bands: int
     return df.join(kept, F.col(pos) == F.col("_p"), "left_semi")
 
 
-def deduplicate(df: DataFrame, threshold: int = NEAR_THRESHOLD, prefix_chars: int = PREFIX, bands: int = BANDS,
+def deduplicate(df: DataFrame, threshold: int = NEAR_THRESHOLD, prefix_chars: int | None = None, bands: int = BANDS,
                 text: str = "text", score: str = "score", pos: str = "pos") -> DataFrame:
-    """Prefix pass, then SimHash pass."""
+    """Equal texts, then SimHash; ``prefix_chars`` narrows the first pass to prefixes."""
     exact = dedup_prefix(df, prefix_chars, True, "best", text, score, pos)
     return near_dup_simhash(exact, threshold, bands, text, score, pos)
 

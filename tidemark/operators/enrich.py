@@ -435,7 +435,6 @@ def enrich_posts(df: DataFrame, p: Packs, as_of: Column, normalize: bool = True)
         "fingerprint": fingerprint(F.col("text")),
         "logged_at": as_of.cast("timestamp"),
         "post_date": F.coalesce("post_date", as_of),
-        "text": F.substring("text", 1, 2000),
     }))
     return out.drop("_lo", "_pain")
 

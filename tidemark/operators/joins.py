@@ -110,7 +110,7 @@ def quote_select(members: DataFrame, cluster: str, keywords: Column | None = Non
     """Up to three quotes per cluster: on-topic complaints, then on-topic rows, else broadly topical rows.
 
     Expects ``is_keyword_topical`` and ``is_topical``.  Uniqueness by fingerprint, by the
-    first 200 characters and by the snippet's first 150 - each one top-1 per (cluster, key).
+    whole text and by the snippet - each one top-1 per (cluster, key).
     """
     from tidemark.operators.ordering import top_n_per_group
 
@@ -122,8 +122,7 @@ def quote_select(members: DataFrame, cluster: str, keywords: Column | None = Non
     has_kw = members.where("is_keyword_topical").select(cluster).distinct().withColumn("_kw", F.lit(True))
     rows = rows.join(has_kw, cluster, "left").where((F.col("_tier") < 2) | F.col("_kw").isNull())
     order = [F.asc("_tier"), F.desc(score), F.asc(pos)]
-    for key in (F.coalesce("fingerprint", F.substring("text", 1, 50)), F.lower(F.trim(F.substring("text", 1, 200))),
-                F.lower(F.trim(F.substring("snippet", 1, 150)))):
+    for key in (F.coalesce("fingerprint", F.md5("text")), F.md5(F.lower(F.trim("text"))), F.lower(F.trim("snippet"))):
         rows = top_n_per_group(rows, [F.col(cluster), key], order, 1)
     return top_n_per_group(rows, cluster, order, n, "rank").drop("_tier", "_kw")
 

@@ -82,10 +82,12 @@ def dense_position(df: DataFrame, pos: str, out: str = "_pos", buckets: int | No
     buckets = buckets or max(2, df.sparkSession.sparkContext.defaultParallelism * 2)
     cuts = df.stat.approxQuantile(pos, [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))
     cuts = sorted(set(cuts))
-    bucket = F.lit(0)
-    for c in cuts:
-        bucket = bucket + (F.col(pos) > c).cast("int")
-    with_b = df.withColumn("_b", bucket)
+    # a binary search over the cuts: the plan stays shallow for any number of them
+    from pyspark.ml.feature import Bucketizer
+
+    splits = [float("-inf"), *cuts, float("inf")]
+    key = df.withColumn("_key", F.col(pos).cast("double"))
+    with_b = Bucketizer(splits=splits, inputCol="_key", outputCol="_b", handleInvalid="keep").transform(key).withColumn("_b", F.col("_b").cast("int")).drop("_key") if cuts else df.withColumn("_b", F.lit(0))
     sizes = with_b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     # At most `buckets` rows, so the unpartitioned window is of fixed size.
     shift = sizes.withColumn(

@@ -36,13 +36,13 @@ class WeeklyTables:
 
 def weekly_run(spark: SparkSession, posts: DataFrame, p: Packs, as_of: Column, out: str, previous: DataFrame | None = None,
                comment_source: str = "YouTube (comment)", normalize: bool = True) -> WeeklyTables:
-    """Relevance routing, enrichment, prefix de-duplication, snapshot, deltas, themes.
+    """Relevance routing, enrichment, de-duplication of equal texts, snapshot, deltas, themes.
 
     ``previous`` is the snapshot table of the run before.  Everything is written below ``out``.
     """
     relevant = filters.route_relevant(posts, p, comment_source)
     labelled = enrich.enrich_posts(relevant, p, as_of, normalize)
-    dedup_prefix(labelled, 100, fold=False, keep="first").write.mode("errorifexists").parquet(f"{out}/insights")
+    dedup_prefix(labelled, fold=False, keep="first").write.mode("errorifexists").parquet(f"{out}/insights")
     insights = spark.read.parquet(f"{out}/insights")
 
     agg.run_snapshot(insights, SIGNAL_FLAGS, ENTITY_TOPICS).write.mode("errorifexists").parquet(f"{out}/snapshot")
@@ -79,7 +79,7 @@ def light_run(posts: DataFrame, p: Packs, as_of: Column) -> DataFrame:
 
     ``posts`` carries model_sentiment and model_confidence (see ``with_lexicon_sentiment``).
     """
-    return enrich.light_enrich(dedup_prefix(posts, 200, fold=True, keep="first"), p)
+    return enrich.light_enrich(dedup_prefix(posts, fold=True, keep="first"), p)
 
 
 def with_lexicon_sentiment(posts: DataFrame, p: Packs) -> DataFrame:

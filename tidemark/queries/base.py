@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.rules import Pack, Rule, fenced, load_packs
 from tidemark.operators import enrich
-from tidemark.session import spread
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,7 +44,7 @@ def as_of() -> Column:
 
 def posts(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as posts, with the engagement fields derived from the id."""
-    d = spread(table(spark, sf, "documents"))
+    d = table(spark, sf, "documents")
     i = F.col("doc_id")
     return d.select(
         i.alias("post_id"), i.alias("pos"), "text", F.substring("text", 1, 40).alias("title"), "source", F.col("lang").alias("subreddit"),
@@ -168,7 +167,7 @@ _SENT = (f"CASE WHEN {sql_sum('negative_words')} > {sql_sum('positive_words')} T
 _SEV = "CASE " + " ".join(f"WHEN {sql_any('tlo', r.substr)} THEN {r.label}" for r in P["severity"].rules if r.substr) + " ELSE 30 END"
 
 INSIGHTS = f"""{POSTS},
-i0 AS (SELECT *, lower(title || ' ' || text) AS lo, lower(substr(text, 1, 2000)) AS tlo FROM posts WHERE length(title || ' ' || text) >= 30),
+i0 AS (SELECT *, lower(title || ' ' || text) AS lo, lower(text) AS tlo FROM posts WHERE length(title || ' ' || text) >= 30),
 i1 AS (SELECT *, {sql_flags('signal_flags')}, {sql_pack('pain')} AS pain, {sql_pack('urgent_words')} AS is_urgent FROM i0),
 i2 AS (SELECT *, {sql_first('subtags', 'General')} AS topic, {_TYPE} AS type_tag, {_SENT} AS brand_sentiment, {sql_first('personas', 'General')} AS persona,
   CASE WHEN length(text) > 200 AND {sql_pack('specific_words')} THEN 'High' WHEN length(text) > 100 THEN 'Medium' ELSE 'Low' END AS clarity,

@@ -19,7 +19,7 @@ def _flags(spark, sf):
 
 
 @query("enrich_posts", f"""WITH {INSIGHTS} SELECT post_id, topic, type_tag, brand_sentiment, persona, clarity, is_urgent, round(signal_strength, 6) AS signal_strength, is_churn_signal, has_payment,
-topic IN ('Things') AS is_subsidiary, CASE WHEN topic IN ('Things', 'Rivals') THEN topic ELSE '' END AS entity_name, md5(lower(text)) AS fp, length(substr(text, 1, 2000)) AS kept FROM insights""")
+topic IN ('Things') AS is_subsidiary, CASE WHEN topic IN ('Things', 'Rivals') THEN topic ELSE '' END AS entity_name, md5(lower(text)) AS fp, length(text) AS kept FROM insights""")
 def _enrich(spark, sf):
     d = enrich.enrich_posts(posts(spark, sf), P, as_of(), normalize=False)
     return d.select("post_id", "topic", "type_tag", "brand_sentiment", "persona", "clarity", "is_urgent", F.round("signal_strength", 6).alias("signal_strength"), "is_churn_signal", "has_payment",
@@ -205,7 +205,7 @@ def _query_enrich(spark, sf):
     return d.select("post_id", F.col("brand_sentiment").alias("mood"), F.col("type_tag").alias("kind"), "topic", "persona", F.col("journey_stage").alias("journey"), F.col("signal_strength").alias("strength"), F.col("relevance_score").alias("relevance"))
 
 
-WORKSTREAM = f"""ws0 AS (SELECT *, list_transform(CASE WHEN len(t0) = 0 THEN ['General'] ELSE t0 END || CASE WHEN is_churn_signal THEN ['Competitive Churn'] ELSE [] END, lambda x: lower(x)) AS tp, lower(title || ' ' || substr(text, 1, 2000)) AS wl
+WORKSTREAM = f"""ws0 AS (SELECT *, list_transform(CASE WHEN len(t0) = 0 THEN ['General'] ELSE t0 END || CASE WHEN is_churn_signal THEN ['Competitive Churn'] ELSE [] END, lambda x: lower(x)) AS tp, lower(title || ' ' || text) AS wl
 FROM (SELECT *, {sql_labels('flag_topics')} AS t0 FROM insights)), ws1 AS (SELECT *, {sql_flags('workstream_flags', 'wl')} FROM ws0), ws AS (SELECT *, coalesce({sql_first('workstreams', None, 'wl')}, {sql_first('workstream_topics', None, 'lower(topic)')}, 'General Platform Feedback') AS workstream FROM ws1)"""
 
 
@@ -276,7 +276,7 @@ def _release(spark, sf):
 
 
 @query("actionability", f"""WITH {INSIGHTS}, a AS (SELECT post_id, CASE WHEN is_urgent THEN 3 ELSE 0 END + CASE WHEN has_payment OR has_refund THEN 2 ELSE 0 END + CASE WHEN has_vault OR has_authenticity THEN 2 ELSE 0 END + CASE WHEN brand_sentiment = 'Negative' AND type_tag = 'Complaint' THEN 2 ELSE 0 END
-+ CASE WHEN type_tag = 'Feature Request' THEN 1 ELSE 0 END + CASE WHEN has_high_value THEN 1 ELSE 0 END + CASE WHEN length(substr(text, 1, 2000)) > 200 THEN 1 ELSE 0 END + CASE WHEN {sql_pack('leaving_words', 'tlo')} THEN 3 ELSE 0 END AS n FROM insights)
++ CASE WHEN type_tag = 'Feature Request' THEN 1 ELSE 0 END + CASE WHEN has_high_value THEN 1 ELSE 0 END + CASE WHEN length(text) > 200 THEN 1 ELSE 0 END + CASE WHEN {sql_pack('leaving_words', 'tlo')} THEN 3 ELSE 0 END AS n FROM insights)
 SELECT post_id, CASE WHEN n >= 5 THEN 'High' WHEN n >= 3 THEN 'Medium' ELSE 'Low' END AS level FROM a""")
 def _action_level(spark, sf):
     c = F.col

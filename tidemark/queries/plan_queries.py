@@ -11,7 +11,7 @@ from tidemark.queries.text_queries import ROUTE_SQL
 from tidemark.session import cut_lineage, scratch_path
 
 
-@query("weekly_run", f"WITH {POSTS}, {ROUTE_SQL} SELECT (SELECT count(*) FROM posts) AS total_posts_loaded, count(*) AS total_relevant, count(DISTINCT substr(text, 1, 100)) FILTER (WHERE length(title || ' ' || text) >= 30) AS total_insights FROM routed WHERE route IS NOT NULL")
+@query("weekly_run", f"WITH {POSTS}, {ROUTE_SQL} SELECT (SELECT count(*) FROM posts) AS total_posts_loaded, count(*) AS total_relevant, count(DISTINCT text) FILTER (WHERE length(title || ' ' || text) >= 30) AS total_insights FROM routed WHERE route IS NOT NULL")
 def _weekly(spark, sf):
     return weekly.weekly_run(spark, posts(spark, sf), P, as_of(), scratch_path(spark, "weekly"), comment_source="src0", normalize=False).counts
 

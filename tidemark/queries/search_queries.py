@@ -9,7 +9,7 @@ from tidemark.operators import clustering as cl, retrieval as rt
 from tidemark.queries.base import AS_OF, INSIGHTS, P, POSTS, as_of, insights, posts, q, query, sql_any, sql_labels, sql_pack, table
 from tidemark.queries.label_queries import WORKSTREAM, with_workstream
 from tidemark.queries.text_queries import TOK_BM25
-from tidemark.session import cut_lineage, spread
+from tidemark.session import cut_lineage
 
 R6 = lambda c: F.round(c, 6)
 _words = lambda name: [t for r in P[name].rules for t in r.substr]
@@ -27,7 +27,7 @@ _RANKED = "bk AS (SELECT * FROM (SELECT query_id, doc_id, bm25, row_number() OVE
 
 
 def _docs(spark, sf):
-    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return table(spark, sf, "documents").select("doc_id", "text")
 
 
 @query("bm25_scores", f"WITH {BM25} SELECT query_id, count(*) AS n, round(sum(bm25), 5) AS total FROM bm GROUP BY 1")
@@ -121,7 +121,7 @@ def _boost_sql(query: str = "qlo") -> str:
     return "(" + " + ".join(parts) + ")::DOUBLE"
 
 
-_BASE = f"bi AS (SELECT *, len({sql_labels('competitors', 'tlo')}) AS n_comp, lower(substr(text, 1, 2000) || ' ' || title) AS blo FROM insights)"
+_BASE = f"bi AS (SELECT *, len({sql_labels('competitors', 'tlo')}) AS n_comp, lower(text || ' ' || title) AS blo FROM insights)"
 
 
 def _search_docs(spark, sf):
@@ -144,7 +144,7 @@ def _hybrid(spark, sf):
     return out.select("query_id", "doc_id", "source", R6(F.col("retrieval_score")).alias("retrieval_score"), "rank")
 
 
-_LEX_TEXT = "title || ' ' || substr(text, 1, 2000) || ' ' || source || ' ' || topic || ' ' || persona || ' ' || array_to_string(mc, ' ')"
+_LEX_TEXT = "title || ' ' || text || ' ' || source || ' ' || topic || ' ' || persona || ' ' || array_to_string(mc, ' ')"
 
 
 @query("hybrid_search_lexical", f"""WITH {INSIGHTS}, {_BASE}, dx AS (SELECT *, {_LEX_TEXT} AS full_text FROM (SELECT *, list_sort({sql_labels('competitors', 'tlo')}) AS mc FROM bi)), qs AS (SELECT item_id AS query_id, text AS query, lower(text) AS qlo FROM benchmark),
@@ -186,7 +186,7 @@ def _legacy_sql() -> str:
     parts.append("CASE WHEN score = 0 AND length(lo) < 100 THEN -3 ELSE 0 END")
     if has("competitive_question"):
         parts += [pts(sql_any("source", _words("news_sources")), 4), pts(sql_any("lo", _words("breaking_terms")), 6)]
-    return f"""WITH {INSIGHTS}, a AS (SELECT post_id, pos, source, score, signal_strength, topic, CASE WHEN topic IN ('Things', 'Rivals') THEN topic ELSE '' END AS entity_name, lower(substr(text, 1, 2000) || ' ' || title) AS lo FROM insights),
+    return f"""WITH {INSIGHTS}, a AS (SELECT post_id, pos, source, score, signal_strength, topic, CASE WHEN topic IN ('Things', 'Rivals') THEN topic ELSE '' END AS entity_name, lower(text || ' ' || title) AS lo FROM insights),
 s AS (SELECT *, {' + '.join(parts)} AS rel FROM a), k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rel DESC, pos) AS rs FROM s WHERE rel > 0 AND NOT {sql_pack('promotional')})
 SELECT post_id, rel AS relevance, row_number() OVER (ORDER BY rel DESC, pos) AS rank FROM k WHERE rs <= 4 ORDER BY rel DESC, pos LIMIT 25"""
 
@@ -255,7 +255,7 @@ def _coherence(spark, sf):
 
 
 def _docs_src(spark, sf):
-    return spread(table(spark, sf, "documents").select("doc_id", "text", "source"))
+    return table(spark, sf, "documents").select("doc_id", "text", "source")
 
 
 @query("mean_pairwise_jaccard", f"WITH {_coh_sql(20, 50, STOP_QUALITY, '')} SELECT source, round(m, 6) AS token_coherence FROM mj")

@@ -26,19 +26,19 @@ def _cache(spark, sf):
                         F.array(F.lit("zz"), F.lit("thing")).alias("competitors"), F.array(F.lit("p")).alias("products"), F.array().cast("array<string>").alias("grading_services"))
 
 
-CACHE = "cache AS (SELECT md5(substr(text, 1, 500)) AS cache_key, min(doc_id) AS cid FROM documents WHERE doc_id % 3 = 0 GROUP BY 1)"
+CACHE = "cache AS (SELECT md5(text) AS cache_key, min(doc_id) AS cid FROM documents WHERE doc_id % 3 = 0 GROUP BY 1)"
 
 
 @query("apply_cached_labels", f"""WITH {INSIGHTS}, {CACHE}, m AS (SELECT *, list_sort({sql_labels('competitors', 'tlo')}) AS mc FROM insights)
 SELECT post_id, CASE WHEN cid % 2 = 0 THEN 'Complaint' ELSE type_tag END AS type_tag, CASE WHEN cid % 5 = 0 THEN 'Positive' ELSE brand_sentiment END AS brand_sentiment, CASE WHEN cid % 4 = 0 THEN 'Cached Topic' ELSE topic END AS topic,
-cid IS NOT NULL AS is_cached, array_to_string(CASE WHEN cid IS NULL THEN mc ELSE list_sort(list_distinct(mc || ['zz', 'thing'])) END, ',') AS competitors FROM m LEFT JOIN cache ON cache.cache_key = md5(substr(m.text, 1, 500))""")
+cid IS NOT NULL AS is_cached, array_to_string(CASE WHEN cid IS NULL THEN mc ELSE list_sort(list_distinct(mc || ['zz', 'thing'])) END, ',') AS competitors FROM m LEFT JOIN cache ON cache.cache_key = md5(m.text)""")
 def _apply(spark, sf):
     rows = joins.with_cache_key(insights(spark, sf).withColumn("mentions_competitor", enrich.mentions(F.lower("text"), P)["mentions_competitor"]))
     out = joins.apply_cached_labels(rows, _cache(spark, sf))
     return out.select("post_id", "type_tag", "brand_sentiment", "topic", "is_cached", F.array_join("mentions_competitor", ",").alias("competitors"))
 
 
-@query("pending_enrichment", f"WITH {CACHE} SELECT doc_id FROM documents WHERE md5(substr(text, 1, 500)) NOT IN (SELECT cache_key FROM cache)")
+@query("pending_enrichment", f"WITH {CACHE} SELECT doc_id FROM documents WHERE md5(text) NOT IN (SELECT cache_key FROM cache)")
 def _pending(spark, sf):
     rows = joins.with_cache_key(table(spark, sf, "documents").select("doc_id", "text"))
     return joins.pending_enrichment(rows, _cache(spark, sf)).select("doc_id")
@@ -146,7 +146,7 @@ def _snapshot(spark, sf):
 @query("cluster_stats", f"""WITH {INSIGHTS} SELECT topic, count(*) AS size, count(*) FILTER (WHERE brand_sentiment IN ('Complaint', 'Negative')) AS complaints,
 count(*) FILTER (WHERE type_tag = 'Feature Request' OR contains(l, 'feature') OR contains(l, 'wish') OR contains(l, 'should')) AS feature_requests, count(*) FILTER (WHERE brand_sentiment IN ('Complaint', 'Negative')) AS negative,
 count(*) FILTER (WHERE brand_sentiment IN ('Praise', 'Positive')) AS positive, count(*) FILTER (WHERE has_payment) AS payments_flags, count(*) FILTER (WHERE has_unpaid) AS unpaid_flags, count(*) FILTER (WHERE has_high_value) AS high_value_flags, round(avg(score), 6) AS avg_score
-FROM (SELECT *, lower(substr(text, 1, 2000) || title) AS l FROM insights) GROUP BY 1""")
+FROM (SELECT *, lower(text || title) AS l FROM insights) GROUP BY 1""")
 def _cluster_stats(spark, sf):
     return agg.cluster_stats(insights(spark, sf), "topic", F.concat("text", "title")).withColumn("avg_score", R6(F.col("avg_score")))
 
@@ -489,7 +489,7 @@ def _overlap(spark, sf):
 
 # --- de-duplication ---------------------------------------------------------------------------------
 
-_FOLD = "trim(lower(substr(trim(text), 1, 150)))"
+_FOLD = "trim(lower(trim(text)))"
 
 
 @query("dedup_prefix", f"WITH {POSTS} SELECT post_id FROM (SELECT *, row_number() OVER (PARTITION BY {_FOLD} ORDER BY score DESC, pos) AS rn FROM posts WHERE length(trim(text)) > 0) WHERE rn = 1")
@@ -502,7 +502,7 @@ def _prefix_exact(spark, sf):
     return dedup.dedup_prefix(posts(spark, sf), 100, fold=False, keep="first").select("post_id")
 
 
-@query("dedup_text_or_url", f"""WITH {POSTS}, a AS (SELECT *, row_number() OVER (PARTITION BY trim(lower(substr(text, 1, 150))) ORDER BY pos) AS rn FROM posts), b AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY pos) AS r2 FROM a WHERE rn = 1) SELECT post_id FROM b WHERE r2 = 1""")
+@query("dedup_text_or_url", f"""WITH {POSTS}, a AS (SELECT *, row_number() OVER (PARTITION BY trim(lower(text)) ORDER BY pos) AS rn FROM posts), b AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY pos) AS r2 FROM a WHERE rn = 1) SELECT post_id FROM b WHERE r2 = 1""")
 def _text_url(spark, sf):
     return dedup.dedup_text_or_url(posts(spark, sf)).select("post_id")
 
@@ -527,9 +527,8 @@ AND ((a.simhash & 65535) = (b.simhash & 65535) OR ((a.simhash >> 16) & 65535) =
 
 @query("lsh_candidates", f"WITH {SIMHASH_SQL}, {_PAIRS} SELECT a, b, CAST(distance AS INTEGER) AS distance FROM pr")
 def _lsh(spark, sf):
-    from tidemark.session import spread
 
-    return dedup.near_pairs(dedup.with_simhash(spread(table(spark, sf, "documents"))))
+    return dedup.near_pairs(dedup.with_simhash(table(spark, sf, "documents")))
 
 
 _NEAR = f"""{SIMHASH_SQL}, {_PAIRS}, b0 AS (SELECT p.*, s.simhash, row_number() OVER (PARTITION BY s.simhash ORDER BY p.score DESC, p.pos) AS rn FROM ex p JOIN sim s ON s.doc_id = p.post_id), b1 AS (SELECT * FROM b0 WHERE rn = 1),
@@ -556,15 +555,15 @@ def _stats(spark, sf):
     return dedup.dedup_stats(p, exact, dedup.near_dup_simhash(exact))
 
 
-_SNIP = "substr(substr(text, 1, 2000), 1, 220)"
+_SNIP = "substr(text, 1, 220)"
 
 
 def _quote_sql() -> str:
     order = "tier, score DESC, pos"
-    return f"""WITH {INSIGHTS}, {WORKSTREAM}, {TOPICAL}, m AS (SELECT *, max(CASE WHEN is_keyword_topical THEN 1 ELSE 0 END) OVER (PARTITION BY workstream) AS kw, substr(text, 1, 2000) AS tx, md5(lower(text)) AS fp,
+    return f"""WITH {INSIGHTS}, {WORKSTREAM}, {TOPICAL}, m AS (SELECT *, max(CASE WHEN is_keyword_topical THEN 1 ELSE 0 END) OVER (PARTITION BY workstream) AS kw, text AS tx, md5(lower(text)) AS fp,
 CASE WHEN is_keyword_topical AND brand_sentiment IN ('Complaint', 'Negative') THEN 0 WHEN is_keyword_topical THEN 1 WHEN is_topical THEN 2 END AS tier FROM topical),
 q0 AS (SELECT * FROM m WHERE tier IS NOT NULL AND length(tx) >= 40 AND (tier < 2 OR kw = 0)), q1 AS (SELECT *, row_number() OVER (PARTITION BY workstream, fp ORDER BY {order}) AS r1 FROM q0),
-q2 AS (SELECT *, row_number() OVER (PARTITION BY workstream, lower(trim(substr(tx, 1, 200))) ORDER BY {order}) AS r2 FROM q1 WHERE r1 = 1), q3 AS (SELECT *, row_number() OVER (PARTITION BY workstream, lower(trim(substr(tx, 1, 150))) ORDER BY {order}) AS r3 FROM q2 WHERE r2 = 1)
+q2 AS (SELECT *, row_number() OVER (PARTITION BY workstream, lower(trim(tx)) ORDER BY {order}) AS r2 FROM q1 WHERE r1 = 1), q3 AS (SELECT *, row_number() OVER (PARTITION BY workstream, lower(trim(substr(tx, 1, 220))) ORDER BY {order}) AS r3 FROM q2 WHERE r2 = 1)
 SELECT workstream, rank, post_id FROM (SELECT *, row_number() OVER (PARTITION BY workstream ORDER BY {order}) AS rank FROM q3 WHERE r3 = 1) WHERE rank <= 3"""
 
 
@@ -590,7 +589,7 @@ def _samples(spark, sf):
     return joins.best_samples(d, "workstream").select("workstream", "rank", "post_id")
 
 
-@query("weekly_sources", f"""WITH {POSTS}, r AS (SELECT *, {'lower(text)'} AS lo FROM posts), k AS (SELECT * FROM r WHERE {sql_pack('signal_keywords')}), d AS (SELECT *, row_number() OVER (PARTITION BY trim(lower(substr(trim(text), 1, 150))) ORDER BY score DESC, pos) AS rn FROM k)
+@query("weekly_sources", f"""WITH {POSTS}, r AS (SELECT *, {'lower(text)'} AS lo FROM posts), k AS (SELECT * FROM r WHERE {sql_pack('signal_keywords')}), d AS (SELECT *, row_number() OVER (PARTITION BY trim(lower(trim(text))) ORDER BY score DESC, pos) AS rn FROM k)
 SELECT source, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6)::DOUBLE AS pct FROM d WHERE rn = 1 GROUP BY 1""")
 def _weekly_sources(spark, sf):
     """Flagship: how many distinct posts with a signal word each source carries."""

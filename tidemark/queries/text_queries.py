@@ -8,7 +8,6 @@ from tidemark.functions import dates, hashing, rules, text
 from tidemark.operators import enrich, filters
 from tidemark.queries.base import (AS_OF, INSIGHTS, LOW, P, POSTS, as_of, insights, lowered, posts, q, query, sql_any, sql_best, sql_first, sql_labels,
                                    sql_pack, sql_regex, sql_sum, table)
-from tidemark.session import spread
 
 STOP = lambda words: "[" + ", ".join(q(w) for w in words) + "]"
 
@@ -30,7 +29,7 @@ def _clean(spark, sf):
 
 @query("normalize_text")
 def _normalize(spark, sf):
-    return spread(table(spark, sf, "documents")).select("doc_id", text.normalize_text(F.col("text")).alias("normalized"))
+    return table(spark, sf, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("normalized"))
 
 
 def _decode(col: str) -> str:
@@ -47,19 +46,19 @@ def _strip(spark, sf):
 
 @query("tokens_bm25", f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {TOK_BM25} AS t FROM documents)")
 def _tok_bm25(spark, sf):
-    d = spread(table(spark, sf, "documents")).select("doc_id", text.tokens_retrieval(F.col("text")).alias("t"))
+    d = table(spark, sf, "documents").select("doc_id", text.tokens_retrieval(F.col("text")).alias("t"))
     return d.select("doc_id", F.size("t").cast("bigint").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
 @query("tokens_dedup", f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {TOK_DEDUP} AS t FROM documents)")
 def _tok_dedup(spark, sf):
-    d = spread(table(spark, sf, "documents")).select("doc_id", text.tokens_dedup(F.col("text")).alias("t"))
+    d = table(spark, sf, "documents").select("doc_id", text.tokens_dedup(F.col("text")).alias("t"))
     return d.select("doc_id", F.size("t").cast("bigint").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
 @query("tokens_informative", f"SELECT doc_id, CAST(len(list_distinct({TOK_INFO})) AS BIGINT) AS n FROM documents")
 def _tok_info(spark, sf):
-    return spread(table(spark, sf, "documents")).select("doc_id", F.size(text.tokens_informative(F.col("text"))).cast("bigint").alias("n"))
+    return table(spark, sf, "documents").select("doc_id", F.size(text.tokens_informative(F.col("text"))).cast("bigint").alias("n"))
 
 
 _SHINGLES = f"""SELECT doc_id, CASE WHEN length(s) < 3 THEN [s] ELSE list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3)) END AS g
@@ -68,7 +67,7 @@ FROM (SELECT doc_id, array_to_string({TOK_DEDUP}, ' ') AS s FROM documents)"""
 
 @query("char_shingles", f"SELECT doc_id, CAST(len(g) AS BIGINT) AS n, md5(array_to_string(g, '|')) AS digest FROM ({_SHINGLES})")
 def _shingles(spark, sf):
-    d = spread(table(spark, sf, "documents")).select("doc_id", text.tokens_dedup(F.col("text")).alias("t")).select("doc_id", text.char_shingles(F.col("t")).alias("g"))
+    d = table(spark, sf, "documents").select("doc_id", text.tokens_dedup(F.col("text")).alias("t")).select("doc_id", text.char_shingles(F.col("t")).alias("g"))
     return d.select("doc_id", F.size("g").cast("bigint").alias("n"), F.md5(F.array_join("g", "|")).alias("digest"))
 
 
@@ -82,7 +81,7 @@ sim AS (SELECT doc_id, CAST(CASE WHEN u >= 9223372036854775808 THEN u - 18446744
 
 @query("simhash64", f"WITH {SIMHASH_SQL} SELECT doc_id, simhash FROM sim")
 def _simhash(spark, sf):
-    return spread(table(spark, sf, "documents")).select("doc_id", hashing.simhash64(F.col("text")).alias("simhash"))
+    return table(spark, sf, "documents").select("doc_id", hashing.simhash64(F.col("text")).alias("simhash"))
 
 
 @query("hamming64", "SELECT event_id, bit_count(xor(event_id * 2654435761, user_id * 40503)) AS distance FROM events")
@@ -117,7 +116,7 @@ def _effective(spark, sf):
     return e.select("event_id", dates.effective_date(F.when(m == 1, day).when(m == 2, "garbage"), F.when(m == 2, day), F.when(m == 3, F.date_format("ts", "M/d/yyyy"))).alias("day"))
 
 
-@query("fingerprint", """SELECT doc_id, md5(lower(text)) AS fp, md5(substr(text, 1, 500)) AS cache_key, md5(trim(text)) AS trimmed FROM documents""")
+@query("fingerprint", """SELECT doc_id, md5(lower(text)) AS fp, md5(text) AS cache_key, md5(trim(text)) AS trimmed FROM documents""")
 def _fingerprint(spark, sf):
     t = F.col("text")
     return table(spark, sf, "documents").select("doc_id", hashing.fingerprint(t).alias("fp"), hashing.cache_key(t).alias("cache_key"), hashing.trimmed_md5(t).alias("trimmed"))
@@ -133,7 +132,7 @@ def _taxonomy(spark, sf):
 
 
 @query("canonicalize_insight", f"""WITH {INSIGHTS} SELECT post_id, type_tag, topic AS subtag, topic AS theme, CASE WHEN has_payment THEN 'Yes' ELSE 'No' END AS has_payment_str,
-'Unknown' AS carrier, {sql_pack('promotional', "lower(title || ' ' || substr(text, 1, 2000))")} AS is_promotional, CAST(post_date AS VARCHAR) AS day, 'Unknown' AS effort FROM insights""")
+'Unknown' AS carrier, {sql_pack('promotional', "lower(title || ' ' || text)")} AS is_promotional, CAST(post_date AS VARCHAR) AS day, 'Unknown' AS effort FROM insights""")
 def _canonical(spark, sf):
     d = enrich.canonicalize_insight(insights(spark, sf).drop("logged_at"), P)
     return d.select("post_id", "type_tag", "subtag", "theme", "has_payment_str", "carrier", "is_promotional", F.col("last_seen").alias("day"), "effort")

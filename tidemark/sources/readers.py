@@ -17,11 +17,29 @@ def read_posts_json(spark: SparkSession, paths: list[str]) -> DataFrame:
     """
     df = (spark.read.schema(RAW_POST).option("multiLine", True).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_corrupt_record").option("ignoreMissingFiles", True).json(_existing(spark, paths)))
-    order = F.lit(len(paths))
     name = F.col("_metadata.file_path")
-    for i, p in reversed(list(enumerate(paths))):
-        order = F.when(name.endswith(p.rsplit("/", 1)[-1]), F.lit(i)).otherwise(order)
-    return df.withColumn("source_file", name).withColumn("file_order", order)
+    places = spark.createDataFrame(_files(spark, paths), "_file string, file_order int")  # a row per file that the driver lists anyway
+    keyed = df.withColumn("source_file", name).withColumn("_file", _one_slash(name))
+    return keyed.join(places, "_file", "left").withColumn("file_order", F.coalesce("file_order", F.lit(len(paths)))).drop("_file")
+
+
+def _one_slash(path: Column) -> Column:
+    return F.regexp_replace(path, "^([a-z0-9]+):/+(?=[^/])", "$1:/")
+
+
+def _files(spark: SparkSession, paths: list[str]) -> list[tuple[str, int]]:
+    """(file, place in ``paths``) of every file behind files, folders and globs; the first place holds."""
+    import re
+
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    out: dict[str, int] = {}
+    for i, p in enumerate(paths):
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        fs = hp.getFileSystem(conf)
+        for status in fs.globStatus(hp) or []:
+            for f in fs.listStatus(status.getPath()) if status.isDirectory() else [status]:
+                out.setdefault(re.sub("^([a-z0-9]+):/+(?=[^/])", r"\1:/", f.getPath().toUri().toString()), i)
+    return list(out.items())
 
 
 def _existing(spark: SparkSession, paths: list[str]) -> list[str]:
@@ -146,23 +164,25 @@ def cut_text(c: Column, n: int) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
 
 
-def comment_depth(df: DataFrame, id_col: str = "id", parent_col: str = "parent_id", max_depth: int = 100) -> DataFrame:
+def comment_depth(df: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
     """Adds ``comment_depth``: 0 for rows whose parent is not a comment of the table.
 
-    Level by level: each round joins only the newest level to its replies, through tables
-    written to the shared folder.
+    Each round doubles the distance that a row looks up (its ancestor's ancestor), so a chain of n replies takes log2(n)
+    joins on a slim written table. Rows that reply to themselves in a circle have no depth: that raises.
     """
     from tidemark.session import cut_lineage
 
-    nodes = df.select(F.col(id_col).alias("_id"), F.col(parent_col).alias("_pa"))
-    level = cut_lineage(nodes.join(nodes.select(F.col("_id").alias("_pa")), "_pa", "left_anti").select("_id").withColumn("comment_depth", F.lit(0)))
-    done = level
-    for d in range(1, max_depth + 1):
-        level = cut_lineage(nodes.join(level.select(F.col("_id").alias("_pa")), "_pa").select("_id").withColumn("comment_depth", F.lit(d)))
-        if level.isEmpty():
-            break
-        done = done.unionByName(level)
-    return df.join(done.withColumnRenamed("_id", id_col), id_col)
+    nodes = cut_lineage(df.select(F.col(id_col).alias("_id"), F.col(parent_col).alias("_up")).distinct())
+    known = nodes.select(F.col("_id").alias("_up")).distinct().withColumn("_in", F.lit(True))
+    at = cut_lineage(nodes.join(known, "_up", "left").select("_id", F.when(F.col("_in"), F.col("_up")).alias("_up"), F.col("_in").isNotNull().cast("int").alias("_d")))
+    rounds, limit = 0, max(1, at.count()).bit_length() + 1
+    while not at.where("_up is not null").isEmpty():
+        if rounds > limit:
+            raise ValueError("some replies form a circle")
+        higher = at.select(F.col("_id").alias("_up"), F.col("_up").alias("_next"), F.col("_d").alias("_more"))
+        at = cut_lineage(at.join(higher, "_up", "left").select("_id", F.col("_next").alias("_up"), (F.col("_d") + F.coalesce("_more", F.lit(0))).alias("_d")))
+        rounds += 1
+    return df.join(at.select(F.col("_id").alias(id_col), F.col("_d").alias("comment_depth")), id_col)
 
 
 def read_forum_json(spark: SparkSession, paths: list[str]) -> DataFrame:
