@@ -34,10 +34,10 @@ def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def key_of(line: Column) -> Column:
-    """The md5 of the line's key (16 bytes), null if the key is too short."""
-    bare = ascii_lower(F.regexp_replace(line, r"^[ \t-\r]+|[ \t-\r]+$", ""))
-    return F.when(F.char_length(bare) >= MIN_CHARS, F.unhex(F.md5(bare.cast("binary"))))
+def keys_of(ls: Column) -> Column:
+    """Per line the md5 of its key (16 bytes), null if the key is too short. Step by step, so each line is trimmed once."""
+    low = F.transform(F.transform(ls, lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))), ascii_lower)
+    return F.transform(low, lambda k: F.when(F.char_length(k) >= MIN_CHARS, F.unhex(F.md5(k.cast("binary")))))
 
 
 # --- cuckoo filters ------------------------------------------------------------------------------------------
@@ -120,7 +120,7 @@ def _shard(key: Column, shards: int) -> Column:
 
 def refs_of(docs: DataFrame) -> DataFrame:
     """(key, doc_id): the distinct line keys of each document."""
-    keys = F.filter(F.transform(lines(F.col("text")), key_of), lambda k: k.isNotNull())
+    keys = F.filter(keys_of(lines(F.col("text"))), lambda k: k.isNotNull())
     return docs.select("doc_id", F.explode(keys).alias("key")).distinct()
 
 
@@ -209,9 +209,13 @@ def drop_lines(docs: DataFrame, refs: DataFrame | None = None, min_docs: int = M
     loses = loses.groupBy(F.col("doc_id").alias("lose_id_")).agg(F.collect_set("key").alias("lose_"))
     j = docs.join(loses, docs["doc_id"].eqNullSafe(loses["lose_id_"]), "left")
     ls = lines(docs["text"])
-    kept = F.when(F.col("lose_").isNull(), ls).otherwise(F.filter(ls, lambda x: ~F.coalesce(F.array_contains(F.col("lose_"), key_of(x)), F.lit(False))))
-    j = j.select(*(docs[c] for c in docs.columns), F.size(ls).cast("long").alias("n_lines_"), kept.alias("kept_"))
-    return j.withColumn("n_dropped_", F.col("n_lines_") - F.size("kept_")).withColumn("kept_", F.array_join("kept_", "\n"))
+    kept = F.filter(F.zip_with(ls, keys_of(ls), lambda x, k: F.struct(x.alias("x"), k.alias("k"))), lambda y: ~F.coalesce(F.array_contains(F.col("lose_"), y["k"]), F.lit(False)))
+    texts = F.when(F.col("lose_").isNotNull(), F.transform(kept, lambda y: y["x"]))
+    whole = F.coalesce(docs["text"], F.lit(""))
+    n = F.char_length(whole) - F.char_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1
+    j = j.select(*(docs[c] for c in docs.columns), n.cast("long").alias("n_lines_"), whole.alias("whole_"), texts.alias("kept_"))
+    dropped = F.when(F.col("kept_").isNull(), 0).otherwise(F.col("n_lines_") - F.size("kept_"))
+    return j.withColumn("n_dropped_", dropped.cast("long")).withColumn("kept_", F.coalesce(F.array_join("kept_", "\n"), "whole_")).drop("whole_")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
