@@ -142,6 +142,19 @@ def test_cuckoo_filter():
     assert all(f.delete(x) for x in h[:5_000]) and f.has(h[5_000:10_000]).all() and f.has(h[:5_000]).mean() < 0.01
 
 
+def test_rows_meet_their_filters_by_shuffle(spark, docs, monkeypatch):
+    """Beyond the broadcast size: several shards, the rows of each in several parts, some null ids."""
+    want = sorted((r["doc_id"], r["n_dropped_"], r["kept_"]) for r in line_dedup.drop_lines(docs).collect())
+    for name, value in (("FILTER_BYTES", 0), ("SHARD_KEYS", 7), ("PROBE_ROWS", 50)):
+        monkeypatch.setattr(line_dedup, name, value)
+    assert sorted((r["doc_id"], r["n_dropped_"], r["kept_"]) for r in line_dedup.drop_lines(docs).collect()) == want
+    assert sum(n for _, n, _ in want) > 0
+    line = "This line of text is shared by several"
+    rows = [(1, line), (None, line), (2, line), (3, None)]
+    got = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["kept_"]) for r in got) == lines_brute(rows)
+
+
 def test_filters_follow_changes(spark):
     keys = [hashlib.md5(str(k).encode()).digest() for k in range(600)]
     df = lambda ks: spark.createDataFrame([(bytearray(k),) for k in ks], "key binary")

@@ -14,7 +14,6 @@ shorter than ``min_chars`` code points are never dropped. Extra columns stay as
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,9 +23,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import ascii_lower, table, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Hot keys a shard's filter is planned for, and the size up to which all filters together are broadcast (beyond, keys go to
-#: their shards by shuffle).
-SHARD_KEYS, FILTER_BYTES = 100_000, 64 << 20
+#: Hot keys a shard's filter is planned for; the size up to which all filters together are broadcast (beyond, rows go to their
+#: shards by shuffle); the rows that meet a filter in one task there.
+SHARD_KEYS, FILTER_BYTES, PROBE_ROWS = 100_000, 64 << 20, 1_000_000
 SLOTS, KICKS = 4, 500
 
 
@@ -170,29 +169,44 @@ def apply_changes(filter_rows: DataFrame, inserted: DataFrame, deleted: DataFram
 
 
 def perhaps(keyed: DataFrame, filter_rows: DataFrame, shards: int) -> DataFrame:
-    """The rows of ``keyed`` (with ``key``) that the filters don't rule out. Filters travel to the rows while they are few;
-    beyond ``FILTER_BYTES`` rows meet them in slices of shards, each slice of bounded size."""
+    """The rows of ``keyed`` (with ``key`` and ``doc_id``) that the filters don't rule out. Filters travel to the rows while
+    they are few. Beyond ``FILTER_BYTES`` rows go to their shards, and a shard with more than ``PROBE_ROWS`` rows is split by
+    document, each part with a copy of the filter: a key with a third of the rows fills many tasks, and the driver sees none."""
     total = filter_rows.agg(F.sum(F.length("cells"))).first()[0] or 0
-    slices = max(1, -(-total // FILTER_BYTES))
-    out = []
-    for s in range(slices):
-        held = {r["shard"]: (r["buckets"], r["cells"]) for r in filter_rows.where(F.col("shard") % slices == s).collect()}  # at most FILTER_BYTES
-        sent = keyed.sparkSession.sparkContext.broadcast(held)
-
-        def probe(batches: Iterator[pd.DataFrame], sent=sent, shards=shards) -> Iterator[pd.DataFrame]:
-            own = {k: Cuckoo(n, np.frombuffer(c, np.uint16).reshape(-1, SLOTS)) for k, (n, c) in sent.value.items()}
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                shard = np.frombuffer(b"".join(bytes(k)[8:12] for k in pdf["key"]), ">u4").astype(np.int64) % shards
-                h, keep = _hash64(pdf["key"]), np.zeros(len(pdf), bool)
-                for k, f in own.items():
-                    at = np.flatnonzero(shard == k)
-                    keep[at] = f.has(h[at])
-                yield pdf[keep]
-
-        out.append(keyed.mapInPandas(probe, keyed.schema))
-    return reduce(DataFrame.union, out)
+    if total > FILTER_BYTES:
+        return _perhaps_by_shuffle(keyed, filter_rows, shards)
+    sent = keyed.sparkSession.sparkContext.broadcast({r["shard"]: (r["buckets"], r["cells"]) for r in filter_rows.collect()})  # at most FILTER_BYTES
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = {k: Cuckoo(n, np.frombuffer(c, np.uint16).reshape(-1, SLOTS)) for k, (n, c) in sent.value.items()}
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            shard = np.frombuffer(b"".join(bytes(k)[8:12] for k in pdf["key"]), ">u4").astype(np.int64) % shards
+            h, keep = _hash64(pdf["key"]), np.zeros(len(pdf), bool)
+            for k, f in own.items():
+                at = np.flatnonzero(shard == k)
+                keep[at] = f.has(h[at])
+            yield pdf[keep]
+
+    return keyed.mapInPandas(probe, keyed.schema)
+
+
+def _perhaps_by_shuffle(keyed: DataFrame, filter_rows: DataFrame, shards: int) -> DataFrame:
+    placed = keyed.withColumn("shard_", _shard(F.col("key"), shards))
+    # one row per shard, so its size goes with the number of filters
+    parts = written(placed.groupBy(F.col("shard_").alias("shard")).agg(F.ceil(F.count(F.lit(1)) / PROBE_ROWS).cast("int").alias("parts")))
+    placed = placed.join(parts, placed["shard_"] == parts["shard"]).drop("shard").withColumn("part_", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).drop("parts")
+    copies = filter_rows.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    def probe(rows: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop(columns=["shard_", "part_"])
+        if not len(rows) or not len(filters):  # no hot key in this shard
+            return rows[:0]
+        f = Cuckoo(int(filters["buckets"].iloc[0]), np.frombuffer(filters["cells"].iloc[0], np.uint16).reshape(-1, SLOTS))
+        return rows[f.has(_hash64(rows["key"]))]
+
+    return placed.groupBy("shard_", "part_").cogroup(copies.groupBy("shard", "part")).applyInPandas(probe, keyed.schema)
 
 
 # --- use -----------------------------------------------------------------------------------------------------
@@ -204,7 +218,7 @@ def drop_lines(docs: DataFrame, refs: DataFrame | None = None, min_docs: int = M
     hot = written(counts(refs).where(F.col("n_docs") >= min_docs).select("key", "keeper"))
     n_hot = hot.count()
     shards = max(1, -(-n_hot // SHARD_KEYS))
-    doubtful = perhaps(refs.select("doc_id", "key"), filters(hot, n_hot), shards)
+    doubtful = perhaps(refs.select("doc_id", "key"), written(filters(hot, n_hot)), shards)
     loses = doubtful.join(hot, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     loses = loses.groupBy(F.col("doc_id").alias("lose_id_")).agg(F.collect_set("key").alias("lose_"))
     j = docs.join(loses, docs["doc_id"].eqNullSafe(loses["lose_id_"]), "left")
