@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.rules import load_packs
 from tidemark.functions.hashing import cache_key
-from tidemark.operators import clustering, dedup, enrich, ordering
+from tidemark.functions.text import strip_html
+from tidemark.operators import clustering, dedup, enrich, joins, ordering, retrieval
 from tidemark.sources import readers
 
 
@@ -57,3 +58,20 @@ def test_insights_keep_whole_texts(spark):
     p = load_packs("marketplace")
     out = enrich.enrich_posts(rows, p, F.lit("2024-03-01").cast("date"), normalize=False).first()
     assert out["text"] == text
+
+
+def test_repeated_keys_on_the_right_never_multiply_rows(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    ideas = spark.createDataFrame([("a", ["x"]), ("a", ["y"])], "text string, ideas array<string>")
+    assert sorted((r.doc_id, r.ideas) for r in joins.attach_ideas(rows, ideas).collect()) == [(1, ["y"]), (2, [])]
+    keyed = rows.select("doc_id", F.col("text").alias("fingerprint"))
+    vectors = spark.createDataFrame([("a", [0.0, 1.0]), ("a", [1.0, 0.0])], "fingerprint string, vec array<float>")
+    got = sorted((r.doc_id, r.matched, r.vec) for r in retrieval.align_vectors(keyed, vectors, 2).collect())
+    assert got == [(1, True, [1.0, 0.0]), (2, False, [0.0, 0.0])]
+
+
+def test_feed_entities_are_all_decoded(spark):
+    rows = [(0, "it&#8217;s &rsquo;n&rsquo; &#x27;x&#x27; &amp;lt; caf&eacute;<br>&nbsp;end"), (1, None), (2, "a & b")]
+    df = spark.createDataFrame(rows, "i int, h string")
+    got = {r.i: r.t for r in df.select("i", strip_html(F.col("h"), all_entities=True).alias("t")).collect()}
+    assert got == {0: "it\u2019s \u2019n\u2019 'x' &lt; caf\u00e9 end", 1: "", 2: "a & b"}

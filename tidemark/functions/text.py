@@ -1,7 +1,8 @@
-"""Scalar text functions (JVM expressions; one Arrow function for NFKC)."""
+"""Scalar text functions (JVM expressions; Arrow functions for NFKC and rare entities)."""
 
 from __future__ import annotations
 
+import html
 import unicodedata
 
 import pandas as pd
@@ -87,15 +88,23 @@ def decode_entities(c: Column) -> Column:
     return c
 
 
-def strip_html(c: Column, drop_blocks: bool = False, cdata: bool = False) -> Column:
-    """Markup to plain text: br to newline, tags to blank, entities decoded, blanks squeezed."""
+@F.pandas_udf(T.StringType())
+def decode_all_entities(s: pd.Series) -> pd.Series:
+    """Every numeric and named entity, as feeds use them; no JVM built-in exists.  Fixed blanks become
+    plain ones; rows without an entity pass through."""
+    return s.map(lambda v: html.unescape(v).replace("\u00a0", " ") if v is not None and "&" in v else v)
+
+
+def strip_html(c: Column, drop_blocks: bool = False, cdata: bool = False, all_entities: bool = False) -> Column:
+    """Markup to plain text: br to newline, tags to blank, entities decoded (the common ones, or all), blanks squeezed."""
     c = F.coalesce(c, F.lit(""))
     if cdata:
         c = F.regexp_replace(c, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
     if drop_blocks:
         c = F.regexp_replace(c, r"(?is)<(script|style|noscript)[^>]*>.*?</\1>", "")
     c = F.regexp_replace(c, r"(?i)<br\s*/?>", "\n")
-    return squeeze(decode_entities(F.regexp_replace(c, r"<[^>]+>", " ")))
+    c = F.regexp_replace(c, r"<[^>]+>", " ")
+    return squeeze(decode_all_entities(c) if all_entities else decode_entities(c))
 
 
 def _keep(tokens: Column, stop: list[str], min_len: int) -> Column:

@@ -16,9 +16,10 @@ def apply_cached_labels(rows: DataFrame, cache: DataFrame, key: str = "cache_key
 
     ``cache``: key, type, sentiment, topic, persona, urgency, executive_summary,
     competitors, products, grading_services.  One equi-join on the fingerprint; empty
-    cached strings leave the row's value.
+    cached strings leave the row's value.  Of entries that share a key the largest, in
+    order of its columns, counts, so rows never multiply.
     """
-    c = cache.select(key, F.struct(*[F.col(x) for x in cache.columns if x != key]).alias("_c"))
+    c = cache.groupBy(key).agg(F.max(F.struct(*[F.col(x) for x in cache.columns if x != key])).alias("_c"))
     j = rows.join(c, key, "left")
     pick = lambda f, old: F.coalesce(non_empty(F.col(f"_c.{f}")), F.col(old))
     topic, kind = pick("topic", "topic"), pick("type", "type_tag")
@@ -46,8 +47,8 @@ def cards_with_members(cards: DataFrame, stats: DataFrame, cluster: str = "clust
 
 
 def attach_ideas(rows: DataFrame, ideas: DataFrame, text: str = "text") -> DataFrame:
-    """``ideas(text, ideas)`` joined on the text's md5, so long texts do not travel as keys."""
-    i = ideas.select(F.md5(F.col("text")).alias("_k"), F.col("ideas").alias("_ideas"))
+    """``ideas(text, ideas)`` joined on the text's md5, so long texts do not travel as keys; of repeated texts the largest list counts."""
+    i = ideas.groupBy(F.md5(F.col("text")).alias("_k")).agg(F.max("ideas").alias("_ideas"))
     j = rows.withColumn("_k", F.md5(F.coalesce(text, F.lit("")))).join(i, "_k", "left")
     return j.withColumn("ideas", F.coalesce("_ideas", F.array().cast("array<string>"))).drop("_k", "_ideas")
 

@@ -198,8 +198,8 @@ def proxy_query_vector(bm25_ranked: DataFrame, vectors: DataFrame, n: int = 5) -
 
 
 def align_vectors(rows: DataFrame, vectors: DataFrame, dim: int, key: str = "fingerprint") -> DataFrame:
-    """Left join on the fingerprint; rows without a vector get zeros and ``matched = false``."""
-    v = vectors.select(key, F.col("vec").alias("_v"))
+    """Left join on the fingerprint; rows without a vector get zeros and ``matched = false``; of repeated keys the largest vector counts."""
+    v = vectors.groupBy(key).agg(F.max("vec").alias("_v"))
     return (rows.join(v, key, "left").withColumn("matched", F.col("_v").isNotNull())
             .withColumn("vec", F.coalesce(F.col("_v"), zero_vector(dim))).drop("_v"))
 

@@ -196,14 +196,14 @@ def read_feed_xml(spark: SparkSession, paths: list[str], feed: str, as_of: Colum
     """RSS items (or Atom entries with ``row_tag='entry'``) of landed files."""
     df = spark.read.format("xml").option("rowTag", row_tag).option("ignoreNamespace", False).schema(FEED_ITEM).load(paths)
     c = lambda n: F.col(f"`{n}`")
-    title, desc = strip_html(c("title"), cdata=True), strip_html(F.coalesce(c("description"), c("summary")), cdata=True)
-    body = F.coalesce(non_empty(strip_html(c("content:encoded"), cdata=True)), non_empty(desc), F.lit(""))
+    title, desc = strip_html(c("title"), cdata=True, all_entities=True), strip_html(F.coalesce(c("description"), c("summary")), cdata=True, all_entities=True)
+    body = F.coalesce(non_empty(strip_html(c("content:encoded"), cdata=True, all_entities=True)), non_empty(desc), F.lit(""))
     full = F.when(body != "", F.concat(title, F.lit("\n\n"), body)).otherwise(title)
     day = parse_feed_date(F.coalesce(c("pubDate"), c("dc:date"), c("published")), as_of)
     return df.withColumn("_title", title).where(F.length("_title") >= min_title).select(
         cut_text(full, cut).alias("text"), F.col("_title").alias("title"), F.concat(F.lit("News:"), F.lit(feed)).alias("source"),
         F.lit(feed).alias("feed_name"), F.lit(focus).alias("feed_focus"),
-        F.coalesce(non_empty(strip_html(c("dc:creator"))), F.col("author.name"), F.lit(feed)).alias("username"),
+        F.coalesce(non_empty(strip_html(c("dc:creator"), all_entities=True)), F.col("author.name"), F.lit(feed)).alias("username"),
         F.trim(F.coalesce("link", F.lit(""))).alias("url"), day.alias("post_date"),
         F.transform(F.coalesce("category", F.array().cast("array<string>")), lambda x: F.trim(x)).alias("categories"), F.substring(desc, 1, 500).alias("summary"))
 
@@ -212,7 +212,7 @@ def read_podcast_xml(spark: SparkSession, paths: list[str], show: str, as_of: Co
     """Episodes: notes cut at 2000, audio address as fallback link."""
     df = spark.read.format("xml").option("rowTag", "item").option("ignoreNamespace", False).schema(FEED_ITEM).load(paths)
     c = lambda n: F.col(f"`{n}`")
-    notes = F.coalesce(*[non_empty(strip_html(c(n))) for n in ("content:encoded", "description", "itunes:summary")], F.lit(""))
+    notes = F.coalesce(*[non_empty(strip_html(c(n), all_entities=True)) for n in ("content:encoded", "description", "itunes:summary")], F.lit(""))
     title = F.trim(F.coalesce("title", F.lit("")))
     text = F.when(notes != "", F.concat(title, F.lit("\n\n"), F.substring(notes, 1, 2000))).otherwise(title)
     audio = F.coalesce(F.col("enclosure._url"), F.lit(""))
@@ -275,7 +275,7 @@ def compose_video_posts(videos: DataFrame, transcripts: DataFrame, comments: Dat
     """
     from tidemark.operators.ordering import keep_first_by_key
 
-    v = keep_first_by_key(videos, "video_id", pos).join(transcripts.select("video_id", "transcript"), "video_id", "left")
+    v = keep_first_by_key(videos, "video_id", pos).join(transcripts.groupBy("video_id").agg(F.max("transcript").alias("transcript")), "video_id", "left")
     good = F.length("transcript") > 50
     with_desc = F.when(F.length("description") > 10, F.concat(F.col("title"), F.lit("\n\n"), F.substring("description", 1, 2000))).otherwise(F.col("title"))
     text = F.when(good, F.concat(F.col("title"), F.lit("\n\n"), F.substring("transcript", 1, 3000))).otherwise(with_desc)
