@@ -147,12 +147,12 @@ def flatten_listing(df: DataFrame, as_of: Column, min_len: int = 30) -> DataFram
 
 
 def flatten_forum(df: DataFrame, as_of: Column, base_url: str, source: str = "Forums", min_len: int = 20) -> DataFrame:
-    """Forum API items (``FORUM_ITEM`` rows): markup stripped, views as score, cut at 3000."""
+    """Forum API items (``FORUM_ITEM`` rows): markup stripped, views as score, whole texts."""
     body, subject = strip_html(F.col("body")), F.trim(F.coalesce("subject", F.lit("")))
     text = F.when((body != "") & (body != subject), F.concat(subject, F.lit("\n\n"), body)).otherwise(subject)
     url = F.when(F.col("view_href").startswith("http"), F.col("view_href")).when(F.length("view_href") > 0, F.concat(F.lit(base_url), F.col("view_href"))).otherwise("")
     d = df.withColumn("_t", text).where(F.length("_t") >= min_len)
-    return d.select(cut_text(F.col("_t"), 3000).alias("text"), subject.alias("title"), F.lit(source).alias("source"),
+    return d.select(F.col("_t").alias("text"), subject.alias("title"), F.lit(source).alias("source"),
                     F.coalesce(F.col("board.id"), F.lit("unknown")).alias("forum_section"), F.coalesce(F.col("author.login"), F.lit("unknown")).alias("username"),
                     url.alias("url"), F.coalesce(parse_date_multi(F.substring("post_time", 1, 10)), as_of).alias("post_date"),
                     (F.coalesce("depth", F.lit(0)) == 0).alias("is_original_post"), F.coalesce("depth", F.lit(0)).alias("depth"),
@@ -160,7 +160,10 @@ def flatten_forum(df: DataFrame, as_of: Column, base_url: str, source: str = "Fo
                     F.concat(F.lit("forum_"), F.abs(F.xxhash64(F.when(url != "", url).otherwise(subject))).cast("string")).alias("post_id"))
 
 
-def cut_text(c: Column, n: int) -> Column:
+def cut_text(c: Column, n: int | None) -> Column:
+    """At most ``n`` characters and a mark where more were; everything without a limit."""
+    if n is None:
+        return c
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
 
 
@@ -192,7 +195,7 @@ def read_forum_json(spark: SparkSession, paths: list[str]) -> DataFrame:
 # --- feeds ------------------------------------------------------------------------------------------
 
 def read_feed_xml(spark: SparkSession, paths: list[str], feed: str, as_of: Column, focus: str = "", row_tag: str = "item", min_title: int = 10,
-                  cut: int = 3000) -> DataFrame:
+                  cut: int | None = None) -> DataFrame:
     """RSS items (or Atom entries with ``row_tag='entry'``) of landed files."""
     df = spark.read.format("xml").option("rowTag", row_tag).option("ignoreNamespace", False).schema(FEED_ITEM).load(paths)
     c = lambda n: F.col(f"`{n}`")
@@ -209,12 +212,12 @@ def read_feed_xml(spark: SparkSession, paths: list[str], feed: str, as_of: Colum
 
 
 def read_podcast_xml(spark: SparkSession, paths: list[str], show: str, as_of: Column) -> DataFrame:
-    """Episodes: notes cut at 2000, audio address as fallback link."""
+    """Episodes: whole notes, audio address as fallback link."""
     df = spark.read.format("xml").option("rowTag", "item").option("ignoreNamespace", False).schema(FEED_ITEM).load(paths)
     c = lambda n: F.col(f"`{n}`")
     notes = F.coalesce(*[non_empty(strip_html(c(n), all_entities=True)) for n in ("content:encoded", "description", "itunes:summary")], F.lit(""))
     title = F.trim(F.coalesce("title", F.lit("")))
-    text = F.when(notes != "", F.concat(title, F.lit("\n\n"), F.substring(notes, 1, 2000))).otherwise(title)
+    text = F.when(notes != "", F.concat(title, F.lit("\n\n"), notes)).otherwise(title)
     audio = F.coalesce(F.col("enclosure._url"), F.lit(""))
     return df.withColumn("_t", text).where((title != "") & (F.length("_t") >= 20)).select(
         F.col("_t").alias("text"), F.concat(F.lit(f"{show}: "), title).alias("title"), F.lit("Podcast").alias("source"), F.lit(show).alias("podcast_name"),
@@ -227,7 +230,7 @@ def read_podcast_xml(spark: SparkSession, paths: list[str], show: str, as_of: Co
 BLOCKS = ("script", "style", "nav", "footer", "header")
 
 
-def extract_page(df: DataFrame, html: str = "html", url: str = "url", cut: int = 3000) -> DataFrame:
+def extract_page(df: DataFrame, html: str = "html", url: str = "url", cut: int | None = None) -> DataFrame:
     """Main text, title, date, author, description and links of landed pages, with regular expressions.
 
     Adds page_title, body_text, page_text, published, author, description, links.
@@ -277,8 +280,8 @@ def compose_video_posts(videos: DataFrame, transcripts: DataFrame, comments: Dat
 
     v = keep_first_by_key(videos, "video_id", pos).join(transcripts.groupBy("video_id").agg(F.max("transcript").alias("transcript")), "video_id", "left")
     good = F.length("transcript") > 50
-    with_desc = F.when(F.length("description") > 10, F.concat(F.col("title"), F.lit("\n\n"), F.substring("description", 1, 2000))).otherwise(F.col("title"))
-    text = F.when(good, F.concat(F.col("title"), F.lit("\n\n"), F.substring("transcript", 1, 3000))).otherwise(with_desc)
+    with_desc = F.when(F.length("description") > 10, F.concat(F.col("title"), F.lit("\n\n"), F.col("description"))).otherwise(F.col("title"))
+    text = F.when(good, F.concat(F.col("title"), F.lit("\n\n"), F.col("transcript"))).otherwise(with_desc)
     link = F.concat(F.lit("https://www.youtube.com/watch?v="), F.col("video_id"))
     day = F.coalesce(parse_date_multi(F.col("published")), as_of)
     base = v.withColumns({"_text": text, "_day": day, "url": link})
