@@ -128,3 +128,12 @@ def test_weekly_run_writes_consistent_tables(spark, tmp_path):
     # The five equal posts fold to one and two of the six fee posts remain.
     assert second.insights.count() == 3
     assert [(r.metric, r.delta, r.severity) for r in second.deltas.collect()] == [("fees", -4.0, "high")]
+
+
+def test_broad_questions_give_the_same_columns(spark):
+    broad = next(t for r in M["question_intents"].rules if r.label == "broad" for t in r.substr)
+    rows = [(i, f"text {i}", f"title {i}", "s", f"t{i % 3}", "Collector", float(i), i, "Negative") for i in range(12)]
+    d = spark.createDataFrame(rows, "post_id long, text string, title string, source string, topic string, persona string, signal_strength double, score int, brand_sentiment string")
+    d = d.withColumn("post_date", F.lit("2024-02-01").cast("date")).withColumn("mentions_competitor", F.array().cast("array<string>"))
+    got = weekly.ask(broad, d, M, F.lit("2024-03-01").cast("date")).sources.select("doc_id", "rank").orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, len(got) + 1)) and len({r.doc_id for r in got}) == len(got) == 6

@@ -30,12 +30,13 @@ def run_meta(df: DataFrame, source: str = "source") -> DataFrame:
 
 
 def label_distribution(df: DataFrame, label: str, limit: int = 25) -> DataFrame:
+    """The most frequent labels, for display."""
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc(label)).limit(limit)
 
 
 def run_snapshot(df: DataFrame, signals: dict[str, str], entities: dict[str, str], topic: str = "topic",
-                 sentiment: str = "brand_sentiment", strength: str = "signal_strength", top_topics: int = 25) -> DataFrame:
-    """Long table (metric_group, metric, value): totals, signal flags, entities, frequent topics.
+                 sentiment: str = "brand_sentiment", strength: str = "signal_strength") -> DataFrame:
+    """Long table (metric_group, metric, value): totals, signal flags, entities, all topics.
 
     ``signals`` maps metric to boolean column, ``entities`` metric to topic value.  All
     counters come from one scan; topics from a second aggregation.
@@ -51,7 +52,7 @@ def run_snapshot(df: DataFrame, signals: dict[str, str], entities: dict[str, str
     rows = F.array(*[F.struct(F.lit(g).alias("metric_group"), F.lit(m).alias("metric"), F.col(f"_{i}").alias("value"))
                      for i, (g, m) in enumerate(aggs)])
     long = one.select(F.inline(rows))
-    topics = label_distribution(df, topic, top_topics).select(F.lit("topic").alias("metric_group"), F.col(topic).alias("metric"),
+    topics = df.groupBy(topic).agg(F.count(F.lit(1)).alias("n")).select(F.lit("topic").alias("metric_group"), F.col(topic).alias("metric"),
                                                               F.col("n").cast("double").alias("value"))
     return long.unionByName(topics)
 

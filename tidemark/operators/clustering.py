@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.text import jaccard, tokens_informative, tokens_quality
+from tidemark.functions.text import tokens_informative, tokens_quality
 from tidemark.operators.blocks import assign_blocks, block_pairs
-from tidemark.operators.ordering import top_n_per_group
 from tidemark.session import cut_lineage
 
 # Cluster constants.
@@ -22,6 +23,10 @@ COMMON_TOKENS = (
 ).split()
 
 
+#: Functions of the MinHash estimate of mean overlaps, and the prime they count modulo.
+HASHES, PRIME = 32, 2_147_483_647
+
+
 # --- label groups ---------------------------------------------------------------------------
 
 def cluster_workstreams(df: DataFrame, label: str = "workstream", exclude: str = "EXCLUDE", min_size: int = MIN_CLUSTER) -> DataFrame:
@@ -32,59 +37,55 @@ def cluster_workstreams(df: DataFrame, label: str = "workstream", exclude: str =
     return kept.join(big, label)
 
 
-def cluster_ids(members: DataFrame, cluster: str, fingerprint: str, exact_max: int = 10_000) -> DataFrame:
-    """(cluster, cluster_id) from the member set.
-
-    Up to ``exact_max`` members: md5 of the sorted fingerprints joined with ``|``.
-    Beyond that the string would be one unbounded value in one task, so the id is the
-    md5 of order-free partial sums (count, two 64-bit sums and xors of the fingerprints).
-    """
+def cluster_ids(members: DataFrame, cluster: str, fingerprint: str) -> DataFrame:
+    """(cluster, cluster_id) from the member set: the md5 of order-free sums (count, two sums and two xors of the hashed
+    fingerprints), so no cluster is ever gathered in one value."""
     fp = F.md5(F.col(fingerprint).cast("string"))
     lo, hi = (F.conv(F.substring(fp, s, 15), 16, 10).cast("bigint") for s in (1, 17))
-    digest = members.groupBy(cluster).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(lo.cast("decimal(38,0)")).alias("_a"), F.sum(hi.cast("decimal(38,0)")).alias("_b"),
-        F.bit_xor(lo).alias("_c"), F.bit_xor(hi).alias("_d"))
-    large = digest.where(F.col("_n") > exact_max).select(
-        cluster, F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in ("_n", "_a", "_b", "_c", "_d")])).alias("cluster_id"))
-    small = members.join(digest.where(F.col("_n") <= exact_max).select(cluster), cluster, "left_semi")
-    exact = small.groupBy(cluster).agg(
-        F.md5(F.array_join(F.array_sort(F.collect_list(F.col(fingerprint).cast("string"))), "|")).alias("cluster_id"))
-    return exact.unionByName(large)
+    parts = [F.count(F.lit(1)), F.sum(lo.cast("decimal(38,0)")), F.sum(hi.cast("decimal(38,0)")), F.bit_xor(lo), F.bit_xor(hi)]
+    return members.groupBy(cluster).agg(F.md5(F.concat_ws(":", *[c.cast("string") for c in parts])).alias("cluster_id"))
 
 
-def coherence_fast(members: DataFrame, cluster: str, text: Column, pos: str, sample: int = 5) -> DataFrame:
-    """(cluster, size, coherence) estimated from word overlap of the first rows.
+def coherence_fast(members: DataFrame, cluster: str, text: Column) -> DataFrame:
+    """(cluster, size, coherence) estimated from the word overlap of all rows.
 
     Two rows or fewer .85; a row without informative words .75; otherwise .6 + .4 times
-    the mean pairwise Jaccard of the first five.
+    the mean pairwise Jaccard.
     """
-    toks = members.select(cluster, pos, tokens_informative(text).alias("_tok"))
+    toks = members.select(cluster, tokens_informative(text).alias("_tok"))
     whole = toks.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"), F.min(F.size("_tok")).alias("_least"))
-    mean = _mean_first_jaccard(toks, cluster, pos, sample)
     score = (F.when(F.col("size") <= 2, 0.85).when(F.col("_least") == 0, 0.75)
              .otherwise(0.6 + 0.4 * F.coalesce(F.col("_mean"), F.lit(0.5))))
-    return whole.join(mean, cluster, "left").select(cluster, "size", score.alias("coherence"))
-
-
-def _mean_first_jaccard(toks: DataFrame, cluster: str, pos: str, sample: int, max_pairs: int | None = None) -> DataFrame:
-    """Mean Jaccard over the ordered pairs of each cluster's first ``sample`` rows (at most ``max_pairs`` of them)."""
-    first = top_n_per_group(toks, cluster, [F.asc(pos)], sample, "_i")
-    rows = first.groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct("_i", "_tok"))).alias("_rows"))
-    pairs = F.flatten(F.transform(F.col("_rows"), lambda a: F.transform(
-        F.filter(F.col("_rows"), lambda b: (b["_i"] > a["_i"]) & (F.size(a["_tok"]) + F.size(b["_tok"]) > 0)),
-        lambda b: jaccard(a["_tok"], b["_tok"]))))
-    if max_pairs:
-        pairs = F.slice(pairs, 1, max_pairs)
-    mean = F.aggregate(pairs, F.lit(0.0), lambda acc, v: acc + v) / F.size(pairs)
-    return rows.select(cluster, F.when(F.size(pairs) > 0, mean).alias("_mean"))
-
-
-def mean_pairwise_jaccard(members: DataFrame, cluster: str, text: Column, pos: str, sample: int = 20, max_pairs: int = 50) -> DataFrame:
-    """(cluster, token_coherence): first 20 rows with words, at most 50 pairs in order."""
-    first = top_n_per_group(members.select(cluster, pos, text.alias("_x")), cluster, [F.asc(pos)], sample)
-    toks = first.select(cluster, pos, tokens_quality(F.col("_x")).alias("_tok")).where(F.size("_tok") > 0)
-    out = _mean_first_jaccard(toks, cluster, pos, sample, max_pairs)
-    return out.where(F.col("_mean").isNotNull()).withColumnRenamed("_mean", "token_coherence")
+    return whole.join(mean_jaccard(toks, cluster), cluster, "left").select(cluster, "size", score.alias("coherence"))
+
+
+def hash_family(hashes: int = HASHES) -> list[tuple[int, int]]:
+    """Factor and shift of each MinHash function."""
+    draw = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:7], 16) + 1
+    return [(draw(f"a{k}"), draw(f"b{k}")) for k in range(hashes)]
+
+
+def mean_jaccard(toks: DataFrame, cluster: str, tok: str = "_tok", hashes: int = HASHES) -> DataFrame:
+    """(cluster, _mean): mean Jaccard over all pairs of rows with words, by MinHash in linear time.
+
+    Two rows share the minimum of a hash function with the probability of their Jaccard
+    similarity; so the rows are counted per function and minimum, and n rows of one
+    minimum are n(n-1)/2 agreeing pairs.  ``hashes`` sets the precision.
+    """
+    family = F.array(*[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for a, b in hash_family(hashes)])
+    number = F.transform(F.col(tok), lambda t: F.conv(F.substring(F.md5(t), 1, 15), 16, 10).cast("bigint") % PRIME)
+    # Wrapped in an array, so that each word is digested once and not once per function.
+    least = F.transform(F.array(number), lambda hs: F.transform(family, lambda f: F.array_min(F.transform(hs, lambda h: (f["a"] * h + f["b"]) % PRIME))))[0]
+    rows = toks.where(F.size(tok) > 0).select(cluster, F.posexplode(least).alias("_k", "_v"))
+    same = rows.groupBy(cluster, "_k", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    sums = same.groupBy(cluster).agg(F.sum(F.col("_n") * (F.col("_n") - 1)).alias("_same"), (F.sum("_n") / hashes).alias("_rows"))
+    return sums.where("_rows > 1").select(cluster, (F.col("_same") / hashes / (F.col("_rows") * (F.col("_rows") - 1))).alias("_mean"))
+
+
+def mean_pairwise_jaccard(members: DataFrame, cluster: str, text: Column, hashes: int = HASHES) -> DataFrame:
+    """(cluster, token_coherence): the mean over all pairs of rows with words; clusters of one such row have none."""
+    toks = members.select(cluster, tokens_quality(text).alias("_tok"))
+    return mean_jaccard(toks, cluster, hashes=hashes).withColumnRenamed("_mean", "token_coherence")
 
 
 # --- vectors ------------------------------------------------------------------------------------

@@ -52,8 +52,8 @@ def dedup_text_or_url(df: DataFrame, text: str = "text", url: str = "url", pos:
     return dedup_by_key(once, F.col(url), pos, keep_empty=True)
 
 
-def url_or_title_key(url: Column, title: Column, n: int = 80) -> Column:
-    return F.coalesce(F.when(F.length(url) > 0, url), F.substring(title, 1, n))
+def url_or_title_key(url: Column, title: Column) -> Column:
+    return F.coalesce(F.when(F.length(url) > 0, url), title)
 
 
 def url_or_hash_key(url: Column, text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators.clustering import mean_pairwise_jaccard
-from tidemark.operators.ordering import top_n_per_group
+from tidemark.operators.ordering import rank_bounded, top_n_per_group
 
 
 def stratified_gold_sample(df: DataFrame, strata: list[str], id_col: str, size: int = 200, seed: int = 42) -> DataFrame:
@@ -16,19 +16,19 @@ def stratified_gold_sample(df: DataFrame, strata: list[str], id_col: str, size:
     counts = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
     quota = counts.withColumn("_take", F.greatest(F.lit(1), F.bround(F.col("_n") * size / total).cast("int"))).drop("_n")
-    key = F.xxhash64(F.col(id_col), F.lit(seed))
+    key = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
     # No stratum can claim more than `size` rows, which bounds the rows shipped per stratum and task.
     ranked = top_n_per_group(df.withColumn("_h", key), strata, ["_h", id_col], size, "_rn")
     picked = ranked.join(quota, strata).where(F.col("_rn") <= F.col("_take"))
     return picked.orderBy("_h", id_col).limit(size).drop("_h", "_rn", "_take")
 
 
-def gold_entries(df: DataFrame) -> DataFrame:
-    """Sampled rows with the labels to evaluate and empty fields for people to fill."""
+def gold_entries(df: DataFrame, id_col: str = "post_id") -> DataFrame:
+    """Sampled rows, numbered from 0, with the labels to evaluate and empty fields for people to fill."""
     null = lambda t: F.lit(None).cast(t)
-    return df.select(
-        F.coalesce("fingerprint", F.md5("text")).alias("fingerprint"), F.substring("text", 1, 500).alias("text"),
-        F.substring("title", 1, 200).alias("title"), "source", "url",
+    numbered = rank_bounded(df, [F.asc(id_col)], "_i")  # a sample, so of bounded size
+    return numbered.select((F.col("_i") - 1).cast("bigint").alias("gold_id"),
+        F.coalesce("fingerprint", F.md5("text")).alias("fingerprint"), "text", "title", "source", "url",
         F.col("brand_sentiment").alias("pipeline_sentiment"), F.col("type_tag").alias("pipeline_taxonomy_type"),
         F.col("topic").alias("pipeline_taxonomy_topic"), F.col("persona").alias("pipeline_persona"),
         F.lit(True).alias("pipeline_relevant"), F.col("signal_strength").alias("pipeline_signal_strength"),
@@ -91,8 +91,8 @@ def topic_purity(members: DataFrame, cluster: str, topic: str) -> DataFrame:
     return p.agg(F.avg("purity").alias("mean_purity"), F.min("purity").alias("min_purity"), F.count_if(F.col("purity") >= 0.8).alias("above_80"))
 
 
-def token_coherence(members: DataFrame, cluster: str, text: Column, pos: str) -> DataFrame:
-    c = mean_pairwise_jaccard(members, cluster, text, pos)
+def token_coherence(members: DataFrame, cluster: str, text: Column) -> DataFrame:
+    c = mean_pairwise_jaccard(members, cluster, text)
     return c.agg(F.avg("token_coherence").alias("mean_coherence"), F.min("token_coherence").alias("min_coherence"), F.max("token_coherence").alias("max_coherence"))
 
 

@@ -53,15 +53,15 @@ def attach_ideas(rows: DataFrame, ideas: DataFrame, text: str = "text") -> DataF
     return j.withColumn("ideas", F.coalesce("_ideas", F.array().cast("array<string>"))).drop("_k", "_ideas")
 
 
-def novel_rows(new: DataFrame, existing: DataFrame, url: str = "url", title: str = "title", n: int = 80) -> DataFrame:
-    """New rows whose url and title key are both unseen.
+def novel_rows(new: DataFrame, existing: DataFrame, url: str = "url", title: str = "title") -> DataFrame:
+    """New rows whose url and title are both unseen.
 
     Rows without a url or title never match on that field.
     """
     urls = existing.where(F.length(url) > 0).select(F.col(url).alias("_u")).distinct()
-    titles = existing.where(F.length(title) > 0).select(F.substring(title, 1, n).alias("_t")).distinct()
+    titles = existing.where(F.length(title) > 0).select(F.col(title).alias("_t")).distinct()
     out = new.join(urls, F.col(url) == F.col("_u"), "left_anti")
-    return out.join(titles, F.substring(title, 1, n) == F.col("_t"), "left_anti")
+    return out.join(titles, F.col(title) == F.col("_t"), "left_anti")
 
 
 def merge_append_novel(existing: DataFrame, new: DataFrame) -> DataFrame:

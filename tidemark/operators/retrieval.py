@@ -318,10 +318,11 @@ def hybrid_search(docs: DataFrame, queries: DataFrame, vectors: DataFrame | None
     if vectors is not None:
         if query_vectors is None:
             proxy = proxy_query_vector(lexical, vectors)
-            flat = proxy.select((F.col("query_id.query_id") * 8 + F.col("query_id.variant")).cast("bigint").alias("query_id"), "vec")
-            dense = dense_topk(vectors, flat, pool)
-            dense = dense.select(F.floor(F.col("query_id") / 8).alias("query_id"),
-                                 (F.col("query_id") % 8).cast("int").alias("variant"), "doc_id", "rank")
+            # The search takes plain numbers as ids; the variants, a few per question, give the pair back.
+            key = lambda q, v: F.xxhash64(F.col(q), F.col(v))
+            flat = proxy.select(key("query_id.query_id", "query_id.variant").alias("query_id"), "vec")
+            names = variants.select(key("query_id", "variant").alias("_key"), "query_id", "variant").distinct()
+            dense = dense_topk(vectors, flat, pool).withColumnRenamed("query_id", "_key").join(names, "_key").select("query_id", "variant", "doc_id", "rank")
         else:
             dense = dense_topk(vectors, query_vectors, pool).select("query_id", F.lit(0).alias("variant"), "doc_id", "rank")
         lists.append(merge_variants(dense, pool * 2))
@@ -390,7 +391,7 @@ def keyword_search(df: DataFrame, query: str, packs: dict[str, Pack], k: int = 2
 def stratified_topics(df: DataFrame, topic: str = "topic", persona: str = "persona", strength: str = "signal_strength",
                       score: str = "score", pos: str = "pos", n_topics: int = 20, per_topic: int = 2,
                       personas: list[str] | None = None, limit: int = 40) -> DataFrame:
-    """The two strongest rows of each frequent topic plus the strongest row of each named persona."""
+    """The two strongest rows of each frequent topic plus the strongest row of each named persona, with their ``rank``."""
     named = df.where(F.col(topic).isNotNull() & ~F.col(topic).isin("General", ""))
     top = named.groupBy(topic).count().orderBy(F.desc("count"), F.asc(topic)).limit(n_topics)
     ranked_topics = rank_bounded(top, [F.desc("count"), F.asc(topic)], "_t").select(topic, "_t")
@@ -400,7 +401,7 @@ def stratified_topics(df: DataFrame, topic: str = "topic", persona: str = "perso
     extra = top_n_per_group(people, persona, [F.desc(strength), F.asc(pos)], 1).join(best.select(pos), pos, "left_anti")
     order = F.array_position(F.array(*[F.lit(p) for p in (personas or [""])]), F.col(persona))
     out = best.unionByName(extra.withColumn("_t", F.lit(1_000) + order.cast("int")).withColumn("_i", F.lit(1)))
-    return out.orderBy("_t", "_i").limit(limit).drop("_t", "_i")
+    return rank_bounded(out.orderBy("_t", "_i").limit(limit), ["_t", "_i"], "rank").drop("_t", "_i")
 
 
 # --- vectors from text ----------------------------------------------------------------------------------

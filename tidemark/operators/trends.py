@@ -203,7 +203,7 @@ def run_deltas(current: DataFrame, previous: DataFrame) -> DataFrame:
         F.when(grp == "topic", "new").when(diff > 0, "up").otherwise("down").alias("direction"), "severity")
 
 
-def relevant_alerts(alerts: DataFrame, words: DataFrame | list[str], min_baseline: float = 2.0, limit: int = 4, matched: int = 3) -> DataFrame:
+def relevant_alerts(alerts: DataFrame, words: list[str], min_baseline: float = 2.0, limit: int = 4, matched: int = 3) -> DataFrame:
     """For one question: up to three alerts whose topic contains a question word, topped up with high ones to four."""
     terms = [w.lower() for w in words if len(w) > 3]
     hit = F.lit(False)

@@ -69,7 +69,7 @@ def theme_cards(members: DataFrame, cluster: str = "workstream") -> DataFrame:
     base = members.withColumns({"cluster_ready_score": F.lit(0.0)})
     card = agg.cluster_card(base, cluster, sets={"personas": "persona", "sentiments": "brand_sentiment"}, arrays={"topic_focus_tags": "topic_focus"}, firsts={"type": "type_tag"})
     stats = agg.cluster_stats(members, cluster, F.concat_ws("", "text", "title")).drop("size")
-    coherence = clustering.coherence_fast(members, cluster, F.col("text"), "pos").select(cluster, "coherence")
+    coherence = clustering.coherence_fast(members, cluster, F.col("text")).select(cluster, "coherence")
     ids = clustering.cluster_ids(members, cluster, "fingerprint")
     return card.join(stats, cluster).join(coherence, cluster).join(ids, cluster)
 
@@ -116,7 +116,8 @@ def ask(question: str, insights: DataFrame, p: Packs, as_of: Column, vectors: Da
     lo = question.lower()
     broad = [t for r in p["question_intents"].rules if r.label == "broad" for t in r.substr]
     if any(t in lo for t in broad):
-        sources = retrieval.stratified_topics(insights, personas=["Power Seller", "Collector", "Investor", "New Seller", "Casual Buyer"])
+        sources = retrieval.stratified_topics(insights, pos="post_id", personas=["Power Seller", "Collector", "Investor", "New Seller", "Casual Buyer"])
+        sources = sources.withColumnRenamed("post_id", "doc_id")
     else:
         q = insights.sparkSession.createDataFrame([(0, question)], "query_id long, query string")
         sources = retrieval.hybrid_search(insights, q, vectors, p, as_of)
@@ -129,7 +130,7 @@ def ask(question: str, insights: DataFrame, p: Packs, as_of: Column, vectors: Da
 def cluster_quality(members: DataFrame, cluster: str, topic: str = "topic") -> DataFrame:
     """One row: size distribution, purity and token coherence."""
     size = evaluation.cluster_size_stats(members, cluster)
-    purity, tokens = evaluation.topic_purity(members, cluster, topic), evaluation.token_coherence(members, cluster, F.concat_ws(" ", "text", "title"), "pos")
+    purity, tokens = evaluation.topic_purity(members, cluster, topic), evaluation.token_coherence(members, cluster, F.concat_ws(" ", "text", "title"))
     one = lambda df: df.withColumn("_one", F.lit(1))
     # Three tables of one row each.
     return one(size).join(one(purity), "_one").join(one(tokens), "_one").drop("_one")

@@ -147,13 +147,16 @@ def _fuzzy_sql() -> str:
         for t in r.substr:
             lists.append(f"{{'r': 1 - levenshtein(x, {q(t)}) / greatest(length(x), {len(t)})::DOUBLE, 'p': {-i}, 'b': {q(r.label)}}}")
     best = f"list_aggregate([{', '.join(lists)}], 'max')"
-    return f"SELECT doc_id, CASE WHEN ({best}).r >= 0.6 THEN ({best}).b END AS brand FROM (SELECT doc_id, lower(regexp_extract(text, '[A-Za-z]+')) AS x FROM documents)"
+    words = "SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS x FROM documents"
+    return f"SELECT doc_id, brand, count(*) AS n FROM (SELECT doc_id, CASE WHEN ({best}).r >= 0.6 THEN ({best}).b END AS brand FROM ({words})) WHERE brand IS NOT NULL GROUP BY 1, 2"
 
 
 @query("brand_fuzzy", _fuzzy_sql())
 def _fuzzy(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.lower(F.regexp_extract("text", "[A-Za-z]+", 0)).alias("x"))
-    return d.select("doc_id", enrich.brand_fuzzy(F.col("x"), P, 0.6).alias("brand"))
+    """Brands that the words of each text come close to."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+    d = table(spark, sf, "documents").select("doc_id", F.explode(words).alias("x"))
+    return d.select("doc_id", enrich.brand_fuzzy(F.col("x"), P, 0.6).alias("brand")).where("brand is not null").groupBy("doc_id", "brand").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _brand_rule_sql() -> str:

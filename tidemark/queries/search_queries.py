@@ -234,33 +234,38 @@ def _groups(spark, sf):
     return cl.cluster_workstreams(with_workstream(spark, sf)).groupBy("workstream").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("cluster_key", f"WITH {POSTS}, f AS (SELECT source, md5(lower(text)) AS fp FROM posts) SELECT source, md5(string_agg(fp, '|' ORDER BY fp)) AS cluster_id FROM f GROUP BY 1")
+_HEX = lambda c, at: f"CAST('0x' || substr({c}, {at}, 15) AS BIGINT)"
+
+
+@query("cluster_key", f"""WITH {POSTS}, f AS (SELECT source, md5(md5(lower(text))) AS h FROM posts), g AS (SELECT source, {_HEX('h', 1)} AS lo, {_HEX('h', 17)} AS hi FROM f)
+SELECT source, md5(concat_ws(':', count(*), sum(lo), sum(hi), bit_xor(lo), bit_xor(hi))) AS cluster_id FROM g GROUP BY 1""")
 def _key(spark, sf):
     p = posts(spark, sf).withColumn("fp", F.md5(F.lower("text")))
     return cl.cluster_ids(p, "source", "fp")
 
 
-def _coh_sql(sample: int, limit: int | None, stop, distinct: str) -> str:
-    lim = f"WHERE pr <= {limit}" if limit else ""
+def coherence_sql(stop) -> str:
+    """Word sets (tk) and the mean overlap of all pairs per source (mj), with the same hash functions."""
+    family = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(cl.hash_family()))
     return f"""tk AS (SELECT source, doc_id AS pos, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: NOT list_contains([{', '.join(q(s) for s in stop)}], x))) AS tok FROM documents),
-fr AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pos) AS i FROM tk), f5 AS (SELECT * FROM fr WHERE i <= {sample}),
-pr AS (SELECT a.source, len(list_intersect(a.tok, b.tok)) / (len(a.tok) + len(b.tok) - len(list_intersect(a.tok, b.tok)))::DOUBLE AS j, row_number() OVER (PARTITION BY a.source ORDER BY a.i, b.i) AS pr FROM f5 a JOIN f5 b ON a.source = b.source AND a.i < b.i WHERE len(a.tok) + len(b.tok) > 0),
-mj AS (SELECT source, avg(j) AS m FROM pr {lim} GROUP BY 1)"""
+hx AS (SELECT source, pos, {_HEX('md5(t)', 1)} % {cl.PRIME} AS h FROM (SELECT source, pos, unnest(tok) AS t FROM tk)), fam(k, a, b) AS (VALUES {family}),
+sg AS (SELECT source, pos, k, min((a * h + b) % {cl.PRIME}) AS v FROM hx, fam GROUP BY 1, 2, 3), cn AS (SELECT source, k, v, count(*) AS n FROM sg GROUP BY 1, 2, 3),
+sm AS (SELECT source, sum(n * (n - 1))::DOUBLE AS same, sum(n) / {cl.HASHES}::DOUBLE AS r FROM cn GROUP BY 1), mj AS (SELECT source, same / {cl.HASHES} / (r * (r - 1)) AS m FROM sm WHERE r > 1)"""
 
 
-@query("cluster_coherence_fast", f"WITH {_coh_sql(5, None, STOP_COHERENCE, '')}, w AS (SELECT source, count(*) AS size, min(len(tok)) AS least FROM tk GROUP BY 1) SELECT source, size, round(CASE WHEN size <= 2 THEN 0.85 WHEN least = 0 THEN 0.75 ELSE 0.6 + 0.4 * coalesce(m, 0.5) END, 6)::DOUBLE AS coherence FROM w LEFT JOIN mj USING (source)")
+@query("cluster_coherence_fast", f"WITH {coherence_sql(STOP_COHERENCE)}, w AS (SELECT source, count(*) AS size, min(len(tok)) AS least FROM tk GROUP BY 1) SELECT source, size, round(CASE WHEN size <= 2 THEN 0.85 WHEN least = 0 THEN 0.75 ELSE 0.6 + 0.4 * coalesce(m, 0.5) END, 6)::DOUBLE AS coherence FROM w LEFT JOIN mj USING (source)")
 def _coherence(spark, sf):
     d = _docs_src(spark, sf)
-    return cl.coherence_fast(d, "source", F.col("text"), "doc_id").withColumn("coherence", R6(F.col("coherence")))
+    return cl.coherence_fast(d, "source", F.col("text")).withColumn("coherence", R6(F.col("coherence")))
 
 
 def _docs_src(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "text", "source")
 
 
-@query("mean_pairwise_jaccard", f"WITH {_coh_sql(20, 50, STOP_QUALITY, '')} SELECT source, round(m, 6) AS token_coherence FROM mj")
+@query("mean_pairwise_jaccard", f"WITH {coherence_sql(STOP_QUALITY)} SELECT source, round(m, 6) AS token_coherence FROM mj")
 def _jaccard(spark, sf):
-    return cl.mean_pairwise_jaccard(_docs_src(spark, sf), "source", F.col("text"), "doc_id").withColumn("token_coherence", R6(F.col("token_coherence")))
+    return cl.mean_pairwise_jaccard(_docs_src(spark, sf), "source", F.col("text")).withColumn("token_coherence", R6(F.col("token_coherence")))
 
 
 _EPS = 0.68

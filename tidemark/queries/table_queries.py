@@ -69,19 +69,19 @@ def _ideas(spark, sf):
     return joins.attach_ideas(d, ideas).select("doc_id", F.array_join("ideas", ",").alias("ideas"))
 
 
-_NOVEL = "new AS (SELECT * FROM posts WHERE post_id % 2 = 1), old AS (SELECT * FROM posts WHERE post_id % 2 = 0 AND post_id % 6 = 0)"
+_NOVEL = "new AS (SELECT * FROM posts WHERE post_id % 3 > 0), old AS (SELECT * FROM posts WHERE post_id % 3 = 0)"
 
 
-@query("novel_rows", f"WITH {POSTS}, {_NOVEL} SELECT post_id FROM new WHERE url NOT IN (SELECT url FROM old) AND substr(title, 1, 80) NOT IN (SELECT substr(title, 1, 80) FROM old)")
+@query("novel_rows", f"WITH {POSTS}, {_NOVEL} SELECT post_id FROM new WHERE url NOT IN (SELECT url FROM old) AND title NOT IN (SELECT title FROM old)")
 def _novel(spark, sf):
     p = posts(spark, sf)
-    return joins.novel_rows(p.where("post_id % 2 = 1"), p.where("post_id % 6 = 0")).select("post_id")
+    return joins.novel_rows(p.where("post_id % 3 > 0"), p.where("post_id % 3 = 0")).select("post_id")
 
 
-@query("merge_append_novel", f"WITH {POSTS}, {_NOVEL} SELECT post_id FROM old UNION ALL SELECT post_id FROM new WHERE url NOT IN (SELECT url FROM old) AND substr(title, 1, 80) NOT IN (SELECT substr(title, 1, 80) FROM old)")
+@query("merge_append_novel", f"WITH {POSTS}, {_NOVEL} SELECT post_id FROM old UNION ALL SELECT post_id FROM new WHERE url NOT IN (SELECT url FROM old) AND title NOT IN (SELECT title FROM old)")
 def _merge(spark, sf):
     p = posts(spark, sf)
-    return joins.merge_append_novel(p.where("post_id % 6 = 0"), p.where("post_id % 2 = 1")).select("post_id")
+    return joins.merge_append_novel(p.where("post_id % 3 = 0"), p.where("post_id % 3 > 0")).select("post_id")
 
 
 @query("temporal_edges", f"""WITH {POSTS}, n AS (SELECT post_id, post_date, row_number() OVER (ORDER BY pos) AS rn FROM posts)
@@ -99,14 +99,14 @@ def _graph(spark, sf):
     return nodes.select("node").join(deg, "node", "left").select("node", F.coalesce("out_edges", F.lit(0)).alias("out_edges"))
 
 
-@query("video_with_comments", f"""WITH {POSTS}, v AS (SELECT url, min(pos) AS p FROM posts WHERE post_id % 9 = 0 GROUP BY 1), c AS (SELECT url, count(*) AS n, arg_min(title, pos) AS t FROM posts WHERE post_id % 9 <> 0 AND post_id % 2 = 0 GROUP BY 1)
-SELECT coalesce(v.url, c.url) AS url, coalesce(pv.title, c.t) AS title, coalesce(n, 0) AS n_comments, v.url IS NOT NULL AS has_video, coalesce(substr(pv.text, 1, 30), c.n || ' quality comments on this video') AS text
+@query("video_with_comments", f"""WITH {POSTS}, v AS (SELECT url, min(pos) AS p FROM posts WHERE post_id % 9 = 0 GROUP BY 1), c AS (SELECT url, count(*) AS n, arg_min(title, pos) AS t FROM posts WHERE post_id % 9 <> 0 GROUP BY 1)
+SELECT coalesce(v.url, c.url) AS url, coalesce(pv.title, c.t) AS title, coalesce(n, 0) AS n_comments, v.url IS NOT NULL AS has_video, coalesce(md5(pv.text), c.n || ' quality comments on this video') AS text
 FROM v FULL JOIN c ON v.url = c.url LEFT JOIN posts pv ON pv.pos = v.p""")
 def _video(spark, sf):
     p = posts(spark, sf)
     videos = ordering.keep_first_by_key(p.where("post_id % 9 = 0"), "url", "pos")
-    out = joins.video_with_comments(videos, p.where("post_id % 9 <> 0 and post_id % 2 = 0"))
-    return out.select("url", "title", "n_comments", "has_video", F.when(F.col("has_video"), F.substring("text", 1, 30)).otherwise(F.col("text")).alias("text"))
+    out = joins.video_with_comments(videos, p.where("post_id % 9 <> 0"))
+    return out.select("url", "title", "n_comments", "has_video", F.when(F.col("has_video"), F.md5("text")).otherwise(F.col("text")).alias("text"))
 
 
 # --- roll-ups --------------------------------------------------------------------------------
@@ -135,7 +135,7 @@ SNAPSHOT = ("SELECT * FROM (" + " UNION ALL ".join(
         ("total", "total_insights", "count(*)"), ("sentiment", "total_negative", "count(*) FILTER (WHERE brand_sentiment = 'Negative')"), ("sentiment", "total_positive", "count(*) FILTER (WHERE brand_sentiment = 'Positive')"),
         ("churn", "churn", "count(*) FILTER (WHERE is_churn_signal)"), ("praise", "praise", "count(*) FILTER (WHERE is_praise_signal)"), ("strength", "avg_strength", "avg(signal_strength)"),
         *[("signal", m, f"count(*) FILTER (WHERE {c})") for m, c in SIGNALS.items()], *[("entity", m, f"count(*) FILTER (WHERE topic = {q(v)})") for m, v in ENTITIES.items()]]]
-    + ["SELECT 'topic' AS metric_group, topic AS metric, n::DOUBLE AS value FROM (SELECT topic, count(*) AS n FROM base GROUP BY 1 ORDER BY n DESC, topic LIMIT 25)"]) + ")")
+    + ["SELECT 'topic' AS metric_group, topic AS metric, n::DOUBLE AS value FROM (SELECT topic, count(*) AS n FROM base GROUP BY 1)"]) + ")")
 
 
 @query("run_snapshot", f"WITH {INSIGHTS}, base AS (SELECT * FROM insights) SELECT metric_group, metric, round(value, 6) AS value FROM ({SNAPSHOT})")
@@ -320,20 +320,20 @@ def _card(spark, sf):
 
 def _idea_rows(spark, sf):
     d = table(spark, sf, "documents")
-    lines = F.slice(F.filter(F.split("text", "\n"), lambda s: F.length(F.trim(s)) > 0), 1, 3)
+    lines = F.filter(F.split("text", "\n"), lambda s: F.length(F.trim(s)) > 0)
     return d.select("source", F.col("doc_id").alias("pos"), lines.alias("ideas"))
 
 
-_IDEA = "idea AS (SELECT source, doc_id AS pos, unnest(l[1:3]) AS x, generate_subscripts(l[1:3], 1) AS i FROM (SELECT source, doc_id, list_filter(string_split(text, chr(10)), lambda s: length(trim(s)) > 0) AS l FROM documents))"
+_IDEA = "idea AS (SELECT source, doc_id AS pos, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT source, doc_id, list_filter(string_split(text, chr(10)), lambda s: length(trim(s)) > 0) AS l FROM documents))"
 
 
-@query("top_ideas", f"""WITH {_IDEA}, c AS (SELECT source, trim(x) AS idea, count(*) AS n, min(pos * 100 + i) AS f FROM idea WHERE length(trim(x)) > 10 AND NOT starts_with(lower(x), 'customer') GROUP BY 1, 2)
+@query("top_ideas", f"""WITH {_IDEA}, c AS (SELECT source, trim(x) AS idea, count(*) AS n, min(pos * 1000000 + i) AS f FROM idea WHERE length(trim(x)) > 10 AND NOT starts_with(lower(x), 'customer') GROUP BY 1, 2)
 SELECT source, md5(idea) AS idea, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, f) AS rank FROM c) WHERE rank <= 5""")
 def _ideas_top(spark, sf):
     return agg.top_ideas(_idea_rows(spark, sf), "source", "ideas").select("source", F.md5("idea").alias("idea"), "n", "rank")
 
 
-@query("distinct_actions", f"""WITH {_IDEA}, c AS (SELECT source, lower(trim(x)) AS k, arg_min(trim(x), pos * 100 + i) AS idea, min(pos * 100 + i) AS f FROM idea WHERE trim(x) <> '' GROUP BY 1, 2)
+@query("distinct_actions", f"""WITH {_IDEA}, c AS (SELECT source, lower(trim(x)) AS k, arg_min(trim(x), pos * 1000000 + i) AS idea, min(pos * 1000000 + i) AS f FROM idea WHERE trim(x) <> '' GROUP BY 1, 2)
 SELECT source, rank, md5(idea) AS idea FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY f) AS rank FROM c) WHERE rank <= 8""")
 def _actions(spark, sf):
     return agg.distinct_actions(_idea_rows(spark, sf), "ideas", cluster="source").withColumn("idea", F.md5("idea"))
@@ -507,7 +507,7 @@ def _text_url(spark, sf):
     return dedup.dedup_text_or_url(posts(spark, sf)).select("post_id")
 
 
-@query("dedup_keys", f"""WITH {POSTS}, p AS (SELECT *, CASE WHEN post_id % 5 = 0 THEN '' ELSE url END AS u FROM posts), k AS (SELECT post_id, pos, CASE WHEN u <> '' THEN u ELSE substr(title, 1, 80) END AS k1, CASE WHEN u <> '' THEN u ELSE md5(text) END AS k2, source || '::' || trim(lower(title)) AS k3, trim(lower(title)) AS k4 FROM p)
+@query("dedup_keys", f"""WITH {POSTS}, p AS (SELECT *, CASE WHEN post_id % 5 = 0 THEN '' ELSE url END AS u FROM posts), k AS (SELECT post_id, pos, CASE WHEN u <> '' THEN u ELSE title END AS k1, CASE WHEN u <> '' THEN u ELSE md5(text) END AS k2, source || '::' || trim(lower(title)) AS k3, trim(lower(title)) AS k4 FROM p)
 SELECT post_id, min(pos) OVER (PARTITION BY k1) = pos AS by_url_or_title, min(pos) OVER (PARTITION BY k2) = pos AS by_url_or_hash, min(pos) OVER (PARTITION BY k3) = pos AS by_entity_title, min(pos) OVER (PARTITION BY k4) = pos AS by_title FROM k""")
 def _keys(spark, sf):
     p = posts(spark, sf).withColumn("url", F.when(F.col("post_id") % 5 == 0, "").otherwise(F.col("url"))).select("post_id", "pos", "url", "title", "text", "source")

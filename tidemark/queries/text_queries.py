@@ -255,11 +255,11 @@ def _explode(spark, sf):
     return rules.explode_hits(d, "text", ["thing", "thble", "best", "great", "license", "roi", "ach"]).select("doc_id", "term", F.lit(1).alias("hit"))
 
 
-@query("lexicon_join", """WITH lex AS (SELECT DISTINCT w AS term FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) WHERE length(w) BETWEEN 2 AND 9)
+@query("lexicon_join", """WITH lex AS (SELECT DISTINCT w AS term FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark))
 SELECT l.page_id, count(*) AS n FROM (SELECT page_id, lower(url) AS u FROM pages) l JOIN lex ON contains(l.u, lex.term) GROUP BY 1""")
 def _lexicon(spark, sf):
     """A lexicon that grows with the data: the words of the benchmark table, matched inside page addresses."""
-    words = table(spark, sf, "benchmark").select(F.explode(text.raw_tokens(F.col("text"), "[a-z]+")).alias("term")).where(F.length("term").between(2, 9)).distinct()
+    words = table(spark, sf, "benchmark").select(F.explode(text.raw_tokens(F.col("text"), "[a-z]+")).alias("term")).distinct()
     return rules.explode_hits(table(spark, sf, "pages").select("page_id", "url"), "url", words, literal_limit=64).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
 
 

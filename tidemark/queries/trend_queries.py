@@ -18,8 +18,11 @@ _K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
 
 
 def dated(spark, sf):
+    return dated_rows(table(spark, sf, "events"))
+
+
+def dated_rows(e):
     """Events as dated rows: a fine topic whose volume moves over time, negative when large."""
-    e = table(spark, sf, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     late = F.col("ts") >= F.lit("2024-01-22").cast("timestamp_ntz")
     newest = F.col("ts") >= F.lit("2024-01-29").cast("timestamp_ntz")
@@ -173,16 +176,23 @@ def labelled(spark, sf):
     return ev.gold_vs_pipeline(gold, rows, "doc_id")
 
 
-@query("stratified_gold_sample")
+def _gold_sql(size: int) -> str:
+    return f"""{INSIGHTS}, ns AS (SELECT source, brand_sentiment, count(*) AS n FROM insights GROUP BY 1, 2), qt AS (SELECT source, brand_sentiment, greatest(1, CAST(round_even(n * {size} / (SELECT sum(n) FROM ns)::DOUBLE, 0) AS INTEGER)) AS take FROM ns),
+hh AS (SELECT *, md5(post_id || ':42') AS h FROM insights), rk AS (SELECT *, row_number() OVER (PARTITION BY source, brand_sentiment ORDER BY h, post_id) AS rn FROM hh),
+gold AS (SELECT rk.* FROM rk JOIN qt USING (source, brand_sentiment) WHERE rn <= take ORDER BY h, post_id LIMIT {size})"""
+
+
+@query("stratified_gold_sample", f"WITH {_gold_sql(200)} SELECT post_id, source, brand_sentiment FROM gold")
 def _gold(spark, sf):
-    s = ev.stratified_gold_sample(insights(spark, sf), ["source", "brand_sentiment"], "post_id", 200)
-    return s.groupBy("source", "brand_sentiment").agg(F.count(F.lit(1)).alias("n"))
+    return ev.stratified_gold_sample(insights(spark, sf), ["source", "brand_sentiment"], "post_id", 200).select("post_id", "source", "brand_sentiment")
 
 
-@query("gold_entries")
+@query("gold_entries", f"""WITH {_gold_sql(50)} SELECT row_number() OVER (ORDER BY post_id) - 1 AS gold_id, md5(text) AS text, title, source, url, brand_sentiment AS pipeline_sentiment, type_tag AS pipeline_taxonomy_type, topic AS pipeline_taxonomy_topic,
+persona AS pipeline_persona, round(signal_strength, 6) AS pipeline_signal_strength, FALSE AS labeled FROM gold""")
 def _entries(spark, sf):
     s = ev.gold_entries(ev.stratified_gold_sample(insights(spark, sf), ["source", "brand_sentiment"], "post_id", 50))
-    return s.select("fingerprint", "source", "pipeline_sentiment", "pipeline_taxonomy_topic", "labeled")
+    return s.select("gold_id", F.md5("text").alias("text"), "title", "source", "url", "pipeline_sentiment", "pipeline_taxonomy_type", "pipeline_taxonomy_topic", "pipeline_persona",
+                    R6(F.col("pipeline_signal_strength")).alias("pipeline_signal_strength"), "labeled")
 
 
 @query("gold_vs_pipeline", f"WITH {_LABELS} SELECT doc_id, actual, predicted, a, p FROM l")
@@ -224,12 +234,12 @@ def _purity(spark, sf):
 
 
 from tidemark.functions.text import STOP_QUALITY  # noqa: E402
-from tidemark.queries.search_queries import _coh_sql, _docs_src  # noqa: E402
+from tidemark.queries.search_queries import coherence_sql, _docs_src  # noqa: E402
 
 
-@query("token_coherence", f"WITH {_coh_sql(20, 50, STOP_QUALITY, '')} SELECT round(avg(m), 6) AS mean_coherence, round(min(m), 6) AS min_coherence, round(max(m), 6) AS max_coherence FROM mj")
+@query("token_coherence", f"WITH {coherence_sql(STOP_QUALITY)} SELECT round(avg(m), 6) AS mean_coherence, round(min(m), 6) AS min_coherence, round(max(m), 6) AS max_coherence FROM mj")
 def _token_coherence(spark, sf):
-    t = ev.token_coherence(_docs_src(spark, sf), "source", F.col("text"), "doc_id")
+    t = ev.token_coherence(_docs_src(spark, sf), "source", F.col("text"))
     return t.select(*[R6(F.col(c)).alias(c) for c in t.columns])
 
 
@@ -284,6 +294,18 @@ def _st4(spark, sf):
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+_CLOSED_PERIODS = f"""{DATED}, cl AS (SELECT CAST(max(day) - INTERVAL 1 DAY AS DATE) AS c FROM dt), p0 AS (SELECT topic, (date_diff('day', day, c) - 1) // 7 AS back, negative FROM dt, cl WHERE day < c),
+pc AS (SELECT topic, CAST((SELECT max(back) FROM p0) - back AS INTEGER) AS p, count(*) AS n, count(*) FILTER (WHERE negative) AS neg FROM p0 GROUP BY 1, 2)"""
+
+
+@query("stream_trend_alerts", _ALERT(f"{_VOLUME} UNION ALL {_SHIFT} UNION ALL {_EMERGE}").replace(PERIODS, _CLOSED_PERIODS))
+def _st4_alerts(spark, sf):
+    """Alerts of the newest closed window, from the windows that the stream has counted."""
+    s = st.period_counts(dated_rows(event_stream(spark, sf)), "ts", "topic", F.col("negative"))
+    windows = st.last_update(st.run_to_table(s, "update", "alert-periods"), ["start", "topic"], ["n", "neg"])
+    return _alert_cols(tr.detect_trends(st.closed_periods(windows)))
+
+
 @query("stream_sessions", f"""WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 12 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END AS b, event_id FROM events),
 s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM g), r AS (SELECT user_id, sid, count(*) AS n, max(ts) + INTERVAL 12 HOUR AS e FROM s GROUP BY 1, 2) SELECT user_id, n, count(*) AS sessions FROM r WHERE e <= {_CLOSED} GROUP BY 1, 2""")
 def _st5(spark, sf):
@@ -294,8 +316,8 @@ def _st5(spark, sf):
 @query("stream_run_delta", "SELECT event_type AS label, count(*) AS total_n FROM events GROUP BY 1")
 def _st6(spark, sf):
     s = st.running_deltas(event_stream(spark, sf).select("event_id", "event_type"), "event_type")
-    per_slot = st.last_update(st.run_to_table(s, "update", "deltas"), ["label", "slot"], ["total_n"])
-    return per_slot.groupBy("label").agg(F.sum("total_n").alias("total_n"))
+    added = st.batch_deltas(st.run_to_table(s, "update", "deltas"), ["label"])
+    return added.groupBy("label").agg(F.sum("batch_n").alias("total_n"))
 
 
 # --- sources and sinks: tables written out and read back ------------------------------------------------------
@@ -341,14 +363,14 @@ def _depth(spark, sf):
     return readers.comment_depth(t).groupBy("comment_depth").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("compose_video_posts", """WITH v AS (SELECT page_id AS vid, 'Video ' || page_id AS title, substr(html, 1, 400) AS tr, page_id % 3 = 0 AS has_tr FROM pages), c AS (SELECT doc_id, doc_id % (SELECT count(*) FROM pages) AS vid, text FROM documents WHERE length(text) >= 20)
+@query("compose_video_posts", """WITH v AS (SELECT page_id AS vid, 'Video ' || page_id AS title, html AS tr, page_id % 3 = 0 AS has_tr FROM pages), c AS (SELECT doc_id, doc_id % (SELECT count(*) FROM pages) AS vid, text FROM documents WHERE length(text) >= 20)
 SELECT 'video' AS kind, count(*) AS n, CAST(sum(length(CASE WHEN has_tr AND length(tr) > 50 THEN title || chr(10) || chr(10) || tr ELSE title || chr(10) || chr(10) || 'a long description' END)) AS BIGINT) AS chars FROM v UNION ALL SELECT 'comment', count(*), CAST(sum(length(text)) AS BIGINT) FROM c JOIN v USING (vid)""")
 def _videos(spark, sf):
     p = table(spark, sf, "pages")
     n = p.agg(F.count(F.lit(1))).scalar()
     vid = F.col("page_id").cast("string")
     videos = p.select(vid.alias("video_id"), F.concat(F.lit("Video "), vid).alias("title"), F.lit("chan").alias("channel"), F.lit("2024-01-05T00:00:00Z").alias("published"), F.lit("a long description").alias("description"), F.col("page_id").alias("pos"))
-    tr_ = p.where("page_id % 3 = 0").select(vid.alias("video_id"), F.substring("html", 1, 400).alias("transcript"))
+    tr_ = p.where("page_id % 3 = 0").select(vid.alias("video_id"), F.col("html").alias("transcript"))
     com = table(spark, sf, "documents").select((F.col("doc_id") % n).cast("string").alias("video_id"), "text", F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("published"), F.lit(3).alias("likes"))
     out = readers.compose_video_posts(videos.unionByName(videos), tr_, com, as_of())
     return out.groupBy(F.when(F.col("source") == "YouTube (comment)", "comment").otherwise("video").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).cast("bigint").alias("chars"))

@@ -8,9 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions.rules import Pack, all_labels
 from tidemark.operators.joins import pending_enrichment
@@ -42,30 +40,34 @@ def period_counts(rows: DataFrame, at: str, topic: str, negative: Column, window
             .agg(F.count(F.lit(1)).alias("n"), F.sum("_neg").alias("neg")).select(F.col("window.start").alias("start"), "topic", "n", "neg"))
 
 
+def closed_periods(windows: DataFrame, window_days: int = 7, delay_days: int = 1) -> DataFrame:
+    """(topic, period_idx, n, neg) for the trend rules: of the sliding windows the newest that the watermark has passed, and
+    those ahead of it that meet end to end."""
+    w = windows.withColumn("_d", F.col("start").cast("date"))
+    closed = F.date_sub(w.agg(F.max("_d")).scalar(), delay_days)
+    w = w.withColumn("_ago", F.datediff(closed, F.col("_d"))).where((F.col("_ago") >= window_days) & (F.col("_ago") % window_days == 0))
+    last = w.agg(F.max("_ago")).scalar()
+    return w.select("topic", ((last - F.col("_ago")) / window_days).cast("int").alias("period_idx"), "n", "neg")
+
+
 def sessions(rows: DataFrame, at: str, who: str, gap: str = "6 hours", delay: str = "1 day") -> DataFrame:
     """(who, start, end, n): runs of rows whose gaps stay under the limit."""
     return (rows.withWatermark(at, delay).groupBy(F.session_window(at, gap), who).agg(F.count(F.lit(1)).alias("n"))
             .select(who, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n"))
 
 
-def running_deltas(rows: DataFrame, label: str, salt: int = 16) -> DataFrame:
-    """(label, slot, batch_n, total_n): counters of a micro-batch against the state so far.
+def running_deltas(rows: DataFrame, label: str) -> DataFrame:
+    """(label, total_n) in update mode: the count so far of each label that a micro-batch touched.
 
-    A hot label is spread over ``salt`` slots, each with its own small counter state; sum
-    the slots per label to read the totals.
+    Rows are counted in each task before the shuffle, so a hot label sends one row per task.
     """
-    schema = rows.schema
-    ltype = schema[label].dataType.simpleString()
-
-    def step(key, batches, state: GroupState):
-        before = state.get[0] if state.exists else 0
-        n = sum(len(b) for b in batches)
-        state.update((before + n,))
-        yield pd.DataFrame({"label": [key[0]], "slot": [key[1]], "batch_n": [n], "total_n": [before + n]})
-
-    slots = rows.select(F.col(label).alias("label"), F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salt)).cast("int").alias("slot"))
-    return slots.groupBy("label", "slot").applyInPandasWithState(
-        step, f"label {ltype}, slot int, batch_n bigint, total_n bigint", "n bigint", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("total_n"))
+
+
+def batch_deltas(updates: DataFrame, keys: list[str], total: str = "total_n", out: str = "batch_n") -> DataFrame:
+    """What each micro-batch of an update-mode table added to the running totals."""
+    before = F.lag(total, 1, 0).over(Window.partitionBy(*keys).orderBy("epoch"))
+    return updates.withColumn(out, F.col(total) - before)
 
 
 def enrich_novel(rows: DataFrame, table: str, key: str, label: Callable[[DataFrame], DataFrame], checkpoint: str):
