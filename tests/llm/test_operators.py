@@ -283,6 +283,29 @@ def test_chat_rows_edge_cases(spark):
     assert got == {1: [("user", "é\n<|turn|>")] * 2 + [("assistant", "")], None: [("", "x")], 2: [("assistant", "long " * 100_000)]}
 
 
+def test_chat_keeps_turns_and_conversations_of_any_size(spark, tmp_path):
+    """A turn of more than 20,000,000 characters, and a conversation of more than 128 MiB under the null id."""
+    one = spark.range(1).select(F.lit(1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("assistant").alias("role"), F.repeat(F.lit("long "), 4_200_000).alias("text"))
+    many = spark.range(150).select(F.lit(None).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.repeat(F.lit("x"), 1_000_000).alias("text"))
+    one.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: (r["n_turns"], r["loss_chars"], r["loss_sha256"]) for r in chat.op8(spark, str(tmp_path)).collect()}
+    assert got[1] == (1, 21_000_000, hashlib.sha256(b"long " * 4_200_000).hexdigest())
+    sums = F.aggregate("turns_", F.lit(0), lambda a, t: a + F.char_length(t["text"]))
+    assert [tuple(r) for r in chat.turns_of(many).select("conv_id", "layout_", F.size("turns_"), sums).collect()] == [(None, "messages", 150, 150_000_000)]
+
+
+def test_chat_records_beyond_the_variant_fail(spark):
+    """Long strings are read; what no variant can hold is an error, not broken JSON."""
+    text = F.repeat(F.lit("x"), 21_000_000)
+    long = spark.range(1).select(F.concat(F.lit('{"prompt": "q", "response": "'), text, F.lit('"}')).alias("record"))
+    assert [tuple(r) for r in chat.canonical(long).select("layout_", F.char_length(F.col("turns_")[1]["text"])).collect()] == [("prompt_response", 21_000_000)]
+    huge = spark.range(1).select(F.concat(F.lit('{"prompt": "q", "response": "'), F.repeat(F.lit("x"), 140_000_000), F.lit('"}')).alias("record"))
+    with pytest.raises(Exception, match="beyond the size of a variant"):
+        chat.canonical(huge).select("layout_", F.size("turns_")).collect()
+    short = spark.createDataFrame([("{'prompt': 'q', 'response': 'a'}",), ("{broken",)], "record string")
+    assert chat.canonical(short).where("layout_ is not null").isEmpty()
+
+
 # --- decontamination ------------------------------------------------------------------------------------------
 
 def test_decontamination_edge_cases(spark):
