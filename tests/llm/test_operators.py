@@ -240,6 +240,21 @@ def test_license_scan(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_license_scan_reads_over_line_breaks():
+    """Every template wrapped after any of its words, with comment marks, after prose; and none of its words lost."""
+    found = licenses.scanner()
+    for name, text in licenses.TEMPLATES.items():
+        assert licenses.CUES.search(text.lower()), name
+        words = text.split(" ")
+        for k in range(1, len(words)):
+            for sep in ("\n", "  ", "\n # "):
+                got = found("Some prose, all of it to this end.\n// " + " ".join(words[:k]) + sep + " ".join(words[k:]) + "\nMore prose.")
+                assert [(n, line, missing, added) for n, line, _, missing, added in got] == [(name, 1, 0, 0)], (name, k, sep)
+        assert [x[0] for x in found("\n".join(words) + "\n\n" + text)] == [name] * 2
+    late = "word " * 50 + "hereby granted" + licenses.TEMPLATES["MIT"].removeprefix("Permission is hereby granted")
+    assert [(x[0], x[3]) for x in found(late)] == [("MIT", 2)] and found("public domain, permission, licensed; nothing else") == []
+
+
 def test_license_query_finds_every_planted_line(spark, docs):
     lines = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0-notice", "All rights reserved.": "all-rights-reserved", "Released under the MIT License.": "MIT-notice"}
     got = {r["doc_id"]: set(r["licenses"]) for r in licenses.op9(spark, SF).collect()}

@@ -1,7 +1,8 @@
 """License scan by conditional compression.
 
-Lines with a cue word open candidate blocks: the words from there on, as many as a template has and a quarter more. Each block
-is compressed by zstandard alone and with each template as raw dictionary; the more a template explains the block, the more
+The whole text is one sequence of words; line breaks, blanks and comment marks between them do not count. Cue words open candidate
+blocks: up to the longest template's length before a cue, each word that may be the first of a template to stand opens one, as many
+words as the template has and a quarter more. Templates that lack too many words there are left out unseen. Each block is compressed by zstandard alone and with each template as raw dictionary; the more a template explains the block, the more
 bytes it saves. Templates are ranked by the saved share, and the best ``CONFIRM`` are confirmed by the exact differences in
 wording: at least ``AGREE`` of the template's words must stand in the block in their order, with few words between.
 
@@ -12,6 +13,7 @@ through ``scan``.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -42,8 +44,8 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "all-rights-reserved": "All rights reserved.",
 }
-#: A line without any of these opens no block. Every template has one among its first words.
-CUES = re.compile(r"(?i)licen|copyright|rights reserved|permission|public domain|redistribut|creative commons|free software|source code form")
+#: A text without any of these has no notice. Every template holds one.
+CUES = re.compile("|".join(c.replace(" ", "[^a-z0-9]+") for c in ("licen", "copyright", "rights reserved", "permission", "public domain", "redistribut", "creative commons", "free software", "source code form")))
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 CONFIRM, AGREE, SLACK = 4, 0.95, 1.25
 
@@ -66,57 +68,55 @@ def scanner():
     import zstandard as zstd
 
     plain = zstd.ZstdCompressor(level=3)
-    shelf = []
+    shelf, opens = [], {}
     for name, text in TEMPLATES.items():
         w = wording(text)
         d = zstd.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT)
-        shelf.append((name, w, zstd.ZstdCompressor(level=3, dict_data=d)))
+        spare = int((1 - AGREE) * len(w) + 1e-9)
+        shelf.append((name, w, set(w), spare, int(len(w) * SLACK) + 1, zstd.ZstdCompressor(level=3, dict_data=d)))
+        for first in set(w[: spare + 1]):  # no more than ``spare`` words are missing, so one of these stands
+            opens.setdefault(first, []).append(shelf[-1])
+    longest = max(size for _, _, _, _, size, _ in shelf)
 
     def scan_text(text: str) -> list[tuple]:
-        if not CUES.search(text):
+        low = text.lower()
+        cues = [m.start() for m in CUES.finditer(low)]
+        if not cues:
             return []
-        lines = text.split("\n")
-        out, taken = [], (-1, 0)  # line and word up to which words belong to a notice that was found
-        longest = int(max(len(w) for _, w, _ in shelf) * SLACK) + 1
-        for i, line in enumerate(lines):
-            if not CUES.search(line):
+        words, at = [], []
+        for m in _WORD.finditer(low):
+            words.append(m.group())
+            at.append(m.start())
+        out, start, line, seen = [], 0, 0, 0  # words before ``start`` are done with; ``line`` counts the breaks before ``seen``
+        for cue in cues:
+            c = bisect_right(at, cue) - 1
+            if c < start:
                 continue
-            ahead, owner = [], []
-            for k in range(i, len(lines)):
-                ws = wording(lines[k])
-                ahead += ws
-                owner += [(k, at) for at in range(len(ws))]
-                if len(ahead) >= longest + len(wording(line)):
-                    break
-            start = 0
-            while start < len(ahead) and owner[start][0] == i:  # several notices may stand on one line
-                if (i, owner[start][1]) < taken:
-                    start += 1
-                    continue
+            start = max(start, c - longest)
+            near = set(words[start : c + longest])
+            likely = {name for name, _, bag, spare, _, _ in shelf if len(bag - near) <= spare}
+            while likely and start <= c:
                 ranked = []
-                for name, w, packer in shelf:
-                    block = ahead[start : start + int(len(w) * SLACK) + 1]
-                    raw = " ".join(block).encode()
-                    alone = len(plain.compress(raw))
-                    ranked.append(((alone - len(packer.compress(raw))) / alone, len(w), name, w, block))
+                for name, w, bag, spare, size, packer in opens.get(words[start], ()):
+                    block = words[start : start + size]
+                    if name in likely and len(bag.difference(block)) <= spare:
+                        raw = " ".join(block).encode()
+                        alone = len(plain.compress(raw))
+                        ranked.append(((alone - len(packer.compress(raw))) / alone, len(w), name, w, block))
                 ranked.sort(reverse=True)
                 best = None
                 for saved, n, name, w, block in ranked[:CONFIRM]:
                     missing, added, first = differences(w, block)
-                    if missing <= (1 - AGREE) * n and added <= (1 - AGREE) * n and (best is None or n > best[0]):
-                        best = (n, name, saved, missing, added, first)
+                    if first == 0 and missing <= (1 - AGREE) * n and added <= (1 - AGREE) * n and (best is None or n > best[0]):
+                        best = (n, name, saved, missing, added)
                 if best is None:
-                    # the notice may begin further on in the line: go on at the next word that begins a template
                     start += 1
-                    firsts = {w[0] for _, w, _ in shelf}
-                    while start < len(ahead) and ahead[start] not in firsts:
-                        start += 1
                     continue
-                n, name, saved, missing, added, first = best
-                out.append((name, i, float(saved), missing, added))
-                end = start + first + n - missing + added
-                taken = (owner[end - 1][0], owner[end - 1][1] + 1)
-                start = max(end, start + 1)
+                n, name, saved, missing, added = best
+                line, seen = line + low.count("\n", seen, at[start]), at[start]
+                out.append((name, line, float(saved), missing, added))
+                start += n - missing + added
+            start = max(start, c + 1) if not likely else start
         return out
 
     return scan_text
