@@ -255,6 +255,21 @@ def test_license_scan_reads_over_line_breaks():
     assert [(x[0], x[3]) for x in found(late)] == [("MIT", 2)] and found("public domain, permission, licensed; nothing else") == []
 
 
+def test_license_scan_tells_licenses_apart():
+    t, found = licenses.TEMPLATES, licenses.scanner()
+    names = lambda text: [x[0] for x in found(text)]
+    gpl = t["GPL-3.0-or-later"]
+    assert names(gpl.replace("GNU General", "GNU Affero General")) == ["AGPL-3.0-or-later"] and names(t["LGPL-3.0-or-later"]) == ["LGPL-3.0-or-later"]
+    assert names(gpl.replace("GNU General", "GNU Lesser General")) == ["LGPL-3.0-or-later"] and names(t["LGPL-2.1-or-later"]) == ["LGPL-2.1-or-later"]
+    for wrong in ("version 4", "version 3.1", "version 2.1"):
+        assert names(gpl.replace("version 3", wrong)) == [], wrong
+    assert names(t["LGPL-2.1-or-later"].replace("Lesser", "Other").replace("2.1", "9")) == []
+    # other words may differ a little, and a full notice with a difference is not its short form
+    assert names(gpl.replace("This program", "This library")) == ["GPL-3.0-or-later"] and names(gpl.replace("can redistribute", "may redistribute")) == ["GPL-3.0-or-later"]
+    assert names(t["Apache-2.0"].replace("may not", "must not")) == ["Apache-2.0"] and names(t["Apache-2.0"].replace("Version 2.0", "Version 1.1")) == []
+    assert names(t["CC-BY-SA-4.0-notice"] + " " + t["CC-BY-4.0"]) == ["CC-BY-SA-4.0-notice", "CC-BY-4.0"]
+
+
 def test_license_query_finds_every_planted_line(spark, docs):
     lines = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0-notice", "All rights reserved.": "all-rights-reserved", "Released under the MIT License.": "MIT-notice"}
     got = {r["doc_id"]: set(r["licenses"]) for r in licenses.op9(spark, SF).collect()}

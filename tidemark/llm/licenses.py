@@ -3,8 +3,10 @@
 The whole text is one sequence of words; line breaks, blanks and comment marks between them do not count. Cue words open candidate
 blocks: up to the longest template's length before a cue, each word that may be the first of a template to stand opens one, as many
 words as the template has and a quarter more. Templates that lack too many words there are left out unseen. Each block is compressed by zstandard alone and with each template as raw dictionary; the more a template explains the block, the more
-bytes it saves. Templates are ranked by the saved share, and the best ``CONFIRM`` are confirmed by the exact differences in
-wording: at least ``AGREE`` of the template's words must stand in the block in their order, with few words between.
+bytes it saves. Templates are ranked by the saved share, and all are confirmed by the exact differences in wording: at least
+``AGREE`` of the template's words must stand in the block in their order, with few words between; words that tell licenses
+apart (``TELLING`` and numbers of versions) must be the same. Of confirmed templates, the one with the most words that agree, less
+its differences, wins: the fewest differences among alike ones, and a full notice over a short one that it begins with.
 
 Null and empty texts have no blocks. All blocks of a text are looked at. Repeated rows are scanned each; extra columns pass
 through ``scan``.
@@ -32,6 +34,12 @@ TEMPLATES = {
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-3.0-or-later": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-2.0-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "BSD-2-or-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
@@ -47,7 +55,9 @@ TEMPLATES = {
 #: A text without any of these has no notice. Every template holds one.
 CUES = re.compile("|".join(c.replace(" ", "[^a-z0-9]+") for c in ("licen", "copyright", "rights reserved", "permission", "public domain", "redistribut", "creative commons", "free software", "source code form")))
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
-CONFIRM, AGREE, SLACK = 4, 0.95, 1.25
+AGREE, SLACK = 0.95, 1.25
+#: Words that tell licenses apart; so do numbers after "version" or "v", and "library" in "Library General Public License".
+TELLING = re.compile(r"affero|lesser|by(-(nc|nd|sa))*|nc|nd|sa|(attribution-?)?(sharealike|noncommercial|noderivatives|noderivs)(-.*)?|v\d+(\.\d+)*")
 
 
 def wording(text: str) -> list[str]:
@@ -63,17 +73,24 @@ def differences(template: list[str], block: list[str]) -> tuple[int, int, int]:
     return len(template) - same, runs[-1].b + runs[-1].size - runs[0].b - same, runs[0].b
 
 
+def telling(words: list[str]) -> list[str]:
+    """The words that tell licenses apart, in order; "by" only where a Creative Commons license is named."""
+    pairs = zip(["", *words], words, [*words[1:], ""])
+    return [w for before, w, after in pairs if (TELLING.fullmatch(w) and (w != "by" or before == "cc")) or (w[0].isdigit() and before in ("version", "v")) or (w == "library" and after == "general")]
+
+
 def scanner():
     """The function text -> list of (license, line, saved share, missing, added), in order of lines."""
     import zstandard as zstd
 
     plain = zstd.ZstdCompressor(level=3)
-    shelf, opens = [], {}
+    shelf, opens, tells = [], {}, {}
     for name, text in TEMPLATES.items():
         w = wording(text)
         d = zstd.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT)
         spare = int((1 - AGREE) * len(w) + 1e-9)
         shelf.append((name, w, set(w), spare, int(len(w) * SLACK) + 1, zstd.ZstdCompressor(level=3, dict_data=d)))
+        tells[name] = telling(w)
         for first in set(w[: spare + 1]):  # no more than ``spare`` words are missing, so one of these stands
             opens.setdefault(first, []).append(shelf[-1])
     longest = max(size for _, _, _, _, size, _ in shelf)
@@ -105,14 +122,16 @@ def scanner():
                         ranked.append(((alone - len(packer.compress(raw))) / alone, len(w), name, w, block))
                 ranked.sort(reverse=True)
                 best = None
-                for saved, n, name, w, block in ranked[:CONFIRM]:
+                for saved, n, name, w, block in ranked:
                     missing, added, first = differences(w, block)
-                    if first == 0 and missing <= (1 - AGREE) * n and added <= (1 - AGREE) * n and (best is None or n > best[0]):
-                        best = (n, name, saved, missing, added)
+                    if first > 0 or missing > (1 - AGREE) * n or added > (1 - AGREE) * n or telling(block[: n - missing + added]) != tells[name]:
+                        continue
+                    if best is None or n - 2 * missing - added > best[0]:
+                        best = (n - 2 * missing - added, n, name, saved, missing, added)
                 if best is None:
                     start += 1
                     continue
-                n, name, saved, missing, added = best
+                _, n, name, saved, missing, added = best
                 line, seen = line + low.count("\n", seen, at[start]), at[start]
                 out.append((name, line, float(saved), missing, added))
                 start += n - missing + added
