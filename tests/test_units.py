@@ -167,6 +167,15 @@ def test_hot_band_split_loses_no_pair(spark):
         assert {(r.a, r.b) for r in dedup.near_pairs(d, hot_bucket=hot).collect()} == want
 
 
+def test_near_pairs_are_all_pairs_within_the_threshold(spark):
+    """One differing bit in each 16-bit quarter: such pairs share none of four bands."""
+    base = random.Random(4).getrandbits(63)
+    hashes = [base, base ^ (1 << 3 | 1 << 20 | 1 << 40 | 1 << 50), base ^ (1 << 7 | 1 << 30 | 1 << 33 | 1 << 60 | 1 << 61), base ^ 0b111111]
+    want = {(min(a, b), max(a, b)) for a in hashes for b in hashes if a != b and bin(a ^ b).count("1") <= 5}
+    d = spark.createDataFrame([(h,) for h in hashes], "simhash long")
+    assert len(want) == 2 and all({(r.a, r.b) for r in dedup.near_pairs(d, hot_bucket=hot).collect()} == want for hot in (0, 5_000))
+
+
 # --- ordering --------------------------------------------------------------------------------
 
 def test_next_rows_across_blocks(spark):

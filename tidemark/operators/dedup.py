@@ -13,7 +13,6 @@ from tidemark.session import cut_lineage
 
 # Thresholds and key lengths of the duplicate rules.
 NEAR_THRESHOLD = 5
-BANDS = 4
 
 
 def prefix_key(text: Column, n: int | None = None, fold: bool = True) -> Column:
@@ -70,16 +69,20 @@ def title_key(title: Column) -> Column:
 
 # --- near duplicates ---------------------------------------------------------------------
 
-def band_keys(hashes: DataFrame, h: str = "simhash", bands: int = BANDS, threshold: int = NEAR_THRESHOLD,
+def band_keys(hashes: DataFrame, h: str = "simhash", bands: int | None = None, threshold: int = NEAR_THRESHOLD,
               hot_bucket: int = 5_000, agree: int = 2) -> DataFrame:
     """Candidate keys such that two hashes within ``threshold`` that share a band share a key.
 
+    There are ``threshold + 1`` bands unless the caller names another number: so many that every
+    pair within ``threshold`` shares one.
+
     A bucket (band, value) with more than ``hot_bucket`` distinct hashes is split
     further, exactly: the 64 - w bits outside the band are cut into
     ``threshold + agree`` pieces; two hashes with at most ``threshold`` differing bits
     agree on at least ``agree`` pieces, so keying on every choice of ``agree`` pieces
     loses no pair.
     """
+    bands = threshold + 1 if bands is None else bands
     values = simhash_bands(F.col(h), bands)
     edges = [round(64 * i / bands) for i in range(bands + 1)]
     structs = []
@@ -87,7 +90,7 @@ def band_keys(hashes: DataFrame, h: str = "simhash", bands: int = BANDS, thresho
         structs.append(F.struct(F.lit(b).alias("band"), v.alias("value")))
     keyed = hashes.withColumn("_kv", F.explode(F.array(*structs))).select(
         *hashes.columns, F.col("_kv.band").alias("band"), F.col("_kv.value").alias("value"))
-    # At most bands * 2**width rows whatever the data size (262,144 for 4 bands of 16 bits).
+    # At most bands * 2**width rows whatever the data size (12,288 for 6 bands of up to 11 bits).
     hot = (keyed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_bucket)
            .select("band", "value", F.lit(True).alias("_hot")))
     hot = F.broadcast(hot) if max(b - a for a, b in zip(edges, edges[1:])) <= 16 else hot
@@ -124,9 +127,9 @@ def with_simhash(df: DataFrame, text: str = "text", out: str = "simhash") -> Dat
     return df.withColumn(out, simhash64(F.col(text)))
 
 
-def near_pairs(df: DataFrame, h: str = "simhash", threshold: int = NEAR_THRESHOLD, bands: int = BANDS,
+def near_pairs(df: DataFrame, h: str = "simhash", threshold: int = NEAR_THRESHOLD, bands: int | None = None,
                hot_bucket: int = 5_000) -> DataFrame:
-    """Distinct hash pairs (a < b) that share a band and differ in at most ``threshold`` bits.
+    """Distinct hash pairs (a < b) that differ in at most ``threshold`` bits; where ``bands`` is given, those that share a band.
 
     Works on distinct hashes, so a group of copies counts once; pairs that fail the
     distance test are never written out.
@@ -139,7 +142,7 @@ def near_pairs(df: DataFrame, h: str = "simhash", threshold: int = NEAR_THRESHOL
             .withColumn("distance", hamming64(F.col("a"), F.col("b")).cast("int")))
 
 
-def near_dup_simhash(df: DataFrame, threshold: int = NEAR_THRESHOLD, bands: int = BANDS, text: str = "text",
+def near_dup_simhash(df: DataFrame, threshold: int = NEAR_THRESHOLD, bands: int | None = None, text: str = "text",
                      score: str = "score", pos: str = "pos", hot_bucket: int = 5_000) -> DataFrame:
     """Drop every row that a better candidate (score desc, position asc) resembles.
 
@@ -162,7 +165,7 @@ def near_dup_simhash(df: DataFrame, threshold: int = NEAR_THRESHOLD, bands: int
     return df.join(kept, F.col(pos) == F.col("_p"), "left_semi")
 
 
-def deduplicate(df: DataFrame, threshold: int = NEAR_THRESHOLD, prefix_chars: int | None = None, bands: int = BANDS,
+def deduplicate(df: DataFrame, threshold: int = NEAR_THRESHOLD, prefix_chars: int | None = None, bands: int | None = None,
                 text: str = "text", score: str = "score", pos: str = "pos") -> DataFrame:
     """Equal texts, then SimHash; ``prefix_chars`` narrows the first pass to prefixes."""
     exact = dedup_prefix(df, prefix_chars, True, "best", text, score, pos)
