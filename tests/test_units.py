@@ -109,6 +109,13 @@ def test_default_relevance(spark):
     assert {r.post_id for r in filters.route_relevant(comments, M, "YouTube (comment)").where("route = 'quality_comment'").collect()} == {0}
 
 
+def test_vertical_lines_count_in_the_whole_text(spark):
+    ok = "My ebay buyer opened a case and I got no response, terrible problem"
+    late = "\n".join([ok, *["an ordinary line"] * 40, *"sold!"])
+    kept = {r.post_id for r in filters.route_relevant(posts(spark, late, late[:-2], ok), M, "YouTube (comment)").collect() if r.route == "relevant"}
+    assert kept == {1, 2}
+
+
 def test_default_workstreams(spark):
     d = posts(spark, "psa vault withdraw failed at checkout", "authentication of my card was wrong", "seller fee on every listing went up", "use my link to win", "a quiet day in the garden")
     rows = enrich.workstream_of(enrich.enrich_posts(d, M, F.lit("2024-03-01").cast("date")), M).select("post_id", "workstream").collect()

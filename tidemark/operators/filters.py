@@ -15,9 +15,10 @@ from tidemark.operators.ordering import keep_first_by_key
 Packs = dict[str, Pack]
 
 
-def vertical_lines(text: Column, first: int = 30) -> Column:
-    """Single-character lines among the first thirty."""
-    return F.size(F.filter(F.slice(F.split(text, "\n"), 1, first), lambda s: F.length(F.regexp_replace(s, r"^\s+|\s+$", "")) == 1))
+def vertical_lines(text: Column, first: int | None = None) -> Column:
+    """Single-character lines of the whole text, or among its ``first`` lines where the caller asks for a prefix."""
+    lines = F.split(text, "\n") if first is None else F.slice(F.split(text, "\n"), 1, first)
+    return F.size(F.filter(lines, lambda s: F.length(F.regexp_replace(s, r"^\s+|\s+$", "")) == 1))
 
 
 def is_relevant(text: Column, lo: Column, subreddit: Column, p: Packs) -> Column:
