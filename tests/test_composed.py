@@ -113,6 +113,16 @@ def test_feedback_patterns(spark):
     assert sum(k == "style" for k, _ in got) == 2
 
 
+def test_feedback_patterns_read_whole_answers(spark):
+    """Style notes of the newest three against a plain count over whole answers."""
+    s = "pos long, response string"
+    texts = ["x" * 1500 + "\n### Executive Answer\n" + "[S1] " * 3, "y" * 1190 + "[S2] " * 9, "### 🎯 Bottom Line\n" + "z" * 2000 + "\n### Implications for eBay"]
+    liked = spark.createDataFrame([(0, "### What the Signals Show"), *((k + 1, t) for k, t in enumerate(texts))], s)
+    want = {r.label for r in M["style_notes"].rules for t in texts if any(x in t for x in r.substr)} | {f"Use dense citations ({t.count('[S')}+ sources)" for t in texts if t.count("[S") >= 8}
+    got = {r.note for r in enrich.feedback_patterns(liked, spark.createDataFrame([], s), M).collect()}
+    assert got == want and len(want) == 4
+
+
 def test_weekly_run_writes_consistent_tables(spark, tmp_path):
     texts = ["My ebay vault withdraw is stuck and support gives no response, terrible problem"] * 5 + [f"ebay seller fee problem number {i}, the commission is too high" for i in range(6)] + ["unrelated"]
     cols = "post_id long, pos long, text string, title string, source string, subreddit string, url string, username string, post_date date, score long, like_count long, num_comments long"

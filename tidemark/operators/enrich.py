@@ -340,7 +340,7 @@ def response_quality(text: Column, p: Packs) -> Column:
 
 def feedback_patterns(liked: DataFrame, disliked: DataFrame, p: Packs, pos: str = "pos", liked_n: int = 3, disliked_n: int = 5) -> DataFrame:
     """(kind, note, rank): structure notes of the newest liked answers, weaknesses of the newest disliked ones."""
-    lk = liked.orderBy(F.desc(pos)).limit(liked_n).select(pos, F.substring("response", 1, 1200).alias("r"))
+    lk = liked.orderBy(F.desc(pos)).limit(liked_n).select(pos, F.col("response").alias("r"))
     cites = count_of(F.col("r"), "[S")
     notes = compact(F.concat(
         F.array(*[F.when(contains_any(F.col("r"), r.substr), F.lit(r.label)) for r in p["style_notes"].rules]),
