@@ -1,8 +1,9 @@
-"""N-gram Jaccard join: a MinHash LSH forest proposes, exact set sizes decide.
+"""N-gram Jaccard join: MinHash bands of a fixed depth propose, exact set sizes decide.
 
-Every distinct word sequence is one node; copies share it. A node's signature is cut into ``TREES`` paths, each a branch of a
-prefix trie. Nodes that agree on a prefix in any tree are candidates. The prefix starts at ``LONGEST`` values and shortens
-until a pair at the threshold is met with the wanted recall (``depth_for``); only as many values as that needs are computed.
+Every distinct word sequence is one node; copies share it. A node's signature is cut into ``TREES`` bands of equal depth. Nodes
+that agree on a band are candidates. The depth is the greatest up to ``LONGEST`` at which a pair at the threshold is met with the
+wanted recall (``depth_for``): it follows from the parameters alone, 6 for the defaults. There are no tries, and no prefix is
+shortened from the data.
 
 Candidates are grouped by the smallest node of their branch (counted before the shuffle, so a branch with a third of the
 rows sends one row per task) and the groups that touch are united. Within a group all pairs are compared exactly, in pairs of
