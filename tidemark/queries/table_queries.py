@@ -521,8 +521,7 @@ def _keys(spark, sf):
     return out
 
 
-_PAIRS = """pr AS (SELECT DISTINCT a.simhash AS a, b.simhash AS b, bit_count(xor(a.simhash, b.simhash)) AS distance FROM (SELECT DISTINCT simhash, uhash FROM sim) a JOIN (SELECT DISTINCT simhash, uhash FROM sim) b ON a.simhash < b.simhash AND bit_count(xor(a.simhash, b.simhash)) <= 5
-AND ((a.simhash & 65535) = (b.simhash & 65535) OR ((a.simhash >> 16) & 65535) = ((b.simhash >> 16) & 65535) OR ((a.simhash >> 32) & 65535) = ((b.simhash >> 32) & 65535) OR ((a.simhash >> 48) & 65535) = ((b.simhash >> 48) & 65535)))"""
+_PAIRS = """pr AS (SELECT DISTINCT a.simhash AS a, b.simhash AS b, bit_count(xor(a.simhash, b.simhash)) AS distance FROM (SELECT DISTINCT simhash FROM sim) a JOIN (SELECT DISTINCT simhash FROM sim) b ON a.simhash < b.simhash AND bit_count(xor(a.simhash, b.simhash)) <= 5)"""
 
 
 @query("lsh_candidates", f"WITH {SIMHASH_SQL}, {_PAIRS} SELECT a, b, CAST(distance AS INTEGER) AS distance FROM pr")

@@ -259,7 +259,7 @@ def _explode(spark, sf):
 SELECT l.page_id, count(*) AS n FROM (SELECT page_id, lower(url) AS u FROM pages) l JOIN lex ON contains(l.u, lex.term) GROUP BY 1""")
 def _lexicon(spark, sf):
     """A lexicon that grows with the data: the words of the benchmark table, matched inside page addresses."""
-    words = table(spark, sf, "benchmark").select(F.explode(text.raw_tokens(F.col("text"), "[a-z]+")).alias("term")).distinct()
+    words = table(spark, sf, "benchmark").select(F.explode(text.raw_tokens(F.col("text"), "a-z")).alias("term")).distinct()
     return rules.explode_hits(table(spark, sf, "pages").select("page_id", "url"), "url", words, literal_limit=64).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -278,7 +278,7 @@ def _default_flags(spark, sf):
 
 # --- row filters -----------------------------------------------------------------------------------
 
-_VERT = "len(list_filter(string_split(text, chr(10))[1:30], lambda s: length(regexp_replace(s, '^\\s+|\\s+$', '', 'g')) = 1)) >= 5"
+_VERT = "len(list_filter(string_split(text, chr(10)), lambda s: length(regexp_replace(s, '^\\s+|\\s+$', '', 'g')) = 1)) >= 5"
 _IN = lambda name: ", ".join(q(t) for r in P[name].rules for t in r.substr)
 
 
