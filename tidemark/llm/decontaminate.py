@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, small, words, written
+from tidemark.llm.common import small, words, written
 
 WINDOW, SHINGLE = 10, 3
 #: The shingles of the benchmark are broadcast up to this many rows (about 60 bytes each); beyond, they are joined by shuffle.
@@ -28,6 +28,17 @@ def _shingles(ws: Column, n: int) -> Column:
     return F.transform(F.when(last > 0, F.slice(ws, 1, last)).otherwise(F.slice(ws, 1, 0)), lambda w, i: F.struct(i.alias("pos"), run(w, i).alias("gram")))
 
 
+def _runs(ws: Column, n: int) -> Column:
+    """Array of (pos, w0, w1, ...): each run of ``n`` words, as words; missing ones are null."""
+    count = F.greatest(F.size(ws) - F.lit(n) + 1, F.lit(0))
+    part = lambda k: F.slice(ws, k + 1, count if k < n else F.lit(0)).alias(f"w{k}")
+    return F.arrays_zip(F.slice(F.sequence(F.lit(0), F.size(ws)), 1, count).alias("pos"), *(part(k) for k in range(SHINGLE)))
+
+
+def _number(*run: Column) -> Column:
+    return F.xxhash64(*run)
+
+
 def windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
     """(wid, len, items, grams): each distinct window once, with the items that hold it and its shingles."""
     ws = F.col("ws")
@@ -43,13 +54,17 @@ def windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
 def contained(docs: DataFrame, items: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_hash, spans, items): per document with at least one window, where windows occur (start, len) and whose they are."""
     wins = written(windows(items, width))
-    tokens = written(wins.select(F.explode("grams.gram").alias("gram")).distinct())
+    split = F.split("gram", " ")
+    tokens = wins.select(F.explode("grams.gram").alias("gram")).distinct()
+    tokens = written(tokens.select(F.col("gram").alias("token"), _number(*(F.get(split, F.lit(k)) for k in range(SHINGLE))).alias("number")))
     sizes = [r[0] for r in wins.select(F.least("len", F.lit(SHINGLE)).alias("k")).distinct().sort("k").collect()] or [SHINGLE]  # at most SHINGLE values
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), words(F.col(text_col)).alias("ws"))
-    arrays = [_shingles(F.col("ws"), k) for k in sizes]
-    hits = d.select("id", "text_hash", F.size("ws").alias("n_words"), F.explode(F.concat(*arrays) if len(arrays) > 1 else arrays[0]).alias("g"))
-    hits = hits.select("id", "text_hash", "n_words", F.col("g.pos").alias("pos"), F.col("g.gram").alias("gram"))
-    hits = written(hits.join(small(tokens, BROADCAST_ROWS), "gram", "left_semi").distinct())
+    runs = [_runs(F.col("ws"), k) for k in sizes]
+    places = d.select("id", "text_hash", F.size("ws").alias("n_words"), F.inline(F.concat(*runs) if len(runs) > 1 else runs[0]))
+    # a whole number finds the few places worth a look; the words themselves decide there (as a range, so that they stay no join key)
+    run = [F.col(f"w{k}") for k in range(SHINGLE)]
+    found = places.withColumn("own", _number(*run)).join(small(tokens, BROADCAST_ROWS), (F.col("own") == F.col("number")) & F.concat_ws(" ", *run).between(F.col("token"), F.col("token")))
+    hits = written(found.select("id", "text_hash", "n_words", "pos", F.col("token").alias("gram")).distinct())
 
     # the prefix of each window: its rarest shingle over all documents; one that occurs nowhere rules the window out
     rarity = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
@@ -88,12 +103,11 @@ def covered(spans: Column) -> Column:
 def mark(docs: DataFrame, items: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with struct ``hit_``: n_words, n_hit, items (sorted text ids of the items with windows in the text)."""
     found = contained(docs, items, width, id_col, text_col).select(F.col("id").alias("f_id_"), F.col("text_hash").alias("f_hash_"), "spans", F.col("items").alias("items_"))
-    key = docs[id_col].eqNullSafe(found["f_id_"]) & (F.xxhash64(docs[text_col]) == found["f_hash_"])
+    # counted and hashed ahead of the join, so that texts need not travel where the caller doesn't want them
+    own = docs.withColumns({"hash_": F.xxhash64(text_col), "n_words_": F.size(words(F.col(text_col))).cast("long")})
     ids = F.array_sort(F.transform(F.coalesce(found["items_"], F.array().cast("array<bigint>")), lambda i: i.cast("string")))
-    hit = F.struct(
-        F.coalesce(F.regexp_count(docs[text_col], F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long").alias("n_words"),
-        F.coalesce(covered(found["spans"]), F.lit(0).cast("long")).alias("n_hit"), ids.alias("items"))
-    return docs.join(found, key, "left").select(*(docs[c] for c in docs.columns), hit.alias("hit_"))
+    hit = F.struct(own["n_words_"].alias("n_words"), F.coalesce(covered(found["spans"]), F.lit(0).cast("long")).alias("n_hit"), ids.alias("items"))
+    return own.join(found, own[id_col].eqNullSafe(found["f_id_"]) & (own["hash_"] == found["f_hash_"]), "left").select(*(own[c] for c in docs.columns), hit.alias("hit_"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:

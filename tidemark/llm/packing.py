@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import pieces, table
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 PER_BIN, PER_SQUARE = 64.0, 1 / 16384
@@ -30,7 +30,7 @@ SHARD = 20_000
 
 
 def length_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
+    return F.size(pieces(text, r"\s+"))
 
 
 def cost(length: int) -> float:
