@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import ann, chat, curriculum, decontaminate, jaccard_join, language, licenses, line_dedup, packing, quality, toxicity
+from tidemark.llm import ann, chat, curriculum, decontaminate, jaccard_join, language, licenses, line_dedup, packing, quality, toxicity, whitening
 
 SPARK = {
     "op1_nearest": ann.op1,
@@ -15,6 +15,7 @@ SPARK = {
     "op8_chat_format": chat.op8,
     "op9_licenses": licenses.op9,
     "op10_toxicity": toxicity.op10,
+    "op11_whitening": whitening.op11,
     "op13_curriculum": curriculum.op13,
 }
 #: Only these can be said in SQL; the others are held against brute force, held-out labels or exact round trips in tests.
