@@ -47,10 +47,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/run-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, **options) -> DataFrame:
     """``df`` as a table in the shared folder: lineage is cut, lost executors cost nothing, columns stay prunable."""
     path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
