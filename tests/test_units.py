@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Row, functions as F
 
-from tidemark.functions import dates, hashing, rules, text
+from tidemark.functions import automaton, dates, hashing, rules, text
 from tidemark.operators import clustering, dedup, enrich, evaluation, filters, joins, ordering, retrieval, trends
 from tidemark.sources import readers, sinks
 from tidemark.streaming import incremental as st
@@ -43,15 +43,32 @@ def test_rule_conditions(spark):
     assert [r[0] for r in got] == ["both", "flag", "none", "rx"]
 
 
-def test_explode_hits_join_equals_literals(spark):
+@pytest.mark.parametrize("table_bytes", [1 << 26, 400])
+def test_explode_hits_of_lists_and_tables(spark, table_bytes):
+    """One plan for a list, a table, and a table in many parts; nulls, empty texts and terms, other scripts, long texts."""
     rng = random.Random(3)
-    docs = [(i, "".join(rng.choice("abcd ") for _ in range(rng.randint(0, 40)))) for i in range(60)]
-    lex = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(1, 5))) for _ in range(80)})
-    d = spark.createDataFrame(docs, "id int, text string")
-    table = spark.createDataFrame([(t,) for t in lex], "term string")
-    a = {(r.id, r.term) for r in rules.explode_hits(d, "text", lex).collect()}
-    b = {(r.id, r.term) for r in rules.explode_hits(d, "text", table, literal_limit=5).collect()}
-    assert a == b == {(i, t) for i, s in docs for t in lex if t in s}
+    docs = [(i, "".join(rng.choice("abcdé 漢") for _ in range(rng.randint(0, 40))), "x") for i in range(60)]
+    docs += [(100, None, "x"), (101, "", "x"), (102, "ab" * 3000 + "漢dc", "x"), (103, "ABCD", "x")]
+    lex = sorted({"".join(rng.choice("abcdé漢") for _ in range(rng.randint(1, 5))) for _ in range(80)} | {"abababababab", "b漢dc", "zz"})
+    d = spark.createDataFrame(docs, "id int, text string, other string")
+    table = spark.createDataFrame([(t,) for t in [*lex, "", None, lex[0]]], "term string")
+    want = {(i, t) for i, s, _ in docs if s for t in lex if t in s.lower()}
+    for lexicon in (lex, table):
+        got = [(r.id, r.term) for r in rules.explode_hits(d, "text", lexicon, table_bytes=table_bytes).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    n = len(list(automaton.parts(table, "term", table_bytes)))
+    assert n == 1 if table_bytes > 400 else n > 5
+    assert rules.explode_hits(d, "text", []).count() == 0 == rules.explode_hits(d.limit(0), "text", lex).count()
+
+
+def test_automaton_cuts_texts_into_stretches():
+    """Terms across the seams of stretches are found, terms across two texts are not."""
+    machine = automaton.build(["seam", "eam", "x", "mse"])
+    texts = ["a" * (automaton.STRETCH - 2) + "seam" + "b" * 5000 + "x", "sea", "mx"]
+    data = "".join(texts).encode()
+    at = np.cumsum([0, *map(len, texts)])
+    rows, terms = automaton.find(machine, np.frombuffer(data, np.uint8), at[:-1], at[1:])
+    assert {(r, machine.terms[t]) for r, t in zip(rows, terms)} == {(0, "seam"), (0, "eam"), (0, "x"), (2, "x")}
 
 
 def test_simhash_against_a_plain_loop(spark):

@@ -10,6 +10,7 @@ ahead of the rules.
 
 from __future__ import annotations
 
+import functools
 import re
 import tomllib
 from collections.abc import Iterable, Sequence
@@ -19,6 +20,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.functions import automaton
 from tidemark.functions.text import compact
 
 PACK_DIR = Path(__file__).resolve().parent.parent / "packs"
@@ -274,46 +276,14 @@ def runner_up_labels(text: Column, pack: Pack, n: int = 2) -> Column:
 
 # --- table form ------------------------------------------------------------------
 
-LEXICON_LITERAL_LIMIT = 512
-
-
 def explode_hits(df: DataFrame, text_col: str, lexicon: "DataFrame | Sequence[str]", term_col: str = "term",
-                 literal_limit: int = LEXICON_LITERAL_LIMIT) -> DataFrame:
-    """One row per (row, lexicon term contained in the lower-cased text).
+                 table_bytes: int = automaton.TABLE_BYTES) -> DataFrame:
+    """One row per (row, lexicon term contained in the lower-cased text). Empty terms are in no text.
 
-    A lexicon of checked small size becomes literals (map-only, no join).  A larger
-    one is matched through an equi-join on each term's rarest character trigram
-    followed by the exact ``contains`` test, so no row meets every term.
+    One pass per part of the lexicon with an automaton of at most ``table_bytes``: a list or a table, of any size, goes the
+    same way, and only hits copy their row.
     """
     text = F.lower(F.col(text_col))
-    if isinstance(lexicon, DataFrame):
-        head = [r[0] for r in lexicon.select(term_col).distinct().limit(literal_limit + 1).collect()]
-        if len(head) > literal_limit:
-            return _explode_hits_join(df, text, lexicon, term_col)
-        lexicon = head
-    terms = sorted(dict.fromkeys(t for t in lexicon if t))
-    hits = compact(F.array(*[F.when(text.contains(t), F.lit(t)) for t in terms]))
-    return df.withColumn(term_col, F.explode(hits))
-
-
-def _explode_hits_join(df: DataFrame, text: Column, lexicon: DataFrame, term_col: str) -> DataFrame:
-    grams = lambda c: F.regexp_extract_all(c, F.lit("(?s)(?=(.{3}))"), F.lit(1))
-    base = df.withColumn("_lo", text)
-    terms = lexicon.select(F.col(term_col)).where(F.length(term_col) > 0).distinct()
-    long_terms = terms.where(F.length(term_col) >= 3)
-    used = long_terms.select(F.explode(F.array_distinct(grams(F.col(term_col)))).alias("gram")).distinct()
-    doc_grams = base.withColumn("gram", F.explode(F.array_distinct(grams(F.col("_lo")))))
-    gram_df = doc_grams.select("gram").join(used, "gram", "left_semi").groupBy("gram").count()
-    anchored = (
-        long_terms.withColumn("gram", F.explode(F.array_distinct(grams(F.col(term_col)))))
-        .join(gram_df, "gram")
-        .groupBy(term_col)
-        .agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))
-    )
-    out = doc_grams.join(anchored, "gram").where(F.contains("_lo", term_col)).drop("gram")
-    # Terms of one or two characters: their whole alphabet is small, match on the pieces themselves.
-    short = terms.where(F.length(term_col) < 3)
-    pieces = F.array_distinct(F.flatten(F.array(*[
-        F.regexp_extract_all(F.col("_lo"), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (1, 2)])))
-    out_short = base.withColumn(term_col, F.explode(pieces)).join(short, term_col, "left_semi").select(out.columns)
-    return out.unionByName(out_short).drop("_lo")
+    batches = automaton.parts(lexicon, term_col, table_bytes) if isinstance(lexicon, DataFrame) else [list(lexicon)]
+    found = [df.withColumn(term_col, F.explode(automaton.hits(df.sparkSession, terms, text))) for terms in batches]
+    return functools.reduce(DataFrame.unionByName, found)

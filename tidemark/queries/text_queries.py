@@ -260,7 +260,7 @@ SELECT l.page_id, count(*) AS n FROM (SELECT page_id, lower(url) AS u FROM pages
 def _lexicon(spark, sf):
     """A lexicon that grows with the data: the words of the benchmark table, matched inside page addresses."""
     words = table(spark, sf, "benchmark").select(F.explode(text.raw_tokens(F.col("text"), "a-z")).alias("term")).distinct()
-    return rules.explode_hits(table(spark, sf, "pages").select("page_id", "url"), "url", words, literal_limit=64).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+    return rules.explode_hits(table(spark, sf, "pages").select("page_id", "url"), "url", words).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 _M = rules.load_packs("marketplace")
