@@ -133,11 +133,10 @@ def test_collocations_of_nothing(spark):
 
 def test_intervals_keep_in_step():
     """Every phrase's interval has its count in both directions, and extensions on either side agree."""
-    row = collocations._index("en", b"to be or not to be, that is. to be or be to; or not to be").to_pydict()
-    counts = np.array([row["breaks"][0], *row["counts"][0]])
-    ahead, back = (collocations.Direction(row[c][0], counts) for c in ("ahead", "back"))
+    row, = collocations._each_shard([collocations._index("en", b"to be or not to be, that is. to be or be to; or not to be")])
+    counts, words = row["counts"], collocations._words(row).to_pylist()
+    ahead, back = (collocations.Direction(row[c], counts) for c in ("ahead", "back"))
     first = counts.cumsum() - counts
-    words = row["words"][0]
     pairs = []
     for d in (ahead, back):
         of, word, n, _, _ = d.extend(first[1:], first[1:] + counts[1:])
