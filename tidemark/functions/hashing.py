@@ -6,7 +6,8 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F, types as T
 
 from tidemark.functions.text import tokens_dedup
@@ -36,28 +37,56 @@ def _signs(shingle: str) -> np.ndarray:
     return np.unpackbits(low, bitorder="little").astype(np.int32) * 2 - 1
 
 
-def _simhash_one(joined: str, n: int) -> int:
-    if not joined:
-        parts, counts = [""], [1]
-    elif len(joined) < n:
-        parts, counts = [joined], [1]
-    else:
-        # Tokens are plain ASCII, so shingles are windows over bytes.
-        win = np.lib.stride_tricks.sliding_window_view(np.frombuffer(joined.encode("ascii"), dtype=np.uint8), n)
-        code = np.zeros(len(win), dtype=np.int64)
-        for j in range(n):
-            code = (code << 8) | win[:, j]
-        uniq, counts = np.unique(code, return_counts=True)
-        parts = [int(u).to_bytes(n, "big").decode("ascii") for u in uniq]
-    votes = np.asarray(counts) @ np.stack([_signs(p) for p in parts])
-    bits = np.packbits((votes > 0).astype(np.uint8), bitorder="little")
-    return int(bits.view(np.int64)[0])
+#: Votes added up at once: rows of 64 small numbers.
+VOTES = 1 << 18
+
+
+def simhash_batch(texts: list[bytes], n: int) -> np.ndarray:
+    """SimHash of ASCII texts over windows of ``n`` (at most 7) bytes; a shorter text is one window. All texts at once."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    out = np.zeros(len(texts), np.int64)
+    short = np.flatnonzero(sizes < n)
+    out[short] = [_bits(_signs(texts[i].decode("ascii"))[None, :])[0] for i in short]
+    windows = np.maximum(sizes - n + 1, 0)
+    row = np.repeat(np.arange(len(texts)), windows)
+    at = np.arange(len(row)) + np.repeat((sizes.cumsum() - sizes) - (windows.cumsum() - windows), windows)
+    code = np.zeros(len(row), np.int64)
+    for j in range(n):
+        code = (code << 8) | data[at + j]
+    distinct, which = np.unique(code, return_inverse=True)
+    pair, count = np.unique(row * len(distinct) + which, return_counts=True)
+    row, which = np.divmod(pair, max(len(distinct), 1))
+    signs = np.array([_signs(int(c).to_bytes(n, "big").decode("ascii")) for c in distinct], np.int32).reshape(-1, 64)
+    first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.empty(0, np.int64)
+    ends = np.append(first[1:], len(row))
+    k = 0
+    while k < len(first):  # whole rows, about VOTES windows of them
+        stop = max(k + 1, int(np.searchsorted(ends, first[k] + VOTES, side="right")))
+        part = slice(first[k], ends[stop - 1])
+        votes = np.add.reduceat(signs[which[part]] * count[part, None], first[k:stop] - first[k], axis=0)
+        out[row[first[k:stop]]] = _bits(votes)
+        k = stop
+    return out
+
+
+def _bits(votes: np.ndarray) -> np.ndarray:
+    return np.packbits((votes > 0).astype(np.uint8), axis=1, bitorder="little").view(np.int64)[:, 0]
 
 
 def simhash_joined(n: int = 3):
-    @F.pandas_udf(T.LongType())
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: _simhash_one(v or "", n)).astype("int64")
+    @F.arrow_udf(T.LongType())
+    def run(s: pa.Array) -> pa.Array:
+        texts = [v or b"" for v in s.cast(pa.binary()).to_pylist()]
+        out, k = np.zeros(len(texts), np.int64), 0
+        while k < len(texts):  # about four million bytes at once
+            stop, size = k, 0
+            while stop < len(texts) and size < 1 << 22:
+                size += len(texts[stop])
+                stop += 1
+            out[k:stop] = simhash_batch(texts[k:stop], n)
+            k = stop
+        return pa.array(out)
 
     return run
 
@@ -65,8 +94,8 @@ def simhash_joined(n: int = 3):
 def simhash64(text: Column, n: int = 3) -> Column:
     """64-bit SimHash over character shingles, signed.
 
-    The tokens come from JVM expressions; the 64-way vote is one Arrow call per
-    batch.  The step is map-only: exploding the shingles instead would shuffle 64
+    The tokens come from JVM expressions; the 64-way vote is taken for all rows of a
+    batch together.  The step is map-only: exploding the shingles instead would shuffle 64
     counters per row and need a join to get the row back.
     """
     return simhash_joined(n)(F.array_join(tokens_dedup(text), " "))
@@ -80,3 +109,48 @@ def simhash_bands(h: Column, bands: int = 4) -> list[Column]:
 
 def bit_slice(h: Column, lo: int, width: int) -> Column:
     return F.shiftrightunsigned(h, lo).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+
+
+# --- MinHash ----------------------------------------------------------------------------------
+
+PRIME = 2_147_483_647
+
+
+def hash_family(hashes: int) -> list[tuple[int, int]]:
+    """Factor and shift of each MinHash function."""
+    draw = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:7], 16) + 1
+    return [(draw(f"a{k}"), draw(f"b{k}")) for k in range(hashes)]
+
+
+@lru_cache(maxsize=1 << 17)
+def _number(word: str) -> int:
+    return int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()[:15], 16) % PRIME
+
+
+def least_hashes(words: Column, hashes: int, marked: frozenset[str] | None = None) -> Column:
+    """Per row the least value of each hash function over its words; empty for no words.
+
+    A word is digested once per batch, whatever the number of functions. With ``marked`` words the value is doubled, plus one where
+    the least word is not among them: so equal values say whether the word that two rows agree on is marked.
+    """
+    family = hash_family(hashes)
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def run(lists: pa.Array) -> pa.Array:
+        found = lists.flatten().dictionary_encode()
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        some = np.flatnonzero(sizes)
+        out = np.zeros((len(some), hashes), np.int64)
+        if len(some):
+            distinct = found.dictionary.to_pylist()
+            number = np.array([_number(w) for w in distinct], np.int64)
+            plain = np.array([w not in marked for w in distinct], np.int64) if marked is not None else None
+            which = found.indices.to_numpy()
+            starts = (sizes.cumsum() - sizes)[some]
+            for k, (a, b) in enumerate(family):
+                value = (a * number + b) % PRIME
+                out[:, k] = np.minimum.reduceat((value if plain is None else 2 * value + plain)[which], starts)
+        offsets = np.concatenate(([0], (sizes > 0).cumsum() * hashes)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
+
+    return run(words)

@@ -25,9 +25,10 @@ def zero_vector(dim: int) -> Column:
 
 
 def mean_vector(df: DataFrame, keys: list[str], vec: str, out: str = "centroid", normalize: bool = True) -> DataFrame:
-    """Component-wise mean per key.  Components are averaged with partial sums, so a hot key is fine."""
-    parts = df.select(*keys, F.posexplode(vec).alias("_i", "_x"))
-    mean = parts.groupBy(*keys, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
-    packed = mean.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_v"))
-    arr = F.transform(F.col("_v"), lambda s: s["_m"])
-    return packed.select(*keys, (unit(arr) if normalize else arr).alias(out))
+    """Component-wise mean per key. One summary per key and task is shuffled, so a hot key is fine."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    some = df.where(F.col(vec).isNotNull()).select(*keys, array_to_vector(F.col(vec).cast("array<double>")).alias("_x"))
+    arr = vector_to_array(F.col("_m"))
+    return some.groupBy(*keys).agg(Summarizer.mean(F.col("_x")).alias("_m")).select(*keys, (unit(arr) if normalize else arr).alias(out))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.text import tokens_informative, tokens_quality
-from tidemark.operators.blocks import assign_blocks, block_pairs
+from tidemark.functions.hashing import least_hashes
+from tidemark.functions.vectors import dot
+from tidemark.operators.cells import build_cells, near_blocks, paired, stored
 from tidemark.session import cut_lineage
 
 # Cluster constants.
@@ -23,8 +23,8 @@ COMMON_TOKENS = (
 ).split()
 
 
-#: Functions of the MinHash estimate of mean overlaps, and the prime they count modulo.
-HASHES, PRIME = 32, 2_147_483_647
+#: Functions of the MinHash estimate of mean overlaps, and of the share of common words in them.
+HASHES, PENALTY_HASHES = 32, 128
 
 
 # --- label groups ---------------------------------------------------------------------------
@@ -59,12 +59,6 @@ def coherence_fast(members: DataFrame, cluster: str, text: Column) -> DataFrame:
     return whole.join(mean_jaccard(toks, cluster), cluster, "left").select(cluster, "size", score.alias("coherence"))
 
 
-def hash_family(hashes: int = HASHES) -> list[tuple[int, int]]:
-    """Factor and shift of each MinHash function."""
-    draw = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:7], 16) + 1
-    return [(draw(f"a{k}"), draw(f"b{k}")) for k in range(hashes)]
-
-
 def mean_jaccard(toks: DataFrame, cluster: str, tok: str = "_tok", hashes: int = HASHES) -> DataFrame:
     """(cluster, _mean): mean Jaccard over all pairs of rows with words, by MinHash in linear time.
 
@@ -72,11 +66,7 @@ def mean_jaccard(toks: DataFrame, cluster: str, tok: str = "_tok", hashes: int =
     similarity; so the rows are counted per function and minimum, and n rows of one
     minimum are n(n-1)/2 agreeing pairs.  ``hashes`` sets the precision.
     """
-    family = F.array(*[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for a, b in hash_family(hashes)])
-    number = F.transform(F.col(tok), lambda t: F.conv(F.substring(F.md5(t), 1, 15), 16, 10).cast("bigint") % PRIME)
-    # Wrapped in an array, so that each word is digested once and not once per function.
-    least = F.transform(F.array(number), lambda hs: F.transform(family, lambda f: F.array_min(F.transform(hs, lambda h: (f["a"] * h + f["b"]) % PRIME))))[0]
-    rows = toks.where(F.size(tok) > 0).select(cluster, F.posexplode(least).alias("_k", "_v"))
+    rows = toks.where(F.size(tok) > 0).select(cluster, F.posexplode(least_hashes(F.col(tok), hashes)).alias("_k", "_v"))
     same = rows.groupBy(cluster, "_k", "_v").agg(F.count(F.lit(1)).alias("_n"))
     sums = same.groupBy(cluster).agg(F.sum(F.col("_n") * (F.col("_n") - 1)).alias("_same"), (F.sum("_n") / hashes).alias("_rows"))
     return sums.where("_rows > 1").select(cluster, (F.col("_same") / hashes / (F.col("_rows") * (F.col("_rows") - 1))).alias("_mean"))
@@ -98,12 +88,14 @@ def eps_neighbours(vectors: DataFrame, eps: float = EPS, group: list[str] | None
                    vec: str = "vec", block_rows: int = 4_000) -> DataFrame:
     """(group.., a, b, distance) with a < b and cosine distance <= eps, vectors of unit length.
 
-    For inspection and small eps; the clustering below never writes pairs.
+    For inspection and small eps; the clustering below never writes pairs. Blocks that the triangle inequality keeps apart
+    never meet.
     """
     group = group or []
     id_type = vectors.schema[id_col].dataType.simpleString()
     gtypes = "".join(f"{g} {vectors.schema[g].dataType.simpleString()}, " for g in group)
-    grid = block_pairs(assign_blocks(vectors.select(*group, F.col(id_col).alias("id"), F.col(vec).alias("vec")), group, "id", block_rows))
+    cells = build_cells(vectors.select(*group, F.col(id_col).alias("id"), F.col(vec).alias("vec")), group, "id", "vec", block_rows)
+    grid = paired(cells.rows, near_blocks(cells, eps), group)
 
     def cell(key, pdf: pd.DataFrame) -> pd.DataFrame:
         same = pdf["_lo"].iloc[0] == pdf["_hi"].iloc[0]
@@ -129,7 +121,8 @@ def dbscan_cosine(vectors: DataFrame, eps: float = EPS, min_samples: int = MIN_C
     """(group.., id, cluster, is_core): density clusters per group, noise dropped.
 
     ``cluster`` is the smallest core id of the component; a border row joins the
-    smallest such cluster within eps.  Three passes over a block grid:
+    smallest such cluster within eps.  Three passes over the pairs of blocks that are near enough
+    to hold neighbours (see ``cells``):
 
     1. neighbour counts -> core rows (equal vectors are folded into one weighted row),
     2. a spanning forest of the core graph of each block pair -> components by
@@ -143,9 +136,11 @@ def dbscan_cosine(vectors: DataFrame, eps: float = EPS, min_samples: int = MIN_C
     schema = base.schema
     gtypes = "".join(f"{g} {schema[g].dataType.simpleString()}, " for g in group)
     id_type = schema["id"].dataType.simpleString()
-    # Equal vectors are neighbours of each other and share all neighbours.
-    folded = cut_lineage(base.groupBy(*group, "vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w")))
-    blocked = assign_blocks(folded, group, "rep", block_rows)
+    # Equal vectors are neighbours of each other and share all neighbours; a digest stands for the vector in joins.
+    base = base.where("vec is not null").withColumn("_dig", F.md5(F.array_join(F.col("vec").cast("array<string>"), ",", "null")))
+    folded = cut_lineage(base.groupBy(*group, "_dig").agg(F.first("vec").alias("vec"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("w")))
+    cells = build_cells(folded, group, "rep", "vec", block_rows)
+    pairs = stored(near_blocks(cells, eps), "near")
 
     def sides(pdf):
         same = pdf["_lo"].iloc[0] == pdf["_hi"].iloc[0]
@@ -157,9 +152,7 @@ def dbscan_cosine(vectors: DataFrame, eps: float = EPS, min_samples: int = MIN_C
         return (1.0 - _mat(left["vec"]) @ _mat(right["vec"]).T) <= eps
 
     def with_key(out, key):
-        for n, g in enumerate(group):
-            out[g] = key[n]
-        return out
+        return out.assign(**dict(zip(group, key)))
 
     def count_cell(key, pdf):
         left, right, same = sides(pdf)
@@ -175,9 +168,9 @@ def dbscan_cosine(vectors: DataFrame, eps: float = EPS, min_samples: int = MIN_C
         return with_key(out[out["c"] > 0], key)
 
     keys = [*group, "_lo", "_hi"]
-    counts = (block_pairs(blocked).groupBy(*keys).applyInPandas(count_cell, f"{gtypes}rep {id_type}, c bigint")
+    counts = (paired(cells.rows, pairs, group).groupBy(*keys).applyInPandas(count_cell, f"{gtypes}rep {id_type}, c bigint")
               .groupBy(*group, "rep").agg((F.sum("c") >= min_samples).alias("is_core")))
-    marked = cut_lineage(folded.join(counts, [*group, "rep"]))
+    marked = cut_lineage(cells.rows.join(counts, [*group, "rep"]))
 
     def forest_cell(key, pdf):
         left, right, same = sides(pdf)
@@ -220,8 +213,7 @@ def dbscan_cosine(vectors: DataFrame, eps: float = EPS, min_samples: int = MIN_C
                         front += [(x, True) for x in new]
         return with_key(pd.DataFrame({"a": np.array(a, dtype=ids.dtype), "b": np.array(b, dtype=ids.dtype)}), key)
 
-    core = assign_blocks(marked.where("is_core"), group, "rep", block_rows)
-    edges = block_pairs(core).groupBy(*keys).applyInPandas(forest_cell, f"{gtypes}a {id_type}, b {id_type}")
+    edges = paired(marked.where("is_core"), pairs, group).groupBy(*keys).applyInPandas(forest_cell, f"{gtypes}a {id_type}, b {id_type}")
     labels = connected_components(marked.where("is_core").select(*group, F.col("rep").alias("node")), edges, group, max_rounds)
 
     known = marked.join(labels.select(*group, F.col("node").alias("rep"), F.col("component").alias("_c")), [*group, "rep"], "left")
@@ -243,12 +235,11 @@ def dbscan_cosine(vectors: DataFrame, eps: float = EPS, min_samples: int = MIN_C
         frame = pd.concat(out) if out else pd.DataFrame({"rep": pdf["rep"][:0], "_c": pd.Series([], dtype="int64")})
         return with_key(frame, key)
 
-    grid = block_pairs(assign_blocks(known, group, "rep", block_rows))
-    border = (grid.groupBy(*keys).applyInPandas(border_cell, f"{gtypes}rep {id_type}, _c bigint")
+    border = (paired(known, pairs, group).groupBy(*keys).applyInPandas(border_cell, f"{gtypes}rep {id_type}, _c bigint")
               .groupBy(*group, "rep").agg(F.min("_c").alias("cluster")))
-    placed = (known.where("is_core").select(*group, "vec", F.col("_c").cast("bigint").alias("cluster"), "is_core")
-              .unionByName(known.where("not is_core").join(border, [*group, "rep"]).select(*group, "vec", "cluster", "is_core")))
-    return base.join(placed, [*group, "vec"]).select(*group, "id", "cluster", "is_core")
+    placed = (known.where("is_core").select(*group, "_dig", F.col("_c").cast("bigint").alias("cluster"), "is_core")
+              .unionByName(known.where("not is_core").join(border, [*group, "rep"]).select(*group, "_dig", "cluster", "is_core")))
+    return base.join(placed, [*group, "_dig"]).select(*group, "id", "cluster", "is_core")
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, group: list[str] | None = None, max_rounds: int = 60) -> DataFrame:
@@ -284,63 +275,34 @@ def connected_components(nodes: DataFrame, edges: DataFrame, group: list[str] |
 def mean_pairwise_cosine(members: DataFrame, cluster: list[str], vec: str = "vec") -> DataFrame:
     """(cluster.., size, avg_similarity): mean inner product over all pairs, in linear time.
 
-    The sum over pairs equals (|sum v|^2 - sum |v|^2) / 2.
+    The sum over pairs equals (|sum v|^2 - sum |v|^2) / 2; a summary per cluster and task carries both.
     """
-    parts = members.select(*cluster, F.posexplode(vec).alias("_i", "_x")).withColumn("_x", F.col("_x").cast("double"))
-    sums = parts.groupBy(*cluster, "_i").agg(F.sum("_x").alias("_s"), F.sum(F.col("_x") * F.col("_x")).alias("_q"),
-                                             F.count(F.lit(1)).alias("_n"))
-    out = sums.groupBy(*cluster).agg(F.sum(F.col("_s") * F.col("_s")).alias("_ss"), F.sum("_q").alias("_qq"), F.max("_n").alias("size"))
-    mean = (F.col("_ss") - F.col("_qq")) / (F.col("size") * (F.col("size") - 1))
-    return out.select(*cluster, "size", F.when(F.col("size") > 1, mean).otherwise(1.0).alias("avg_similarity"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    rows = members.where(F.col(vec).isNotNull()).select(*cluster, array_to_vector(F.col(vec).cast("array<double>")).alias("_x"))
+    seen = rows.groupBy(*cluster).agg(Summarizer.metrics("sum", "normL2", "count").summary(F.col("_x")).alias("_s"))
+    total, length, n = vector_to_array(F.col("_s.sum")), vector_to_array(F.col("_s.normL2")), F.col("_s.count")
+    mean = (dot(total, total) - dot(length, length)) / (n * (n - 1))
+    return seen.select(*cluster, n.alias("size"), F.when(n > 1, mean).otherwise(1.0).alias("avg_similarity"))
 
 
-def overlap_penalty(members: DataFrame, cluster: list[str], id_col: str, text: Column, block_rows: int = 1_500,
-                    common: list[str] = COMMON_TOKENS) -> DataFrame:
+def overlap_penalty(members: DataFrame, cluster: list[str], id_col: str, text: Column, common: list[str] = COMMON_TOKENS,
+                    hashes: int = PENALTY_HASHES) -> DataFrame:
     """(cluster.., penalty): how far common words alone hold a cluster together, at most .15.
 
-    Mean over all pairs of |a & b & common| / |a | b|, times .6.  Units of the block grid
-    return one partial sum each.
+    The mean over all pairs of |a & b & common| / |a | b|, times .6, by MinHash in linear time: that ratio is the
+    probability that two rows share the minimum of a hash function and the word that has it is a common one. A cluster
+    with a row without words has no penalty.
     """
-    toks = members.select(*cluster, F.col(id_col).alias("id"), tokens_informative(text).alias("tok"))
+    toks = members.select(*cluster, tokens_informative(text).alias("tok"))
     whole = toks.groupBy(*cluster).agg(F.count(F.lit(1)).alias("_n"), F.min(F.size("tok")).alias("_least"))
-    grid = block_pairs(assign_blocks(toks, cluster, "id", block_rows))
-    gtypes = "".join(f"{g} {toks.schema[g].dataType.simpleString()}, " for g in cluster)
-    shared = frozenset(common)
-
-    def cell(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        same = pdf["_lo"].iloc[0] == pdf["_hi"].iloc[0]
-        left = pdf if same else pdf[pdf["_blk"] == pdf["_lo"]]
-        right = pdf if same else pdf[pdf["_blk"] == pdf["_hi"]]
-        total = 0.0
-        if len(left) and len(right):
-            # Row lists per word; only words that occur on both sides add anything.
-            def rows_by_word(rows):
-                out: dict[str, list[int]] = {}
-                for i, r in enumerate(rows):
-                    for t in r:
-                        out.setdefault(t, []).append(i)
-                return out
-            lw, rw = rows_by_word(left["tok"]), rows_by_word(right["tok"])
-            inter = np.zeros((len(left), len(right)), dtype=np.float32)
-            both = np.zeros_like(inter)
-            for t in lw.keys() & rw.keys():
-                at = np.ix_(lw[t], rw[t])
-                inter[at] += 1
-                if t in shared:
-                    both[at] += 1
-            sizes = lambda rows: np.array([len(r) for r in rows], dtype=np.float32)
-            union = sizes(left["tok"])[:, None] + sizes(right["tok"])[None, :] - inter
-            jac = both / np.maximum(union, 1)
-            total = float(np.triu(jac, 1).sum()) if same else float(jac.sum())
-        out = pd.DataFrame({"_sum": [total]})
-        for n, g in enumerate(cluster):
-            out[g] = key[n]
-        return out
-
-    part = grid.groupBy(*cluster, "_lo", "_hi").applyInPandas(cell, f"{gtypes}_sum double").groupBy(*cluster).agg(F.sum("_sum").alias("_sum"))
-    mean = F.col("_sum") / (F.col("_n") * (F.col("_n") - 1) / 2)
+    rows = toks.where(F.size("tok") > 0).select(*cluster, F.posexplode(least_hashes(F.col("tok"), hashes, frozenset(common))).alias("_k", "_v"))
+    agreed = rows.where(F.col("_v") % 2 == 0).groupBy(*cluster, "_k", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    part = agreed.groupBy(*cluster).agg(F.sum(F.col("_c") * (F.col("_c") - 1)).alias("_sum"))
+    mean = F.coalesce(F.col("_sum"), F.lit(0)) / hashes / F.greatest(F.col("_n") * (F.col("_n") - 1), F.lit(1))
     penalty = F.when((F.col("_n") < 2) | (F.col("_least") == 0), 0.0).otherwise(F.least(F.lit(0.15), mean * 0.6))
-    return whole.join(part, cluster).select(*cluster, penalty.alias("penalty"))
+    return whole.join(part, cluster, "left").select(*cluster, penalty.alias("penalty"))
 
 
 def coherence_vector(members: DataFrame, cluster: list[str], id_col: str, text: Column, vec: str = "vec",

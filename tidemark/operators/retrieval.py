@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.functions.rules import Pack, contains_any, contains_word
 from tidemark.functions.text import compact, tokens_retrieval
 from tidemark.functions.vectors import mean_vector, zero_vector
-from tidemark.operators.blocks import assign_blocks
+from tidemark.operators.cells import Cells, best_inner, best_rows, matrix
 from tidemark.operators.ordering import rank_bounded, source_diversity_cap, top_n_per_group
 
 # Ranking constants.
@@ -85,110 +85,49 @@ def rank_list(scored: DataFrame, score: str, k: int = POOL) -> DataFrame:
 
 # --- dense -----------------------------------------------------------------------------------
 
-QUERY_MATRIX_LIMIT = 4_096
+QUERY_CHUNK = 4_096
 
 
-def dense_topk(vectors: DataFrame, query_vectors: DataFrame, k: int = POOL, min_sim: float = MIN_COSINE,
-               matrix_limit: int = QUERY_MATRIX_LIMIT, block_rows: int = 20_000) -> DataFrame:
+def dense_topk(vectors: "DataFrame | Cells", query_vectors: DataFrame, k: int = POOL, min_sim: float = MIN_COSINE,
+               chunk_rows: int = QUERY_CHUNK, block_rows: int = 20_000) -> DataFrame:
     """(query_id, doc_id, sim, rank): inner product above ``min_sim``, best ``k`` per query.
 
-    ``vectors(doc_id, vec)``, ``query_vectors(query_id, vec)``, unit length.  Up to
-    ``matrix_limit`` questions travel as one matrix and the vectors are scanned where
-    they lie; more questions are cut into hashed chunks that meet the hashed vector
-    blocks.  Either way a task keeps its best ``k`` before anything is shuffled.
+    ``vectors(doc_id, vec)``, ``query_vectors(query_id, vec)``, unit length. Vectors dealt to cells before
+    (``cells.build_cells``) are searched best cell first with an exact stopping bound; plain vectors are all compared, in
+    hashed chunks of questions and blocks of vectors. A task keeps its best ``k`` before anything is shuffled; there is
+    one plan for any number of questions.
     """
-    head = query_vectors.select("query_id", "vec").limit(matrix_limit + 1).collect()
-    if len(head) <= matrix_limit:
-        if not head:
-            part = vectors.select(F.lit(0).cast("bigint").alias("query_id"), "doc_id", F.lit(0.0).alias("sim")).limit(0)
-        else:
-            part = _scan_topk(vectors, head, query_vectors.schema["query_id"].dataType.simpleString(), k, min_sim)
+    if isinstance(vectors, Cells):
+        part = best_inner(vectors, query_vectors, k, min_sim, chunk=chunk_rows)
     else:
-        part = _grid_topk(vectors, query_vectors, k, min_sim, matrix_limit, block_rows)
+        part = _grid_topk(vectors, query_vectors, k, min_sim, chunk_rows, block_rows)
     return rank_list(part, "sim", k)
 
 
-def _best_rows(qids: np.ndarray, qmat: np.ndarray, ids: np.ndarray, mat: np.ndarray, k: int, min_sim: float) -> pd.DataFrame:
-    sims = mat @ qmat.T
-    out_q, out_d, out_s = [], [], []
-    for j in range(sims.shape[1]):
-        col = sims[:, j]
-        hit = np.flatnonzero(col > min_sim)
-        if len(hit) > k:
-            # Keep all ties of the k-th value: the final ranking breaks them by id.
-            kth = np.partition(col[hit], len(hit) - k)[len(hit) - k]
-            hit = hit[col[hit] >= kth]
-        out_q.append(np.repeat(qids[j], len(hit)))
-        out_d.append(ids[hit])
-        out_s.append(col[hit])
-    return pd.DataFrame({"query_id": np.concatenate(out_q), "doc_id": np.concatenate(out_d), "sim": np.concatenate(out_s)})
-
-
-def _matrix(series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in series])
-
-
-def _schema(vectors: DataFrame, qtype: str) -> str:
-    return f"query_id {qtype}, doc_id {vectors.schema['doc_id'].dataType.simpleString()}, sim double"
-
-
-def _scan_topk(vectors: DataFrame, rows, qtype: str, k: int, min_sim: float) -> DataFrame:
-    shared = vectors.sparkSession.sparkContext.broadcast(
-        (np.array([r[0] for r in rows]), _matrix([r[1] for r in rows])))
-
-    def scan(batches):
-        qids, qmat = shared.value
-        for pdf in batches:
-            if len(pdf):
-                yield _best_rows(qids, qmat, pdf["doc_id"].to_numpy(), _matrix(pdf["vec"]), k, min_sim)
-
-    return vectors.select("doc_id", "vec").where("vec is not null").mapInPandas(scan, _schema(vectors, qtype))
-
-
 def _grid_topk(vectors: DataFrame, queries: DataFrame, k: int, min_sim: float, chunk_rows: int, block_rows: int) -> DataFrame:
-    q = assign_blocks(queries.select("query_id", "vec"), [], "query_id", chunk_rows)
-    v = assign_blocks(vectors.select("doc_id", "vec").where("vec is not null"), [], "doc_id", block_rows)
-    nq, nv = q.agg(F.max("_nblk")).first()[0], v.agg(F.max("_nblk")).first()[0]
-    q = q.withColumn("_v", F.explode(F.sequence(F.lit(0), F.lit((nv or 1) - 1)))).select("query_id", "vec", F.col("_blk").alias("_q"), "_v")
-    v = v.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit((nq or 1) - 1)))).select("doc_id", "vec", "_q", F.col("_blk").alias("_v"))
-    qtype = queries.schema["query_id"].dataType.simpleString()
+    q, v = queries.select("query_id", "vec").where("vec is not null"), vectors.select("doc_id", "vec").where("vec is not null")
+    of = lambda df, rows: F.greatest(F.ceil(df.agg(F.count(F.lit(1))).scalar() / rows), F.lit(1)).cast("int")
+    n_q, n_v = of(q, chunk_rows), of(v, block_rows)
+    q = q.withColumn("_q", F.pmod(F.xxhash64("query_id"), n_q).cast("int")).withColumn("_v", F.explode(F.sequence(F.lit(0), n_v - 1)))
+    v = v.withColumn("_v", F.pmod(F.xxhash64("doc_id"), n_v).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), n_q - 1)))
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "doc_id": [], "sim": []})
-        return _best_rows(left["query_id"].to_numpy(), _matrix(left["vec"]),
-                          right["doc_id"].to_numpy(), _matrix(right["vec"]), k, min_sim)
+        return best_rows(left["query_id"].to_numpy(), matrix(left["vec"]), right["doc_id"].to_numpy(), matrix(right["vec"]), k, min_sim)
 
-    return q.groupBy("_q", "_v").cogroup(v.groupBy("_q", "_v")).applyInPandas(cell, _schema(vectors, qtype))
+    types = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {vectors.schema['doc_id'].dataType.simpleString()}, sim double"
+    return q.groupBy("_q", "_v").cogroup(v.groupBy("_q", "_v")).applyInPandas(cell, types)
 
 
 def max_similarity(vectors: DataFrame, exemplars: DataFrame, scale: float = 100.0) -> DataFrame:
-    """(doc_id, semantic): largest inner product with any exemplar, times ``scale``.
+    """(doc_id, semantic): largest inner product with any exemplar, times ``scale``; no row for a null vector.
 
-    Exemplars beyond the matrix limit go through the grid; the fold per row is a max either way.
+    The vectors are the questions here and the exemplars what is searched, in the same grid of chunks and blocks.
     """
-    q = exemplars.select(F.col("query_id"), "vec")
-    head = q.limit(QUERY_MATRIX_LIMIT + 1).collect()
-    if len(head) > QUERY_MATRIX_LIMIT:
-        best = _grid_max(vectors, q)
-    else:
-        shared = vectors.sparkSession.sparkContext.broadcast(_matrix([r[1] for r in head]))
-
-        def scan(batches):
-            for pdf in batches:
-                if len(pdf):
-                    yield pd.DataFrame({"doc_id": pdf["doc_id"], "sim": (_matrix(pdf["vec"]) @ shared.value.T).max(axis=1)})
-
-        idt = vectors.schema["doc_id"].dataType.simpleString()
-        best = vectors.select("doc_id", "vec").mapInPandas(scan, f"doc_id {idt}, sim double")
-    return best.select("doc_id", (F.col("sim") * scale).alias("semantic"))
-
-
-def _grid_max(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    flipped_v = vectors.select(F.col("doc_id").alias("query_id"), "vec")
-    flipped_q = queries.select(F.col("query_id").alias("doc_id"), "vec")
-    top = _grid_topk(flipped_q, flipped_v, 1, -2.0, QUERY_MATRIX_LIMIT, 20_000)
-    return top.groupBy(F.col("query_id").alias("doc_id")).agg(F.max("sim").alias("sim"))
+    asked = vectors.select(F.col("doc_id").alias("query_id"), "vec")
+    top = _grid_topk(exemplars.select(F.col("query_id").alias("doc_id"), "vec"), asked, 1, float("-inf"), 20_000, QUERY_CHUNK)
+    return top.groupBy(F.col("query_id").alias("doc_id")).agg((F.max("sim") * scale).alias("semantic"))
 
 
 def proxy_query_vector(bm25_ranked: DataFrame, vectors: DataFrame, n: int = 5) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.hashing import PRIME, hash_family
 from tidemark.functions.text import STOP_COHERENCE, STOP_QUALITY
-from tidemark.operators import clustering as cl, retrieval as rt
+from tidemark.operators import clustering as cl, retrieval as rt, search_index as si
+from tidemark.operators.cells import build_cells, near_blocks
 from tidemark.queries.base import AS_OF, INSIGHTS, P, POSTS, as_of, insights, posts, q, query, sql_any, sql_labels, sql_pack, table
 from tidemark.queries.label_queries import WORKSTREAM, with_workstream
 from tidemark.queries.text_queries import TOK_BM25
@@ -41,6 +43,12 @@ def _topk(spark, sf):
     return rt.bm25_topk(_docs(spark, sf), questions(spark, sf), "doc_id", F.col("text")).select("query_id", "doc_id", "rank")
 
 
+@query("bm25_topk_stored", f"WITH {BM25}, {_RANKED} SELECT query_id, doc_id, rank FROM bk")
+def _topk_stored(spark, sf):
+    """The same from a stored index: written once, then searched by partitions of words with block maxima."""
+    return si.search(si.write_index(_docs(spark, sf), "doc_id", F.col("text")), questions(spark, sf)).select("query_id", "doc_id", "rank")
+
+
 @query("bm25_index", f"WITH {BM25} SELECT (SELECT count(*) FROM pt) AS postings, (SELECT count(*) FROM dfs) AS terms, (SELECT CAST(sum(len(t)) AS BIGINT) FROM dt) AS tokens, (SELECT max(df) FROM dfs) AS max_df")
 def _index(spark, sf):
     postings, docs = rt.build_index(_docs(spark, sf), "doc_id", F.col("text"))
@@ -66,10 +74,30 @@ def _dense(spark, sf):
 
 @query("dense_topk_grid", f"WITH {_DENSE} SELECT query_id, doc_id, rank, round(sim, 6) AS sim FROM dk")
 def _dense_grid(spark, sf):
-    """The same through hashed chunks and blocks, the way for more questions than one matrix holds."""
+    """The same through many chunks of questions and blocks of vectors."""
+    v = _vectors(spark, sf)
+    qv = v.where("doc_id % 10 = 3").select(F.col("doc_id").alias("query_id"), "vec")
+    return rt.dense_topk(v, qv, chunk_rows=16, block_rows=200).withColumn("sim", R6(F.col("sim")))
+
+
+@query("dense_topk_cells", f"WITH {_DENSE} SELECT query_id, doc_id, rank, round(sim, 6) AS sim FROM dk")
+def _dense_cells(spark, sf):
+    """The same through cells, best first, stopping when no cell can hold a better vector."""
     v = _vectors(spark, sf)
     qv = v.where("doc_id % 10 = 3").select(F.col("doc_id").alias("query_id"), "vec")
-    return rt.dense_topk(v, qv, matrix_limit=16, block_rows=200).withColumn("sim", R6(F.col("sim")))
+    return rt.dense_topk(build_cells(v, [], "doc_id", block_rows=500), qv).withColumn("sim", R6(F.col("sim")))
+
+
+@query("near_blocks", "SELECT CAST(count(*) AS BIGINT) AS vectors, true AS complete FROM embeddings")
+def _near_blocks(spark, sf):
+    """Every vector is in one block, and every pair within eps lies in a pair of blocks that is compared."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    cells = build_cells(v, [], "id", block_rows=200)
+    met = near_blocks(cells, 0.62)
+    blk = lambda c, name: cells.rows.select(F.col("id").alias(c), F.col("_blk").alias(name))
+    close = cl.eps_neighbours(v, 0.62, block_rows=1_000_000).join(blk("a", "x"), "a").join(blk("b", "y"), "b")
+    lost = close.select(F.least("x", "y").alias("_lo"), F.greatest("x", "y").alias("_hi")).join(met, ["_lo", "_hi"], "left_anti")
+    return cells.rows.agg(F.count_distinct("id").alias("vectors")).withColumn("complete", F.lit(lost.agg(F.count(F.lit(1))).scalar() == 0))
 
 
 @query("proxy_query_vector", f"""WITH {BM25}, {_RANKED}, v AS (SELECT query_id, i, avg(x::DOUBLE) AS m FROM (SELECT query_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM bk JOIN embeddings e ON e.vec_id = bk.doc_id WHERE rank < 5) GROUP BY 1, 2),
@@ -246,10 +274,10 @@ def _key(spark, sf):
 
 def coherence_sql(stop) -> str:
     """Word sets (tk) and the mean overlap of all pairs per source (mj), with the same hash functions."""
-    family = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(cl.hash_family()))
+    family = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(hash_family(cl.HASHES)))
     return f"""tk AS (SELECT source, doc_id AS pos, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: NOT list_contains([{', '.join(q(s) for s in stop)}], x))) AS tok FROM documents),
-hx AS (SELECT source, pos, {_HEX('md5(t)', 1)} % {cl.PRIME} AS h FROM (SELECT source, pos, unnest(tok) AS t FROM tk)), fam(k, a, b) AS (VALUES {family}),
-sg AS (SELECT source, pos, k, min((a * h + b) % {cl.PRIME}) AS v FROM hx, fam GROUP BY 1, 2, 3), cn AS (SELECT source, k, v, count(*) AS n FROM sg GROUP BY 1, 2, 3),
+hx AS (SELECT source, pos, {_HEX('md5(t)', 1)} % {PRIME} AS h FROM (SELECT source, pos, unnest(tok) AS t FROM tk)), fam(k, a, b) AS (VALUES {family}),
+sg AS (SELECT source, pos, k, min((a * h + b) % {PRIME}) AS v FROM hx, fam GROUP BY 1, 2, 3), cn AS (SELECT source, k, v, count(*) AS n FROM sg GROUP BY 1, 2, 3),
 sm AS (SELECT source, sum(n * (n - 1))::DOUBLE AS same, sum(n) / {cl.HASHES}::DOUBLE AS r FROM cn GROUP BY 1), mj AS (SELECT source, same / {cl.HASHES} / (r * (r - 1)) AS m FROM sm WHERE r > 1)"""
 
 
@@ -306,10 +334,13 @@ _TOKI = "list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'),
 
 
 @query("overlap_penalty", f"""WITH tk AS (SELECT source, doc_id, {_TOKI} AS tok FROM documents), n AS (SELECT source, count(*) AS n, min(len(tok)) AS least FROM tk GROUP BY 1),
-p AS (SELECT a.source, avg(len(list_intersect(list_intersect(a.tok, b.tok), [{', '.join(q(s) for s in _COMMON)}])) / greatest(1, len(a.tok) + len(b.tok) - len(list_intersect(a.tok, b.tok)))::DOUBLE) AS m FROM tk a JOIN tk b ON a.source = b.source AND a.doc_id < b.doc_id GROUP BY 1)
-SELECT source, round(CASE WHEN n < 2 OR least = 0 THEN 0 ELSE least(0.15, m * 0.6) END, 6)::DOUBLE AS penalty FROM n JOIN p USING (source)""")
+hx AS (SELECT source, doc_id, {_HEX('md5(t)', 1)} % {PRIME} AS h, CASE WHEN t IN ({', '.join(q(s) for s in _COMMON)}) THEN 0 ELSE 1 END AS plain FROM (SELECT source, doc_id, unnest(tok) AS t FROM tk)),
+fam(k, a, b) AS (VALUES {', '.join(f'({k}, {a}, {b})' for k, (a, b) in enumerate(hash_family(cl.PENALTY_HASHES)))}),
+sg AS (SELECT source, doc_id, k, min(2 * ((a * h + b) % {PRIME}) + plain) AS v FROM hx, fam GROUP BY 1, 2, 3), cn AS (SELECT source, k, v, count(*) AS c FROM sg WHERE v % 2 = 0 GROUP BY 1, 2, 3),
+p AS (SELECT source, sum(c * (c - 1))::DOUBLE / {cl.PENALTY_HASHES} AS s FROM cn GROUP BY 1)
+SELECT source, round(CASE WHEN n < 2 OR least = 0 THEN 0 ELSE least(0.15, coalesce(s, 0) / (n * (n - 1)) * 0.6) END, 6)::DOUBLE AS penalty FROM n LEFT JOIN p USING (source)""")
 def _penalty(spark, sf):
-    return cl.overlap_penalty(_docs_src(spark, sf), ["source"], "doc_id", F.col("text"), block_rows=300, common=_COMMON).withColumn("penalty", R6(F.col("penalty")))
+    return cl.overlap_penalty(_docs_src(spark, sf), ["source"], "doc_id", F.col("text"), common=_COMMON).withColumn("penalty", R6(F.col("penalty")))
 
 
 def _labelled(spark, sf):
