@@ -83,8 +83,11 @@ def word_hashes(text: str | None) -> np.ndarray:
     inside = np.concatenate(([False], _IN_WORD[b], [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edges[::2], edges[1::2]
-    if not len(start):
-        return np.empty(0, np.uint64)
+    return hash_runs(b, start, end) if len(start) else np.empty(0, np.uint64)
+
+
+def hash_runs(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes ``start``..``end``, wherever it lies."""
     if len(_powers[0]) <= len(b):
         n = max(1 << 16, 2 * len(b))
         with np.errstate(over="ignore"):
