@@ -13,6 +13,7 @@ from tidemark.functions import automaton, dates, hashing, rules, text
 from tidemark.operators import clustering, dedup, enrich, evaluation, filters, joins, ordering, retrieval, trends
 from tidemark.sources import readers, sinks
 from tidemark.streaming import incremental as st
+from tidemark.streaming.upsert import BucketTable
 
 M = rules.load_packs("marketplace")
 
@@ -399,5 +400,9 @@ def test_novel_rows_are_labelled_once(spark, tmp_path):
     src, out, chk = (str(tmp_path / n) for n in ("in", "out", "chk"))
     for ks in (["a", "b", "a"], ["b", "c"]):
         spark.createDataFrame([(k,) for k in ks], "k string").coalesce(1).write.mode("append").parquet(src)
-    st.enrich_novel(st.read_stream(spark, src, "k string", 1), out, "k", lambda d: d.withColumn("label", F.upper("k")), chk).awaitTermination()
-    assert sorted(r.k for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+    made = BucketTable(spark, out, "k", "k string, label string", 8)
+    seen = []
+    label = lambda d: seen.extend(r.k for r in d.collect()) or d.withColumn("label", F.upper("k"))
+    st.enrich_novel(st.read_stream(spark, src, "k string", 1), made, label, chk).awaitTermination()
+    assert sorted((r.k, r.label) for r in made.read().collect()) == [("a", "A"), ("b", "B"), ("c", "C")]
+    assert sorted(seen) == ["a", "b", "c"]

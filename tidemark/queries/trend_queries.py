@@ -11,7 +11,8 @@ from tidemark.queries.label_queries import ANSWERS, answers
 from tidemark.queries.table_queries import ENTITIES, SIGNALS, SNAPSHOT
 from tidemark.session import scratch_path
 from tidemark.sources import readers, sinks
-from tidemark.streaming import incremental as st
+from tidemark.streaming import incremental as st, keyed
+from tidemark.streaming.upsert import BucketTable, into
 
 R6 = lambda c: F.round(c, 6)
 _K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
@@ -281,10 +282,19 @@ def _st2(spark, sf):
 @query("stream_enrich_novel", "SELECT md5(event_type) AS fp, event_type = 'error' AS negative FROM events GROUP BY 1, 2")
 def _st3(spark, sf):
     s = event_stream(spark, sf).withColumn("fp", F.md5("event_type"))
-    out, chk = scratch_path(spark, "novel"), scratch_path(spark, "novel-chk")
+    made = BucketTable(spark, scratch_path(spark, "novel"), "fp", "fp string, negative boolean", 16)
     label = lambda d: d.select("fp", (F.col("event_type") == "error").alias("negative"))
-    st.enrich_novel(s, out, "fp", label, chk).awaitTermination()
-    return spark.read.parquet(out).select("fp", "negative")
+    st.enrich_novel(s, made, label, scratch_path(spark, "novel-chk")).awaitTermination()
+    return made.read().select("fp", "negative")
+
+
+@query("stream_upsert", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY 1")
+def _st3_upsert(spark, sf):
+    """The newest event of each user, kept in a table that the stream updates bucket by bucket."""
+    s = event_stream(spark, sf).select("user_id", "event_type", "event_id", F.col("ts"))
+    made = BucketTable(spark, scratch_path(spark, "upsert"), "user_id", "user_id bigint, event_type string, event_id bigint, ts timestamp", 16)
+    into(s, lambda batch, epoch: made.upsert(batch, [F.desc("ts"), F.desc("event_id")], epoch), scratch_path(spark, "upsert-chk")).awaitTermination()
+    return made.read().select("user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query("stream_period_alerts", "SELECT start, topic, count(*) AS n, count(*) FILTER (WHERE topic = 'error') AS neg FROM (SELECT event_type AS topic, unnest(range(date_trunc('day', ts) - INTERVAL 6 DAY, date_trunc('day', ts) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS start FROM events) GROUP BY 1, 2")
@@ -320,6 +330,14 @@ def _st6(spark, sf):
     return added.groupBy("label").agg(F.sum("batch_n").alias("total_n"))
 
 
+@query("stream_label_deltas", "SELECT event_type AS label, count(*) AS added, count(*) AS total_n FROM events GROUP BY 1")
+def _st6_keyed(spark, sf):
+    """What each micro-batch added per label, from keyed state; its sum is the total that the state holds at the end."""
+    s = keyed.label_deltas(event_stream(spark, sf), "event_type", "ts", silence="365 days")
+    out = st.run_to_table(s, "update", "keyed")
+    return out.where("not silent").groupBy("label").agg(F.sum("batch_n").alias("added"), F.max("total_n").alias("total_n"))
+
+
 # --- sources and sinks: tables written out and read back ------------------------------------------------------
 
 def _dump(spark, df, name, fmt="json"):

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions.rules import Pack, all_labels
-from tidemark.operators.joins import pending_enrichment
 from tidemark.session import scratch_path
+from tidemark.streaming.upsert import BucketTable, into
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -70,28 +70,12 @@ def batch_deltas(updates: DataFrame, keys: list[str], total: str = "total_n", ou
     return updates.withColumn(out, F.col(total) - before)
 
 
-def enrich_novel(rows: DataFrame, table: str, key: str, label: Callable[[DataFrame], DataFrame], checkpoint: str):
-    """Label only unseen fingerprints: each micro-batch is anti-joined with the table and appended to it.
+def enrich_novel(rows: DataFrame, table: BucketTable, label: Callable[[DataFrame], DataFrame], checkpoint: str):
+    """Label only rows whose key the table lacks and add them; a micro-batch reads and writes the buckets of its keys alone.
 
-    Returns a started query.  Batch ids make a replay idempotent: a batch writes its own
-    sub-folder, overwriting what a failed attempt left.
+    Returns a started query.  Replays are idempotent (see ``upsert``).
     """
-
-    def one(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        seen = _read_table(spark, table, epoch)
-        todo = pending_enrichment(fresh, seen, key) if seen is not None else fresh
-        label(todo).write.mode("overwrite").parquet(f"{table}/batch={epoch}")
-
-    return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _read_table(spark: SparkSession, table: str, before: int) -> DataFrame | None:
-    hp = spark._jvm.org.apache.hadoop.fs.Path(table)
-    if before == 0 or not hp.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hp):
-        return None
-    return spark.read.parquet(table).where(F.col("batch") < before)
+    return into(rows, lambda batch, epoch: table.add_novel(batch, label, epoch), checkpoint)
 
 
 def run_to_table(stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
