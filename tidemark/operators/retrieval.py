@@ -15,6 +15,7 @@ from tidemark.functions.text import compact, tokens_retrieval
 from tidemark.functions.vectors import mean_vector, zero_vector
 from tidemark.operators.cells import Cells, best_inner, best_rows, matrix
 from tidemark.operators.ordering import rank_bounded, source_diversity_cap, top_n_per_group
+from tidemark.operators.search_index import SearchIndex, search
 
 # Ranking constants.
 K1, B = 1.5, 0.75
@@ -30,6 +31,11 @@ def search_text(*cols: Column) -> Column:
     return F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in cols])
 
 
+def search_fields() -> Column:
+    """What hybrid search looks for words in."""
+    return search_text(*[F.col(c) for c in ("title", "text", "source", "topic", "persona")], F.array_join("mentions_competitor", " "))
+
+
 def build_index(docs: DataFrame, id_col: str, text: Column) -> tuple[DataFrame, DataFrame]:
     """(postings(term, doc_id, tf, dl), doc_stats(doc_id, dl)).
 
@@ -238,19 +244,19 @@ def signal_boosts(lo_query: Column, as_of: Column, packs: dict[str, Pack], text:
 
 def hybrid_search(docs: DataFrame, queries: DataFrame, vectors: DataFrame | None, packs: dict[str, Pack], as_of: Column,
                   k: int = 25, pool: int = POOL, max_per_source: int = 15, id_col: str = "post_id",
-                  query_vectors: DataFrame | None = None) -> DataFrame:
+                  query_vectors: DataFrame | None = None, index: "SearchIndex | None" = None) -> DataFrame:
     """Expansion, BM25 and dense lists, fusion, boosts, source cap.
 
+    With a stored ``index`` of ``search_fields(docs)`` no text is split into words here; only the candidates' rows are read.
+
     ``docs`` needs id, text, title, source, topic, persona, signal_strength, score,
     post_date and mentions_competitor.  Only the fused candidates (at most twice the
     pool per question and list) are joined back to the wide rows.
     """
-    text = search_text(*[F.col(c) for c in ("title", "text", "source", "topic", "persona")],
-                       F.array_join("mentions_competitor", " "))
     variants = expand_query(queries, packs["expansions"])
     vkey = F.struct("query_id", "variant")
     vq = variants.withColumn("query_id", vkey)
-    lexical = bm25_topk(docs, vq, id_col, text, pool)
+    lexical = search(index, vq, pool) if index else bm25_topk(docs, vq, id_col, search_fields(), pool)
     # The candidates feed several branches; they are small and written once.
     split = lambda r: r.select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.variant").alias("variant"), "doc_id", "rank")
     lists = [merge_variants(split(lexical), pool * 2)]

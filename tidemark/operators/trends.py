@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.functions.rules import explode_hits
 from tidemark.operators.ordering import rank_bounded, top_n_per_group
+from tidemark.session import cut_lineage
 
 # Alert thresholds and the topics that carry no alert.
 Z_THRESHOLD, SHIFT_THRESHOLD, MIN_PERIODS = 2.0, 0.15, 2
@@ -210,8 +212,7 @@ def relevant_alerts(alerts: DataFrame, words: list[str], min_baseline: float = 2
     for t in terms:
         hit = hit | F.lower("topic").contains(t)
     base = alerts.where(F.col("baseline_value") >= min_baseline).withColumn("matched", hit)
-    order = [F.expr("case severity when 'high' then 0 when 'medium' then 1 when 'low' then 2 else 3 end"),
-             F.desc("confidence"), F.asc("topic"), F.asc("alert_type")]
+    order = by_urgency()
     pool = base.where(F.col("matched") | (F.col("severity") == "high"))
     ranked = top_n_per_group(pool, "matched", order, limit, "_i").where(~F.col("matched") | (F.col("_i") <= matched))
     # At most 3 + 4 rows are left here.
@@ -224,3 +225,54 @@ def relevant_absences(absences: DataFrame, words: list[str], limit: int = 2) ->
     for t in (w.lower() for w in words if len(w) > 3):
         hit = hit | F.lower("topic").contains(t)
     return absences.where(hit).orderBy("topic").limit(limit)
+
+
+# --- many questions at once ----------------------------------------------------------------------------
+
+def question_words(questions: DataFrame) -> DataFrame:
+    """(query_id, word): the distinct lower-cased words of more than three characters of each question."""
+    word = F.explode(F.array_distinct(F.split(F.lower("query"), r"\s+")))
+    return questions.select("query_id", word.alias("word")).where(F.length("word") > 3)
+
+
+def matching_topics(rows: DataFrame, questions: DataFrame) -> DataFrame:
+    """(query_id, topic): which topics hold a word of which question. The words of all questions are one lexicon, in which each
+    distinct topic is looked up once."""
+    words = question_words(questions)
+    topics = rows.select("topic").where("topic is not null").distinct()
+    found = explode_hits(topics, "topic", words.select("word"), "word")
+    return found.join(words, "word").select("query_id", "topic").distinct()
+
+
+def by_urgency() -> list[Column]:
+    """Severity, then confidence; ties by topic and type."""
+    return [F.expr("case severity when 'high' then 0 when 'medium' then 1 when 'low' then 2 else 3 end"),
+            F.desc("confidence"), F.asc("topic"), F.asc("alert_type")]
+
+
+def alerts_for(alerts: DataFrame, questions: DataFrame, min_baseline: float = 2.0, limit: int = 4, matched: int = 3) -> DataFrame:
+    """(query_id, position, matched, alert..): ``relevant_alerts`` for every row of ``questions`` (query_id, query).
+
+    A question's top-up are the first high alerts that it doesn't match; as many of the list are joined to it as it matches, plus
+    ``limit``, so none is missed and no question meets all alerts.
+    """
+    base = cut_lineage(alerts.where(F.col("baseline_value") >= min_baseline))
+    pairs = cut_lineage(matching_topics(base, questions))
+    own = pairs.join(base, "topic")
+    best = top_n_per_group(own, "query_id", by_urgency(), matched, "_i").withColumn("matched", F.lit(True))
+    taken = own.groupBy("query_id").agg(F.count_if(F.col("severity") == "high").alias("_m"))
+    asked = cut_lineage(questions.select("query_id").distinct().join(taken, "query_id", "left").withColumn("_m", F.coalesce("_m", F.lit(0))))
+    most = asked.agg(F.max("_m")).first()[0] or 0
+    # the head of one list for all questions, as long as the question that skips most of it needs
+    head = rank_bounded(base.where("severity = 'high'").orderBy(*by_urgency()).limit(int(most) + limit), by_urgency(), "_h")
+    offered = asked.withColumn("_h", F.explode(F.sequence(F.lit(1), F.col("_m").cast("int") + limit))).join(head, "_h")
+    spare = offered.join(pairs, ["query_id", "topic"], "left_anti")
+    extra = top_n_per_group(spare, "query_id", ["_h"], limit, "_i").withColumn("matched", F.lit(False))
+    both = best.unionByName(extra.drop("_m", "_h"))
+    return top_n_per_group(both, "query_id", [F.desc("matched"), F.asc("_i")], limit, "position").drop("_i")
+
+
+def absences_for(absences: DataFrame, questions: DataFrame, limit: int = 2) -> DataFrame:
+    """(query_id, position, absence..): ``relevant_absences`` for every row of ``questions`` (query_id, query)."""
+    rows = cut_lineage(absences)
+    return top_n_per_group(matching_topics(rows, questions).join(rows, "topic"), "query_id", ["topic"], limit, "position")

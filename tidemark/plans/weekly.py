@@ -10,9 +10,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.functions.rules import Pack
+from tidemark.functions.rules import Pack, contains_any
 from tidemark.operators import aggregates as agg, clustering, dedup, enrich, evaluation, filters, joins, retrieval, trends
 from tidemark.operators.dedup import dedup_prefix
+from tidemark.operators.search_index import SearchIndex
 from tidemark.session import cut_lineage
 from tidemark.sources import sinks
 
@@ -127,6 +128,24 @@ def ask(question: str, insights: DataFrame, p: Packs, as_of: Column, vectors: Da
                          trends.relevant_absences(trends.silent_topics(periods), words))
 
 
+def ask_many(questions: DataFrame, insights: DataFrame, p: Packs, as_of: Column, vectors: DataFrame | None = None,
+             index: "SearchIndex | None" = None) -> AnswerContext:
+    """``ask`` for a table of questions (query_id, query): every part carries the question it belongs to.
+
+    Broad questions share one stratified sample; the others go through one hybrid search, from a stored index if one is given.
+    """
+    broad = contains_any(F.lower("query"), [t for r in p["question_intents"].rules if r.label == "broad" for t in r.substr])
+    sample = retrieval.stratified_topics(insights, pos="post_id", personas=["Power Seller", "Collector", "Investor", "New Seller", "Casual Buyer"])
+    # The sample is limited to forty rows.
+    shared = questions.where(broad).select("query_id").withColumn("_one", F.lit(1)).join(F.broadcast(sample.withColumn("_one", F.lit(1))), "_one")
+    found = retrieval.hybrid_search(insights, questions.where(~broad), vectors, p, as_of, index=index)
+    wanted = ["query_id", "doc_id", "source", "topic", "rank"]
+    sources = cut_lineage(found.select(wanted).unionByName(shared.withColumnRenamed("post_id", "doc_id").select(wanted)))
+    periods = cut_lineage(trends.period_counts(insights, "topic", "post_date", F.col("brand_sentiment").isin("Negative", "Complaint")))
+    backed = sources.groupBy("query_id", "topic").agg(F.count_distinct("source").alias("n_sources"), F.count(F.lit(1)).alias("n")).where("n_sources > 1")
+    return AnswerContext(sources, backed, trends.alerts_for(trends.detect_trends(periods), questions), trends.absences_for(trends.silent_topics(periods), questions))
+
+
 def cluster_quality(members: DataFrame, cluster: str, topic: str = "topic") -> DataFrame:
     """One row: size distribution, purity and token coherence."""
     size = evaluation.cluster_size_stats(members, cluster)

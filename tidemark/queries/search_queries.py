@@ -175,7 +175,7 @@ def _hybrid(spark, sf):
 _LEX_TEXT = "title || ' ' || text || ' ' || source || ' ' || topic || ' ' || persona || ' ' || array_to_string(mc, ' ')"
 
 
-@query("hybrid_search_lexical", f"""WITH {INSIGHTS}, {_BASE}, dx AS (SELECT *, {_LEX_TEXT} AS full_text FROM (SELECT *, list_sort({sql_labels('competitors', 'tlo')}) AS mc FROM bi)), qs AS (SELECT item_id AS query_id, text AS query, lower(text) AS qlo FROM benchmark),
+_HYBRID_SQL = f"""WITH {INSIGHTS}, {_BASE}, dx AS (SELECT *, {_LEX_TEXT} AS full_text FROM (SELECT *, list_sort({sql_labels('competitors', 'tlo')}) AS mc FROM bi)), qs AS (SELECT item_id AS query_id, text AS query, lower(text) AS qlo FROM benchmark),
 qv AS (SELECT query_id, 0 AS variant, query FROM qs UNION ALL SELECT query_id, 1, query || ' ' || ext FROM (SELECT query_id, query, {_EXT.replace('lower(text)', 'qlo')} AS ext FROM qs) WHERE ext IS NOT NULL),
 qt AS (SELECT query_id, variant, term, count(*) AS qtf FROM (SELECT query_id, variant, unnest({_TOKQ}) AS term FROM qv) GROUP BY 1, 2, 3), dt AS (SELECT post_id AS doc_id, {TOK_BM25.replace('lower(text)', 'lower(full_text)')} AS t FROM dx),
 st AS (SELECT count(*)::DOUBLE AS n, greatest(avg(len(t)), 1) AS avgdl FROM dt), pt AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM dt) GROUP BY 1, 2, 3), dfs AS (SELECT term, count(*) AS df FROM pt GROUP BY 1),
@@ -183,13 +183,25 @@ bm AS (SELECT query_id, variant, doc_id, sum(qtf * ln((n - df + 0.5) / (df + 0.5
 bk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY round(bm25, 9) DESC, doc_id) - 1 AS r FROM bm) WHERE r < 50), fi AS (SELECT query_id, doc_id, min(variant * 1000 + r) AS o FROM bk GROUP BY 1, 2),
 mg AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY o) - 1 AS rank FROM fi), sc AS (SELECT query_id, doc_id, source, round(1.0::DOUBLE / (61 + rank) + {_boost_sql()}, 9) AS s FROM mg JOIN bi ON bi.post_id = mg.doc_id JOIN qs USING (query_id) WHERE rank < 100),
 cp AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY s DESC, doc_id) AS rs FROM sc), fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM cp WHERE rs <= 3)
-SELECT query_id, doc_id, rank, round(s, 6) AS retrieval_score FROM fr WHERE rank <= 25""")
+SELECT query_id, doc_id, rank, round(s, 6) AS retrieval_score FROM fr WHERE rank <= 25"""
+
+
+@query("hybrid_search_lexical", _HYBRID_SQL)
 def _hybrid_lexical(spark, sf):
     docs = cut_lineage(_search_docs(spark, sf).select("post_id", "text", "title", "source", "topic", "persona", "signal_strength", "score", "post_date", "mentions_competitor"))
     out = rt.hybrid_search(docs, questions(spark, sf), None, P, as_of(), max_per_source=3)
     return out.select("query_id", "doc_id", "rank", R6(F.col("retrieval_score")).alias("retrieval_score"))
 
 
+@query("hybrid_search_stored", _HYBRID_SQL)
+def _hybrid_stored(spark, sf):
+    """The same from a stored index of the collection."""
+    docs = cut_lineage(_search_docs(spark, sf).select("post_id", "text", "title", "source", "topic", "persona", "signal_strength", "score", "post_date", "mentions_competitor"))
+    index = si.write_index(docs, "post_id", rt.search_fields())
+    out = rt.hybrid_search(docs, questions(spark, sf), None, P, as_of(), max_per_source=3, index=index)
+    return out.select("query_id", "doc_id", "rank", R6(F.col("retrieval_score")).alias("retrieval_score"))
+
+
 def _legacy_sql() -> str:
     question = "with thing then"
     terms = sorted({"with", "thing", "then", "thble", "onhe", "src7"})

@@ -165,6 +165,30 @@ def _absences(spark, sf):
     return tr.relevant_absences(tr.silent_topics(periods(spark, sf)), ["gone", "the"]).select("topic")
 
 
+_ASKED = "qs AS (SELECT event_id AS query_id, lower('What about ' || topic || ' and ' || 'Gone'[1:event_id % 5]) AS query FROM dt), qw AS (SELECT DISTINCT query_id, w FROM (SELECT query_id, unnest(string_split_regex(query, '\\s+')) AS w FROM qs) WHERE length(w) > 3)"
+
+
+def _asked(spark, sf):
+    """A question per event, naming its topic, some of them a second one."""
+    tail = F.expr("substring('Gone', 1, CAST(event_id % 5 AS INT))")
+    return dated(spark, sf).select(F.col("event_id").alias("query_id"), F.lower(F.concat(F.lit("What about "), "topic", F.lit(" and "), tail)).alias("query"))
+
+
+@query("alerts_for", f"""WITH {STATS}, {_ASKED}, a AS ({_VOLUME} UNION ALL {_SHIFT} UNION ALL {_EMERGE}), b AS (SELECT *, row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, confidence DESC, topic, alert_type) AS g FROM a WHERE baseline_value >= 0.1),
+mt AS (SELECT DISTINCT query_id, topic FROM (SELECT DISTINCT topic FROM b) JOIN qw ON contains(lower(topic), w)), c AS (SELECT qs.query_id, b.*, mt.topic IS NOT NULL AS m FROM qs JOIN b ON TRUE LEFT JOIN mt ON mt.query_id = qs.query_id AND mt.topic = b.topic WHERE mt.topic IS NOT NULL OR severity = 'high'),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, m ORDER BY g) AS i FROM c), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY m DESC, i) AS position FROM r WHERE NOT m OR i <= 3)
+SELECT query_id, position, m AS matched, alert_type, topic, severity FROM p WHERE position <= 4""")
+def _alerts_for(spark, sf):
+    """Alerts for every question of a table, probed through the words of all questions at once."""
+    return tr.alerts_for(tr.detect_trends(periods(spark, sf)), _asked(spark, sf), 0.1).select("query_id", "position", "matched", "alert_type", "topic", "severity")
+
+
+@query("absences_for", f"""WITH {STATS}, {_ASKED}, s AS (SELECT topic FROM z WHERE {_SKIP} AND mean_all >= 3 AND n = 0)
+SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY topic) AS position, topic FROM (SELECT DISTINCT query_id, topic FROM s JOIN qw ON contains(lower(topic), w))) WHERE position <= 2""")
+def _absences_for(spark, sf):
+    return tr.absences_for(tr.silent_topics(periods(spark, sf)), _asked(spark, sf)).select("query_id", "position", "topic")
+
+
 # --- evaluation --------------------------------------------------------------------------------------
 
 _LABELS = "l AS (SELECT l.doc_id, quality = 1 AS actual, contains(lower(text), 'the') AS predicted, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' ELSE 'poor' END AS a, CASE WHEN contains(lower(text), 'thing') THEN 'good' WHEN contains(lower(text), 'que ') THEN 'toxic' ELSE 'poor' END AS p FROM labels l JOIN documents d USING (doc_id))"
