@@ -89,6 +89,39 @@ def test_edge_cases(spark):
     assert jj.similar_documents(df.limit(0)).count() == 0
 
 
+def test_ids_that_repeat_lose_no_link(spark):
+    """Every row is judged by its own text; the texts of one id are different nodes."""
+    a, b = "alpha " + " ".join(f"p{k}" for k in range(40)), " ".join(f"q{k}" for k in range(120))
+    rows = [(1, a), (1, b), (5, b), (6, b + " more")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string")
+        out = sorted((r["doc_id"], r["class_id"], r["copy_of"], r["n_links"]) for r in jj.similar_documents(df).collect())
+        assert out == [(1, 1, 1, 0), (1, 1, 1, 1), (5, 1, 1, 1), (6, 1, 6, 1)]
+        assert sorted((r["doc_id"], r["text"]) for r in jj.keep_one(df).collect()) == [(1, a), (1, b)]
+
+
+def test_prefixes_shorten_until_the_recall_is_reached(spark):
+    """Near-identical texts are met at the longest prefixes; looser ones need shorter ones, down to the depth for the threshold."""
+    rng = np.random.default_rng(8)
+
+    def steps(changes):
+        rows = []
+        for i in range(60):
+            base = [f"w{k}" for k in rng.integers(0, 10**6, 200)]
+            for c in range(2):
+                ws = list(base)
+                for k in rng.integers(0, 200, changes * c):
+                    ws[k] = f"x{i}y{k}"
+                rows.append((2 * i + c, " ".join(ws)))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        depths = range(jj.depth_for(), jj.LONGEST + 1)
+        sk = jj.sketches(df, depths).withColumn("node", F.col("doc_id"))
+        return [d for d, _ in jj.forest_edges(sk, depths)[1]]
+
+    assert steps(1) == [jj.LONGEST]
+    assert steps(5)[:2] == [jj.LONGEST, jj.LONGEST - 1]
+
+
 def test_depth_meets_recall():
     d = jj.depth_for()
     assert 1 - (1 - 0.8**d) ** jj.TREES >= jj.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** jj.TREES
