@@ -370,20 +370,68 @@ def _dump(spark, df, name, fmt="json"):
     return path
 
 
-@query("read_posts_envelope", "SELECT count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids, count(*) FILTER (WHERE source = 'src3') AS src3 FROM documents WHERE length(trim(text)) > 0")
+@query("read_posts_json", "SELECT CAST(doc_id AS VARCHAR) AS post_id, md5(text) AS text_md5, source, n_chars AS score FROM documents")
+def _posts_json(spark, sf):
+    """Documents landed as objects of large one-line files, read back in byte ranges."""
+    d = table(spark, sf, "documents").select(F.to_json(F.struct("text", F.col("doc_id").cast("string").alias("post_id"), "source", F.col("n_chars").alias("score"))).alias("value"))
+    path = scratch_path(spark, "posts")
+    d.write.option("lineSep", ",").text(path)
+    back = readers.read_posts_json(spark, [path], split=True)
+    return back.where("_corrupt_record is null").select("post_id", F.md5("text").alias("text_md5"), "source", "score")
+
+
+@query("flatten_listing_json", """WITH l AS (SELECT doc_id, 'Thread ' || doc_id AS title, coalesce(text, '') AS body, lang, n_chars FROM documents), t AS (SELECT *, CASE WHEN body <> '' THEN trim(title || chr(10) || chr(10) || body) ELSE trim(title) END AS full_text FROM l)
+SELECT CAST(doc_id AS VARCHAR) AS post_id, md5(full_text) AS text_md5, title, lang AS subreddit, 'https://reddit.com/r/' || lang || '/' || doc_id AS url, CAST(DATE '2024-01-01' + CAST(doc_id % 50 AS INTEGER) AS DATE) AS post_date, n_chars AS score FROM t WHERE length(full_text) >= 30 AND body NOT IN ('[removed]', '[deleted]')""")
+def _listing(spark, sf):
+    """Documents landed as listings of a hundred children, read back child by child."""
+    i = F.col("doc_id")
+    post = F.struct(F.concat(F.lit("Thread "), i.cast("string")).alias("title"), F.col("text").alias("selftext"), i.cast("string").alias("id"), F.concat(F.lit("/r/"), "lang", F.lit("/"), i.cast("string")).alias("permalink"),
+                    F.col("lang").alias("subreddit"), (F.lit(1704067200.0) + (i % 50) * 86400 + 3600).alias("created_utc"), F.col("n_chars").alias("score"))
+    child = table(spark, sf, "documents").select(F.floor(i / 100).alias("part"), F.struct(F.lit("t3").alias("kind"), post.alias("data")).alias("child"))
+    pages = child.groupBy("part").agg(F.struct(F.collect_list("child").alias("children")).alias("data")).select("data")
+    back = readers.read_listing_json(spark, [_dump(spark, pages, "listing")], split=True)
+    return readers.flatten_listing(back, as_of()).select("post_id", F.md5("text").alias("text_md5"), "title", "subreddit", "url", "post_date", "score")
+
+
+_LANDED = ["'reddit_' || doc_id", "'x_posts' || doc_id", "'bsky/' || source", "'community/' || lang", "'all_scraped_' || source", "'Twitter-' || doc_id", "'max_' || source"]
+_LANDED_AS = ["Reddit", "Twitter/X", "Bluesky", "Forums", "Multi-Source", "Twitter/X", "Unknown"]
+
+
+@query("infer_source_from_path", "SELECT doc_id, CASE CAST(doc_id % 7 AS INTEGER) " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(_LANDED_AS)) + " END AS source FROM documents")
+def _infer(spark, sf):
+    name = F.expr("CASE CAST(doc_id % 7 AS INT) " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(_LANDED)) + " END")
+    return table(spark, sf, "documents").select("doc_id", readers.infer_source(F.concat(F.lit("/landing/"), name, F.lit(".json"))).alias("source"))
+
+
+@query("read_feed_xml", """WITH f AS (SELECT doc_id, source, lang, trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g')) AS body FROM documents)
+SELECT 'Item ' || doc_id || ' of ' || source || ' & <co>' AS title, md5('Item ' || doc_id || ' of ' || source || ' & <co>' || CASE WHEN body <> '' THEN chr(10) || chr(10) || body ELSE '' END) AS text_md5, 'https://ex.org/' || doc_id AS url, 'News:wire' AS source,
+CAST(DATE '2024-01-01' + CAST(doc_id % 60 AS INTEGER) AS DATE) AS post_date, lang || ',' || source AS categories, substr(body, 1, 500) AS summary FROM f""")
+def _feed(spark, sf):
+    """Documents landed as feed items, entities doubled as feeds do, read back through the XML source."""
+    d = table(spark, sf, "documents")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 60).cast("int"))
+    items = d.select(F.concat(F.lit("Item "), F.col("doc_id").cast("string"), F.lit(" of "), "source", F.lit(" &amp; &lt;co&gt;")).alias("title"), F.concat(F.lit("https://ex.org/"), F.col("doc_id").cast("string")).alias("link"),
+                     F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9]+", " ")).alias("description"), F.concat(F.date_format(day, "EEE, dd MMM yyyy"), F.lit(" 08:00:00 +0000")).alias("pubDate"), F.array("lang", "source").alias("category"))
+    path = scratch_path(spark, "feed")
+    items.write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(path)
+    back = readers.read_feed_xml(spark, [path], "wire", as_of())
+    return back.select("title", F.md5("text").alias("text_md5"), "url", "source", "post_date", F.array_join("categories", ",").alias("categories"), "summary")
+
+
+@query("read_posts_envelope", "SELECT CAST(doc_id AS VARCHAR) AS post_id, md5(trim(text)) AS text_md5, source FROM documents WHERE length(trim(text)) > 0")
 def _envelope(spark, sf):
     """Documents landed as envelopes of at most a hundred items, one per line, with the text under raw_text."""
     d = table(spark, sf, "documents").select(F.col("text").alias("raw_text"), F.col("doc_id").cast("string").alias("post_id"), "source")
     env = d.groupBy(F.floor(F.col("post_id").cast("bigint") / 100).alias("part")).agg(F.collect_list(F.struct("raw_text", "post_id", "source")).alias("items"))
     path = _dump(spark, env.select("items"), "envelope")
     back = readers.read_posts_envelope(spark, [path], as_of(), multi_line=False)
-    return back.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("post_id").cast("bigint")).alias("ids"), F.count_if(F.col("source") == "src3").alias("src3"))
+    return back.select("post_id", F.md5("raw_text").alias("text_md5"), "source")
 
 
-@query("read_posts_text", "SELECT count(*) AS n FROM (SELECT unnest(string_split(replace(text, chr(13), ''), chr(10))) AS l FROM documents) WHERE length(trim(l)) > 0")
+@query("read_posts_text", "SELECT md5(trim(l)) AS post_id, count(*) AS n FROM (SELECT unnest(string_split(replace(text, chr(13), ''), chr(10))) AS l FROM documents) WHERE length(trim(l)) > 0 GROUP BY 1")
 def _text(spark, sf):
     path = _dump(spark, table(spark, sf, "documents").select(F.replace("text", F.lit("\r"), F.lit("")).alias("value")), "lines", "text")
-    return readers.read_posts_text(spark, [path], as_of()).agg(F.count(F.lit(1)).alias("n"))
+    return readers.read_posts_text(spark, [path], as_of()).groupBy("post_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("consolidate_schema", f"WITH {POSTS} SELECT post_id::VARCHAR AS post_id, source, post_date, score, '' AS forum_section, 'unknown' AS username, 0 AS repost_count FROM posts")
@@ -444,11 +492,10 @@ def _export(spark, sf):
     return back.where(F.get_json_object("tags", "$[1]") == F.col("source")).agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
 
 
-@query("export_markdown", f"WITH {INSIGHTS} SELECT count(*) AS n, CAST(sum(length('## ' || title || chr(10) || '- **Type:** ' || type_tag || ' > ' || topic || chr(10))) AS BIGINT) AS head FROM insights")
+@query("export_markdown", f"""WITH {INSIGHTS} SELECT md5('## ' || CASE WHEN length(title) > 0 THEN title ELSE coalesce(substr(text, 1, 80), 'null') END || chr(10) || '- **Type:** ' || coalesce(type_tag, 'None') || ' > ' || coalesce(topic, 'None') || chr(10) || '- **Sentiment:** ' || coalesce(brand_sentiment, 'None')
+|| chr(10) || '- **Persona:** ' || coalesce(persona, 'None') || chr(10) || '- **Journey Stage:** ' || coalesce(journey_stage, 'None') || chr(10) || '> ' || coalesce(text, 'null') || chr(10)) AS block, count(*) AS n FROM insights GROUP BY 1""")
 def _markdown(spark, sf):
-    m = sinks.insight_markdown(insights(spark, sf))
-    head = F.length(F.split_part("value", F.lit("- **Sentiment:**"), F.lit(1)))
-    return m.agg(F.count(F.lit(1)).alias("n"), F.sum(head).cast("bigint").alias("head"))
+    return sinks.insight_markdown(insights(spark, sf)).groupBy(F.md5("value").alias("block")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("cluster_sink", f"WITH {INSIGHTS} SELECT topic AS cluster_id, count(*) AS n FROM insights GROUP BY 1")

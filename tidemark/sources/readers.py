@@ -8,18 +8,25 @@ from tidemark.functions.dates import parse_date_multi, parse_feed_date
 from tidemark.functions.hashing import trimmed_md5
 from tidemark.functions.text import clean_text, decode_entities, non_empty, strip_html
 from tidemark.schema import FEED_ITEM, FORUM_ITEM, LISTING, RAW_POST, TREND_LOG
+from tidemark.sources.json_array import read_records
 
 
-def read_posts_json(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_posts_json(spark: SparkSession, paths: list[str], split: bool = False) -> DataFrame:
     """Union of files that each hold a JSON array of posts; missing files are skipped.
 
-    ``file_order`` is the file's place in the list.
+    ``file_order`` is the file's place in the list. With ``split`` a large file is read by many tasks and every broken
+    object is a row of its own; otherwise a file is one task, and broken as a whole.
     """
+    if split:
+        return _with_order(spark, paths, read_records(spark, _existing(spark, paths), RAW_POST))
     df = (spark.read.schema(RAW_POST).option("multiLine", True).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_corrupt_record").option("ignoreMissingFiles", True).json(_existing(spark, paths)))
-    name = F.col("_metadata.file_path")
+    return _with_order(spark, paths, df.withColumn("source_file", F.col("_metadata.file_path")))
+
+
+def _with_order(spark: SparkSession, paths: list[str], df: DataFrame) -> DataFrame:
     places = spark.createDataFrame(_files(spark, paths), "_file string, file_order int")  # a row per file that the driver lists anyway
-    keyed = df.withColumn("source_file", name).withColumn("_file", _one_slash(name))
+    keyed = df.withColumn("_file", _one_slash(F.col("source_file")))
     return keyed.join(places, "_file", "left").withColumn("file_order", F.coalesce("file_order", F.lit(len(paths)))).drop("_file")
 
 
@@ -126,7 +133,12 @@ def consolidate(df: DataFrame, as_of: Column) -> DataFrame:
 REMOVED = ("[removed]", "[deleted]")
 
 
-def read_listing_json(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_listing_json(spark: SparkSession, paths: list[str], split: bool = False) -> DataFrame:
+    """Listings of files. With ``split`` a large file is read by many tasks, and a row holds one child instead of a whole listing."""
+    if split:
+        child = LISTING["data"].dataType["children"].dataType.elementType
+        rows = read_records(spark, _existing(spark, paths), child, level=2)
+        return rows.select(F.struct(F.array(F.struct("kind", "data")).alias("children")).alias("data"))
     return spark.read.schema(LISTING).option("multiLine", True).json(_existing(spark, paths))
 
 
