@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans import weekly
 from tidemark.queries.base import INSIGHTS, P, POSTS, as_of, insights, posts, query
-from tidemark.queries.search_queries import _search_docs
+from tidemark.queries.search_queries import _HYBRID_SQL, _search_docs
 from tidemark.queries.text_queries import ROUTE_SQL
 from tidemark.session import cut_lineage, scratch_path
 
@@ -29,10 +29,14 @@ def _full(spark, sf):
     return alerts.select("alert_type", "topic", "severity", F.round("current_value", 6).alias("current_value"))
 
 
-@query("answer_context")
+_QUESTION = "what do people with things say about testing"
+_ONE = _HYBRID_SQL.replace("qs AS (SELECT item_id AS query_id, text AS query, lower(text) AS qlo FROM benchmark)", f"qs AS (SELECT 0 AS query_id, '{_QUESTION}' AS query, '{_QUESTION}' AS qlo)").replace("rs <= 3)", "rs <= 15)")
+
+
+@query("answer_context", _ONE.replace("SELECT query_id, doc_id, rank, round(s, 6) AS retrieval_score FROM fr", "SELECT doc_id, source, rank FROM fr"))
 def _ask(spark, sf):
     docs = cut_lineage(_search_docs(spark, sf).select("post_id", "text", "title", "source", "topic", "persona", "signal_strength", "score", "post_date", "mentions_competitor", "brand_sentiment"))
-    ctx = weekly.ask("what do people with things say about testing", docs, P, as_of())
+    ctx = weekly.ask(_QUESTION, docs, P, as_of())
     return ctx.sources.select("doc_id", "source", "rank")
 
 

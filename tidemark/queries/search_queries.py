@@ -165,13 +165,6 @@ def _boosts(spark, sf):
     return d.select("post_id", R6(b).alias("boost"))
 
 
-@query("hybrid_search")
-def _hybrid(spark, sf):
-    docs = cut_lineage(_search_docs(spark, sf).select("post_id", "text", "title", "source", "topic", "persona", "signal_strength", "score", "post_date", "mentions_competitor"))
-    out = rt.hybrid_search(docs, questions(spark, sf), _vectors(spark, sf), P, as_of())
-    return out.select("query_id", "doc_id", "source", R6(F.col("retrieval_score")).alias("retrieval_score"), "rank")
-
-
 _LEX_TEXT = "title || ' ' || text || ' ' || source || ' ' || topic || ' ' || persona || ' ' || array_to_string(mc, ' ')"
 
 
@@ -186,6 +179,24 @@ cp AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY s DES
 SELECT query_id, doc_id, rank, round(s, 6) AS retrieval_score FROM fr WHERE rank <= 25"""
 
 
+_FUSED = _HYBRID_SQL[: _HYBRID_SQL.index(", sc AS (")] + f""",
+pv AS (SELECT query_id, variant, i, avg(x::DOUBLE) AS m FROM (SELECT query_id, variant, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM bk JOIN embeddings e ON e.vec_id = bk.doc_id WHERE r < 5) GROUP BY 1, 2, 3),
+pu AS (SELECT query_id, variant, list(m / size ORDER BY i) AS v FROM (SELECT *, sqrt(sum(m * m) OVER (PARTITION BY query_id, variant)) AS size FROM pv) GROUP BY 1, 2),
+dd AS (SELECT query_id, variant, vec_id AS doc_id, list_dot_product(v, embedding::DOUBLE[]) AS sim FROM pu, embeddings), db AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY sim DESC, doc_id) - 1 AS r FROM dd WHERE sim > 0.1) WHERE r < 50),
+md AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY o) - 1 AS rank FROM (SELECT query_id, doc_id, min(variant * 1000 + r) AS o FROM db GROUP BY 1, 2)),
+rr AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (61 + rank)) AS rrf FROM (SELECT query_id, doc_id, rank FROM mg UNION ALL SELECT query_id, doc_id, rank FROM md) WHERE rank < 100 GROUP BY 1, 2),
+sc AS (SELECT query_id, doc_id, source, round(rrf + {_boost_sql()}, 9) AS s FROM rr JOIN bi ON bi.post_id = rr.doc_id JOIN qs USING (query_id)),
+cp AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY s DESC, doc_id) AS rs FROM sc), fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM cp WHERE rs <= 15)
+SELECT query_id, doc_id, source, rank, round(s, 6) AS retrieval_score FROM fr WHERE rank <= 25"""
+
+
+@query("hybrid_search", _FUSED)
+def _hybrid(spark, sf):
+    docs = cut_lineage(_search_docs(spark, sf).select("post_id", "text", "title", "source", "topic", "persona", "signal_strength", "score", "post_date", "mentions_competitor"))
+    out = rt.hybrid_search(docs, questions(spark, sf), _vectors(spark, sf), P, as_of())
+    return out.select("query_id", "doc_id", "source", R6(F.col("retrieval_score")).alias("retrieval_score"), "rank")
+
+
 @query("hybrid_search_lexical", _HYBRID_SQL)
 def _hybrid_lexical(spark, sf):
     docs = cut_lineage(_search_docs(spark, sf).select("post_id", "text", "title", "source", "topic", "persona", "signal_strength", "score", "post_date", "mentions_competitor"))
@@ -362,13 +373,25 @@ def _labelled(spark, sf):
     return v.join(d, "id")
 
 
-@query("cluster_coherence_vector")
+_COHERENT = f"""mb AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label, text FROM embeddings JOIN documents ON doc_id = vec_id), vs AS (SELECT label, count(*) AS size FROM mb GROUP BY 1),
+vp AS (SELECT a.label, a.id AS a, b.id AS b, list_dot_product(a.vec, b.vec) AS sim FROM mb a JOIN mb b ON a.label = b.label AND a.id < b.id), vm AS (SELECT label, avg(sim) AS sim FROM vp GROUP BY 1),
+tk AS (SELECT label, id, {_TOKI} AS tok FROM mb), lw AS (SELECT label, min(len(tok)) AS least FROM tk GROUP BY 1),
+hx AS (SELECT label, id, {_HEX('md5(t)', 1)} % {PRIME} AS h, CASE WHEN t IN ({', '.join(q(s) for s in cl.COMMON_TOKENS)}) THEN 0 ELSE 1 END AS plain FROM (SELECT label, id, unnest(tok) AS t FROM tk)),
+fam(k, a, b) AS (VALUES {', '.join(f'({k}, {a}, {b})' for k, (a, b) in enumerate(hash_family(cl.PENALTY_HASHES)))}), sg AS (SELECT label, id, k, min(2 * ((a * h + b) % {PRIME}) + plain) AS v FROM hx, fam GROUP BY 1, 2, 3),
+pn AS (SELECT label, sum(c * (c - 1))::DOUBLE / {cl.PENALTY_HASHES} AS s FROM (SELECT label, k, v, count(*) AS c FROM sg WHERE v % 2 = 0 GROUP BY 1, 2, 3) GROUP BY 1),
+ch AS (SELECT label, size, CASE WHEN size <= 2 THEN 1 ELSE greatest(0, sim - CASE WHEN least = 0 THEN 0 ELSE least(0.15, coalesce(s, 0) / (size * (size - 1)) * 0.6) END) END AS coherence FROM vs LEFT JOIN vm USING (label) LEFT JOIN lw USING (label) LEFT JOIN pn USING (label))"""
+
+
+@query("cluster_coherence_vector", f"WITH {_COHERENT} SELECT label, size, round(coherence, 6)::DOUBLE AS coherence, size <= 2 OR coherence >= 0 AS coherent FROM ch")
 def _coh_vector(spark, sf):
     v = cl.coherence_vector(_labelled(spark, sf), ["label"], "id", F.col("text"), threshold=0.0)
     return v.withColumn("coherence", R6(F.col("coherence")))
 
 
-@query("split_incoherent")
+@query("split_incoherent", f"""WITH RECURSIVE {_COHERENT}, bad AS (SELECT label FROM ch WHERE size > 3 AND coherence < {cl.COHERENCE_THRESHOLD}), nb AS (SELECT label, a, b FROM vp JOIN bad USING (label) WHERE 1 - sim <= 0.8 UNION ALL SELECT label, b, a FROM vp JOIN bad USING (label) WHERE 1 - sim <= 0.8),
+reach(label, id, root) AS (SELECT DISTINCT label, a, a FROM nb UNION SELECT nb.label, nb.b, reach.root FROM reach JOIN nb ON nb.a = reach.id), cm AS (SELECT label, id, min(root) AS cluster FROM reach GROUP BY 1, 2),
+sb AS (SELECT label, id, CASE WHEN count(*) OVER (PARTITION BY label, cluster) <= 2 THEN id ELSE cluster END::VARCHAR AS sub FROM cm UNION ALL SELECT label, id, label::VARCHAR FROM mb WHERE label NOT IN (SELECT label FROM bad))
+SELECT label, count(DISTINCT sub) AS subs, count(*) AS kept FROM sb GROUP BY 1""")
 def _split(spark, sf):
     m = _labelled(spark, sf)
     verdict = cl.coherence_vector(m, ["label"], "id", F.col("text"))
