@@ -406,3 +406,21 @@ def test_novel_rows_are_labelled_once(spark, tmp_path):
     st.enrich_novel(st.read_stream(spark, src, "k string", 1), made, label, chk).awaitTermination()
     assert sorted((r.k, r.label) for r in made.read().collect()) == [("a", "A"), ("b", "B"), ("c", "C")]
     assert sorted(seen) == ["a", "b", "c"]
+
+
+def test_a_deep_page_reads_its_own_ranges(spark):
+    rng = random.Random(2)
+    values = [rng.randrange(50) for _ in range(5000)]
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, v int")
+    kept = ordering.store_order(d, [F.desc("v"), F.asc("id")], parts=16)
+    want = sorted(range(5000), key=lambda i: (-values[i], i))
+    for number in (0, 77, 499, 10_000, -3):
+        got = kept.page(number, 10)
+        at = min(max(number, 0), 499)
+        assert [r.id for r in got.orderBy(F.desc("v"), "id").collect()] == want[at * 10 : at * 10 + 10]
+        assert {(r.page, r.n_pages) for r in got.collect()} == {(at + 1, 500)}
+    plan = kept.page(10_000, 10)._jdf.queryExecution().toString()
+    assert len(kept.starts) > 8 and "PartitionFilters: [isnotnull(_part" in plan and "Sort" not in plan
+    assert [r.id for r in kept.positions().orderBy("position").collect()] == want
+    empty = ordering.store_order(d.limit(0), ["v", "id"])
+    assert empty.page(3, 10).count() == 0 == empty.positions().count()

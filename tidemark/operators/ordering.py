@@ -8,8 +8,12 @@ input task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+from tidemark.session import scratch_path
 
 
 def _cols(keys: Sequence[Column | str] | Column | str) -> list[Column]:
@@ -67,6 +71,54 @@ def page(df: DataFrame, order, number: int, size: int) -> DataFrame:
     return rows.withColumn("page", F.lit(at + 1)).withColumn("n_pages", F.lit(last + 1))
 
 
+@dataclass
+class StoredOrder:
+    """A sorted table in ranges (``_part``, a partition column) with each row's place in its range (``_at``), and how many rows lie
+    before each range: a few numbers per range."""
+
+    rows: DataFrame
+    starts: dict[int, int]
+    total: int
+
+    def positions(self, out: str = "position", start: int = 0) -> DataFrame:
+        """All rows with their place in the order."""
+        before = F.element_at(F.create_map(*(F.lit(x) for kv in self.starts.items() for x in kv)), F.col("_part")) if self.starts else F.lit(0)
+        return self.rows.withColumn(out, (before + F.col("_at") + start).cast("bigint")).drop("_part", "_at")
+
+    def between(self, first: int, last: int) -> DataFrame:
+        """The rows at places ``first`` (from 0) to ``last`` (not included), with ``position``; only their ranges are read."""
+        ends = {p: b for p, b in zip(self.starts, [*list(self.starts.values())[1:], self.total])}
+        wanted = [p for p, b in self.starts.items() if b < last and ends[p] > first]
+        own = StoredOrder(self.rows.where(F.col("_part").isin(wanted)), {p: self.starts[p] for p in wanted}, self.total)
+        return own.positions().where((F.col("position") >= first) & (F.col("position") < last))
+
+    def page(self, number: int, size: int) -> DataFrame:
+        """Rows of one page (0-based, clamped to the last page) with the page count."""
+        last = max(1, -(-self.total // size)) - 1
+        at = min(max(number, 0), last)
+        rows = self.between(at * size, (at + 1) * size).drop("position")
+        return rows.withColumn("page", F.lit(at + 1)).withColumn("n_pages", F.lit(last + 1))
+
+
+def store_order(df: DataFrame, order, path: str | None = None, parts: int | None = None) -> StoredOrder:
+    """Sort once into ranges and keep them: pages and places are then read from their ranges alone.
+
+    ``order`` names rows apart (equal rows of a range lie in any order). No row passes through one task.
+    """
+    spark, order = df.sparkSession, _cols(order)
+    path = path or scratch_path(spark, "order")
+    cut = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    placed = cut.sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    placed.write.partitionBy("_part").parquet(path)
+    rows = spark.read.schema(StructType([*df.schema.fields, StructField("_at", LongType()), StructField("_part", IntegerType())])).parquet(path)
+    counts = sorted((r[0], r[1]) for r in rows.groupBy("_part").agg(F.count(F.lit(1))).collect())
+    starts, total = {}, 0
+    for part, n in counts:
+        starts[part] = total
+        total += n
+    return StoredOrder(rows, starts, total)
+
+
 def latest(df: DataFrame, order, n: int) -> DataFrame:
     """Newest N rows: per-task top N, merged; never a global sort."""
     return df.orderBy(*_cols(order)).limit(n)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import PRIME, hash_family
 from tidemark.functions.text import STOP_COHERENCE, STOP_QUALITY
-from tidemark.operators import clustering as cl, retrieval as rt, search_index as si
+from tidemark.functions.vectors import norm
+from tidemark.operators import clustering as cl, encoder, retrieval as rt, search_index as si
 from tidemark.operators.cells import build_cells, near_blocks
 from tidemark.queries.base import AS_OF, INSIGHTS, P, POSTS, as_of, insights, posts, q, query, sql_any, sql_labels, sql_pack, table
 from tidemark.queries.label_queries import WORKSTREAM, with_workstream
@@ -213,6 +214,25 @@ def _hybrid_stored(spark, sf):
     return out.select("query_id", "doc_id", "rank", R6(F.col("retrieval_score")).alias("retrieval_score"))
 
 
+@query("encode_texts")
+def _encode(spark, sf):
+    """How much of each text the fitted directions keep, and the length of its vector; held against a dense SVD in tests."""
+    d = _docs(spark, sf)
+    made = encoder.encode(d, F.col("text"), encoder.fit(d, F.col("text")), share="share")
+    return made.select("doc_id", F.round("share", 3).alias("share"), F.round(norm(F.col("vec")), 3).alias("length"))
+
+
+@query("hybrid_search_encoded")
+def _hybrid_encoded(spark, sf):
+    """Hybrid search with vectors of its own: texts and questions through the encoder fitted to the collection."""
+    docs = cut_lineage(_search_docs(spark, sf).select("post_id", "text", "title", "source", "topic", "persona", "signal_strength", "score", "post_date", "mentions_competitor"))
+    e = encoder.fit(docs, F.col("text"))
+    vectors = encoder.encode(docs.select(F.col("post_id").alias("doc_id"), "text"), F.col("text"), e).select("doc_id", "vec")
+    asked = encoder.encode(questions(spark, sf), F.col("query"), e).select("query_id", "vec")
+    out = rt.hybrid_search(docs, questions(spark, sf), vectors, P, as_of(), query_vectors=asked)
+    return out.select("query_id", "doc_id", "source", R6(F.col("retrieval_score")).alias("retrieval_score"), "rank")
+
+
 def _legacy_sql() -> str:
     question = "with thing then"
     terms = sorted({"with", "thing", "then", "thble", "onhe", "src7"})

@@ -451,11 +451,23 @@ def _decay(spark, sf):
     return enrich.top_k_time_decay(posts(spark, sf), F.col("score") / (1 + age / 30.0), age).select("post_id", R6(F.col("decayed")).alias("decayed"))
 
 
+@query("page_stored", "SELECT event_id, CAST(greatest(1, ceil((SELECT count(*) FROM events) / 15.0)) AS INTEGER) AS page, CAST(greatest(1, ceil((SELECT count(*) FROM events) / 15.0)) AS INTEGER) AS n_pages FROM events ORDER BY value DESC, event_id OFFSET (SELECT CAST(ceil(count(*) / 15.0) - 1 AS BIGINT) * 15 FROM events)")
+def _page_stored(spark, sf):
+    """The last page, from the ranges of a stored order."""
+    kept = ordering.store_order(table(spark, sf, "events").select("event_id", "value"), [F.desc("value"), F.asc("event_id")])
+    return kept.page(10**9, 15).select("event_id", "page", "n_pages")
+
+
+@query("stored_positions", "SELECT event_id, row_number() OVER (ORDER BY value DESC, event_id) - 1 AS position FROM events")
+def _positions(spark, sf):
+    return ordering.store_order(table(spark, sf, "events").select("event_id", "value"), [F.desc("value"), F.asc("event_id")]).positions().select("event_id", "position")
+
+
 @query("cluster_sort", f"WITH {INSIGHTS} SELECT topic, n, row_number() OVER (ORDER BY n DESC, topic) AS rank FROM (SELECT topic, count(*) AS n FROM insights GROUP BY 1)")
 def _cluster_sort(spark, sf):
     c = insights(spark, sf).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
     # One row per topic of the pack.
-    return ordering.rank_bounded(c, [F.desc("n"), F.asc("topic")])
+    return ordering.store_order(c, [F.desc("n"), F.asc("topic")]).positions("rank", 1)
 
 
 @query("rank_by_relevance_plus_strength", f"WITH {INSIGHTS} SELECT post_id, round(score % 40 + signal_strength, 6) AS total FROM insights ORDER BY score % 40 + signal_strength DESC, pos LIMIT 30")
