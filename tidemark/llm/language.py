@@ -6,7 +6,7 @@ The prior of a page is that of its host, smoothed towards the domain, that towar
 ``WEIGHT`` pseudo-pages each; a page's own posterior is taken out first, so it doesn't confirm itself. The declared language
 counts by how often each declaration goes with each language over all pages, smoothed. The product decides.
 
-Null and empty pages have a flat text part and take their prior. Broken addresses have the host ''. Without training rows
+Pages of any length are read in linear time. Ties go to the language that comes first in the alphabet. Null and empty pages have a flat text part and take their prior. Broken addresses have the host ''. Without training rows
 every language is null. Repeated rows count each. All columns but ``html`` pass through ``identify``.
 """
 
@@ -24,14 +24,33 @@ from tidemark.llm.common import small, table, with_numbers, written
 
 #: Most training texts; trigram cells; weight of a trigram (they overlap, so each counts for less); pseudo-pages.
 SAMPLE_ROWS, CELLS, TEMPER, WEIGHT = 8_000, 1 << 15, 0.1, 10.0
-#: Parts of a page that hold no prose.
-_HIDDEN = re.compile(r"(?is)<(script|style|nav)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+#: Parts of a page that hold no prose, how they begin and how they end.
+_BLOCK = re.compile(r"(?i)<(?:(script|style|nav)\b|!--)")
+_CLOSE = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style", "nav")} | {"!--": re.compile("-->")}
 #: Host tables are broadcast up to this many rows (about 100 bytes each).
 BROADCAST_ROWS = 500_000
 
 
 def visible(html: str | None) -> str:
-    return _HIDDEN.sub(" ", html or "")
+    """The page without markup, comments and blocks that hold no prose; a blank stands for each. What isn't closed counts as a tag of
+    its own, and what no ``>`` follows as text. Linear: an end that is searched in vain is not searched again."""
+    html = html or ""
+    out, at, never = [], 0, set()
+    while (begin := html.find("<", at)) >= 0:
+        end = -1
+        if block := _BLOCK.match(html, begin):
+            name = (block.group(1) or "!--").lower()
+            close = None if name in never else _CLOSE[name].search(html, block.end())
+            if close:
+                end = close.end()
+            else:
+                never.add(name)
+        if end < 0 and (end := html.find(">", begin) + 1) == 0:
+            break
+        out.append(html[at:begin])
+        at = end
+    out.append(html[at:])
+    return " ".join(out)
 
 
 def trigram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +107,9 @@ def host_of(url: Column) -> Column:
 def evidence(pages: DataFrame, model) -> DataFrame:
     d = with_numbers(pages, "post_", posterior_of(model), "html")
     host = F.col("host_")
-    declared = F.nullif(F.lower(F.regexp_extract("html", r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]+)", 1)), F.lit(""))
+    # the first tag alone, so that a page full of unclosed ones is searched once
+    attributes = F.regexp_extract("html", r"(?i)<html\b([^>]*)", 1)
+    declared = F.nullif(F.lower(F.regexp_extract(attributes, r"(?i)\slang\s*=\s*[\"']?([A-Za-z]+)", 1)), F.lit(""))
     d = d.withColumn("host_", host_of(F.col("url"))).withColumn("domain_", F.substring_index(host, ".", -2)).withColumn("suffix_", F.substring_index(host, ".", -1))
     return d.withColumn("declared_", F.coalesce(declared, F.lit("")))
 
