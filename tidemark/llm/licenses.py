@@ -1,15 +1,16 @@
 """License scan by conditional compression.
 
 The whole text is one sequence of words; line breaks, blanks and comment marks between them do not count. Cue words open candidate
-blocks: up to the longest template's length before a cue, each word that may be the first of a template to stand opens one, as many
-words as the template has and a quarter more. Templates that lack too many words there are left out unseen. Each block is compressed by zstandard alone and with each template as raw dictionary; the more a template explains the block, the more
-bytes it saves. Templates are ranked by the saved share, and all are confirmed by the exact differences in wording: at least
-``AGREE`` of the template's words must stand in the block in their order, with few words between; words that tell licenses
-apart (``TELLING`` and numbers of versions) must be the same. Of confirmed templates, the one with the most words that agree, less
-its differences, wins: the fewest differences among alike ones, and a full notice over a short one that it begins with.
-
-Null and empty texts have no blocks. All blocks of a text are looked at. Repeated rows are scanned each; extra columns pass
-through ``scan``.
+blocks: up to the longest template's length before a cue, each word that may be the first of a template to stand opens one, as long
+as the longest template and a quarter more. Each block is compressed by zstandard alone and with every template as raw dictionary;
+the more a template explains the block, the more bytes it saves. Templates are ranked by the bytes saved (ties by name) and
+confirmed in that order by the exact differences in wording, until one holds: at least ``AGREE`` of the template's words must stand
+at the start of the block in their order, with few words between; words that tell licenses apart (``TELLING`` and numbers of
+versions) must be the same. So a full notice goes before a short one that it begins with, since it saves more. Templates that save
+less than ``LEAST_SAVED`` of their own bytes are not confirmed: a notice that agrees saves far more.
+
+Null and empty texts have no blocks. All blocks of a text are looked at, however long it is. Repeated rows are scanned each; extra
+columns pass through ``scan``; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ TEMPLATES = {
 #: A text without any of these has no notice. Every template holds one.
 CUES = re.compile("|".join(c.replace(" ", "[^a-z0-9]+") for c in ("licen", "copyright", "rights reserved", "permission", "public domain", "redistribut", "creative commons", "free software", "source code form")))
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
-AGREE, SLACK = 0.95, 1.25
+AGREE, SLACK, LEAST_SAVED = 0.95, 1.25, 0.15
 #: Words that tell licenses apart; so do numbers after "version" or "v", and "library" in "Library General Public License".
 TELLING = re.compile(r"affero|lesser|by(-(nc|nd|sa))*|nc|nd|sa|(attribution-?)?(sharealike|noncommercial|noderivatives|noderivs)(-.*)?|v\d+(\.\d+)*")
 
@@ -79,21 +80,34 @@ def telling(words: list[str]) -> list[str]:
     return [w for before, w, after in pairs if (TELLING.fullmatch(w) and (w != "by" or before == "cc")) or (w[0].isdigit() and before in ("version", "v")) or (w == "library" and after == "general")]
 
 
-def scanner():
-    """The function text -> list of (license, line, saved share, missing, added), in order of lines."""
+def scanner(least_saved: float = LEAST_SAVED, every_word: bool = False):
+    """The function text -> list of (license, line, saved share, missing, added), in order of lines. ``every_word`` opens blocks at all
+    words, which finds the same and takes long."""
     import zstandard as zstd
 
     plain = zstd.ZstdCompressor(level=3)
-    shelf, opens, tells = [], {}, {}
-    for name, text in TEMPLATES.items():
+    shelf, opening = [], set()
+    for name, text in sorted(TEMPLATES.items()):
         w = wording(text)
-        d = zstd.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT)
-        spare = int((1 - AGREE) * len(w) + 1e-9)
-        shelf.append((name, w, set(w), spare, int(len(w) * SLACK) + 1, zstd.ZstdCompressor(level=3, dict_data=d)))
-        tells[name] = telling(w)
-        for first in set(w[: spare + 1]):  # no more than ``spare`` words are missing, so one of these stands
-            opens.setdefault(first, []).append(shelf[-1])
-    longest = max(size for _, _, _, _, size, _ in shelf)
+        raw = " ".join(w).encode()
+        packer = zstd.ZstdCompressor(level=3, dict_data=zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT))
+        shelf.append((name, w, int(len(w) * SLACK) + 1, len(raw), packer, telling(w)))
+        opening.update(w[: int((1 - AGREE) * len(w) + 1e-9) + 1])  # no more words are missing, so one of these stands
+    longest = max(size for _, _, size, _, _, _ in shelf)
+
+    def winner(words: list[str], start: int):
+        """(template's length, license, saved share, missing, added) of the first ranked template that holds at ``start``."""
+        block = " ".join(words[start : start + longest]).encode()
+        alone = len(plain.compress(block))
+        ranked = [(alone - len(packer.compress(block)), name, w, size, raw, tells) for name, w, size, raw, packer, tells in shelf]
+        for saved, name, w, size, raw, tells in sorted(ranked, key=lambda r: (-r[0], r[1])):
+            if saved < least_saved * raw:
+                continue
+            own = words[start : start + size]
+            missing, added, first = differences(w, own)
+            if first == 0 and max(missing, added) <= (1 - AGREE) * len(w) and telling(own[: len(w) - missing + added]) == tells:
+                return len(w), name, saved / alone, missing, added
+        return None
 
     def scan_text(text: str) -> list[tuple]:
         low = text.lower()
@@ -107,35 +121,16 @@ def scanner():
         out, start, line, seen = [], 0, 0, 0  # words before ``start`` are done with; ``line`` counts the breaks before ``seen``
         for cue in cues:
             c = bisect_right(at, cue) - 1
-            if c < start:
-                continue
             start = max(start, c - longest)
-            near = set(words[start : c + longest])
-            likely = {name for name, _, bag, spare, _, _ in shelf if len(bag - near) <= spare}
-            while likely and start <= c:
-                ranked = []
-                for name, w, bag, spare, size, packer in opens.get(words[start], ()):
-                    block = words[start : start + size]
-                    if name in likely and len(bag.difference(block)) <= spare:
-                        raw = " ".join(block).encode()
-                        alone = len(plain.compress(raw))
-                        ranked.append(((alone - len(packer.compress(raw))) / alone, len(w), name, w, block))
-                ranked.sort(reverse=True)
-                best = None
-                for saved, n, name, w, block in ranked:
-                    missing, added, first = differences(w, block)
-                    if first > 0 or missing > (1 - AGREE) * n or added > (1 - AGREE) * n or telling(block[: n - missing + added]) != tells[name]:
-                        continue
-                    if best is None or n - 2 * missing - added > best[0]:
-                        best = (n - 2 * missing - added, n, name, saved, missing, added)
+            while start <= c:
+                best = winner(words, start) if every_word or words[start] in opening else None
                 if best is None:
                     start += 1
                     continue
-                _, n, name, saved, missing, added = best
+                n, name, saved, missing, added = best
                 line, seen = line + low.count("\n", seen, at[start]), at[start]
                 out.append((name, line, float(saved), missing, added))
                 start += n - missing + added
-            start = max(start, c + 1) if not likely else start
         return out
 
     return scan_text
