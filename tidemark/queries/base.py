@@ -143,8 +143,12 @@ def sql_flags(name: str, lo: str = "lo") -> str:
 
 def sql_labels(name: str, lo: str = "lo") -> str:
     """Comma-joined labels in pack order."""
+    return sql_labels_of(P[name], lo)
+
+
+def sql_labels_of(pack: Pack, lo: str = "lo") -> str:
     grouped: dict[str, list[str]] = {}
-    for r in P[name].rules:
+    for r in pack.rules:
         grouped.setdefault(r.label, []).append(sql_rule(r, lo))
     items = ", ".join(f"CASE WHEN {' OR '.join(v)} THEN {q(k)} END" for k, v in grouped.items())
     return f"list_filter([{items}], lambda x: x IS NOT NULL)"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, hashing, rules, text
 from tidemark.operators import enrich, filters
-from tidemark.queries.base import (AS_OF, INSIGHTS, LOW, P, POSTS, as_of, insights, lowered, posts, q, query, sql_any, sql_best, sql_first, sql_labels,
+from tidemark.queries.base import (AS_OF, INSIGHTS, LOW, P, POSTS, as_of, insights, lowered, posts, q, query, sql_any, sql_best, sql_first, sql_labels, sql_labels_of, _CLOSE, _OPEN,
                                    sql_pack, sql_regex, sql_sum, table)
 
 STOP = lambda words: "[" + ", ".join(q(w) for w in words) + "]"
@@ -276,6 +276,37 @@ def _default_flags(spark, sf):
     return lowered(spark, sf).select("post_id", flags["has_payment"].alias("has_payment"), rules.any_hit(F.col("lo"), m["pain"]).alias("pain"))
 
 
+# --- the shipped vocabulary ------------------------------------------------------------------------
+
+#: Packs whose rules look at the text alone, in groups: each is a query of its own.
+_SHIPPED = {k: p for k, p in sorted(_M.items()) if p.rules and not any(r.flags or r.topics or r.all_flags or r.none_flags for r in p.rules)}
+_TERMS = sorted({t for p in _SHIPPED.values() for r in p.rules for group in (r.substr, r.word, *r.all_of) for t in group})
+_LANES = 200
+#: Every term stands in one of the lanes, so every term is met by some row.
+_LANE = [" | ".join(_TERMS[k::_LANES]) for k in range(_LANES)]
+_SPOKEN = f"spoken AS (SELECT event_id, lower(event_type || ' ' || coalesce(props, '') || ' ' || [{', '.join(q(t) for t in _LANE)}][CAST(event_id % {_LANES} AS INTEGER) + 1]) AS lo FROM events)"
+
+
+def _spoken(spark, sf):
+    """Events that say the terms of the shipped packs, a few each."""
+    lane = F.element_at(F.array(*map(F.lit, _LANE)), (F.col("event_id") % _LANES).cast("int") + 1)
+    return table(spark, sf, "events").select("event_id", F.lower(F.concat_ws(" ", "event_type", "props", lane)).alias("lo"))
+
+
+def _shipped(group: int, names: list[str]) -> None:
+    labels = ", ".join(f"array_to_string({sql_labels_of(_SHIPPED[n])}, ',') AS {n}" for n in names)
+    # the rows are ASCII, so plain word boundaries say it, also next to terms that end in a blank
+    labels = labels.replace(_OPEN, r"\b").replace(_CLOSE, r"\b")
+
+    @query(f"shipped_packs_{group}", f"WITH {_SPOKEN} SELECT event_id, {labels} FROM spoken")
+    def _run(spark, sf):
+        return _spoken(spark, sf).select("event_id", *(F.array_join(rules.all_labels(F.col("lo"), _SHIPPED[n]), ",").alias(n) for n in names))
+
+
+for _i in range(0, len(_SHIPPED), 16):
+    _shipped(_i // 16, list(_SHIPPED)[_i : _i + 16])
+
+
 # --- row filters -----------------------------------------------------------------------------------
 
 _VERT = "len(list_filter(string_split(text, chr(10)), lambda s: length(regexp_replace(s, '^\\s+|\\s+$', '', 'g')) = 1)) >= 5"
