@@ -110,8 +110,8 @@ def quote_select(members: DataFrame, cluster: str, keywords: Column | None = Non
                  snippet: Column | None = None, n: int = 3, min_len: int = 40) -> DataFrame:
     """Up to three quotes per cluster: on-topic complaints, then on-topic rows, else broadly topical rows.
 
-    Expects ``is_keyword_topical`` and ``is_topical``.  Uniqueness by fingerprint, by the
-    whole text and by the snippet - each one top-1 per (cluster, key).
+    Expects ``is_keyword_topical`` and ``is_topical``.  Uniqueness by fingerprint and by the
+    whole text - each one top-1 per (cluster, key); quotes that only begin alike stay.
     """
     from tidemark.operators.ordering import top_n_per_group
 
@@ -123,7 +123,7 @@ def quote_select(members: DataFrame, cluster: str, keywords: Column | None = Non
     has_kw = members.where("is_keyword_topical").select(cluster).distinct().withColumn("_kw", F.lit(True))
     rows = rows.join(has_kw, cluster, "left").where((F.col("_tier") < 2) | F.col("_kw").isNull())
     order = [F.asc("_tier"), F.desc(score), F.asc(pos)]
-    for key in (F.coalesce("fingerprint", F.md5("text")), F.md5(F.lower(F.trim("text"))), F.lower(F.trim("snippet"))):
+    for key in (F.coalesce("fingerprint", F.md5("text")), F.md5(F.lower(F.trim("text")))):
         rows = top_n_per_group(rows, [F.col(cluster), key], order, 1)
     return top_n_per_group(rows, cluster, order, n, "rank").drop("_tier", "_kw")
 

@@ -566,16 +566,13 @@ def _stats(spark, sf):
     return dedup.dedup_stats(p, exact, dedup.near_dup_simhash(exact))
 
 
-_SNIP = "substr(text, 1, 220)"
-
-
 def _quote_sql() -> str:
     order = "tier, score DESC, pos"
     return f"""WITH {INSIGHTS}, {WORKSTREAM}, {TOPICAL}, m AS (SELECT *, max(CASE WHEN is_keyword_topical THEN 1 ELSE 0 END) OVER (PARTITION BY workstream) AS kw, text AS tx, md5(lower(text)) AS fp,
 CASE WHEN is_keyword_topical AND brand_sentiment IN ('Complaint', 'Negative') THEN 0 WHEN is_keyword_topical THEN 1 WHEN is_topical THEN 2 END AS tier FROM topical),
 q0 AS (SELECT * FROM m WHERE tier IS NOT NULL AND length(tx) >= 40 AND (tier < 2 OR kw = 0)), q1 AS (SELECT *, row_number() OVER (PARTITION BY workstream, fp ORDER BY {order}) AS r1 FROM q0),
-q2 AS (SELECT *, row_number() OVER (PARTITION BY workstream, lower(trim(tx)) ORDER BY {order}) AS r2 FROM q1 WHERE r1 = 1), q3 AS (SELECT *, row_number() OVER (PARTITION BY workstream, lower(trim(substr(tx, 1, 220))) ORDER BY {order}) AS r3 FROM q2 WHERE r2 = 1)
-SELECT workstream, rank, post_id FROM (SELECT *, row_number() OVER (PARTITION BY workstream ORDER BY {order}) AS rank FROM q3 WHERE r3 = 1) WHERE rank <= 3"""
+q2 AS (SELECT *, row_number() OVER (PARTITION BY workstream, lower(trim(tx)) ORDER BY {order}) AS r2 FROM q1 WHERE r1 = 1)
+SELECT workstream, rank, post_id FROM (SELECT *, row_number() OVER (PARTITION BY workstream ORDER BY {order}) AS rank FROM q2 WHERE r2 = 1) WHERE rank <= 3"""
 
 
 def members(spark, sf):
