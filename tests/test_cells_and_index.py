@@ -127,3 +127,13 @@ def test_index_of_nothing(spark):
     asked = spark.createDataFrame([(1, "w5")], "query_id long, query string")
     index = search_index.write_index(empty, "doc_id", F.col("text"))
     assert index.n == 0 and search_index.search(index, asked).count() == 0
+
+
+def test_the_overlap_sketch_is_close_to_all_pairs(spark):
+    rng = np.random.default_rng(12)
+    words = [*clustering.COMMON_TOKENS[:12], *(f"w{i}" for i in range(60))]
+    rows = [(i, i % 3, " ".join(rng.choice(words, 12, replace=False))) for i in range(240)]
+    d = spark.createDataFrame(rows, "id long, g int, text string")
+    exact = {r["g"]: r["penalty"] for r in clustering.overlap_penalty(d, ["g"], "id", F.col("text")).collect()}
+    sketch = {r["g"]: r["penalty"] for r in clustering.overlap_penalty_sketch(d, ["g"], "id", F.col("text")).collect()}
+    assert exact.keys() == sketch.keys() and all(0 < exact[g] < 0.15 and abs(exact[g] - sketch[g]) < 0.01 for g in exact)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.functions.text import tokens_informative, tokens_quality
 from tidemark.functions.hashing import least_hashes
 from tidemark.functions.vectors import dot
+from tidemark.operators.blocks import assign_blocks, block_pairs
 from tidemark.operators.cells import build_cells, near_blocks, paired, stored
 from tidemark.session import cut_lineage
 
@@ -287,11 +288,60 @@ def mean_pairwise_cosine(members: DataFrame, cluster: list[str], vec: str = "vec
     return seen.select(*cluster, n.alias("size"), F.when(n > 1, mean).otherwise(1.0).alias("avg_similarity"))
 
 
-def overlap_penalty(members: DataFrame, cluster: list[str], id_col: str, text: Column, common: list[str] = COMMON_TOKENS,
-                    hashes: int = PENALTY_HASHES) -> DataFrame:
+def overlap_penalty(members: DataFrame, cluster: list[str], id_col: str, text: Column, block_rows: int = 1_500,
+                    common: list[str] = COMMON_TOKENS) -> DataFrame:
     """(cluster.., penalty): how far common words alone hold a cluster together, at most .15.
 
-    The mean over all pairs of |a & b & common| / |a | b|, times .6, by MinHash in linear time: that ratio is the
+    Mean over all pairs of |a & b & common| / |a | b|, times .6, exactly.  Units of the block grid
+    return one partial sum each; ``overlap_penalty_sketch`` is the linear form for large clusters.
+    """
+    toks = members.select(*cluster, F.col(id_col).alias("id"), tokens_informative(text).alias("tok"))
+    whole = toks.groupBy(*cluster).agg(F.count(F.lit(1)).alias("_n"), F.min(F.size("tok")).alias("_least"))
+    grid = block_pairs(assign_blocks(toks, cluster, "id", block_rows))
+    gtypes = "".join(f"{g} {toks.schema[g].dataType.simpleString()}, " for g in cluster)
+    shared = frozenset(common)
+
+    def cell(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        same = pdf["_lo"].iloc[0] == pdf["_hi"].iloc[0]
+        left = pdf if same else pdf[pdf["_blk"] == pdf["_lo"]]
+        right = pdf if same else pdf[pdf["_blk"] == pdf["_hi"]]
+        total = 0.0
+        if len(left) and len(right):
+            # Row lists per word; only words that occur on both sides add anything.
+            def rows_by_word(rows):
+                out: dict[str, list[int]] = {}
+                for i, r in enumerate(rows):
+                    for t in r:
+                        out.setdefault(t, []).append(i)
+                return out
+            lw, rw = rows_by_word(left["tok"]), rows_by_word(right["tok"])
+            inter = np.zeros((len(left), len(right)), dtype=np.float32)
+            both = np.zeros_like(inter)
+            for t in lw.keys() & rw.keys():
+                at = np.ix_(lw[t], rw[t])
+                inter[at] += 1
+                if t in shared:
+                    both[at] += 1
+            sizes = lambda rows: np.array([len(r) for r in rows], dtype=np.float32)
+            union = sizes(left["tok"])[:, None] + sizes(right["tok"])[None, :] - inter
+            jac = both / np.maximum(union, 1)
+            total = float(np.triu(jac, 1).sum()) if same else float(jac.sum())
+        out = pd.DataFrame({"_sum": [total]})
+        for n, g in enumerate(cluster):
+            out[g] = key[n]
+        return out
+
+    part = grid.groupBy(*cluster, "_lo", "_hi").applyInPandas(cell, f"{gtypes}_sum double").groupBy(*cluster).agg(F.sum("_sum").alias("_sum"))
+    mean = F.col("_sum") / (F.col("_n") * (F.col("_n") - 1) / 2)
+    penalty = F.when((F.col("_n") < 2) | (F.col("_least") == 0), 0.0).otherwise(F.least(F.lit(0.15), mean * 0.6))
+    return whole.join(part, cluster).select(*cluster, penalty.alias("penalty"))
+
+
+def overlap_penalty_sketch(members: DataFrame, cluster: list[str], id_col: str, text: Column, common: list[str] = COMMON_TOKENS,
+                    hashes: int = PENALTY_HASHES) -> DataFrame:
+    """(cluster.., penalty): ``overlap_penalty`` estimated by MinHash in linear time, for clusters of any size.
+
+    The mean over all pairs of |a & b & common| / |a | b|, times .6: that ratio is the
     probability that two rows share the minimum of a hash function and the word that has it is a common one. A cluster
     with a row without words has no penalty.
     """
@@ -306,10 +356,11 @@ def overlap_penalty(members: DataFrame, cluster: list[str], id_col: str, text: C
 
 
 def coherence_vector(members: DataFrame, cluster: list[str], id_col: str, text: Column, vec: str = "vec",
-                     threshold: float = COHERENCE_THRESHOLD) -> DataFrame:
-    """(cluster.., size, coherence, coherent): mean cosine minus the overlap penalty; two rows or fewer score 1."""
+                     threshold: float = COHERENCE_THRESHOLD, sketch: bool = False) -> DataFrame:
+    """(cluster.., size, coherence, coherent): mean cosine minus the overlap penalty (exact, or by sketch in linear time); two
+    rows or fewer score 1."""
     sim = mean_pairwise_cosine(members, cluster, vec)
-    pen = overlap_penalty(members, cluster, id_col, text)
+    pen = (overlap_penalty_sketch if sketch else overlap_penalty)(members, cluster, id_col, text)
     score = F.when(F.col("size") <= 2, 1.0).otherwise(F.greatest(F.lit(0.0), F.col("avg_similarity") - F.col("penalty")))
     return (sim.join(pen, cluster).withColumn("coherence", score)
             .withColumn("coherent", (F.col("size") <= 2) | (F.col("coherence") >= threshold))

@@ -377,13 +377,20 @@ _TOKI = "list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'),
 
 
 @query("overlap_penalty", f"""WITH tk AS (SELECT source, doc_id, {_TOKI} AS tok FROM documents), n AS (SELECT source, count(*) AS n, min(len(tok)) AS least FROM tk GROUP BY 1),
+p AS (SELECT a.source, avg(len(list_intersect(list_intersect(a.tok, b.tok), [{', '.join(q(s) for s in _COMMON)}])) / greatest(1, len(a.tok) + len(b.tok) - len(list_intersect(a.tok, b.tok)))::DOUBLE) AS m FROM tk a JOIN tk b ON a.source = b.source AND a.doc_id < b.doc_id GROUP BY 1)
+SELECT source, round(CASE WHEN n < 2 OR least = 0 THEN 0 ELSE least(0.15, m * 0.6) END, 6)::DOUBLE AS penalty FROM n JOIN p USING (source)""")
+def _penalty(spark, sf):
+    return cl.overlap_penalty(_docs_src(spark, sf), ["source"], "doc_id", F.col("text"), block_rows=300, common=_COMMON).withColumn("penalty", R6(F.col("penalty")))
+
+
+@query("overlap_penalty_sketch", f"""WITH tk AS (SELECT source, doc_id, {_TOKI} AS tok FROM documents), n AS (SELECT source, count(*) AS n, min(len(tok)) AS least FROM tk GROUP BY 1),
 hx AS (SELECT source, doc_id, {_HEX('md5(t)', 1)} % {PRIME} AS h, CASE WHEN t IN ({', '.join(q(s) for s in _COMMON)}) THEN 0 ELSE 1 END AS plain FROM (SELECT source, doc_id, unnest(tok) AS t FROM tk)),
 fam(k, a, b) AS (VALUES {', '.join(f'({k}, {a}, {b})' for k, (a, b) in enumerate(hash_family(cl.PENALTY_HASHES)))}),
 sg AS (SELECT source, doc_id, k, min(2 * ((a * h + b) % {PRIME}) + plain) AS v FROM hx, fam GROUP BY 1, 2, 3), cn AS (SELECT source, k, v, count(*) AS c FROM sg WHERE v % 2 = 0 GROUP BY 1, 2, 3),
 p AS (SELECT source, sum(c * (c - 1))::DOUBLE / {cl.PENALTY_HASHES} AS s FROM cn GROUP BY 1)
 SELECT source, round(CASE WHEN n < 2 OR least = 0 THEN 0 ELSE least(0.15, coalesce(s, 0) / (n * (n - 1)) * 0.6) END, 6)::DOUBLE AS penalty FROM n LEFT JOIN p USING (source)""")
-def _penalty(spark, sf):
-    return cl.overlap_penalty(_docs_src(spark, sf), ["source"], "doc_id", F.col("text"), common=_COMMON).withColumn("penalty", R6(F.col("penalty")))
+def _penalty_sketch(spark, sf):
+    return cl.overlap_penalty_sketch(_docs_src(spark, sf), ["source"], "doc_id", F.col("text"), common=_COMMON).withColumn("penalty", R6(F.col("penalty")))
 
 
 def _labelled(spark, sf):
@@ -393,13 +400,10 @@ def _labelled(spark, sf):
     return v.join(d, "id")
 
 
-_COHERENT = f"""mb AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label, text FROM embeddings JOIN documents ON doc_id = vec_id), vs AS (SELECT label, count(*) AS size FROM mb GROUP BY 1),
-vp AS (SELECT a.label, a.id AS a, b.id AS b, list_dot_product(a.vec, b.vec) AS sim FROM mb a JOIN mb b ON a.label = b.label AND a.id < b.id), vm AS (SELECT label, avg(sim) AS sim FROM vp GROUP BY 1),
-tk AS (SELECT label, id, {_TOKI} AS tok FROM mb), lw AS (SELECT label, min(len(tok)) AS least FROM tk GROUP BY 1),
-hx AS (SELECT label, id, {_HEX('md5(t)', 1)} % {PRIME} AS h, CASE WHEN t IN ({', '.join(q(s) for s in cl.COMMON_TOKENS)}) THEN 0 ELSE 1 END AS plain FROM (SELECT label, id, unnest(tok) AS t FROM tk)),
-fam(k, a, b) AS (VALUES {', '.join(f'({k}, {a}, {b})' for k, (a, b) in enumerate(hash_family(cl.PENALTY_HASHES)))}), sg AS (SELECT label, id, k, min(2 * ((a * h + b) % {PRIME}) + plain) AS v FROM hx, fam GROUP BY 1, 2, 3),
-pn AS (SELECT label, sum(c * (c - 1))::DOUBLE / {cl.PENALTY_HASHES} AS s FROM (SELECT label, k, v, count(*) AS c FROM sg WHERE v % 2 = 0 GROUP BY 1, 2, 3) GROUP BY 1),
-ch AS (SELECT label, size, CASE WHEN size <= 2 THEN 1 ELSE greatest(0, sim - CASE WHEN least = 0 THEN 0 ELSE least(0.15, coalesce(s, 0) / (size * (size - 1)) * 0.6) END) END AS coherence FROM vs LEFT JOIN vm USING (label) LEFT JOIN lw USING (label) LEFT JOIN pn USING (label))"""
+_COHERENT = f"""mb AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label, {_TOKI} AS tok FROM embeddings JOIN documents ON doc_id = vec_id), vs AS (SELECT label, count(*) AS size, min(len(tok)) AS least FROM mb GROUP BY 1),
+vp AS (SELECT a.label, a.id AS a, b.id AS b, list_dot_product(a.vec, b.vec) AS sim, len(list_intersect(list_intersect(a.tok, b.tok), [{', '.join(q(s) for s in cl.COMMON_TOKENS)}])) / greatest(1, len(a.tok) + len(b.tok) - len(list_intersect(a.tok, b.tok)))::DOUBLE AS glue FROM mb a JOIN mb b ON a.label = b.label AND a.id < b.id),
+vm AS (SELECT label, avg(sim) AS sim, avg(glue) AS glue FROM vp GROUP BY 1),
+ch AS (SELECT label, size, CASE WHEN size <= 2 THEN 1 ELSE greatest(0, sim - CASE WHEN least = 0 THEN 0 ELSE least(0.15, glue * 0.6) END) END AS coherence FROM vs LEFT JOIN vm USING (label))"""
 
 
 @query("cluster_coherence_vector", f"WITH {_COHERENT} SELECT label, size, round(coherence, 6)::DOUBLE AS coherence, size <= 2 OR coherence >= 0 AS coherent FROM ch")
