@@ -118,11 +118,9 @@ def raw_tokens(c: Column, chars: str = "a-z0-9") -> Column:
 
 
 def tokens_retrieval(c: Column) -> Column:
-    """Words, with one apostrophe and its letters kept on; only texts that hold an apostrophe look at their pieces one by one."""
-    pieces = raw_tokens(c, "a-z0-9'")
-    whole = lambda p: F.regexp_extract_all(p, F.lit("[a-z0-9]+(?:'[a-z]+)?"), F.lit(0))
-    split = F.flatten(F.transform(pieces, lambda p: F.when(F.contains(p, F.lit("'")), whole(p)).otherwise(F.array(p))))
-    return _keep(F.when(F.contains(c, F.lit("'")), split).otherwise(pieces), STOP_RETRIEVAL, 1)
+    """Words, with one apostrophe and its letters kept on. Here the pattern is faster than looking at split pieces one by one."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+(?:'[a-z]+)?"), F.lit(0))
+    return _keep(words, STOP_RETRIEVAL, 1)
 
 
 def tokens_dedup(c: Column) -> Column:
