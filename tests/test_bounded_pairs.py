@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import blocks, clustering
+from tidemark.operators import blocks, cells, clustering
 
 
 def test_a_row_is_copied_to_a_bounded_number_of_blocks(spark):
@@ -27,3 +27,63 @@ def test_overlap_penalty_with_copies_and_many_tiles(spark):
     common = set(clustering.COMMON_TOKENS)
     mean = np.mean([len(x & y & common) / len(x | y) for x, y in itertools.combinations(sets, 2)])
     assert got["a"] == pytest.approx(min(0.15, 0.6 * mean), abs=1e-9) and got["b"] == got["c"] == 0.0
+
+
+def _unit(rng, n, dim=8):
+    a = rng.standard_normal((n, dim))
+    return a / np.linalg.norm(a, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e20, 1e-30])
+def test_near_tiles_agree_with_double_precision(monkeypatch, scale):
+    monkeypatch.setattr(cells, "TILE", 500)
+    a = _unit(np.random.default_rng(1), 120)
+    a[3] = a[4]
+    eps = 1 - float(a[0] @ a[1]) * scale * scale  # exactly one pair on the bound
+    got = np.zeros((120, 120), bool)
+    for start, mask in cells.near_tiles(a * scale, a * scale, eps):
+        got[start : start + len(mask)] = mask
+    clear = np.abs(1 - (a @ a.T) * scale * scale - eps) > 1e-12 * max(1, scale * scale)
+    assert (got == (1 - (a * scale) @ (a * scale).T <= eps))[clear].all()
+
+
+def test_large_groups_have_larger_blocks_not_more(spark):
+    a = _unit(np.random.default_rng(2), 1_500)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)], "id long, vec array<double>")
+    made = cells.build_cells(df, [], "id", block_rows=10)
+    assert made.blocks.count() <= 2 * blocks.MAX_BLOCKS and made.rows.count() == 1_500
+    met = {tuple(r) for r in cells.met_blocks(made.rows, 0.05, block_rows=100).collect()}
+    at = {r["id"]: r["_blk"] for r in made.rows.collect()}
+    close = np.argwhere(np.triu(1 - a @ a.T <= 0.05, 1))
+    assert met == {tuple(sorted((at[i], at[j]))) for i, j in close}
+    assert met <= {tuple(r) for r in cells.near_blocks(made, 0.05).collect()}
+
+
+def test_density_clusters_of_many_blocks_and_copies(spark):
+    rng = np.random.default_rng(3)
+    a = np.concatenate([_unit(rng, 300, 4), _unit(rng, 20, 4).repeat(3, axis=0)])
+    df = spark.createDataFrame([(i % 2, i, v.tolist()) for i, v in enumerate(a)], "g int, id long, vec array<double>")
+    got = {r["id"]: (r["cluster"], r["is_core"]) for r in clustering.dbscan_cosine(df, 0.02, 4, ["g"], block_rows=9).collect()}
+    want = {}
+    for g in (0, 1):
+        ids = np.arange(len(a))[np.arange(len(a)) % 2 == g]
+        near = 1 - a[ids] @ a[ids].T <= 0.02
+        np.fill_diagonal(near, True)
+        core = near.sum(1) >= 4
+        label = np.where(core, ids, 1 << 40)
+        while True:
+            new = np.where(core, np.where(near & core[None, :], label[None, :], 1 << 40).min(1), label)
+            if (new == label).all():
+                break
+            label = new
+        edge = np.where(near & core[None, :], label[None, :], 1 << 40).min(1)
+        want |= {int(ids[k]): (int(edge[k]), bool(core[k])) for k in range(len(ids)) if edge[k] < 1 << 40}
+    assert got == want and any(not c for _, c in got.values())
+
+
+def test_best_rows_take_a_few_questions_at_a_time(monkeypatch):
+    a = _unit(np.random.default_rng(4), 90)
+    whole = cells.best_rows(np.arange(90), a, np.arange(90), a, 3, -2.0)
+    monkeypatch.setattr(cells, "TILE", 200)
+    parts = cells.best_rows(np.arange(90), a, np.arange(90), a, 3, -2.0)
+    assert whole[["query_id", "doc_id"]].equals(parts[["query_id", "doc_id"]]) and len(parts) == 270

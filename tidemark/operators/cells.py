@@ -13,17 +13,20 @@ Work on cells is done in numpy, a slice of rows or a pair of blocks at a time; n
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.operators.blocks import assign_blocks, block_pairs
+from tidemark.operators.blocks import assign_blocks, block_pairs, rows_per_block
 from tidemark.operators.ordering import top_n_per_group
 from tidemark.session import scratch_path
 
 MAX_PIVOTS, SLICE_ROWS = 1_024, 20_000
+#: Products held at once, and pairs looked at again in double precision at once.
+TILE, AGAIN = 4_000_000, 50_000
 #: Rows drawn per pivot.
 SAMPLE = 8
 #: Bounds are kept a little wide: distances are computed with rounding.
@@ -34,6 +37,40 @@ def matrix(series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in series]) if len(series) else np.empty((0, 0))
 
 
+def near_tiles(a: np.ndarray, b: np.ndarray, eps: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, mask) tile by tile: which rows of ``a`` and ``b`` have a cosine distance of at most ``eps``. Products are taken in
+    single precision; those within its rounding error of the bound are taken again in double precision."""
+    if not len(a) or not len(b):
+        return
+    least, step = 1 - eps, max(1, TILE // len(b))
+    longest = [np.sqrt(np.nanmax((m * m).sum(1), initial=0.0)) for m in (a, b)]
+    error = (a.shape[1] + 8) * 1.2e-7 * longest[0] * longest[1] + 1e-30 + 1.2e-7 * abs(least)
+    plain = not (np.isfinite(error) and max(longest) < 1e15)
+    a32, b32 = (None, None) if plain else (a.astype(np.float32), b.astype(np.float32))
+    for start in range(0, len(a), step):
+        part = slice(start, start + step)
+        if plain:
+            yield start, 1.0 - a[part] @ b.T <= eps
+            continue
+        sims = a32[part] @ b32.T
+        mask = sims >= np.float32(least)
+        sims -= np.float32(least)
+        i, j = np.nonzero(np.abs(sims, out=sims) <= error)
+        if len(i) > mask.size // 64:
+            mask = 1.0 - a[part] @ b.T <= eps
+        else:
+            mask[i, j] = distances(a, b, i + start, j) <= eps
+        yield start, mask
+
+
+def distances(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The cosine distances of the rows ``i`` of ``a`` and ``j`` of ``b``, vectors of unit length."""
+    out = np.empty(len(i))
+    for k in range(0, len(i), AGAIN):
+        out[k : k + AGAIN] = 1.0 - np.einsum("ij,ij->i", a[i[k : k + AGAIN]], b[j[k : k + AGAIN]])
+    return out
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """A written table: steps that read it twice don't compute it twice."""
     path = scratch_path(df.sparkSession, name)
@@ -52,13 +89,15 @@ class Cells:
 
 def build_cells(vectors: DataFrame, group: list[str], id_col: str, vec: str = "vec", block_rows: int = 4_000,
                 max_pivots: int = MAX_PIVOTS) -> Cells:
-    """Deal the rows of ``vectors`` (all columns kept) to blocks; rows without a vector are left out."""
+    """Deal the rows of ``vectors`` (all columns kept) to blocks; rows without a vector are left out. A large group has larger blocks
+    instead of ever more of them (``blocks.rows_per_block``)."""
     keys = [*group, "_one"]
     v = vectors.where(F.col(vec).isNotNull()).withColumn("_one", F.lit(0))
     sizes = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     chance = F.xxhash64(F.col(id_col))
     # a bounded sample per group, of which the pivots are spread as far apart as they go
-    wanted = F.least(F.ceil(F.col("_n") / block_rows), F.lit(max_pivots)).cast("int")
+    per_block = rows_per_block(F.col("_n"), block_rows)
+    wanted = F.least(F.ceil(F.col("_n") / per_block), F.lit(max_pivots)).cast("int")
     drawn = top_n_per_group(v.select(*keys, F.col(vec).alias("pivot"), chance.alias("_h")), keys, [F.col("_h"), F.col("pivot")], SAMPLE * max_pivots, "_p")
     drawn = drawn.join(sizes.withColumn("_k", wanted), keys).where(F.col("_p") <= SAMPLE * F.col("_k"))
 
@@ -91,7 +130,8 @@ def build_cells(vectors: DataFrame, group: list[str], id_col: str, vec: str = "v
     schema = ", ".join(f"`{c}` {left.schema[c].dataType.simpleString()}" for c in names)
     dealt = left.groupBy(*keys, "_s").cogroup(right.groupBy(*keys, "_s")).applyInPandas(nearest, f"{schema}, _cell int, _r double, _norm double")
     dealt = stored(dealt, "dealt")
-    parts = dealt.groupBy(*keys, "_cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("bigint").alias("_parts"))
+    in_cell = dealt.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_c"))
+    parts = in_cell.join(sizes, keys).select(*keys, "_cell", F.ceil(F.col("_c") / per_block).cast("bigint").alias("_parts"))
     rows = dealt.join(parts, [*keys, "_cell"]).withColumn("_blk", F.col("_cell") * F.lit(1 << 20) + F.pmod(chance, F.col("_parts")))
     rows = stored(rows.drop("_s", "_parts"), "cells")
     of = rows.groupBy(*keys, "_blk", "_cell").agg(F.max("_r").alias("reach"), F.max("_norm").alias("norm"), F.count(F.lit(1)).alias("n"))
@@ -128,6 +168,30 @@ def near_blocks(cells: Cells, eps: float, chunk: int = 1_000) -> DataFrame:
     return grid.groupBy(*group, "_lo", "_hi").applyInPandas(pairs, f"{types}_lo bigint, _hi bigint")
 
 
+def met_blocks(rows: DataFrame, eps: float, id_col: str = "id", vec: str = "vec", block_rows: int = 4_000) -> DataFrame:
+    """(_lo, _hi): the pairs of blocks (``_blk``) that do hold two rows within cosine distance ``eps``. Every row meets every other, in
+    blocks by a hash of the id, whatever cells they lie in; a task returns pairs of blocks, never of rows."""
+    r = rows.select("_blk", F.col(id_col).alias("id"), F.col(vec).alias("vec")).withColumnRenamed("_blk", "block")
+    grid = block_pairs(assign_blocks(r, [], "id", block_rows))
+
+    def cell(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = (pdf[pdf["_blk"] == pdf[c].iloc[0]] for c in ("_lo", "_hi"))
+        of, at = np.unique(pdf["block"].to_numpy(), return_inverse=True)
+        at = dict(zip(pdf.index, at))
+        x, y = (np.array([at[k] for k in side.index], dtype=np.int64) for side in (left, right))
+        li, ri = left["id"].to_numpy(), right["id"].to_numpy()
+        met = np.zeros(len(of) * len(of), bool)
+        for start, mask in near_tiles(matrix(left["vec"]), matrix(right["vec"]), eps):
+            i, j = np.nonzero(mask)
+            i = i + start
+            some = li[i] != ri[j]
+            met[x[i[some]] * len(of) + y[j[some]]] = True
+        a, b = np.divmod(np.flatnonzero(met), len(of))
+        return pd.DataFrame({"_lo": np.minimum(of[a], of[b]), "_hi": np.maximum(of[a], of[b])}).drop_duplicates()
+
+    return grid.groupBy("_lo", "_hi").applyInPandas(cell, "_lo bigint, _hi bigint").distinct()
+
+
 def paired(rows: DataFrame, pairs: DataFrame, group: list[str]) -> DataFrame:
     """The rows (with ``_blk``) copied to the pairs of blocks that they belong to."""
     ends = pairs.select(*group, "_lo", "_hi", F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_blk"))
@@ -188,16 +252,18 @@ def _search(cells: Cells, q: DataFrame, wanted: DataFrame, k: int, min_sim: floa
 
 
 def best_rows(qids: np.ndarray, qmat: np.ndarray, ids: np.ndarray, mat: np.ndarray, k: int, min_sim: float) -> pd.DataFrame:
-    """Each question's best ``k`` rows of a matrix, ties of the k-th included: the final ranking breaks them by id."""
-    sims = mat @ qmat.T
+    """Each question's best ``k`` rows of a matrix, ties of the k-th included: the final ranking breaks them by id. A few questions
+    at a time, so the products held don't grow with the questions."""
     out_q, out_d, out_s = [], [], []
-    for j in range(sims.shape[1]):
-        col = sims[:, j]
-        hit = np.flatnonzero(col > min_sim)
-        if len(hit) > k:
-            kth = np.partition(col[hit], len(hit) - k)[len(hit) - k]
-            hit = hit[col[hit] >= kth]
-        out_q.append(np.repeat(qids[j], len(hit)))
-        out_d.append(ids[hit])
-        out_s.append(col[hit])
+    step = max(1, TILE // max(1, len(mat)))
+    for start in range(0, len(qmat), step):
+        sims = qmat[start : start + step] @ mat.T
+        for j, row in enumerate(sims, start):
+            hit = np.flatnonzero(row > min_sim)
+            if len(hit) > k:
+                some = row[hit]
+                hit = hit[some >= np.partition(some, len(hit) - k)[len(hit) - k]]
+            out_q.append(np.repeat(qids[j], len(hit)))
+            out_d.append(ids[hit])
+            out_s.append(row[hit])
     return pd.DataFrame({"query_id": np.concatenate(out_q), "doc_id": np.concatenate(out_d), "sim": np.concatenate(out_s)})

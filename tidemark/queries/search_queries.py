@@ -8,7 +8,7 @@ from tidemark.functions.hashing import PRIME, hash_family
 from tidemark.functions.text import STOP_COHERENCE, STOP_QUALITY
 from tidemark.functions.vectors import norm
 from tidemark.operators import clustering as cl, encoder, retrieval as rt, search_index as si
-from tidemark.operators.cells import build_cells, near_blocks
+from tidemark.operators.cells import build_cells, met_blocks, near_blocks
 from tidemark.queries.base import AS_OF, INSIGHTS, P, POSTS, as_of, insights, posts, q, query, sql_any, sql_labels, sql_pack, table
 from tidemark.queries.label_queries import WORKSTREAM, with_workstream
 from tidemark.queries.text_queries import TOK_BM25
@@ -95,9 +95,7 @@ def _near_blocks(spark, sf):
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     cells = build_cells(v, [], "id", block_rows=200)
     met = near_blocks(cells, 0.62)
-    blk = lambda c, name: cells.rows.select(F.col("id").alias(c), F.col("_blk").alias(name))
-    close = cl.eps_neighbours(v, 0.62, block_rows=1_000_000).join(blk("a", "x"), "a").join(blk("b", "y"), "b")
-    lost = close.select(F.least("x", "y").alias("_lo"), F.greatest("x", "y").alias("_hi")).join(met, ["_lo", "_hi"], "left_anti")
+    lost = met_blocks(cells.rows, 0.62).join(met, ["_lo", "_hi"], "left_anti")
     return cells.rows.agg(F.count_distinct("id").alias("vectors")).withColumn("complete", F.lit(lost.agg(F.count(F.lit(1))).scalar() == 0))
 
 
