@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.functions.rules import Pack, contains_any, contains_word
 from tidemark.functions.text import compact, tokens_retrieval
 from tidemark.functions.vectors import mean_vector, zero_vector
+from tidemark.operators.blocks import rows_per_block
 from tidemark.operators.cells import Cells, best_inner, best_rows, matrix
 from tidemark.operators.ordering import rank_bounded, source_diversity_cap, top_n_per_group
 from tidemark.operators.search_index import SearchIndex, search
@@ -112,7 +113,8 @@ def dense_topk(vectors: "DataFrame | Cells", query_vectors: DataFrame, k: int =
 
 def _grid_topk(vectors: DataFrame, queries: DataFrame, k: int, min_sim: float, chunk_rows: int, block_rows: int) -> DataFrame:
     q, v = queries.select("query_id", "vec").where("vec is not null"), vectors.select("doc_id", "vec").where("vec is not null")
-    of = lambda df, rows: F.greatest(F.ceil(df.agg(F.count(F.lit(1))).scalar() / rows), F.lit(1)).cast("int")
+    # never more than MAX_BLOCKS chunks a side while they hold BLOCK_ROWS rows or fewer, so copies grow with the input
+    of = lambda df, rows: F.greatest(df.agg(F.ceil(F.count(F.lit(1)) / rows_per_block(F.count(F.lit(1)), rows))).scalar(), F.lit(1)).cast("int")
     n_q, n_v = of(q, chunk_rows), of(v, block_rows)
     q = q.withColumn("_q", F.pmod(F.xxhash64("query_id"), n_q).cast("int")).withColumn("_v", F.explode(F.sequence(F.lit(0), n_v - 1)))
     v = v.withColumn("_v", F.pmod(F.xxhash64("doc_id"), n_v).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), n_q - 1)))
