@@ -21,6 +21,8 @@ from tidemark.functions.text import tokens_retrieval
 from tidemark.operators.cells import stored
 
 FEATURES, DIM, OVERSAMPLE, PASSES = 4_096, 64, 10, 3
+#: Words of a batch that are worked on at once (a text with more is one slice): memory doesn't grow with the batch.
+SLICE_WORDS = 1 << 16
 
 
 @dataclass
@@ -40,6 +42,17 @@ def hashed(text: Column, features: int) -> Column:
     return F.transform(tokens_retrieval(text), lambda t: F.pmod(F.xxhash64(t), F.lit(features)).cast("int"))
 
 
+def _slices(lists: pa.Array):
+    """``lists`` in stretches of rows with at most ``SLICE_WORDS`` words, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(lists):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, min(int(np.searchsorted(ends, before + SLICE_WORDS, side="right")), start + SLICE_WORDS))
+        yield lists.slice(start, stop - start)
+        start = stop
+
+
 def _rows(lists: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, value) of a batch: TF-IDF, each row of unit length; sorted by row, then column."""
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -68,7 +81,8 @@ def _summed(df: DataFrame, part, rows: int, width: int) -> np.ndarray:
     def sums(batches):
         total = np.zeros((rows, width))
         for batch in batches:
-            total += part(batch.column(0))
+            for lists in _slices(batch.column(0)):
+                total += part(lists)
         some = np.flatnonzero(total.any(axis=1)).astype(np.int32)
         offsets = np.arange(len(some) + 1, dtype=np.int32) * width
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.ListArray.from_arrays(pa.array(offsets), pa.array(total[some].ravel()))], names=["i", "v"])
@@ -123,7 +137,7 @@ def encode(df: DataFrame, text: Column, encoder: Encoder, out: str = "vec", shar
     @F.arrow_udf(kind)
     def run(lists: pa.Array) -> pa.Array:
         e = shared.value
-        x = _times(*_rows(lists, e.idf), e.vectors, len(lists))
+        x = np.concatenate([_times(*_rows(some, e.idf), e.vectors, len(some)) for some in _slices(lists)] or [np.zeros((0, e.vectors.shape[1]))])
         length = np.linalg.norm(x, axis=1)
         unit = np.divide(x, length[:, None], out=np.zeros_like(x), where=length[:, None] > 0).astype(np.float32)
         vec = pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1, dtype=np.int32) * x.shape[1]), pa.array(unit.ravel()))
