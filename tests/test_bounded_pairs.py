@@ -3,10 +3,11 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import blocks, cells, clustering
+from tidemark.operators import blocks, cells, clustering, encoder, retrieval
 
 
 def test_a_row_is_copied_to_a_bounded_number_of_blocks(spark):
@@ -87,3 +88,24 @@ def test_best_rows_take_a_few_questions_at_a_time(monkeypatch):
     monkeypatch.setattr(cells, "TILE", 200)
     parts = cells.best_rows(np.arange(90), a, np.arange(90), a, 3, -2.0)
     assert whole[["query_id", "doc_id"]].equals(parts[["query_id", "doc_id"]]) and len(parts) == 270
+
+
+def test_encoder_works_on_slices_of_a_batch(monkeypatch):
+    monkeypatch.setattr(encoder, "SLICE_WORDS", 5)
+    lists = pa.array([[1, 2, 3], None, [], [4, 4], [5] * 9, [], [6]], pa.list_(pa.int32()))
+    parts = list(encoder._slices(lists))
+    assert pa.concat_arrays(parts).to_pylist() == lists.to_pylist()
+    assert [sum(len(t or ()) for t in p.to_pylist()) for p in parts] == [5, 9, 1]
+    idf, q = np.ones(8), np.random.default_rng(6).standard_normal((8, 3))
+    whole = encoder._times(*encoder._rows(lists, idf), q, len(lists))
+    assert np.allclose(whole, np.concatenate([encoder._times(*encoder._rows(p, idf), q, len(p)) for p in parts]))
+
+
+def test_lexical_scores_of_a_part_are_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"alpha{i % 5} beta{i % 3} gamma") for i in range(60)], "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "alpha1 gamma"), (1, "beta2 alpha4")], "query_id long, query string")
+    whole = {(r[0], r[1], round(r[2], 9)) for r in retrieval.bm25_scores(docs, asked, "doc_id", F.col("text")).collect()}
+    monkeypatch.setattr(retrieval, "PART_SCORES", 4)
+    scored = retrieval.bm25_scores(docs, asked, "doc_id", F.col("text"))
+    assert "30), REPARTITION_BY_NUM" in scored._jdf.queryExecution().toString()
+    assert {(r[0], r[1], round(r[2], 9)) for r in scored.collect()} == whole

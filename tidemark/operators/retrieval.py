@@ -23,6 +23,8 @@ K1, B = 1.5, 0.75
 RRF_K = 60
 POOL = 50
 MIN_COSINE = 0.1
+#: Scores of one part of the documents, and most parts.
+PART_SCORES, MAX_PARTS = 2_000_000, 20_000
 
 
 # --- lexical ------------------------------------------------------------------------------
@@ -61,14 +63,16 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str, text: Column,
     Only words of the questions leave the scan: a semi join filters the exploded words.
     They are placed by document once; counting words, scoring and summing per question
     all group below that placement, so nothing is shuffled again until the small top-k.
+    A part holds at most about ``PART_SCORES`` scores, whatever the documents and questions.
     Collection size and mean length come as one scalar subquery.
     """
     terms = query_terms(queries)
     toks = docs.select(F.col(id_col).alias("doc_id"), tokens_retrieval(text).alias("_t")).withColumn("dl", F.size("_t"))
     stats = toks.agg(F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl")).alias("s")).scalar()
     wanted = terms.select("term").distinct()
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, min(-(-docs.count() * queries.count() // PART_SCORES), MAX_PARTS))
     postings = (toks.select("doc_id", "dl", F.explode("_t").alias("term"))
-                .join(wanted, "term", "left_semi").repartition("doc_id")
+                .join(wanted, "term", "left_semi").repartition(parts, "doc_id")
                 .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
     df_n = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n, avgdl = stats["n"], F.greatest(stats["avgdl"], F.lit(1.0))
