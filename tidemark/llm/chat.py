@@ -4,7 +4,7 @@ Each record is a JSON text. Its nested field paths, without types and values, fo
 declarative mapping (``LAYOUTS``). A record whose shape is unknown (extra or missing optional fields) takes the first layout
 whose fields it has; if there is none, or the JSON is broken, ``layout`` is null and there are no turns. Strings and nesting may
 be of any length; a record that is too large for a variant (128 MiB) fails with an error, and so does a broken one of ``JUDGED``
-bytes or more, which cannot be told from it. Rows by turn never become JSON: only their shape picks the layout. DataFrame
+bytes or more, which cannot be told from it. Rows by turn become one record each, whatever the size of their conversation. DataFrame
 operations only.
 
 The template is ``<|turn|>role<|text|>text<|end|>\\n`` per turn. Texts and roles are escaped: backslashes are doubled and a
@@ -162,12 +162,16 @@ def records_of(rows: DataFrame) -> DataFrame:
 
 
 def turns_of(rows: DataFrame) -> DataFrame:
-    """Rows by turn as (conv_id, layout_, turns_), whatever their size: the layout is that of a record of the same shape without texts,
-    the turns are the rows' own."""
-    blank = F.transform(F.slice("messages", 1, 1), lambda m: F.struct(F.lit("").alias("role"), F.lit("").alias("content")))
-    d = canonical(_said(rows).withColumn("record", F.to_json(F.struct(blank.alias("messages")))))
-    own = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("text")))
-    return d.select("conv_id", "layout_", F.when(F.col("layout_") == "messages", own).otherwise(F.raise_error(F.lit("rows by turn have no layout")).cast(_TURNS)).alias("turns_"))
+    """Rows by turn as (conv_id, layout_, turns_): each row is a record of one message, which its layout maps to turns like any other
+    record; the turns of a conversation are put in order afterwards, so a conversation may be of any size."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    message = F.struct(text("role").alias("role"), text("text").alias("content"))
+    d = canonical(rows.select("conv_id", "turn", F.to_json(F.struct(F.array(message).alias("messages"))).alias("record")))
+    mapped = F.when(F.col("layout_").isNotNull(), F.col("turns_")).otherwise(F.raise_error(F.lit("rows by turn have no layout")).cast(_TURNS))
+    d = d.select("conv_id", "turn", "layout_", F.inline(mapped))
+    said = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("text"))))
+    g = d.groupBy("conv_id").agg(F.max("layout_").alias("layout_"), said.alias("said_"))
+    return g.select("conv_id", "layout_", F.transform("said_", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).cast(_TURNS).alias("turns_"))
 
 
 def probe_rows(spark: SparkSession) -> DataFrame:
