@@ -1,8 +1,8 @@
 """Quality by Bradley-Terry ranking: document scores are learnt from preference pairs.
 
-A bounded sample of labelled rows gives pairs (a document of label 1, one of label 0). The chance that the first wins is the
+All labelled rows outside the held-out fold give pairs (a document of label 1, one of label 0). The chance that the first wins is the
 logistic function of the difference of their scores, and scores are linear in the features: so a logistic regression without
-intercept on feature differences fits the model. The cut is the quantile of the sample's scores that leaves the sample's
+intercept on feature differences fits the model. The cut is the quantile of these rows' scores that leaves their
 share of label 0 below it; a document's ``score`` is the logistic function of its distance from the cut.
 
 Features are taken from the whole text only. Null and empty texts have the features of no words. Without labels of both
@@ -17,10 +17,10 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, labelled_sample, table, with_numbers, written
+from tidemark.llm.common import held_out, labelled, numbered, table, with_numbers, written
 
-#: Most labelled rows to learn from, and opponents of each.
-SAMPLE_ROWS, OPPONENTS = 20_000, 4
+#: Opponents of each labelled row of the more frequent kind.
+OPPONENTS = 4
 NAMES = ["distinct_words", "repeats", "bigram_variety", "all_capitals", "first_capitals", "marks", "symbols", "bars", "digits", "sentence_ends", "commas", "line_variety",
          "mean_length", "long_words", "log_words", "no_words"]
 
@@ -47,31 +47,37 @@ def features_of():
     return features
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[float], float] | float:
-    """(weights, cut), or the share of label 1 where there is nothing to compare."""
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[float], float] | float:
+    """(weights, cut) from every labelled row, or the share of label 1 where there is nothing to compare."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    sample = labelled_sample(labels, "quality", sample_rows).select(F.col("doc_id").alias("s_id"), F.col("quality").alias("mark"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("s_id"))  # at most sample_rows ids
+    own = labelled(labels, "quality").select(F.col("doc_id").alias("s_id"), F.col("quality").alias("mark"))
+    rows = docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("s_id"))
     rows = written(with_numbers(rows.select("doc_id", "text", "mark"), "x", features_of).select("doc_id", "mark", "x"))
     kinds = {r["mark"]: r["n"] for r in rows.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = kinds.get(0, 0), kinds.get(1, 0)
     if not n0 or not n1:
         return n1 / (n0 + n1) if n0 + n1 else 0.5
     many, few = (1, 0) if n1 >= n0 else (0, 1)
-    from pyspark.sql import Window
-
-    r = rows.withColumn("i", F.row_number().over(Window.partitionBy("mark").orderBy(F.xxhash64("doc_id"), "x")) - 1)  # within the sample
-    meets = r.where(F.col("mark") == many).select("x", "i", F.explode(F.transform(F.sequence(F.lit(0), F.lit(OPPONENTS - 1)), lambda k: ((F.col("i") * OPPONENTS + k) % kinds[few]).cast("int"))).alias("j"))
+    # each kind in the order of a hash; rows of label 0 come first
+    r = numbered(rows, [F.col("mark"), F.xxhash64("doc_id"), F.col("x")], "i").withColumn("i", F.col("i") - F.when(F.col("mark") == 1, n0).otherwise(0))
+    meets = r.where(F.col("mark") == many).select("x", "i", F.explode(F.transform(F.sequence(F.lit(0), F.lit(OPPONENTS - 1)), lambda k: (F.col("i") * OPPONENTS + k) % kinds[few])).alias("j"))
     pairs = meets.join(r.where(F.col("mark") == few).select(F.col("x").alias("y"), F.col("i").alias("j")), "j")
     sign = F.when(F.col("i") % 2 == 0, 1.0).otherwise(-1.0)  # half of the pairs the other way round
     won = sign if many == 1 else -sign
     pairs = pairs.select(F.zip_with("x", "y", lambda a, b: sign * (a - b)).alias("d"), F.when(won > 0, 1.0).otherwise(0.0).alias("won"))
     model = LogisticRegression(fitIntercept=False, standardization=True, regParam=1e-3, maxIter=60, featuresCol="v", labelCol="won").fit(pairs.select(array_to_vector("d").alias("v"), "won"))
     weights = [float(w) for w in model.coefficients]
-    cut = rows.select(F.percentile(_dot("x", weights), F.lit(n0 / (n0 + n1)))).first()[0]
-    return weights, float(cut)
+    return weights, _quantile(rows.select(_dot("x", weights).alias("s")), "s", n0 / (n0 + n1), n0 + n1)
+
+
+def _quantile(rows: DataFrame, col: str, share: float, n: int) -> float:
+    """The exact quantile of ``n`` numbers, between its two neighbours in proportion; the rows are sorted in ranges."""
+    at = share * (n - 1)
+    low = math.floor(at)
+    near = {r["i"]: r[col] for r in numbered(rows, [F.col(col)], "i").where(F.col("i").isin(low, low + 1)).collect()}
+    return float(near[low] + (at - low) * (near.get(low + 1, near[low]) - near[low]))
 
 
 def _dot(col: str, weights: list[float]):
@@ -81,9 +87,9 @@ def _dot(col: str, weights: list[float]):
     return out
 
 
-def scored(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with ``quality_score_``, 0 to 1."""
-    model = fit(docs, labels, sample_rows)
+    model = fit(docs, labels)
     if isinstance(model, float):
         return docs.withColumn("quality_score_", F.lit(model))
     weights, cut = model

@@ -1,9 +1,9 @@
 """Toxicity: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-The lexicon is learnt from a bounded sample of labelled rows: for each word and each word beginning of 4 to 8 characters the
+The lexicon is learnt from all labelled rows outside the held-out fold: for each word and each word beginning of 4 to 8 characters the
 toxic and clean documents that hold it are counted in one aggregation, and its strength is the lower Wilson bound of the
-toxic share. The features of a sample row use the lexicon of the other half of the sample, so the trees see strengths as they
-come out on new texts. Three quarters of the sample grow the trees, one quarter fits the calibration.
+toxic share. The features of such a row use the lexicon of the other half of them, so the trees see strengths as they
+come out on new texts. Three quarters of them grow the trees, one quarter fits the calibration.
 
 Features are taken from the whole text only. Null and empty texts have no hits. Without labels of both kinds every score is
 the share of toxic labels (0 without any). Repeated rows are scored each; extra columns pass through.
@@ -20,10 +20,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, labelled_sample, table, with_numbers, written
+from tidemark.llm.common import held_out, labelled, table, with_numbers, written
 
-#: Most labelled rows to learn from; most lexicon entries (the strongest); documents that an entry needs.
-SAMPLE_ROWS, LEXICON, MIN_DOCS = 20_000, 5_000, 3
+#: Most lexicon entries (the strongest); documents that an entry needs.
+LEXICON, MIN_DOCS = 5_000, 3
 BEGINNINGS, NEAR, Z = (4, 5, 6, 7, 8), 5, 1.64
 THRESHOLD = 0.7
 #: Second persons of four languages, and the signs that stand for letters.
@@ -89,7 +89,7 @@ def features_of(lexicon: dict[str, float]):
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
-    """(term, half, toxic, clean): documents by term in each half of the sample; summed within a task before the shuffle."""
+    """(term, half, toxic, clean): documents by term in each half of the rows; summed within a task before the shuffle."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter = Counter()
@@ -122,21 +122,21 @@ def lexicons(counts: DataFrame, size: int = LEXICON) -> list[dict[str, float]]:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
+def fit(docs: DataFrame, labels: DataFrame):
     """(lexicon, trees, calibration), or the share of toxic labels where there is nothing to learn."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.regression import IsotonicRegression
 
-    sample = labelled_sample(labels, "toxic", sample_rows).select(F.col("doc_id").alias("s_id"), F.col("toxic").alias("mark"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("s_id"))  # at most sample_rows ids
+    own = labelled(labels, "toxic").select(F.col("doc_id").alias("s_id"), F.col("toxic").alias("mark"))
+    rows = docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("s_id"))
     rows = written(rows.select("text", "mark", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half"), (F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(4)) == 0).alias("calibrate")))
     kinds = {r["mark"]: r["n"] for r in rows.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not kinds.get(0) or not kinds.get(1):
         return float(kinds.get(1, 0) > 0)
     zero, one, both = lexicons(written(term_counts(rows)))
     x = [with_numbers(rows.where(F.col("half") == h), "x", features_of(other)) for h, other in ((0, one), (1, zero))]
-    x = written(x[0].unionByName(x[1]).select("x", F.col("mark").cast("double").alias("mark"), "calibrate").coalesce(8)).select("mark", "calibrate", array_to_vector("x").alias("v"))
+    x = written(x[0].unionByName(x[1]).select("x", F.col("mark").cast("double").alias("mark"), "calibrate")).select("mark", "calibrate", array_to_vector("x").alias("v"))
     grow = x.where("not calibrate")
     if grow.select("mark").distinct().count() < 2:
         grow = x
@@ -146,11 +146,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
     return both, trees, IsotonicRegression(featuresCol="p", labelCol="mark", predictionCol="score").fit(raw)
 
 
-def scored(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with ``toxic_score_``, 0 to 1."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    model = fit(docs, labels, sample_rows)
+    model = fit(docs, labels)
     if isinstance(model, float):
         return docs.withColumn("toxic_score_", F.lit(model))
     lexicon, trees, calibration = model
