@@ -9,7 +9,7 @@ from tidemark.llm import chat, common, quality
 
 def test_every_labelled_row_outside_the_held_out_fold(spark):
     labels = spark.range(30_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
-    labels = labels.union(spark.createDataFrame([(None, 1), (2, None), (4, 1)], labels.schema))
+    labels = labels.union(spark.createDataFrame([(None, 1), (2, None), (4, 1)], "doc_id long, quality int"))
     own = common.labelled(labels, "quality")
     assert own.count() == spark.range(30_000).where(~common.held_out(F.col("id"))).count()
     assert {r["quality"] for r in own.where("doc_id = 4").collect()} <= {1}
