@@ -52,7 +52,7 @@ def test_large_groups_have_larger_blocks_not_more(spark):
     a = _unit(np.random.default_rng(2), 1_500)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)], "id long, vec array<double>")
     made = cells.build_cells(df, [], "id", block_rows=10)
-    assert made.blocks.count() <= 2 * blocks.MAX_BLOCKS and made.rows.count() == 1_500
+    assert made.blocks.count() <= 2 * cells.MAX_CELLS and made.rows.count() == 1_500
     met = {tuple(r) for r in cells.met_blocks(made.rows, 0.05, block_rows=100).collect()}
     at = {r["id"]: r["_blk"] for r in made.rows.collect()}
     close = np.argwhere(np.triu(1 - a @ a.T <= 0.05, 1))

@@ -25,6 +25,8 @@ from tidemark.operators.ordering import top_n_per_group
 from tidemark.session import scratch_path
 
 MAX_PIVOTS, SLICE_ROWS = 1_024, 20_000
+#: Cells of a group until they hold ``blocks.BLOCK_ROWS`` rows.
+MAX_CELLS = 32
 #: Products held at once, and pairs looked at again in double precision at once.
 TILE, AGAIN = 4_000_000, 50_000
 #: Rows drawn per pivot.
@@ -96,7 +98,7 @@ def build_cells(vectors: DataFrame, group: list[str], id_col: str, vec: str = "v
     sizes = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     chance = F.xxhash64(F.col(id_col))
     # a bounded sample per group, of which the pivots are spread as far apart as they go
-    per_block = rows_per_block(F.col("_n"), block_rows)
+    per_block = rows_per_block(F.col("_n"), block_rows, MAX_CELLS)
     wanted = F.least(F.ceil(F.col("_n") / per_block), F.lit(max_pivots)).cast("int")
     drawn = top_n_per_group(v.select(*keys, F.col(vec).alias("pivot"), chance.alias("_h")), keys, [F.col("_h"), F.col("pivot")], SAMPLE * max_pivots, "_p")
     drawn = drawn.join(sizes.withColumn("_k", wanted), keys).where(F.col("_p") <= SAMPLE * F.col("_k"))
