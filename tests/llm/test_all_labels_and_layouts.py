@@ -32,3 +32,13 @@ def test_rows_by_turn_are_mapped_by_their_layout(spark, monkeypatch):
     name, shape, (path, role, text) = chat.LAYOUTS[0]
     monkeypatch.setattr(chat, "LAYOUTS", [(name, shape, (path, text, role)), *chat.LAYOUTS[1:]])
     assert got() == {1: [("x", "a"), ("y\\\"\n", "b")], 2: [("", "")]}
+
+
+def test_no_text_is_moved_to_its_label(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * (1 + i % 7) + ("ok." if i % 2 else "|| !!")) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    plans = []
+    monkeypatch.setattr(quality, "written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or common.written(df))
+    assert not isinstance(quality.fit(docs, labels), float)
+    join = plans[0][plans[0].index("Join"):]
+    assert "MapInArrow" in join and "rightHint=(strategy=merge)" in join

@@ -53,8 +53,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[float], float] | float
     from pyspark.ml.functions import array_to_vector
 
     own = labelled(labels, "quality").select(F.col("doc_id").alias("s_id"), F.col("quality").alias("mark"))
-    rows = docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("s_id"))
-    rows = written(with_numbers(rows.select("doc_id", "text", "mark"), "x", features_of).select("doc_id", "mark", "x"))
+    # features are taken where a text is read, so the join moves some numbers per row and no text; labels never pass the driver
+    x = with_numbers(docs.select("doc_id", "text").where(~held_out(F.col("doc_id"))), "x", features_of).select("doc_id", "x")
+    rows = written(x.join(own.hint("merge"), F.col("doc_id") == F.col("s_id")).select("doc_id", "mark", "x"))
     kinds = {r["mark"]: r["n"] for r in rows.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = kinds.get(0, 0), kinds.get(1, 0)
     if not n0 or not n1:
