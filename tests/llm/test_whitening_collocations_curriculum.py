@@ -223,3 +223,16 @@ def test_curriculum_reruns_agree_and_nothing_breaks(spark):
     assert run_curriculum(spark, [])[1] == []
     _, empty = run_curriculum(spark, [(1, None, None), (2, "", "a")])
     assert [(r["target"], r["taken"]) for r in empty] == [(0.0, 0)] * 2
+
+
+def test_op13_counts_in_the_arranged_stream(spark, tmp_path, monkeypatch):
+    rows = [(i, "w " * (i % 5), "abc"[i % 3] if i % 11 else None) for i in range(120)] + [(7, "x y", "a")] * 3 + [(200, None, "a"), (201, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    m = curriculum.mixed(df).select("doc_id", "size", "target", "taken", F.round(F.get(F.col("copies.position"), F.lit(0)), 3).alias("first_position"))
+    columns = m.columns
+    real, streams = curriculum.arranged, []
+    monkeypatch.setattr(curriculum, "arranged", lambda *a, **k: streams.append(real(*a, **k)) or streams[0])
+    got = curriculum.op13(spark, str(tmp_path)).select(columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, m.collect()))
+    assert len(streams) == 1 and streams[0].agg(F.sum("words")).first()[0] == got.agg(F.sum("taken")).first()[0]

@@ -7,7 +7,7 @@
 3. **Schedule.** Each weight has a schedule, a weight over training time with straight lines between knots. Its integral, scaled
    to the target, is the source's cumulative token demand; inverting that at the middle of a document's stretch of supply gives
    the time at which it is due, and the demand of all sources up to then its position in tokens.
-4. ``arranged`` range-sorts the documents by position.
+4. ``arranged`` range-sorts the documents by position: the stream that training reads, with its texts. ``op13`` counts in it.
 
 Running totals are taken inside digest ranges (about the square root of a source's rows each) and over the ranges, so a source
 with a third of all rows is many small windows. Rows that are alike in id and text are counted before the shuffle.
@@ -107,8 +107,8 @@ def order_key(doc_id: Column, text: Column) -> Column:
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, schedules: dict = SCHEDULES) -> DataFrame:
-    """Per row of ``docs``: doc_id, source, size, source_size, target, taken, key (digest of id and text) and ``copies``, an array
-    of (epoch, words, time, position)."""
+    """Per row of ``docs``: doc_id, source, size, source_size, target, taken, key (digest of id and text), ``start`` (the words of its
+    source before it, which names rows with words apart) and ``copies``, an array of (epoch, words, time, position)."""
     rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), order_key(F.col("doc_id"), F.col("text")).alias("key"), F.spark_partition_id().alias("part"))
     # rows that are alike stay apart by the partition they were read in, so a group of copies is no single window row
     rows = written(rows.groupBy("source", "key", "doc_id", "size", "part").agg(F.count(F.lit(1)).alias("n")))
@@ -135,24 +135,31 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, s
     copies = each.withColumn("copies", F.filter(F.array(*(copy(e) for e in range(cap))), lambda c: c["words"] > 0))
     position = lambda t: sum((F.lit(a) * demand(schedules[k], t) for k, a in by_class.items()), F.lit(0.0))
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda acc, c: acc + c["words"])
-    return copies.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "key",
+    return copies.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "key", "start",
                          F.transform("copies", lambda c: F.struct(c["epoch"], c["words"], c["time"], position(c["time"]).alias("position"))).alias("copies"))
 
 
-def arranged(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, schedules: dict = SCHEDULES) -> DataFrame:
-    """The training stream: position, doc_id, source, epoch, words, text, range-sorted by position. A document that gives only its
-    opening words has them joined by blanks."""
-    m = mixed(docs, weights, cap, schedules).select("doc_id", "source", "size", "key", F.explode("copies").alias("c")).select("*", "c.*")
+def arranged(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, schedules: dict = SCHEDULES, mix: DataFrame | None = None) -> DataFrame:
+    """The training stream: position, doc_id, source, start, epoch, words, text, range-sorted by position. A document that gives only
+    its opening words has them joined by blanks. ``mix`` is what ``mixed`` gave for ``docs``, if it is at hand."""
+    m = mixed(docs, weights, cap, schedules) if mix is None else mix
+    m = m.select("doc_id", "source", "size", "key", "start", F.explode("copies").alias("c")).select("*", "c.*")
     texts = docs.select(order_key(F.col("doc_id"), F.col("text")).alias("k_"), "text").groupBy("k_").agg(F.first("text").alias("text"))
     cut = F.array_join(F.slice(pieces(F.col("text"), SPACE), 1, F.col("words").cast("int")), " ")
-    out = m.join(texts, F.col("key") == F.col("k_")).select("position", "doc_id", "source", "epoch", "words", F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text")).alias("text"), "key")
+    out = m.join(texts, F.col("key") == F.col("k_")).select("position", "doc_id", "source", "start", "epoch", "words", F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text")).alias("text"), "key")
     return out.repartitionByRange("position").sortWithinPartitions("position", "key", "epoch").drop("key")
 
 
 def op13(spark, sf_dir: str) -> DataFrame:
-    """Per document: its size, its source's size and target, the words taken from it, and where its first copy stands."""
-    m = mixed(table(spark, sf_dir, "documents"))
-    return m.select("doc_id", "size", "source_size", "target", "taken", F.round(F.get(F.col("copies.position"), F.lit(0)), 3).alias("first_position"))
+    """Per document: its size, its source's size and target, the words the stream takes from it, and where its first copy stands there."""
+    docs = table(spark, sf_dir, "documents")
+    m = written(mixed(docs))
+    stream = written(arranged(docs, mix=m))
+    got = (stream.select(F.col("source").alias("s_"), F.col("start").alias("t_"), "epoch", "position", size_of(F.col("text")).alias("words"))
+           .groupBy("s_", "t_").agg(F.sum("words").alias("taken"), F.min_by("position", "epoch").alias("first")))
+    has_words = F.when(F.col("size") > 0, F.col("start"))
+    out = m.drop("taken").join(got, F.col("source").eqNullSafe(F.col("s_")) & (has_words == F.col("t_")), "left")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.round("first", 3).alias("first_position"))
 
 
 def _sql_due(knots) -> str:
