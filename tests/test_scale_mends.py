@@ -75,3 +75,15 @@ def test_feed_entities_are_all_decoded(spark):
     df = spark.createDataFrame(rows, "i int, h string")
     got = {r.i: r.t for r in df.select("i", strip_html(F.col("h"), all_entities=True).alias("t")).collect()}
     assert got == {0: "it\u2019s \u2019n\u2019 'x' &lt; caf\u00e9 end", 1: "", 2: "a & b"}
+
+
+def test_a_label_of_many_rows_is_not_one_task(spark):
+    rows = spark.range(200).select(F.when(F.col("id") % 9 > 0, "a").otherwise("b").alias("workstream"), F.col("id").cast("string").alias("text"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large for it
+    try:
+        got = clustering.cluster_workstreams(rows.unionByName(spark.createDataFrame([("c", "x"), ("EXCLUDE", "x")], rows.schema)))
+        assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+        assert {r["workstream"]: r["cluster_size"] for r in got.collect()} == {"a": 177, "b": 23} and got.count() == 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
