@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, common, quality
+from tidemark.llm import chat, common, quality, toxicity
 
 
 def test_every_labelled_row_outside_the_held_out_fold(spark):
@@ -42,3 +42,27 @@ def test_no_text_is_moved_to_its_label(spark, monkeypatch):
     assert not isinstance(quality.fit(docs, labels), float)
     join = plans[0][plans[0].index("Join"):]
     assert "MapInArrow" in join and "rightHint=(strategy=merge)" in join
+
+
+def test_each_term_is_one_row_and_labels_stay_where_they_are(spark, monkeypatch):
+    texts = ["bad Badly good", "bad", "", None, "good goods BAD", "fine", "bad good", "bad"] * 6
+    rows = spark.createDataFrame([(t, k % 2, (k // 2) % 2) for k, t in enumerate(texts)], "text string, half int, mark int").repartition(3)
+    want = {}
+    for k, t in enumerate(texts):
+        for e in {e for w in (t or "").lower().split() for e in toxicity.entries(w)}:
+            want.setdefault(e, [0] * 4)[2 * (k % 2) + (k // 2) % 2] += 1
+    counts = toxicity.term_counts(rows)
+    assert sorted(map(tuple, counts.collect())) == sorted((e, *n) for e, n in want.items())
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    plans = []
+    monkeypatch.setattr(toxicity, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or common.written(df))
+    assert not isinstance(toxicity.fit(docs, spark.range(48).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))), float)
+    assert "ShuffledHashJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
+
+
+def test_features_of_odd_texts():
+    text = "You're SO b4d!! s.t.u.p.i.d  Sooo \u00c9\u00c9\u00c9 a-b :-) \u4e2d\u6587\u3002 AAA___111"
+    got = dict(zip(toxicity.NAMES, toxicity.features_of({"stupid": 0.9, "bad": 0.7, "so": 0.5})()(text)))
+    n = len(toxicity._WORD.findall(text.lower()))
+    assert got["capitals"] == sum(map(str.isupper, text)) / len(text) and got["punctuation"] == len(toxicity._PUNCT.findall(text)) / n
+    assert got["elongated"] == 3 / n and got["decoded_hits"] == 0.9 and got["second_near_hit"] == 1.0 and got["repeated_marks"] == 1 / n

@@ -14,8 +14,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +33,30 @@ SECOND = frozenset("you your yours yourself u ur tu toi te ton ta tes vous votre
 SIGNS = str.maketrans("013457@$!|", "oieastasil")
 NAMES = ["log_words", "strongest", "hit_rate", "strong_words", "hit_words", "hit_mass", "second_rate", "second_near_hit", "capitals", "exclamations", "punctuation", "repeated_marks", "obfuscated", "decoded_hits", "elongated"]
 _WORD = re.compile(r"[^\W_]+")
-_MIXED = re.compile(r"[^\W\d_]+[0-9@$!|*._-]+[^\W\d_][\w@$!|*.-]*")
+# from the start of a run of letters and without going back: what is found is the same, in a tenth of the steps
+_MIXED = re.compile(r"(?<![^\W\d_])[^\W\d_]++[0-9@$!|*._-]++[^\W\d_][\w@$!|*.-]*")
 _SPACED = re.compile(r"\b(?:[^\W\d_][ .-]){3,}[^\W\d_]\b")
 _MARKS, _LONG, _PUNCT = re.compile(r"[!?.,]{2,}"), re.compile(r"([^\W\d_])\1\1"), re.compile(r"[^\w\s]")
+#: What every find of ``_MIXED`` and of ``_SPACED`` holds; most texts hold neither.
+_SIGN_LETTER, _APART = re.compile(r"[0-9@$!|*._-]+[^\W\d_]"), re.compile(r"[ .-][^\W\d_][ .-][^\W\d_][ .-]")
+#: Which of the first 128 characters are punctuation.
+_IS_PUNCT = np.array([bool(_PUNCT.match(chr(c))) for c in range(128)])
+#: Words whose hits or entries a task keeps at once.
+_KEPT = 500_000
+
+
+class _Memo(dict):
+    """``make`` of each word, kept for ``_KEPT`` words."""
+
+    def __init__(self, make: Callable[[str], object]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str):
+        if len(self) >= _KEPT:
+            self.clear()
+        out = self[word] = self.make(word)
+        return out
 
 
 def entries(word: str) -> list[str]:
@@ -54,60 +77,68 @@ def features_of(lexicon: dict[str, float]):
     """A maker of the function text -> values of ``NAMES``."""
 
     def make():
-        memo: dict[str, float] = {}
-
-        def hit(word: str) -> float:
-            s = memo.get(word)
-            if s is None:
-                if len(memo) > 500_000:
-                    memo.clear()
-                s = memo[word] = max(lexicon.get(e, 0.0) for e in entries(word))
-            return s
+        memo = _Memo(lambda word: max(lexicon.get(e, 0.0) for e in entries(word)))
+        hit = memo.__getitem__
 
         def features(text: str) -> list[float]:
             low = text.lower()
             words = _WORD.findall(low)
             n = max(1, len(words))
-            hits = [hit(w) for w in words]
+            hits = list(map(hit, words))
             best = max(hits, default=0.0)
-            at = [k for k, s in enumerate(hits) if s >= 0.5]
+            at = [k for k, s in enumerate(hits) if s >= 0.5] if best >= 0.5 else []
             second = [k for k, w in enumerate(words) if w in SECOND]
             near = 0
             if at and second:
-                where = set(second)
-                near = sum(any(k + d in where for d in range(-NEAR, NEAR + 1)) for k in at)
-            mixed = _MIXED.findall(low)
-            decoded = [re.sub(r"[\W\d_]", "", m.translate(SIGNS)) for m in mixed] + [re.sub(r"\W", "", m.group()) for m in _SPACED.finditer(low)]
+                where = {k + d for k in second for d in range(-NEAR, NEAR + 1)}
+                near = sum(k in where for k in at)
+            mixed = _MIXED.findall(low) if _SIGN_LETTER.search(low) else []
+            spaced = [m.group() for m in _SPACED.finditer(low)] if _APART.search(low) else []
+            decoded = [re.sub(r"[\W\d_]", "", m.translate(SIGNS)) for m in mixed] + [re.sub(r"\W", "", m) for m in spaced]
             found = max((hit(w) for w in decoded if w), default=0.0)
-            caps = sum(map(str.isupper, text)) / max(1, len(text))
+            # characters beyond ASCII one by one, the others by their bytes
+            code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            plain = code[code < 128]
+            rest = "" if len(plain) == len(code) else "".join(map(chr, code[code >= 128]))
+            caps = (int(((plain >= 65) & (plain <= 90)).sum()) + sum(map(str.isupper, rest))) / max(1, len(text))
+            punctuation = int(_IS_PUNCT[plain].sum()) + len(_PUNCT.findall(rest))
+            code = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+            thrice = set(code[2:][(code[2:] == code[1:-1]) & (code[1:-1] == code[:-2])].tolist())
+            long = sum(1 for _ in _LONG.finditer(low)) if any(_LONG.match(chr(c) * 3) for c in thrice) else 0
             return [math.log1p(len(words)), best, len(at) / n, float(len({words[k] for k in at if hits[k] >= 0.8})), float(len({words[k] for k in at})), sum(hits[k] for k in at) / math.sqrt(n), len(second) / n, float(near), caps,
-                    text.count("!") / n, len(_PUNCT.findall(text)) / n, len(_MARKS.findall(text)) / n, len(mixed) / n, found, sum(1 for _ in _LONG.finditer(low)) / n]
+                    text.count("!") / n, punctuation / n, len(_MARKS.findall(text)) / n, len(mixed) / n, found, long / n]
 
         return features
 
     return make
 
 
+#: The columns of ``term_counts``: toxic and clean documents of half 0, then of half 1.
+COUNTS = ("clean_0", "toxic_0", "clean_1", "toxic_1")
+
+
 def term_counts(rows: DataFrame) -> DataFrame:
-    """(term, half, toxic, clean): documents by term in each half of the rows; summed within a task before the shuffle."""
+    """(term, clean_0, toxic_0, clean_1, toxic_1): documents by term, a row each; summed within a task before the shuffle."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter = Counter()
+        entries_of = _Memo(entries).__getitem__
+        held: list[Counter] = [Counter() for _ in COUNTS]
 
-        def rows_of() -> pd.DataFrame:
-            out = pd.DataFrame([(*k, n) for k, n in held.items()], columns=["term", "half", "mark", "n"])
-            held.clear()
-            return out
+        def rows_of() -> Iterator[pd.DataFrame]:
+            for kind, c in enumerate(held):
+                yield pd.DataFrame({"term": list(c), "kind": np.int32(kind), "n": np.fromiter(c.values(), np.int64, len(c))})
+                c.clear()
 
         for pdf in batches:
             for text, half, mark in zip(pdf["text"], pdf["half"], pdf["mark"]):
-                held.update((e, half, mark) for e in {e for w in set(_WORD.findall((text or "").lower())) for e in entries(w)})
-                if len(held) > 300_000:
-                    yield rows_of()
-        yield rows_of()
+                if mark in (0, 1):
+                    held[2 * half + mark].update(set(chain.from_iterable(map(entries_of, set(_WORD.findall((text or "").lower()))))))
+                    if sum(map(len, held)) > 300_000:
+                        yield from rows_of()
+        yield from rows_of()
 
-    part = rows.mapInPandas(count, "term string, half int, mark int, n long")
-    return part.groupBy("term", "half").agg(F.sum(F.when(F.col("mark") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("mark") == 0, F.col("n")).otherwise(0)).alias("clean"))
+    part = rows.mapInPandas(count, "term string, kind int, n long")
+    return part.groupBy("term").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(c) for k, c in enumerate(COUNTS)))
 
 
 def lexicons(counts: DataFrame, size: int = LEXICON) -> list[dict[str, float]]:
@@ -115,9 +146,9 @@ def lexicons(counts: DataFrame, size: int = LEXICON) -> list[dict[str, float]]:
     n, p = F.col("toxic") + F.col("clean"), F.col("toxic") / (F.col("toxic") + F.col("clean"))
     bound = (p + Z * Z / 2 / n - Z * F.sqrt(p * (1 - p) / n + Z * Z / 4 / n / n)) / (1 + Z * Z / n)
     out = []
-    for part in (counts.where("half = 0"), counts.where("half = 1"), counts):
-        both = part.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") >= MIN_DOCS)
-        best = both.select("term", bound.alias("s")).where("s >= 0.3").orderBy(F.desc("s"), "term").limit(size)
+    for toxic, clean in (("toxic_0", "clean_0"), ("toxic_1", "clean_1"), ("toxic_0 + toxic_1", "clean_0 + clean_1")):
+        part = counts.withColumns({"toxic": F.expr(toxic), "clean": F.expr(clean)})
+        best = part.where(F.col("toxic") >= MIN_DOCS).select("term", bound.alias("s")).where("s >= 0.3").orderBy(F.desc("s"), "term").limit(size)
         out.append({r["term"]: float(r["s"]) for r in best.collect()})
     return out
 
@@ -129,12 +160,14 @@ def fit(docs: DataFrame, labels: DataFrame):
     from pyspark.ml.regression import IsotonicRegression
 
     own = labelled(labels, "toxic").select(F.col("doc_id").alias("s_id"), F.col("toxic").alias("mark"))
-    rows = docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("s_id"))
+    # of one kind at any size: labels never pass the driver, texts are moved once and not sorted
+    rows = docs.select("doc_id", "text").join(own.hint("shuffle_hash"), F.col("doc_id") == F.col("s_id"))
     rows = written(rows.select("text", "mark", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half"), (F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(4)) == 0).alias("calibrate")))
     kinds = {r["mark"]: r["n"] for r in rows.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not kinds.get(0) or not kinds.get(1):
         return float(kinds.get(1, 0) > 0)
-    zero, one, both = lexicons(written(term_counts(rows)))
+    # no lexicon holds a term with fewer toxic documents
+    zero, one, both = lexicons(written(term_counts(rows).where(F.col("toxic_0") + F.col("toxic_1") >= MIN_DOCS)))
     x = [with_numbers(rows.where(F.col("half") == h), "x", features_of(other)) for h, other in ((0, one), (1, zero))]
     x = written(x[0].unionByName(x[1]).select("x", F.col("mark").cast("double").alias("mark"), "calibrate")).select("mark", "calibrate", array_to_vector("x").alias("v"))
     grow = x.where("not calibrate")
