@@ -154,9 +154,9 @@ def op13(spark, sf_dir: str) -> DataFrame:
     """Per document: its size, its source's size and target, the words the stream takes from it, and where its first copy stands there."""
     docs = table(spark, sf_dir, "documents")
     m = written(mixed(docs))
-    stream = written(arranged(docs, mix=m))
-    got = (stream.select(F.col("source").alias("s_"), F.col("start").alias("t_"), "epoch", "position", size_of(F.col("text")).alias("words"))
-           .groupBy("s_", "t_").agg(F.sum("words").alias("taken"), F.min_by("position", "epoch").alias("first")))
+    # words are counted in the texts of the stream; what is kept of it here goes without them
+    stream = written(arranged(docs, mix=m).select(F.col("source").alias("s_"), F.col("start").alias("t_"), "epoch", "position", size_of(F.col("text")).alias("words")))
+    got = (stream.groupBy("s_", "t_").agg(F.sum("words").alias("taken"), F.min_by("position", "epoch").alias("first")))
     has_words = F.when(F.col("size") > 0, F.col("start"))
     out = m.drop("taken").join(got, F.col("source").eqNullSafe(F.col("s_")) & (has_words == F.col("t_")), "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.round("first", 3).alias("first_position"))
