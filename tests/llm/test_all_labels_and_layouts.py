@@ -66,3 +66,8 @@ def test_features_of_odd_texts():
     n = len(toxicity._WORD.findall(text.lower()))
     assert got["capitals"] == sum(map(str.isupper, text)) / len(text) and got["punctuation"] == len(toxicity._PUNCT.findall(text)) / n
     assert got["elongated"] == 3 / n and got["decoded_hits"] == 0.9 and got["second_near_hit"] == 1.0 and got["repeated_marks"] == 1 / n
+
+
+def test_tasks_without_a_kind_of_row_count_nothing(spark):
+    rows = spark.createDataFrame([("bad", 0, 1), ("good", 1, 0)], "text string, half int, mark int").repartition(5)
+    assert {tuple(r) for r in toxicity.term_counts(rows).collect()} == {("bad", 0, 1, 0, 0), ("good", 0, 0, 1, 0), ("good*", 0, 0, 1, 0)}

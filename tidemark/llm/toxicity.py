@@ -126,7 +126,8 @@ def term_counts(rows: DataFrame) -> DataFrame:
 
         def rows_of() -> Iterator[pd.DataFrame]:
             for kind, c in enumerate(held):
-                yield pd.DataFrame({"term": list(c), "kind": np.int32(kind), "n": np.fromiter(c.values(), np.int64, len(c))})
+                if c:  # an empty column has no type that Spark takes for a string
+                    yield pd.DataFrame({"term": pd.Series(list(c), dtype=object), "kind": np.int32(kind), "n": np.fromiter(c.values(), np.int64, len(c))})
                 c.clear()
 
         for pdf in batches:
