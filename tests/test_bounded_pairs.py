@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import blocks, cells, clustering, encoder, retrieval
+from tidemark.operators import blocks, cells, clustering, dedup, encoder, retrieval
 
 
 def test_a_row_is_copied_to_a_bounded_number_of_blocks(spark):
@@ -109,3 +109,34 @@ def test_lexical_scores_of_a_part_are_bounded(spark, monkeypatch):
     scored = retrieval.bm25_scores(docs, asked, "doc_id", F.col("text"))
     assert "30), REPARTITION_BY_NUM" in scored._jdf.queryExecution().toString()
     assert {(r[0], r[1], round(r[2], 9)) for r in scored.collect()} == whole
+
+
+def _far_bits(a, b):
+    return bin((a ^ b) & ((1 << 64) - 1)).count("1")
+
+
+def _hashes(rng, n=150):
+    """Signed hashes in families, with pairs that share several bands."""
+    made = {0, -1}
+    base = [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 5)]
+    while len(made) < n:
+        h = base[rng.integers(5)] & ((1 << 64) - 1)
+        for bit in rng.choice(64, rng.integers(0, 6), replace=False):
+            h ^= 1 << int(bit)
+        made.add(h - (1 << 64) if h >> 63 else h)
+    return sorted(made)
+
+
+@pytest.mark.parametrize("hot", [0, 7, 32_768])
+def test_near_links_count_every_pair_once_and_name_components(spark, hot):
+    """The pairs of a family are folded where they are met, in any number of blocks."""
+    hashes = _hashes(np.random.default_rng(3))
+    near = {h: [x for x in hashes if x != h and _far_bits(h, x) <= 5] for h in hashes}
+    root = {h: h for h in hashes}
+    for _ in hashes:
+        root = {h: min([root[h], *(root[x] for x in near[h])]) for h in hashes}
+    d = spark.createDataFrame([(h,) for h in hashes for _ in range(2)] + [(None,)], "simhash long")
+    got = {r["simhash"]: (r["class_id"], r["n_links"]) for r in dedup.near_links(d, hot_bucket=hot).collect()}
+    assert got == {h: (root[h], len(near[h])) for h in hashes}
+    pairs = [(r["a"], r["b"]) for r in dedup.near_pairs(d, hot_bucket=hot).collect()]
+    assert sorted(pairs) == sorted((h, x) for h in hashes for x in near[h] if h < x)
