@@ -140,3 +140,13 @@ def test_near_links_count_every_pair_once_and_name_components(spark, hot):
     assert got == {h: (root[h], len(near[h])) for h in hashes}
     pairs = [(r["a"], r["b"]) for r in dedup.near_pairs(d, hot_bucket=hot).collect()]
     assert sorted(pairs) == sorted((h, x) for h in hashes for x in near[h] if h < x)
+
+
+def test_beaten_hashes_are_those_near_a_better_one():
+    rng = np.random.default_rng(8)
+    h = np.array(_hashes(rng, 400))
+    s, p = rng.integers(0, 4, len(h)).astype(float), rng.permutation(len(h)).astype(float)
+    p[:9] = np.nan  # without a position: beaten by a better score only
+    better = lambda i, j: s[i] > s[j] or (s[i] == s[j] and p[i] < p[j])
+    want = {j for j in range(len(h)) if any(_far_bits(int(h[i]), int(h[j])) <= 5 and better(i, j) for i in range(len(h)))}
+    assert set(dedup._beaten(h.view(np.uint64), s, p, 5).tolist()) == want
