@@ -150,3 +150,30 @@ def test_beaten_hashes_are_those_near_a_better_one():
     better = lambda i, j: s[i] > s[j] or (s[i] == s[j] and p[i] < p[j])
     want = {j for j in range(len(h)) if any(_far_bits(int(h[i]), int(h[j])) <= 5 and better(i, j) for i in range(len(h)))}
     assert set(dedup._beaten(h.view(np.uint64), s, p, 5).tolist()) == want
+
+
+def test_best_scores_in_tiles_are_those_of_every_document(monkeypatch):
+    """Ties go to the smaller id, a repeated id adds up, and documents without a word of the question are left out."""
+    monkeypatch.setattr(retrieval, "TILE_NUMBERS", 40)
+    rng = np.random.default_rng(2)
+    words = [(int(d), f"w{t}", float(rng.integers(1, 4))) for d in rng.permutation(60) for t in rng.choice(9, 3, replace=False)]
+    words += [(7, "w1", 1.0), (7, "w1", 2.0), (99, "other", 5.0)]
+    asked = {"a": {"w1": 1.0, "w2": 0.5}, "b": {"w3": 2.0}, "c": {"none": 1.0}}
+    table = pa.table({"doc_id": [w[0] for w in words], "term": [w[1] for w in words], "share": [w[2] for w in words]})
+    questions = pa.table({"query_id": list(asked), "terms": [list(v) for v in asked.values()], "weights": [list(v.values()) for v in asked.values()]})
+    got = retrieval.best_scores(table, questions, 5).to_pylist()
+    for name, weight in asked.items():
+        score = {}
+        for d, t, s in words:
+            if t in weight:
+                score[d] = score.get(d, 0.0) + weight[t] * s
+        want = sorted(score.items(), key=lambda x: (-x[1], x[0]))[:5]
+        assert sorted(((r["doc_id"], r["bm25"]) for r in got if r["query_id"] == name), key=lambda x: (-x[1], x[0])) == want
+
+
+def test_bm25_topk_takes_structs_as_question_ids(spark):
+    """Fields that are never null, as the variants of hybrid search have."""
+    d = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma")], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "alpha"), (2, "gamma")], "a long, query string").select(F.struct("a", F.lit(0).alias("variant")).alias("query_id"), "query")
+    got = retrieval.bm25_topk(d, q, "doc_id", F.col("text")).collect()
+    assert {(r["query_id"]["a"], r["query_id"]["variant"], r["doc_id"], r["rank"]) for r in got} == {(1, 0, 1, 0), (2, 0, 2, 0)}

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.rules import Pack, contains_any, contains_word
@@ -25,6 +27,8 @@ POOL = 50
 MIN_COSINE = 0.1
 #: Scores of one part of the documents, and most parts.
 PART_SCORES, MAX_PARTS = 2_000_000, 20_000
+#: Questions scored at once, and numbers of one tile of documents.
+SCORE_CHUNK, TILE_NUMBERS = 256, 2_000_000
 
 
 # --- lexical ------------------------------------------------------------------------------
@@ -56,13 +60,10 @@ def query_terms(queries: DataFrame) -> DataFrame:
             .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str, text: Column,
-                k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, doc_id, bm25) for every document with a positive score.
+def _weighed(docs: DataFrame, queries: DataFrame, id_col: str, text: Column, k1: float, b: float) -> tuple[DataFrame, DataFrame, int]:
+    """(postings(doc_id, dl, term, share), weights(query_id, term, weight), parts): a word adds weight x share to a score.
 
-    Only words of the questions leave the scan: a semi join filters the exploded words.
-    They are placed by document once; counting words, scoring and summing per question
-    all group below that placement, so nothing is shuffled again until the small top-k.
+    Only words of the questions leave the scan: a semi join filters the exploded words. They are placed by document once.
     A part holds at most about ``PART_SCORES`` scores, whatever the documents and questions.
     Collection size and mean length come as one scalar subquery.
     """
@@ -76,16 +77,80 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str, text: Column,
                 .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
     df_n = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n, avgdl = stats["n"], F.greatest(stats["avgdl"], F.lit(1.0))
-    weighted = terms.join(df_n, "term").select("query_id", "term", "qtf", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-    part = (F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1)
-            / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl)))
-    return (postings.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("bm25"))
+    weights = terms.join(df_n, "term").select("query_id", "term", (F.col("qtf") * F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("weight"))
+    share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
+    return postings.select("doc_id", "dl", "term", share.alias("share")), weights, parts
+
+
+def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str, text: Column,
+                k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, doc_id, bm25) for every document with a positive score.
+
+    Counting words, scoring and summing per question all group below the placement by document.
+    """
+    postings, weights, _ = _weighed(docs, queries, id_col, text, k1, b)
+    return (postings.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("share")).alias("bm25"))
             .where(F.col("bm25") > 0))
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, id_col: str, text: Column, k: int = POOL) -> DataFrame:
-    """Scores are compared at nine decimals: equal documents may differ in the last bits by summation order."""
-    return rank_list(bm25_scores(docs, queries, id_col, text).withColumn("bm25", F.round("bm25", 9)), "bm25", k)
+    """Scores are compared at nine decimals: equal documents may differ in the last bits by summation order.
+
+    Every document is scored for every question, as products of a part of the documents with a chunk of the questions; a
+    task keeps the best ``k`` per question, so scores are never rows.
+    """
+    postings, weights, parts = _weighed(docs, queries, id_col, text, K1, B)
+    asked = weights.groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
+    chunks = max(1, -(-queries.count() // SCORE_CHUNK))
+    left = postings.select("doc_id", "term", "share", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("_p"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_c"))
+    right = asked.withColumn("_c", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int")).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    id_type, query_type = docs.schema[id_col].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+
+    def cell(words: pa.Table, questions: pa.Table) -> pa.Table:
+        return best_scores(words, questions, k)
+
+    best = left.groupBy("_p", "_c").cogroup(right.groupBy("_p", "_c")).applyInArrow(cell, f"query_id {query_type}, doc_id {id_type}, bm25 double")
+    return rank_list(best.withColumn("bm25", F.round("bm25", 9)), "bm25", k)
+
+
+def _nullable(t: pa.DataType) -> pa.DataType:
+    return pa.struct([(f.name, _nullable(f.type)) for f in t]) if pa.types.is_struct(t) else t
+
+
+def best_scores(words: pa.Table, questions: pa.Table, k: int) -> pa.Table:
+    """(query_id, doc_id, bm25): the best ``k`` documents of ``words(doc_id, term, share)`` for each row of
+    ``questions(query_id, terms, weights)``, ties by id; documents without a word of the question are left out."""
+    lists = questions["terms"].combine_chunks()
+    vocabulary = lists.flatten().unique()
+    at = pc.index_in(words["term"].combine_chunks(), vocabulary)
+    words, at = words.filter(at.is_valid()), at.drop_null().to_numpy()
+    ids = words["doc_id"].combine_chunks()
+    named = ids.unique()
+    named = named.take(pc.sort_indices(named, null_placement="at_start"))  # documents count up with their ids
+    doc = pc.index_in(ids, named).to_numpy()
+    share = words["share"].to_numpy()
+    order = np.argsort(doc, kind="stable")
+    doc, at, share = doc[order], at[order], share[order]
+    n, width = len(questions), max(len(vocabulary), 1)
+    weight = np.zeros((width, n))
+    row = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy())
+    weight[pc.index_in(lists.flatten(), vocabulary).to_numpy(), row] = questions["weights"].combine_chunks().flatten().to_numpy()
+    best, who = np.zeros((0, n)), np.zeros((0, n), np.int64)
+    tile = max(1, TILE_NUMBERS // max(width, n))
+    for start in range(0, len(named), tile):
+        lo, hi = np.searchsorted(doc, [start, start + tile])
+        rows = min(tile, len(named) - start)
+        held = np.bincount((doc[lo:hi] - start).astype(np.int64) * width + at[lo:hi], weights=share[lo:hi], minlength=rows * width).reshape(rows, width)
+        scores = held @ weight
+        scores = np.vstack([best, np.where(scores > 0, np.round(scores, 9), -1.0)])
+        which = np.vstack([who, np.repeat(np.arange(start, start + rows)[:, None], n, 1)])
+        top = np.argsort(-scores, axis=0, kind="stable")[:k]
+        best, who = np.take_along_axis(scores, top, 0), np.take_along_axis(which, top, 0)
+    i, q = np.nonzero(best >= 0)
+    asked = questions["query_id"].combine_chunks()
+    # a struct may come with fields that are never null, which the result's type does not say
+    asked = pa.array(asked.to_pylist(), _nullable(asked.type)) if pa.types.is_struct(asked.type) else asked
+    return pa.table({"query_id": asked.take(pa.array(q)), "doc_id": named.take(pa.array(who[i, q])), "bm25": best[i, q]})
 
 
 def rank_list(scored: DataFrame, score: str, k: int = POOL) -> DataFrame:
