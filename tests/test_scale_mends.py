@@ -87,3 +87,29 @@ def test_a_label_of_many_rows_is_not_one_task(spark):
         assert {r["workstream"]: r["cluster_size"] for r in got.collect()} == {"a": 177, "b": 23} and got.count() == 200
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_large_pack_is_one_pass_and_labels_as_its_rules_do(spark):
+    from tidemark.functions import rules
+    from tidemark.functions.text import compact
+
+    many = [f"term{i}" for i in range(40)]
+    pack = rules.Pack.of("p", [{"label": "any", "substr": many}, {"label": "word", "word": ["pay", "été", "PSA 10"]}, {"label": "pattern", "regex": [r"\bask\b.{0,3}me", "k(?=z)", "end$", r"a\sb"]},
+                               {"label": "both", "all_of": [["pay", "term7"], ["for"]], "none_of": ["never"]}, {"label": "no", "none_of": ["a", "e"]}, {"label": "all", "regex": ["x+"], "all_regex": [r"\d\d", "y"]},
+                               {"label": "any", "word": ["again"]}])
+    texts = [None, "", "term39 pay for it", "repay", "pay.", "l'été", "étés", "never pay for", "asK me; asK! me", "ask.me", "task me", "kz", "the end\n", "a\x0bb", "a\rb", "XX 12 y", "again", "rook", "PSA 10", "xx y", "term1 term2 again"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    slow = lambda p: compact(F.array(*[F.when(rules.any_of([rules.rule_hit(F.col("t"), r) for r in p.rules if r.label == n]), F.lit(n)) for n in p.labels]))
+    plain = rules.Pack("q", tuple(r for r in pack.rules if not (r.word or r.regex)))
+    for p in (pack, plain):
+        fast = rules.all_labels(F.col("t"), p)
+        assert [r[:] for r in df.select("i", fast).collect()] == [r[:] for r in df.select("i", slow(p)).collect()]
+        searches = df.select(fast)._jdf.queryExecution().optimizedPlan().toString()
+        assert "ArrowEvalPython" in df.select(fast)._jdf.queryExecution().executedPlan().toString() and searches.count("Contains(") < 40
+
+
+def test_whole_words_are_looked_for_by_their_letters_first(spark):
+    from tidemark.functions import rules
+
+    plan = spark.createDataFrame([("a word",)], "t string").select(rules.contains_word(F.col("t"), ["word"]))
+    assert plan.first()[0] and "Contains(" in plan._jdf.queryExecution().optimizedPlan().toString()
