@@ -113,3 +113,25 @@ def test_whole_words_are_looked_for_by_their_letters_first(spark):
 
     plan = spark.createDataFrame([("a word",)], "t string").select(rules.contains_word(F.col("t"), ["word"]))
     assert plan.first()[0] and "Contains(" in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_periods_read_the_rows_once(spark, tmp_path):
+    from tidemark.operators import trends
+
+    spark.createDataFrame([("a", "2024-01-01", True), ("a", "2024-01-01", None), ("a", "2024-01-09", False), (None, "2024-01-02", True), ("b", None, True)], "topic string, day string, bad boolean") \
+        .withColumn("day", F.col("day").cast("date")).write.parquet(str(tmp_path / "rows"))
+    counts = trends.period_counts(spark.read.parquet(str(tmp_path / "rows")), "topic", "day", F.col("bad"))
+    assert sorted(map(tuple, counts.collect()), key=str) == [("a", 0, 2, 1), ("a", 1, 1, 0), (None, 0, 1, 1)]
+    assert "parquet" not in counts._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_simhash_by_histogram_is_the_vote_of_all_windows():
+    import numpy as np
+
+    from tidemark.functions.hashing import _bits, _signs, simhash_batch
+
+    draw = np.random.default_rng(3)
+    for n in (3, 5):
+        texts = [bytes(draw.choice(list(b"abcdefgh "), size).tolist()) for size in (0, 1, 2, 3, 9, 60, 4_000, 9_000)]
+        wanted = [_bits(sum(_signs(w.decode()) for w in ([t[i : i + n] for i in range(len(t) - n + 1)] or [t]))[None, :])[0] for t in texts]
+        assert simhash_batch(texts, n).tolist() == wanted
