@@ -137,3 +137,18 @@ def test_the_overlap_sketch_is_close_to_all_pairs(spark):
     exact = {r["g"]: r["penalty"] for r in clustering.overlap_penalty(d, ["g"], "id", F.col("text")).collect()}
     sketch = {r["g"]: r["penalty"] for r in clustering.overlap_penalty_sketch(d, ["g"], "id", F.col("text")).collect()}
     assert exact.keys() == sketch.keys() and all(0 < exact[g] < 0.15 and abs(exact[g] - sketch[g]) < 0.01 for g in exact)
+
+
+def test_the_index_is_its_lists_alone_and_searches_as_the_direct_form_does(spark):
+    import os
+
+    rows = [(i % 60 if i % 9 else None, " ".join(f"w{(i * j) % 23}" for j in range(1, i % 13 + 2)) if i % 17 else None) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(q, f"w{q} w{q + 1} w{q + 1} w7") for q in range(20)] + [(90, "nothing"), (91, None)], "query_id long, query string")
+    index = search_index.write_index(docs, "doc_id", F.col("text"), buckets=4, block_docs=8)
+    assert {f for f in os.listdir(index.path) if not f.startswith((".", "_"))} == {"blocks", "terms"} and index.n == 200
+    for k, first in ((3, 1), (50, None)):
+        found = {(r["query_id"], r["doc_id"], r["rank"], r["bm25"]) for r in search_index.search(index, asked, k, first).collect()}
+        assert found == {(r["query_id"], r["doc_id"], r["rank"], r["bm25"]) for r in retrieval.bm25_topk(docs, asked, "doc_id", F.col("text"), k).collect()}
+    pairs = asked.select(F.struct("query_id", F.lit(1).alias("variant")).alias("query_id"), "query")
+    assert search_index.search(index, pairs, 5).count() == search_index.search(index, asked, 5).count() > 0
