@@ -236,3 +236,12 @@ def test_op13_counts_in_the_arranged_stream(spark, tmp_path, monkeypatch):
     got = curriculum.op13(spark, str(tmp_path)).select(columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, m.collect()))
     assert len(streams) == 1 and streams[0].agg(F.sum("words")).first()[0] == got.agg(F.sum("taken")).first()[0]
+
+
+def test_shards_are_counted_in_tasks_of_a_set_size(spark, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(collocations, "TASK_WORDS", 100)
+    many = spark.range(0, 1_000, 1, 5 * cores)
+    for words, tasks in ((0, cores), (100 * (cores + 3) - 1, cores + 3), (1_000 * cores, 5 * cores)):
+        got = collocations.gathered(many, words)
+        assert got.rdd.getNumPartitions() == tasks and got.count() == 1_000
