@@ -1,0 +1,22 @@
+"""Queries and plans that do their whole job, on rows of their own."""
+
+import random
+
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from tidemark.operators import dedup
+
+
+def test_lsh_candidates_gives_every_pair_with_its_distance(spark, tmp_path):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 9))) for _ in range(60)]
+    base = [[rng.choice(words) for _ in range(50)] for _ in range(4)]
+    texts = [" ".join([*b[: rng.randint(46, 50)], *rng.choices(words, k=rng.randint(0, 1))]) for b in base for _ in range(8)] + [" ".join(base[0])] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    hashes = sorted({r.simhash for r in dedup.with_simhash(docs).collect()})
+    far = lambda a, b: bin((a ^ b) & ((1 << 64) - 1)).count("1")
+    want = sorted((a, b, far(a, b)) for a in hashes for b in hashes if a < b and far(a, b) <= 5)
+    got = entry.queries()["lsh_candidates"](spark, str(tmp_path))
+    assert got.columns == ["a", "b", "distance"] and sorted(map(tuple, got.collect())) == want and len(want) > 4
