@@ -1,11 +1,29 @@
 """Queries and plans that do their whole job, on rows of their own."""
 
+import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tidemark.functions import rules
 from tidemark.operators import dedup
+from tidemark.plans import weekly
+
+M = rules.load_packs("marketplace")
+POST = "post_id long, pos long, text string, title string, source string, subreddit string, url string, username string, post_date date, score long, like_count long, num_comments long"
+
+
+def _posts(spark, texts, title=""):
+    return spark.createDataFrame([(i, i, t, title, "Reddit", "", f"u{i}", "a", dt.date(2024, 1, 1), 10 * i, 0, 0) for i, t in enumerate(texts)], POST)
+
+
+#: The three that name a rival form a theme.
+RIVALS = ["ebay seller fee: the commission is too high and terrible",
+          "ebay seller fee: " + "and so on " * 12 + "leaving ebay for whatnot, worst commission ever" + " and on" * 40,
+          "ebay seller fee: the commission is too high, listed on whatnot too, terrible",
+          "ebay seller fee, stop using it, commission compared to fanatics"]
 
 
 def test_lsh_candidates_gives_every_pair_with_its_distance(spark, tmp_path):
@@ -20,3 +38,26 @@ def test_lsh_candidates_gives_every_pair_with_its_distance(spark, tmp_path):
     want = sorted((a, b, far(a, b)) for a in hashes for b in hashes if a < b and far(a, b) <= 5)
     got = entry.queries()["lsh_candidates"](spark, str(tmp_path))
     assert got.columns == ["a", "b", "distance"] and sorted(map(tuple, got.collect())) == want and len(want) > 4
+
+
+def test_theme_cards_carry_every_part_of_a_card(spark, tmp_path):
+    """Brand, label sets, readiness, ideas and quotes of a theme, by hand."""
+    rows = _posts(spark, RIVALS).withColumn("ideas", F.array(F.lit("Show the fees earlier"), F.lit("short"), F.when(F.col("post_id") == 2, "Match whatnot on commission")))
+    run = weekly.weekly_run(spark, rows, M, F.lit("2024-03-01").cast("date"), str(tmp_path / "a"))
+    (card,) = run.cards.collect()
+    assert card.workstream == card.theme == card.title == "Competitive Positioning" and (card.insight_count, card.min_score, card.max_score) == (3, 10, 30)
+    # (score + 5 x frustration + 5 x impact) / 3; the first two are complaints.
+    assert card.avg_cluster_ready == pytest.approx(((10 + 15 + 10) / 3 + (20 + 15 + 10) / 3 + (30 + 5 + 10) / 3) / 3)
+    assert card.brand == "Whatnot" and card.type == "Churn Signal" and card.sentiments == ["Negative", "Neutral"] and card.mentions_competitor == ["fanatics", "whatnot"]
+    assert card.opportunity_tags == ["Competitor Signal", "Retention Risk"] and card.effort_levels == ["High"]
+    assert card.top_ideas == ["Show the fees earlier", "Match whatnot on commission"]
+    # Two name a keyword of the theme, the complaint first; a long text is cut around it.
+    at = RIVALS[1].index("leaving ebay")
+    assert card.quotes == [f"- _{('…' + RIVALS[1][at - 90 : at + 130].strip() + '…')[:220]}_", f"- _{RIVALS[3]}_"]
+
+
+def test_a_theme_without_quotes_says_so(spark, tmp_path):
+    """Texts of less than 40 characters are counted but not quoted."""
+    run = weekly.weekly_run(spark, _posts(spark, [f"ebay seller fee problem {i} bad" for i in range(3)]), M, F.lit("2024-03-01").cast("date"), str(tmp_path / "a"))
+    card = run.cards.first()
+    assert card.insight_count == 3 and card.quotes == [weekly.NO_QUOTES] and card.top_ideas == [] and card.effort_levels == ["Unknown"]
