@@ -61,3 +61,19 @@ def test_a_theme_without_quotes_says_so(spark, tmp_path):
     run = weekly.weekly_run(spark, _posts(spark, [f"ebay seller fee problem {i} bad" for i in range(3)]), M, F.lit("2024-03-01").cast("date"), str(tmp_path / "a"))
     card = run.cards.first()
     assert card.insight_count == 3 and card.quotes == [weekly.NO_QUOTES] and card.top_ideas == [] and card.effort_levels == ["Unknown"]
+
+
+def test_weekly_run_writes_all_it_returns(spark, tmp_path):
+    """Cards with their quotes, the distribution of sources and the changes since the run before lie below the folder."""
+    as_of = F.lit("2024-03-01").cast("date")
+    fees = [f"ebay seller fee problem number {i}, the commission is too high" for i in range(6)]
+    first = weekly.weekly_run(spark, _posts(spark, RIVALS + fees), M, as_of, str(tmp_path / "a"))
+    second = weekly.weekly_run(spark, _posts(spark, RIVALS[:2]), M, as_of, str(tmp_path / "b"), previous=first.snapshot)
+    for name, run in (("a", first), ("b", second)):
+        meta = spark.read.parquet(f"{tmp_path}/{name}/meta").collect()
+        assert meta == run.meta.collect() and meta[0].source_distribution == {"Reddit": run.insights.count()}
+    cards = {r.workstream: r for r in spark.read.parquet(f"{tmp_path}/a/clusters/cards").collect()}
+    assert cards == {r.workstream: r for r in first.cards.collect()}
+    assert {w: len(r.quotes) for w, r in cards.items()} == {"Competitive Positioning": 2, "Seller Economics & Fees": 3}
+    deltas = {r.metric for r in spark.read.parquet(f"{tmp_path}/b/deltas").collect()}
+    assert first.deltas is None and "fees" in deltas and deltas == {r.metric for r in second.deltas.collect()}
