@@ -3,12 +3,14 @@
 import datetime as dt
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidemark.functions import rules
-from tidemark.operators import dedup
+from tidemark.operators import clustering, dedup
 from tidemark.plans import weekly
 
 M = rules.load_packs("marketplace")
@@ -77,3 +79,36 @@ def test_weekly_run_writes_all_it_returns(spark, tmp_path):
     assert {w: len(r.quotes) for w, r in cards.items()} == {"Competitive Positioning": 2, "Seller Economics & Fees": 3}
     deltas = {r.metric for r in spark.read.parquet(f"{tmp_path}/b/deltas").collect()}
     assert first.deltas is None and "fees" in deltas and deltas == {r.metric for r in second.deltas.collect()}
+
+
+@pytest.mark.parametrize("rows", [3, 16, 1_000])
+def test_glued_blocks_in_tiles_agree_with_brute_force(rows):
+    """Frequent and rare words, numbered or whole, copies, and sets without a common word between them."""
+    rng = np.random.default_rng(4)
+    often = np.sort(np.array([5, 9, 11, *range(100, 140)]))
+    shared = np.array([5, 9, 1_007])
+    sets = sorted({tuple(sorted({int(rng.choice(shared)), *rng.choice(often[2:], rng.integers(0, 30)).tolist(), *rng.integers(1_000, 1_030, rng.integers(0, 9)).tolist()})) for _ in range(70)})
+    w = rng.integers(1, 4, len(sets)).astype(float)
+
+    def table(which):
+        code = [[int(np.searchsorted(often, x)) - (1 << 15) for x in sets[i] if x in often] for i in which]
+        return pa.table({"code": pa.array(code, pa.list_(pa.int16())), "rest": pa.array([[x for x in sets[i] if x not in often] for i in which], pa.list_(pa.int64())), "w": w[which]})
+
+    def share(i, j):
+        x, y = set(sets[i]), set(sets[j])
+        return len(x & y & set(shared.tolist())) / len(x | y)
+
+    a, b = np.arange(len(sets))[::2], np.arange(len(sets))[1::2]
+    assert clustering.glued(table(a), table(b), often, shared, rows) == pytest.approx(sum(w[i] * w[j] * share(i, j) for i in a for j in b), rel=1e-12)
+    own = sum(w[i] * w[j] * share(i, j) for i in a for j in a if i < j) + sum(w[i] * (w[i] - 1) / 2 * share(i, i) for i in a)
+    assert clustering.glued(table(a), None, often, shared, rows) == pytest.approx(own, rel=1e-12)
+
+
+def test_a_large_cluster_is_many_tasks(spark, monkeypatch):
+    """The units of one cluster's grid are tasks of their own; before, a cluster was one task."""
+    monkeypatch.setattr(clustering, "PAIRS_PER_TASK", 50)
+    d = spark.createDataFrame([("a", i, f"refund w{i % 7} v{i}") for i in range(60)], "g string, id int, text string")
+    plan = clustering.overlap_penalty(d, ["g"], "id", F.col("text"), block_rows=10)
+    assert "21), REPARTITION_BY_NUM" in plan._jdf.queryExecution().toString() or "21, REPARTITION_BY_NUM" in plan._jdf.queryExecution().toString()
+    want = sum(1 / (5 - (i % 7 == j % 7)) for i in range(60) for j in range(i)) / (60 * 59 / 2)
+    assert plan.first()["penalty"] == pytest.approx(min(0.15, 0.6 * want), abs=1e-9)
