@@ -112,3 +112,9 @@ def test_a_large_cluster_is_many_tasks(spark, monkeypatch):
     assert "21), REPARTITION_BY_NUM" in plan._jdf.queryExecution().toString() or "21, REPARTITION_BY_NUM" in plan._jdf.queryExecution().toString()
     want = sum(1 / (5 - (i % 7 == j % 7)) for i in range(60) for j in range(i)) / (60 * 59 / 2)
     assert plan.first()["penalty"] == pytest.approx(min(0.15, 0.6 * want), abs=1e-9)
+
+
+def test_words_that_most_sets_hold_are_numbered(spark):
+    """Ties at the cut stay out, so no more than asked for come to the driver."""
+    d = spark.createDataFrame([([1, 2, 3],), ([1, 2, 4],), ([1, 5, 6],), ([1, 5, 7],)], "tok array<bigint>")
+    assert [clustering._frequent(d, most).tolist() for most in (0, 1, 2, 3, 6, 7)] == [[], [1], [1], [1, 2, 5], [1, 2, 5], [1, 2, 3, 4, 5, 6, 7]]
